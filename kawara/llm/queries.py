@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, quality, secrets, sharding, simhash, substrings
+from . import ann, bpe, chat, packing, quality, secrets, sharding, simhash, substrings, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,6 +39,24 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def page_records(pages: DataFrame) -> DataFrame:
+    """Crawl records made from a table of pages: a full response for each, a minute apart by page_id, and as long after
+    all of a thousand pages a not-modified revisit that names the page's own validators and fresh headers."""
+    stamp = lambda minutes: F.timestamp_micros(F.lit(1_704_067_200_000_000) + minutes.cast("long") * 60_000_000)
+    tag = F.md5(F.coalesce("html", F.lit("")))
+    own = lambda *pairs: F.create_map(*[x if hasattr(x, "cast") else F.lit(x) for p in pairs for x in p])
+    page = F.col("page_id")
+    first = pages.select((2 * page).alias("record_id"), F.lit("response").alias("record_type"), "url", stamp(page).alias("date"), F.lit(200).alias("status"), own(("ETag", F.concat(F.lit('"'), tag, F.lit('"'))), ("Content-Type", "text/html"), ("Cache-Control", "max-age=60"), ("Server", "a")).alias("headers"), F.col("html").alias("payload"))
+    again = pages.select((2 * page + 1).alias("record_id"), F.lit("revisit").alias("record_type"), "url", stamp(page + 1000).alias("date"), F.lit(304).alias("status"), own(("etag", F.concat(F.lit('W/"'), tag, F.lit('"'))), ("cache-control", "max-age=3600"), ("Server", "b")).alias("headers"), F.lit(None).cast("string").alias("payload"))
+    return first.unionByName(again)
+
+
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.resolve_revisits(page_records(_read(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws(": ", e["key"], e["value"])), "\n")
+    return out.select("record_id", "canonical_url", "outcome", "response_id", "status", listed.alias("headers"), F.sha2(F.col("payload").cast("binary"), 256).alias("payload_sha256"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "<|im_end|><|im_start|>assistant ok"
@@ -56,6 +74,11 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     base = ("assign", "access", "hex")
@@ -71,7 +94,7 @@ def op10_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_byte_bpe, op4_substring_dedup, op5_simhash, op7_chat_format, op9_secret_scan, op10_lpt_shards)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_byte_bpe, op4_substring_dedup, op5_simhash, op6_warc_revisits, op7_chat_format, op8_nearest_vectors, op9_secret_scan, op10_lpt_shards)}
 
 _STOP = ", ".join("'" + w + "'" for w in quality.stop_forms())
 
@@ -104,6 +127,20 @@ x AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM
 k AS (SELECT x.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY x.j) AS kept FROM x ANTI JOIN gone ON x.doc_id = gone.doc_id AND x.j = gone.j GROUP BY x.doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN k USING (doc_id)""",
+    "op6_warc_revisits": r"""
+WITH u AS (SELECT page_id, html, md5(coalesce(html, '')) AS tag, trim(url, ' ') AS url,
+  regexp_extract(trim(url, ' '), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?', ['host', 'port', 'path', 'query']) AS p FROM pages),
+c AS (SELECT page_id, html, tag, CASE WHEN p.host = '' THEN url ELSE
+  regexp_replace(lower(p.host), '^www\.', '') || CASE WHEN p.port IN ('', '80', '443') THEN '' ELSE ':' || p.port END || CASE WHEN p.path = '' THEN '/' ELSE p.path END
+  || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(p.query, '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_'))), '&'), ''), '') END AS url FROM u),
+r AS (SELECT url, page_id + 1000 AS at, page_id, tag FROM c),
+m AS (SELECT r.page_id, r.url, r.tag, max(c.page_id) AS of FROM r LEFT JOIN c ON c.url = r.url AND c.page_id < r.at GROUP BY ALL)
+SELECT 2 * m.page_id + 1 AS record_id, m.url AS canonical_url, CASE WHEN m.of IS NULL THEN 'no_response' WHEN m.tag = c.tag THEN 'resolved' ELSE 'mismatch' END AS outcome,
+  2 * m.of AS response_id, CASE WHEN m.tag = c.tag THEN 200 ELSE 304 END AS status,
+  CASE WHEN m.tag = c.tag THEN 'cache-control: max-age=3600' || chr(10) || 'content-type: text/html' || chr(10) || 'etag: W/"' || m.tag || '"' || chr(10) || 'server: a'
+    ELSE 'cache-control: max-age=3600' || chr(10) || 'etag: W/"' || m.tag || '"' || chr(10) || 'server: b' END AS headers,
+  CASE WHEN m.tag = c.tag THEN sha256(c.html) END AS payload_sha256
+FROM m LEFT JOIN c ON c.page_id = m.of""",
     "op7_chat_format": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
