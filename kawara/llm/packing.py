@@ -15,33 +15,63 @@ from pyspark.sql import types as T
 from .common import durable, fields, free
 
 #: Most words that a task keeps the ids of.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 300_000
 
 
 class WordEncoder:
-    """Token ids of whole texts, as little-endian 32-bit integers; each distinct stretch between spaces is encoded once.
+    """Token ids of whole texts, as little-endian 32-bit integers; each distinct word is encoded once.
 
-    For vocabularies whose pre-tokens never reach over white space and whose normaliser looks at no neighbour across
-    it, as those with word ends; then the ids of a text are those of its stretches, in order.
+    For vocabularies whose pre-tokens never reach over white space or from letters into other characters, whose
+    normaliser looks at no neighbour across white space and whose words end in a marked token, as those with word
+    ends. Then the ids of a text are those of its words in order, and words of letters alone can be encoded many at
+    once, for each ends with its first marked token.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, mark: str = "</w>"):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given this task its core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(mark)]] = True
         self.known: dict[str, bytes] = {"": b""}
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, new: set[str]) -> None:
+        known, parts, letters = self.known, {}, set()
+        for w in new:
+            core, tail = (w[:-1], w[-1]) if w[-1] in ".,;:!?" else (w, "")
+            if core.isalpha():
+                core = core.lower() if core.isascii() else core
+                parts[w] = core, tail
+                if core not in known:
+                    letters.add(core)
+                if tail and tail not in known:
+                    known[tail] = self._ids(tail).tobytes()
+            else:
+                known[w] = self._ids(w).tobytes()
+        letters = list(letters)
+        for i in range(0, len(letters), 2048):
+            some = letters[i : i + 2048]
+            ids = self._ids(" ".join(some))
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            flat = ids.tobytes()
+            if len(cuts) != len(some) or cuts[-1] != len(flat):
+                raise ValueError("this vocabulary doesn't mark the ends of words")
+            known.update(zip(some, [flat[a:b] for a, b in zip([0, *cuts], cuts)]))
+        known.update((w, known[core] + known[tail]) for w, (core, tail) in parts.items())
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > KNOWN_WORDS:
             self.known = {"": b""}
-        known = self.known
-        new = list(set().union(*split).difference(known))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        self._learn(set().union(*split).difference(self.known))
+        return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, keep_ids: bool = True) -> DataFrame:

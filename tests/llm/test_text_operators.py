@@ -32,6 +32,7 @@ ODD = [
     (7, "before " + PASSAGE + " after", "k"),
     (7, "before " + PASSAGE + " after", "k"),
     (8, "a b c " * 3000, "k"),
+    (10, "ΟΔΟΣ ΑΣ, İstanbul Straße; e\u0301te\u0301 caf\u00e9! a, a. a... 'Tis y'all's x's. dž Ǆ ﬁn 东京市 日本！ नमस्ते, 9a a9 ½ ² a\u00a0b\u3000c", "k"),
     (9, "<|endoftext|> <|startoftext|> The\n\nTHE the", "k"),
 ]
 
