@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder in spark.checkpoint.dir and read from there; a folder is made where that is unset."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    _folder(df.sparkSession)
     return df.checkpoint()
 
 
+def _folder(spark: SparkSession) -> str:
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoint-"))
+    return given or spark.sparkContext.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def numbered(df: DataFrame, order: list[Column], name: str, start: int = 1) -> DataFrame:
     """``df`` with ``name``: start, start + 1, ... in ``order``, which must be total for numbers that don't change.
 
