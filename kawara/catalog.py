@@ -174,6 +174,11 @@ def unlinked_entities(spark, d):
     return out.where(F.size("sources") == 0).select("id", "name", _json("sources").alias("sources"))
 
 
+@query(_TABLES + "SELECT s.id, s.duplicate_of_id, o.name AS original_name FROM stores s LEFT JOIN stores o ON o.id = s.duplicate_of_id")
+def duplicate_originals(spark, d):
+    return views.with_originals(stores(spark, d)).select("id", "duplicate_of_id", "original_name")
+
+
 @query(_TABLES + "SELECT * FROM served")
 def serving_rows(spark, d):
     return served(spark, d).withColumn("sources", _json("sources"))
@@ -202,6 +207,13 @@ _filtered("filter_any_source_name", Filters(source_name="NATION_3"), "list_conta
 _filtered("filter_contactable", Filters(require_tel=True, require_addr=True), "tel <> '' AND addr <> ''")
 _filtered("filter_conjunction", Filters(pref="東京都", genre="BUILDING", within_days=30, require_tel=True, source_type="号外NET"), f"pref = '東京都' AND genre = 'BUILDING' AND date >= DATE '{TODAY}' - 30 AND tel <> '' AND list_contains(json_extract_string(sources, '$[*].type'), '号外NET')")
 
+@query(_TABLES + f"SELECT id, article_title, sources, row_number() OVER (ORDER BY date DESC, id::BIGINT) AS position FROM served WHERE pref = '千葉県' AND city <> '' AND date >= DATE '{TODAY}' - 7")
+def serve_page(spark, d):
+    """A page of one prefecture, from the tables to numbered rows."""
+    rows = views.serve(stores(spark, d), links(spark, d), articles(spark, d), sources(spark, d), Filters(pinned_pref="千葉県", within_days=7), _today())
+    return numbered(rows, pages_of.order_keys("date-desc"), "position").select("id", "article_title", _json("sources").alias("sources"), "position")
+
+
 _HIDDEN = '["1","5","9","77","nobody"]'
 
 

@@ -51,13 +51,13 @@ def any_source(column: str, value: str) -> Column:
     return F.exists("sources", lambda s: s[column] == value)
 
 
-def predicate(f: Filters, today: Column) -> Column:
+def predicate(f: Filters, today: Column, date: str = "date") -> Column:
     """All that ``f`` asks of a row but hiding, as one condition. Dates in the future count as recent."""
     tests = [F.lit(True)]
     tests += [F.col("pref") == f.effective_pref] * bool(f.effective_pref)
     tests += [F.col("city") == f.city] * bool(f.city)
     if f.within_days is not None:
-        tests.append(F.col("date") >= F.date_sub(today, f.within_days))
+        tests.append(F.col(date) >= F.date_sub(today, f.within_days))
     tests += [F.col("genre") == f.genre] * bool(f.genre)
     tests += [any_source("type", f.source_type)] * bool(f.source_type)
     tests += [any_source("name", f.source_name)] * bool(f.source_name)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.words import OTHER_GENRE
-from ..operators.serving import Filters, apply_filters, apply_order
+from ..operators.serving import Filters, apply_filters, apply_order, predicate
 
 SERVED = ["id", "name", "addr", "pref", "city", "tel", "genre", "nearest_station", "open_date", "listed_date", "thumbnail_url", "duplicate_flag", "duplicate_of_id"]
 
@@ -32,6 +32,12 @@ def stores_with_sources(stores: DataFrame, links: DataFrame, articles: DataFrame
     return stores.select(*SERVED).join(told, "id", "left").withColumn("sources", F.coalesce("sources", empty))
 
 
+def with_originals(stores: DataFrame) -> DataFrame:
+    """``stores`` with original_name, the name of the store that each is a possible duplicate of; null without one."""
+    originals = stores.select(F.col("id").alias("duplicate_of_id"), F.col("name").alias("original_name"))
+    return stores.join(originals, "duplicate_of_id", "left").select(*stores.columns, "original_name")
+
+
 def serving_rows(view: DataFrame) -> DataFrame:
     """The view's rows as they are served: ids as text, empty strings for what is missing, sources without titles."""
     blank: Column = F.lit("")
@@ -55,6 +61,14 @@ def serving_rows(view: DataFrame) -> DataFrame:
 
 
 def serve(stores: DataFrame, links: DataFrame, articles: DataFrame, sources: DataFrame, filters: Filters, today: Column, hidden: DataFrame | None = None) -> DataFrame:
-    """One lazy plan from the tables to the ordered rows of a page; the prefecture and dates filter the scan of stores."""
+    """One lazy plan from the tables to the ordered rows of a page.
+
+    Place and date filter the scan of stores; where they do, links of other stores go before their articles are joined
+    and gathered.
+    """
+    narrow = Filters(pref=filters.effective_pref, city=filters.city, within_days=filters.within_days)
+    if narrow != Filters():
+        wanted = stores.where(predicate(narrow, today, date="listed_date"))
+        links = links.join(wanted.select(F.col("id").alias("store_id")), "store_id", "left_semi")
     rows = serving_rows(stores_with_sources(stores, links, articles, sources))
     return apply_order(apply_filters(rows, filters, today, hidden), filters.order)
