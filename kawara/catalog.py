@@ -463,7 +463,7 @@ def content_choice(spark, d):
 @query("SELECT page_id, url FROM pages WHERE page_id % 2 <> 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0)")
 def known_url_skip(spark, d):
     pages = _read(spark, d, "pages").select("page_id", "url")
-    return pages.join(pages.where("page_id % 2 = 0").select("url"), "url", "left_anti").select("page_id", "url")
+    return ingest.skip_known(pages, "url", pages.where("page_id % 2 = 0"), "url").select("page_id", "url")
 
 
 # ---- feeds and polls

@@ -67,8 +67,10 @@ def resolve(items: DataFrame, stores: DataFrame, *, rank: str = "rank", first_id
     items = durable(items)
     tel, name = "tel_normalized", "name_normalized"
     stores = stores.select("id", tel, name, "pref", "city")
-    known_tel = _first(stores, tel, "id", "known_tel")
-    known_name = _first(stores, name, "id", "known_name")
+    # only stores that share a key with the batch are gathered: a small batch is broadcast to the scan
+    near = lambda key: stores.join(items.select(key).distinct(), key, "left_semi")
+    known_tel = _first(near(tel), tel, "id", "known_tel")
+    known_name = _first(near(name), name, "id", "known_name")
     found = durable(items.join(known_tel, tel, "left").join(known_name, name, "left"))
     fresh = found.where("known_tel IS NULL AND known_name IS NULL")
     led = durable(leaders(fresh.select(rank, tel, name, "pref", "city"), rank=rank, keys=(tel, name)))
@@ -84,9 +86,11 @@ def resolve(items: DataFrame, stores: DataFrame, *, rank: str = "rank", first_id
     placed = placed.withColumn("store_id", F.coalesce("known_tel", before("tel"), "known_name", before("name")))
 
     words = lambda df, at: df.select("pref", "city", F.explode(name_tokens(F.col(name))).alias("word"), at)
-    old = words(stores, F.col("id").alias("at")).groupBy("pref", "city", "word").agg(F.min("at").alias("old_store"))
+    begun = made.withColumn("word", F.substring(name, 1, PREFIX))
+    asked = begun.select("pref", "city", "word").distinct()
+    old = words(stores, F.col("id").alias("at")).join(asked, ["pref", "city", "word"], "left_semi").groupBy("pref", "city", "word").agg(F.min("at").alias("old_store"))
     new = words(made, F.struct(F.col(rank), F.col("store_id")).alias("at")).groupBy("pref", "city", "word").agg(F.min("at").alias("new_store"))
-    similar = made.withColumn("word", F.substring(name, 1, PREFIX)).join(old, ["pref", "city", "word"], "left").join(new, ["pref", "city", "word"], "left")
+    similar = begun.join(old, ["pref", "city", "word"], "left").join(new, ["pref", "city", "word"], "left")
     earlier = F.when(F.col(f"new_store.{rank}") < F.col(rank), F.col("new_store.store_id"))
     similar = similar.select(rank, F.coalesce("old_store", earlier).alias("duplicate_of_id"), F.lit(True).alias("made"))
     out = placed.join(similar, rank, "left")

@@ -28,6 +28,12 @@ class Batch:
     counts: DataFrame
 
 
+def skip_known(items: DataFrame, link: str, articles: DataFrame, url: str) -> DataFrame:
+    """``items`` whose link is no article's url. Of the articles only those that the items name leave the scan."""
+    known = articles.select(F.col(url).alias(link)).join(items.select(link).distinct(), link, "left_semi").distinct()
+    return items.join(known, link, "left_anti")
+
+
 def new_items(feeds: DataFrame, sources: DataFrame, articles: DataFrame) -> DataFrame:
     """Items of enabled sources' feeds (source_id, xml, fetched_at) that aren't known by their link yet, with their source.
 
@@ -36,7 +42,7 @@ def new_items(feeds: DataFrame, sources: DataFrame, articles: DataFrame) -> Data
     """
     on = sources.where("enabled").select(F.col("id").alias("source_id"), F.col("pref").alias("src_pref"), F.col("city").alias("src_city"))
     items = feed_items(feeds).where("NOT broken AND link IS NOT NULL AND link != ''").join(on, "source_id")
-    items = items.join(articles.select(F.col("article_url").alias("link")), "link", "left_anti")
+    items = skip_known(durable(items), "link", articles, "article_url")
     raw = F.coalesce("html", F.lit(""))
     return items.select("source_id", "ordinal", "link", F.regexp_replace(F.coalesce("title", F.lit("")), rf"^[{text.WHITE}]+|[{text.WHITE}]+\z", "").alias("title"), published_at(F.col("published"), F.col("fetched_at")).alias("published_at"), html.strip_html(raw).alias("rss_text"), html.first_image(raw).alias("thumbnail"), "src_pref", "src_city")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.ingest import ingest
+from ..plans.ingest import ingest, skip_known
 from ..plans.maintain import find_sources
 from ..sources.schema import Tables
 
@@ -45,7 +45,7 @@ def append_new(stream: DataFrame, key: str, order: str, folder: str, checkpoint:
     def take(batch: DataFrame, number: int) -> None:
         number += first_batch
         known = spark.read.option("basePath", folder).schema(held).parquet(folder).where(F.col("batch") < number)
-        fresh = batch.where(F.col(key).isNotNull()).join(known.select(key), key, "left_anti")
+        fresh = skip_known(batch.where(F.col(key).isNotNull()), key, known, key)
         rest = [c for c in batch.columns if c != key]
         one = fresh.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("row")).select(key, "row.*").select(*batch.columns)
         one.write.mode("overwrite").parquet(f"{folder}/batch={number}")
