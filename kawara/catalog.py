@@ -343,11 +343,11 @@ def upsert_sources(spark, d):
     return changes.upsert(sources(spark, d), rows, ["url"], defaults={"enabled": F.lit(True)})
 
 
-@query(_TABLES + """, found AS (SELECT p_partkey AS url, CASE WHEN p_size % 4 = 0 THEN -1 ELSE p_size % 3 END::BIGINT AS items FROM part WHERE p_partkey % 10 <> 7)
+@query(_TABLES + """, found AS (SELECT p_partkey AS url, CASE WHEN p_size % 4 = 0 THEN -1 ELSE p_size % 3 END::BIGINT AS items FROM part WHERE p_size <> 7)
 SELECT p_partkey AS url, coalesce(items, -1) AS items, CASE WHEN p_brand = 'Brand#2' THEN 'known' WHEN coalesce(items, -1) > 0 THEN 'fresh' ELSE 'dead' END AS status FROM part LEFT JOIN found ON url = p_partkey""")
 def probe_split(spark, d):
     parts = _read(spark, d, "part").withColumnRenamed("p_partkey", "url")
-    counts = parts.where("url % 10 != 7").select("url", F.when(F.col("p_size") % 4 == 0, -1).otherwise(F.col("p_size") % 3).cast("long").alias("items"))
+    counts = parts.where("p_size != 7").select("url", F.when(F.col("p_size") % 4 == 0, -1).otherwise(F.col("p_size") % 3).cast("long").alias("items"))
     return maintain.probe_split(parts.select("url"), counts, parts.where("p_brand = 'Brand#2'"))
 
 
@@ -414,7 +414,7 @@ def dedupe_exact_key(spark, d):
 def dedupe_leader(spark, d):
     """Customers resolved in order against each other, by the last digits of their balance and a part of their name."""
     rows = _read(spark, d, "customer").select(F.col("c_custkey").alias("rank"), F.when(F.col("c_custkey") % 3 != 0, F.format_string("%.0f", F.col("c_acctbal"))).alias("tel_normalized"), F.concat_ws("-", F.lower("c_mktsegment"), (F.col("c_custkey") % 997).cast("string")).alias("name_normalized"), F.col("c_nationkey").cast("string").alias("pref"), F.lit("").alias("city"))
-    return resolve.resolve(rows, rows.where("rank < 0").withColumnRenamed("rank", "id")).select("rank", "outcome", "store_id", "duplicate_of_id")
+    return resolve.resolve(rows, rows.limit(0).withColumnRenamed("rank", "id")).select("rank", "outcome", "store_id", "duplicate_of_id")
 
 
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
@@ -460,10 +460,11 @@ def content_choice(spark, d):
     return rows.select("page_id", F.when(longer, "page").otherwise("feed").alias("chosen"), F.md5(F.substring(F.when(longer, F.col("page")).otherwise(F.col("feed")), 1, ingest.CONTENT)).alias("content_md5"))
 
 
-@query("SELECT page_id, url FROM pages WHERE page_id % 2 <> 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def known_url_skip(spark, d):
-    pages = _read(spark, d, "pages").select("page_id", "url")
-    return ingest.skip_known(pages, "url", pages.where("page_id % 2 = 0"), "url").select("page_id", "url")
+    """Customers as items, of which those with an order are known."""
+    items = _read(spark, d, "customer").select("c_custkey", "c_name")
+    return ingest.skip_known(items, "c_custkey", _read(spark, d, "orders"), "o_custkey").select("c_custkey", "c_name")
 
 
 # ---- feeds and polls
