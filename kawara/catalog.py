@@ -168,9 +168,10 @@ def latest_article_title(spark, d):
     return views.latest_titles(links(spark, d), articles(spark, d))
 
 
-@query(_TABLES + "SELECT id, name, '[]' AS sources FROM stores WHERE id NOT IN (SELECT store_id FROM links)")
+@query(_TABLES + "SELECT id, name, '[]' AS sources FROM stores WHERE id NOT IN (SELECT store_id FROM told WHERE title LIKE '1-URGENT%')")
 def unlinked_entities(spark, d):
-    out = views.stores_with_sources(stores(spark, d), links(spark, d), articles(spark, d), sources(spark, d))
+    """Stores of which no urgent article tells."""
+    out = views.stores_with_sources(stores(spark, d), links(spark, d), articles(spark, d).where("title LIKE '1-URGENT%'"), sources(spark, d))
     return out.where(F.size("sources") == 0).select("id", "name", _json("sources").alias("sources"))
 
 
@@ -460,11 +461,11 @@ def content_choice(spark, d):
     return rows.select("page_id", F.when(longer, "page").otherwise("feed").alias("chosen"), F.md5(F.substring(F.when(longer, F.col("page")).otherwise(F.col("feed")), 1, ingest.CONTENT)).alias("content_md5"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def known_url_skip(spark, d):
-    """Customers as items, of which those with an order are known."""
-    items = _read(spark, d, "customer").select("c_custkey", "c_name")
-    return ingest.skip_known(items, "c_custkey", _read(spark, d, "orders"), "o_custkey").select("c_custkey", "c_name")
+    """Documents as items, of which those with a label are known."""
+    items = _read(spark, d, "documents").select("doc_id", "lang")
+    return ingest.skip_known(items, "doc_id", _read(spark, d, "labels"), "doc_id")
 
 
 # ---- feeds and polls
