@@ -20,13 +20,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+def word_encoding(path: str):
+    """An encoding that takes every text as one pre-token."""
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=read_ranks(path), special_tokens={})
+
+
 class _Ids(dict):
     """The ids of a pre-token, made when first asked for."""
 
-    def __init__(self, path: str):
-        import tiktoken
-
-        self.encoding = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=read_ranks(path), special_tokens={})
+    def __init__(self, encoding):
+        self.encoding = encoding
 
     def __missing__(self, word: bytes) -> np.ndarray:
         self[word] = out = np.array(self.encoding.encode_ordinary(word.decode()), "<u4")
@@ -41,7 +46,7 @@ class _Places(dict):
         return n
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "text", block_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "text", block_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` with token_ids (binary: little-endian unsigned 32-bit ids) in place of the text column.
 
     1. A task splits the texts by ``pattern`` and, for every block of about ``block_bytes``, keeps each text as places
@@ -93,12 +98,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "t
                 kinds.append(2)
             yield from with_columns(pa.table({key: pa.array(keys, pa.int64()), kind: pa.array(kinds, pa.int32()), part: pa.array(parts, pa.int64()), blob: pa.array(blobs, pa.binary())}), schema).to_batches()
 
+    encoding = []  # made once a task
+
     def encode_bucket(table: pa.Table) -> pa.Table:
         import zstandard
 
         keys, parts, blobs = [], [], []
         if table[kind][0].as_py() == 2:
-            ids = _Ids(ranks_path)
+            if not encoding:
+                encoding.append(word_encoding(ranks_path))
+            ids = _Ids(encoding[0])
             for k, block, b in zip(table[key].to_pylist(), table[part].to_pylist(), table[blob], strict=True):
                 b = b.as_py()
                 n = 4 + int.from_bytes(b[:4], "little")
