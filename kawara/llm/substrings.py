@@ -63,7 +63,7 @@ def _block_hashes(texts: list[bytes], width: int, hashes: _Hashes) -> tuple[list
     return split, np.concatenate(each) if each else np.zeros(0, np.uint64), np.maximum(counts - width + 1, 0)
 
 
-def remove_repeats(docs: DataFrame, *, text_col: str = "text", width: int = 35, block_bytes: int = 8 << 20, bucket_bytes: int = 24 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, text_col: str = "text", width: int = 35, block_bytes: int = 4 << 20, bucket_bytes: int = 12 << 20) -> DataFrame:
     """``docs`` with kept_text, n_words, n_removed and removed, array<struct<start, end>>: maximal intervals of words.
 
     A window is ``width`` consecutive words of one text, as they stand. A word goes if it lies in a window whose words
