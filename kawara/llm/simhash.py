@@ -150,13 +150,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """One row a document: id_col, fingerprint (16 hex digits) and component_id, the smallest id reachable over links.
 
     Fingerprints that differ in at most ``radius`` bits are linked, those of texts without words like any other. Equal
-    fingerprints are joined before the grid, so copies never pair up. Rows with a null id take part like others but
-    name no component: one of theirs alone has a null component_id. Other columns go.
+    fingerprints are joined before the grid, so copies never pair up. A fingerprint's node is its smallest id, so a
+    component's smallest node names it. Rows with a null id take part like others but name no component: one of theirs
+    alone has a null component_id; their nodes lie above all ids, so an id of 2**62 or more is an error. Other columns
+    go; repeated rows stay.
     """
+    top = F.lit(2**62)
     prints = durable(fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))))
-    distinct = durable(prints.groupBy("fingerprint_bits").agg(F.min("id").alias("least")).withColumn("node", F.coalesce("least", F.lit(-(2**62)) + F.abs(F.xxhash64("fingerprint_bits") % 2**61))))
+    least = F.when(F.col("least") >= top, F.raise_error(F.lit("ids end below 2**62")).cast("long")).otherwise(F.col("least"))
+    nameless = top + F.pmod(F.xxhash64("fingerprint_bits"), F.lit(2**61))
+    distinct = durable(prints.groupBy("fingerprint_bits").agg(F.min("id").alias("least")).select("fingerprint_bits", F.coalesce(least, nameless).alias("node")))
     found = components(grid_links(distinct, radius=radius))
-    nodes = distinct.join(found, "node", "left").select("fingerprint_bits", F.col("least"), F.coalesce("component", "node").alias("group"))
-    named = nodes.groupBy("group").agg(F.min("least").alias("component_id"))
-    of = nodes.join(named, "group").select("fingerprint_bits", "component_id")
-    return prints.join(of, "fingerprint_bits").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint_bits"), 16, "0")).alias("fingerprint"), "component_id")
+    root = F.coalesce("component", "node")
+    named = distinct.join(found, "node", "left").select("fingerprint_bits", F.when(root < top, root).alias("component_id"))
+    return prints.join(named, "fingerprint_bits").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint_bits"), 16, "0")).alias("fingerprint"), "component_id")
