@@ -2,40 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: What separates words, everywhere in this subpackage.
-WHITE = " \t\n\x0b\x0c\r"
+from kawara.operators.durable import durable, shared_folder
 
-
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there; survives lost executors.
-
-    The folder is the one in spark.checkpoint.dir; only where that is unset (tests) is one made.
-    """
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def _checkpoint_dir(spark: SparkSession) -> str:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new path in the shared checkpoint folder."""
-    return f"{_checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+__all__ = ["blocks", "components", "durable", "fields", "free", "pack_ints", "shared_folder", "total_bytes", "unpack_ints", "utf8", "with_columns", "words"]
 
 
 def free(df: DataFrame, *names: str) -> list[str]:
