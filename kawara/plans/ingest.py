@@ -54,8 +54,13 @@ def first_of_link(items: DataFrame) -> DataFrame:
 
 
 def with_pages(items: DataFrame, pages: DataFrame) -> DataFrame:
-    """``items`` with content, the longer of the page's main text and the feed's, and thumbnail from either; pages (url, html) may be missing."""
-    found = items.join(pages.select(F.col("url").alias("link"), F.col("html").alias("page")).dropDuplicates(["link"]), "link", "left").withColumn("main", html.main_content(F.col("page")))
+    """``items`` with content, the longer of the page's main text and the feed's, and thumbnail from either.
+
+    Pages (url, html) may be missing; of several with one address the last by its text counts. Pages that no item
+    links to don't leave the scan where the items are few enough to broadcast.
+    """
+    wanted = pages.select(F.col("url").alias("link"), F.col("html").alias("page")).join(items.select("link"), "link", "left_semi")
+    found = items.join(wanted.groupBy("link").agg(F.max("page").alias("page")), "link", "left").withColumn("main", html.main_content(F.col("page")))
     full = F.coalesce("main.text", F.lit(""))
     longer = F.when(text.utf16_length(full) > text.utf16_length(F.col("rss_text")), full).otherwise(F.col("rss_text"))
     image = F.coalesce(text.nonblank(F.col("thumbnail")), text.nonblank(F.col("main.thumbnail")), F.col("thumbnail"))
@@ -88,7 +93,7 @@ def ingest(feeds: DataFrame, pages: DataFrame, sources: DataFrame, articles: Dat
     items without a readable date.
     """
     items = new_items(feeds, sources, articles).where(text.is_food_opening(F.col("title"), F.col("rss_text")))
-    read = durable(extracted(with_pages(first_of_link(items), pages)))
+    read = durable(extracted(with_pages(durable(first_of_link(items)), pages)))
     order = [F.col("source_id"), F.col("ordinal")]
     first = (articles.agg(F.max("id")).first()[0] or 0) + 1
     taken = durable(numbered(read.where("published_at IS NOT NULL"), order, "article_id", first))
