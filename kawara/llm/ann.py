@@ -103,15 +103,39 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def needed_ratio(centroids: np.ndarray, points: np.ndarray, raw: np.ndarray, k: int, replicas: int, replica_ratio: float, recall: float, tries: int = 256) -> float:
+    """How much further than its nearest list a query must look for a share ``recall`` of its neighbours, by the points themselves.
+
+    The first ``tries`` points are queries; their ``k`` best inner products among all points are found by brute force
+    and looked up in their own lists. ``points`` are ``raw`` with the component that makes norms equal.
+    """
+    asked = raw[:tries]
+    most = (points[0] ** 2).sum()
+    lifted = np.concatenate([asked * np.sqrt(most) / np.linalg.norm(asked, axis=1)[:, None], np.zeros((len(asked), 1))], axis=1)
+    far = lambda x: np.sqrt(np.maximum(0, (x**2).sum(axis=1)[:, None] + (centroids**2).sum(axis=1)[None] - 2 * x @ centroids.T))
+    to_lists, out = far(lifted), []
+    for i, one in enumerate(asked):
+        row = raw @ one
+        row[i] = -np.inf
+        best = np.argpartition(-row, min(k, len(row) - 1))[:k] if len(row) > 1 else np.zeros(0, np.int64)
+        own = far(points[best])
+        near = np.argsort(own, axis=1)[:, :replicas]
+        reach = np.take_along_axis(own, near, axis=1)
+        seen = np.where(reach <= replica_ratio * reach[:, :1], to_lists[i][near], np.inf).min(axis=1)
+        if to_lists[i].min() > 0:
+            out.append(seen / to_lists[i].min())
+    return float(np.quantile(np.concatenate(out), recall)) if out else 1.0
+
+
 def _scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed component by component, so equal vectors have equal scores wherever they stand."""
-    out = np.zeros((len(queries), len(vectors)))
+    """Inner products, pair by pair, in double precision and summed in order, so equal vectors have equal scores wherever they stand."""
+    out = np.zeros(len(queries))
     for d in range(queries.shape[1]):
-        out += queries[:, d, None] * vectors[None, :, d]
+        out += queries[:, d] * vectors[:, d]
     return out
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 1 << 16, replicas: int = 4, replica_ratio: float = 1.1, probe_ratio: float = 1.25, beam: int = 128, least_met: int = 1000, chunk_rows: int = 1 << 13) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 1 << 16, replicas: int = 2, replica_ratio: float = 1.1, recall: float = 0.96, beam: int = 128, least_met: int = 1000, chunk_rows: int = 1 << 13) -> DataFrame:
     """For each row of ``queries`` its ``k`` nearest found rows of ``vectors`` but itself: query_id, rank, vec_id, score.
 
     Nearness is the largest inner product. Vectors get one more component that makes all norms equal, which turns it
@@ -122,11 +146,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str =
        holds whole, so their size is bounded whatever the table.
     2. Every vector joins its nearest list and up to ``replicas`` - 1 more whose centroid is at most ``replica_ratio``
        times as far: those near a boundary stand in several lists.
-    3. A query searches the graph and selects the lists up to ``probe_ratio`` times as far as the nearest, of at most
-       ``beam`` found, and as many more as it takes to meet ``least_met`` vectors (or k others); where the beam has
-       too few, it takes all lists. So small tables are searched whole.
-    4. Lists close in order share a bucket; buckets are split by vectors and by queries into chunks of about
-       ``chunk_rows``, and a chunk answers each of its queries once.
+    3. A query searches the graph and selects the lists up to a ratio times as far as the nearest, and as many more as
+       it takes to meet ``least_met`` vectors (or k others). The ratio is the one with which queries from the sample
+       find a share ``recall`` of their true neighbours in it. A query for which ``beam`` lists are too few measures
+       its distance to every centroid. Small tables are searched whole.
+    4. Lists close in order share a bucket of about ``chunk_rows`` vectors; longer lists are split into chunks, and so
+       are many queries to one bucket. A chunk scores each query against the lists that it selected, no others.
+
+    Of equal vectors only the ``k`` + 1 with the smallest ids are kept: ties go to smaller ids and a query misses only
+    itself, so no other copy can be in an answer, and a vector that makes up a third of all rows is no list of its own.
 
     Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor
     do rows with a null id. Rows with one id count as one, by their best score; a query never finds its own id. Ties
@@ -143,12 +171,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str =
         return empty
     size, rows, most = lengths
     vectors, queries = vectors.where(F.size("vector") == size), queries.where(F.size("vector") == size)
-    sample = np.array([r[0] for r in vectors.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("vector").toLocalIterator()])
+    copies = Window.partitionBy(F.xxhash64("vector"), "vector").orderBy("id")
+    vectors = durable(vectors.distinct().withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select("id", "vector"))
+    rows = vectors.count()
+    sample = np.array([np.array(r[0]) for r in vectors.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("vector").toLocalIterator()])
     lift = lambda m: np.concatenate([m, np.sqrt(np.maximum(0, most - (m**2).sum(axis=1)))[:, None]], axis=1)
     lists = int(max(1, min(2 * rows**0.5, len(sample) / 8)))
-    graph = spark.sparkContext.broadcast(centroid_graph(balanced_centroids(lift(sample), lists)))
+    centroids = balanced_centroids(lift(sample), lists)
+    probe_ratio = needed_ratio(centroids, lift(sample), sample, k, replicas, replica_ratio, recall)
+    graph = spark.sparkContext.broadcast(centroid_graph(centroids))
     least_met = max(least_met, k + 1)
-    per_bucket = max(1, lists // 16)
 
     def assign(batches):
         for batch in batches:
@@ -164,6 +196,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str =
 
     members = durable(vectors.mapInArrow(assign, "id long, vector array<double>, list long, own boolean"))
     counts = members.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.col("own").cast("long")).alias("own")).collect()  # a row a list at most
+    per_bucket = max(1, int(chunk_rows * lists / max(1, sum(r.n for r in counts))))
     alone, full = np.zeros(lists, np.int64), np.zeros(-(-lists // per_bucket), np.int64)
     for r in counts:
         alone[r.list] = r.own
@@ -179,7 +212,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str =
                 met = np.cumsum(np.where(who >= 0, alone[who], 0), axis=1)
                 take = (who >= 0) & ((np.sqrt(dist) <= probe_ratio * np.sqrt(dist[:, :1])) | (met - np.where(who >= 0, alone[who], 0) < least_met))
                 for i in range(len(points)):
-                    own = who[i][take[i]] if met[i, -1] >= least_met else np.arange(lists)
+                    own = who[i][take[i]]
+                    if len(own) == who.shape[1] < lists:  # the beam ends before the ratio or the least number does
+                        whole = np.sqrt(np.maximum(0, most + (graph.value[0] ** 2).sum(axis=1) - 2 * graph.value[0][:, :-1] @ points[i]))
+                        order = np.argsort(whole, kind="stable")
+                        before = np.cumsum(alone[order]) - alone[order]
+                        own = order[(whole[order] <= probe_ratio * whole[order[0]]) | (before < least_met)]
                     buckets, where = np.unique(own // per_bucket, return_inverse=True)
                     picked = [own[where == b] for b in range(len(buckets))]
                     took = part.take(pa.array(np.full(len(buckets), i)))
@@ -194,22 +232,32 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str =
     names = ["query_id", "vec_id", "score"]
 
     def answer(vs: pa.Table, qs: pa.Table) -> pa.Table:
-        ids, out = vs["id"].to_numpy(), ([], [], [])
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if vs.num_rows and qs.num_rows:
-            matrix, of, asking = _matrix(vs["vector"]), vs["list"].to_numpy(), qs["id"].to_numpy()
-            step = max(1, (1 << 21) // len(ids))
-            for at in range(0, len(asking), step):
-                part = qs.slice(at, step)
-                scores = _scores(_matrix(part["vector"]), matrix)
-                for i, picked in enumerate(part["lists"].to_pylist()):
-                    may = np.flatnonzero(np.isin(of, picked) & (ids != asking[at + i]))
-                    order = may[np.lexsort((ids[may], -scores[i, may]))]
-                    first = np.sort(np.unique(ids[order], return_index=True)[1])[:k]  # one row an id
-                    order = order[first]
-                    out[0].append(np.full(len(order), asking[at + i]))
-                    out[1].append(ids[order])
-                    out[2].append(scores[i, order])
-        return pa.table([pa.array(np.concatenate(x) if x else [], t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], names)
+            matrix, ids, of = _matrix(vs["vector"]), vs["id"].to_numpy(), vs["list"].to_numpy()
+            asking, points, picked = qs["id"].to_numpy(), _matrix(qs["vector"]), qs["lists"].combine_chunks()
+            who, what = picked.value_parent_indices().to_numpy(), picked.flatten().to_numpy()
+            by_vector, by_query = np.argsort(of, kind="stable"), np.argsort(what, kind="stable")
+            for one in np.intersect1d(of, what):
+                own = by_vector[np.searchsorted(of[by_vector], one) : np.searchsorted(of[by_vector], one, "right")]
+                asked = who[by_query[np.searchsorted(what[by_query], one) : np.searchsorted(what[by_query], one, "right")]]
+                for at in range(0, len(asked), max(1, (1 << 20) // len(own))):
+                    some = asked[at : at + max(1, (1 << 20) // len(own))]
+                    rough = points[some] @ matrix[own].T
+                    rough[asking[some][:, None] == ids[own][None]] = -np.inf
+                    # the best k of a list and all that may equal the last of them; exact scores decide. An id can stand in it more than once
+                    last = max(0, len(own) - k) if len(np.unique(ids[own])) == len(own) else 0
+                    q, v = np.nonzero((rough >= np.partition(rough, last, axis=1)[:, [last]] - 1e-9 * most) & (rough > -np.inf))
+                    out.append((asking[some][q], ids[own][v], _scores(points[some][q], matrix[own][v])))
+        query, found, score = (np.concatenate(x) for x in zip(*out))
+        order = np.lexsort((-score, found, query))  # an id once, by its best score
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (np.diff(query[order]) != 0) | (np.diff(found[order]) != 0)
+        order = order[fresh]
+        order = order[np.lexsort((found[order], -score[order], query[order]))]
+        place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+        order = order[place < k]
+        return pa.table([pa.array(query[order]), pa.array(found[order]), pa.array(score[order])], names)
 
     keys = ["bucket", "v", "q"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(answer, "query_id long, vec_id long, score double")
