@@ -8,23 +8,37 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, fields, free
+from .common import blocks, durable, fields, free
 
 #: Most words that a task keeps the ids of.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 1_000_000
+
+#: Letters with marks after them, which are pre-tokens of their own: ASCII punctuation without the apostrophe.
+_MARKED = r"^(\p{L}+)([!-&(-/:-@\[-`{-~]+)$"
+
+
+def _gather(flat: np.ndarray, cuts: np.ndarray, places: pa.Array, offsets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For lists of places in the pieces flat[cuts[i]:cuts[i + 1]]: their pieces in order, and where each list's begin."""
+    places, offsets = places.to_numpy(), offsets.to_numpy()
+    lengths = np.diff(cuts)[places]
+    ends = np.cumsum(lengths)
+    out = flat[np.repeat(cuts[places] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+    return out, np.concatenate([[0], ends])[offsets - offsets[0]]
 
 
 class WordEncoder:
-    """Token ids of whole texts, as little-endian 32-bit integers; each distinct word is encoded once.
+    """Token ids of whole texts; each distinct word is encoded once.
 
     For vocabularies whose pre-tokens never reach over white space or from letters into other characters, whose
     normaliser looks at no neighbour across white space and whose words end in a marked token, as those with word
-    ends. Then the ids of a text are those of its words in order, and words of letters alone can be encoded many at
-    once, for each ends with its first marked token.
+    ends. Then the ids of a text are those of its words in order, those of letters with marks after them are the
+    letters' and the marks', and words of letters alone can be encoded many at once, for each ends with its first
+    marked token.
     """
 
     def __init__(self, path: str, mark: str = "</w>"):
@@ -39,39 +53,40 @@ class WordEncoder:
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(mark)]] = True
         self.known: dict[str, bytes] = {"": b""}
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _learn(self, new: set[str]) -> None:
-        known, parts, letters = self.known, {}, set()
-        for w in new:
-            core, tail = (w[:-1], w[-1]) if w[-1] in ".,;:!?" else (w, "")
-            if core.isalpha():
-                core = core.lower() if core.isascii() else core
-                parts[w] = core, tail
-                if core not in known:
-                    letters.add(core)
-                if tail and tail not in known:
-                    known[tail] = self._ids(tail).tobytes()
-            else:
-                known[w] = self._ids(w).tobytes()
-        letters = list(letters)
+    def _one_by_one(self, words: list[str]) -> None:
+        for i in range(0, len(words), 2048):
+            some = words[i : i + 2048]
+            self.known.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
+
+    def _learn(self, new: list[str]) -> None:
+        known = self.known
+        letters = [w for w in new if w.isalpha() and (w.isascii() or w.lower().isalpha())]
+        self._one_by_one(list(set(new).difference(letters)))
         for i in range(0, len(letters), 2048):
             some = letters[i : i + 2048]
-            ids = self._ids(" ".join(some))
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             flat = ids.tobytes()
-            if len(cuts) != len(some) or cuts[-1] != len(flat):
-                raise ValueError("this vocabulary doesn't mark the ends of words")
-            known.update(zip(some, [flat[a:b] for a, b in zip([0, *cuts], cuts)]))
-        known.update((w, known[core] + known[tail]) for w, (core, tail) in parts.items())
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+            if len(cuts) == len(some) and cuts[-1] == len(flat):
+                known.update(zip(some, [flat[a:b] for a, b in zip([0, *cuts], cuts)]))
+            else:  # letters that the normaliser takes apart
+                self._one_by_one(some)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in order, and where each text's begin and the last one's end; null is empty."""
+        words = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        parts = pc.split_pattern(pc.replace_substring_regex(coded.dictionary, _MARKED, r"\1 \2"), " ")
+        single = parts.flatten()
+        single = pc.if_else(pc.string_is_ascii(single), pc.ascii_lower(single), single).dictionary_encode()
+        distinct = single.dictionary.to_pylist()
         if len(self.known) > KNOWN_WORDS:
             self.known = {"": b""}
-        self._learn(set().union(*split).difference(self.known))
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+        self._learn([w for w in distinct if w not in self.known])
+        each = [self.known[w] for w in distinct]
+        cuts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, each), np.int64, len(each)) // 4)])
+        flat, cuts = _gather(np.frombuffer(b"".join(each), "<u4"), cuts, single.indices, parts.offsets)
+        return _gather(flat, cuts, coded.indices, words.offsets)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, keep_ids: bool = True) -> DataFrame:
@@ -85,23 +100,25 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
 
     def cut(batches):
         encode, end, step = WordEncoder(tokenizer_path), np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                rows, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, own in enumerate(encode(part.column(text_col).to_pylist())):
-                    own += end
-                    for k in range(0, len(own), step):
-                        bit = own[k : k + step]
-                        rows.append(i)
-                        piece.append(k // step)
-                        start.append(k // 4)
-                        length.append(len(bit) // 4)
-                        crc.append(zlib.crc32(bit))
-                        if keep_ids:
-                            ids.append(np.frombuffer(bit, "<i4"))
-                columns = [part.column(id_col).take(pa.array(rows)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(ids, pa.list_(pa.int32()))] * keep_ids], schema.names)
+        for _, part in blocks(batches, text_col, 4 << 20):
+            part = part.combine_chunks()
+            rows, piece, start, length, crc, bits = [], [], [], [], [], []
+            flat, cuts = encode(part[text_col].combine_chunks())
+            for i, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
+                own = flat[a:b].tobytes() + end
+                for k in range(0, len(own), step):
+                    bit = own[k : k + step]
+                    rows.append(i)
+                    piece.append(k // step)
+                    start.append(k // 4)
+                    length.append(len(bit) // 4)
+                    crc.append(zlib.crc32(bit))
+                    if keep_ids:
+                        bits.append(bit)
+            columns = {id_col: part[id_col].take(pa.array(rows)), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
+            if keep_ids:
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(np.frombuffer(b"".join(bits), "<i4")))
+            yield from pa.table(list(columns.values()), names=schema.names).to_batches()
 
     return docs.select(id_col, text_col).mapInArrow(cut, schema)
 
@@ -156,16 +173,17 @@ def best_two_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def pack(pieces: DataFrame, *, length_col: str = "length", capacity: int = 4096, group_pieces: int = 1 << 15) -> DataFrame:
+def pack(pieces: DataFrame, *, length_col: str = "length", capacity: int = 4096, group_pieces: int = 1 << 15, group_tokens: int = 1 << 24) -> DataFrame:
     """``pieces`` with sequence_id and offset: every row has a place in a sequence of at most ``capacity``, without gaps.
 
-    The rows are dealt evenly into groups of about ``group_pieces``, each packed by best_two_fit on its own; a group
-    leaves at most about one part-filled sequence behind, so the loss doesn't grow with the data, while no task holds
+    The rows are dealt evenly into groups of about ``group_pieces`` rows and ``group_tokens`` at most, each packed by
+    best_two_fit on its own; a group leaves at most about one part-filled sequence behind, so the loss doesn't grow with the data, while no task holds
     more than a group. Rows are dealt by their place, so equal rows or ids don't meet. A null length counts as 0; one
     over ``capacity`` is an error. Columns of ``pieces`` named sequence_id or offset are replaced.
     """
     pieces = durable(pieces.drop("sequence_id", "offset"))
-    groups = max(1, -(-pieces.count() // group_pieces))
+    rows, tokens = pieces.agg(F.count("*"), F.sum(F.col(length_col).cast("long"))).first()
+    groups = max(1, -(-rows // group_pieces), -(-(tokens or 0) // group_tokens))
     (group,) = free(pieces, "group")
     schema = T.StructType([*fields(pieces), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
