@@ -237,6 +237,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str =
             matrix, ids, of = _matrix(vs["vector"]), vs["id"].to_numpy(), vs["list"].to_numpy()
             asking, points, picked = qs["id"].to_numpy(), _matrix(qs["vector"]), qs["lists"].combine_chunks()
             who, what = picked.value_parent_indices().to_numpy(), picked.flatten().to_numpy()
+            times = np.unique(ids, return_counts=True)[1].max()  # an id stands here at most so often, so k ids need so many times k places
+            width = k * times if times <= 8 else 0
+            best = np.full((len(asking), width), -np.inf)
             by_vector, by_query = np.argsort(of, kind="stable"), np.argsort(what, kind="stable")
             for one in np.intersect1d(of, what):
                 own = by_vector[np.searchsorted(of[by_vector], one) : np.searchsorted(of[by_vector], one, "right")]
@@ -245,9 +248,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str =
                     some = asked[at : at + max(1, (1 << 20) // len(own))]
                     rough = points[some] @ matrix[own].T
                     rough[asking[some][:, None] == ids[own][None]] = -np.inf
-                    # the best k of a list and all that may equal the last of them; exact scores decide. An id can stand in it more than once
+                    # the best k of the list, and of the lists so far, with all that may equal the last of them; exact scores decide
                     last = max(0, len(own) - k) if len(np.unique(ids[own])) == len(own) else 0
-                    q, v = np.nonzero((rough >= np.partition(rough, last, axis=1)[:, [last]] - 1e-9 * most) & (rough > -np.inf))
+                    top = np.partition(rough, last, axis=1)[:, last:]
+                    least = top.min(axis=1)
+                    if width:
+                        top = np.concatenate([best[some], top], axis=1)
+                        best[some] = np.partition(top, top.shape[1] - width, axis=1)[:, -width:]
+                        least = np.maximum(least, best[some].min(axis=1))
+                    q, v = np.nonzero((rough >= least[:, None] - 1e-9 * most) & (rough > -np.inf))
                     out.append((asking[some][q], ids[own][v], _scores(points[some][q], matrix[own][v])))
         query, found, score = (np.concatenate(x) for x in zip(*out))
         order = np.lexsort((-score, found, query))  # an id once, by its best score
