@@ -73,8 +73,9 @@ def _company_free(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, r"[（(].*?[)）]", ""), "株式会社|有限会社|合同会社", "")
 
 
-def _no_white(text: Column) -> Column:
-    return F.regexp_replace(text, f"[{WHITE}]+", "")
+def _no_white(normal: Column) -> Column:
+    """Normalised text without its spaces, which are all the white space that it has."""
+    return F.replace(normal, F.lit(" "), F.lit(""))
 
 
 def normalize_address(address: Column) -> Column:
