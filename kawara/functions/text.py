@@ -142,14 +142,15 @@ def _two(number: Column) -> Column:
     return F.lpad(number.cast("string"), 2, "0")
 
 
-def count_of(text: Column, word: str) -> Column:
-    """How often a word that can't overlap itself occurs."""
-    return ((F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)).cast("int")
+def count_of(text: Column, ws: list[str]) -> Column:
+    """How often words that can't overlap themselves occur, in all. A lambda over the list keeps the generated code short."""
+    one = lambda w: ((F.octet_length(text) - F.octet_length(F.replace(text, w, F.lit("")))) / F.octet_length(w)).cast("int")
+    return F.aggregate(F.array(*[F.lit(w) for w in ws]), F.lit(0), lambda n, w: n + one(w))
 
 
 def best_label(text: Column, lists: dict[str, list[str]]) -> Column:
     """The label whose words occur most often; of equals the earlier one, null if none occurs."""
-    scores = [F.struct(reduce(Column.__add__, [count_of(text, w) for w in ws]).alias("n"), F.lit(-i).alias("order"), F.lit(label).alias("label")) for i, (label, ws) in enumerate(lists.items())]
+    scores = [F.struct(count_of(text, ws).alias("n"), F.lit(-i).alias("order"), F.lit(label).alias("label")) for i, (label, ws) in enumerate(lists.items())]
     best = F.array_max(F.array(*scores))
     return F.when(best["n"] > 0, best["label"])
 
