@@ -20,7 +20,14 @@ KINDS = ("assign", "access", "hex", "private_key", "signed_token")
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----((?:(?!-----).)+)-----END \1PRIVATE KEY-----", re.DOTALL)
+#: White space as escapes of JSON or an env file, once or more often escaped.
+_ESCAPED = re.compile(r"\\+[nrt]")
+_HEADERS = re.compile(r"\s*(?:[A-Za-z0-9-]+:[^\n]*\n(?:[^\S\n]+[^\n]*\n)*)+")
+_ENCRYPTED = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED")
+#: Consecutive lines of base 64, maybe indented.
+_LINES = re.compile(r"(?:(?<![A-Za-z0-9+/_\\-])|(?<=\\n))[A-Za-z0-9+/_-]{16,}(?:(?:[^\S\n\r]*\r?\n[^\S\n\r]*|(?:\\+r)?\\+n)[A-Za-z0-9+/_-]+)+={0,2}")
+_BREAK = re.compile(r"[^\S\n\r]*\r?\n[^\S\n\r]*|(?:\\+r)?\\+n")
 _PACKED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]{16,})")
 _LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
@@ -55,7 +62,7 @@ def _children(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] |
 
 
 def is_private_key(data: bytes) -> bool:
-    """A DER private key (PKCS#1, PKCS#8, SEC 1, or an encrypted PKCS#8) or an OpenSSH one, with lengths that nest exactly."""
+    """A DER private key (PKCS#1, DSA, PKCS#8, SEC 1, or an encrypted PKCS#8) or an OpenSSH one, with lengths that nest exactly."""
     magic = b"openssh-key-v1\0"
     if data.startswith(magic):
         at = len(magic)
@@ -82,6 +89,8 @@ def is_private_key(data: bytes) -> bool:
         version = data[inner[0][1] : inner[0][2]]
         if version in (b"\0", b"\1") and len(tags) >= 9 and set(tags[:9]) == {0x02}:
             return True  # PKCS#1: version and eight numbers
+        if version == b"\0" and tags == [0x02] * 6:
+            return True  # DSA: version and five numbers
         if version in (b"\0", b"\1") and len(tags) >= 3 and tags[1:3] == [0x30, 0x04]:
             kind = _children(data, *inner[1][1:])
             return bool(kind) and kind[0][0] == 0x06  # PKCS#8: version, algorithm, key
@@ -111,6 +120,31 @@ def _json_object(text: str) -> dict | None:
     return got if isinstance(got, dict) else None
 
 
+def _wrapped(lines: re.Match) -> list[tuple[int, int]]:
+    """Spans of private keys that are two or more lines, all of one width but for the last, which is no longer."""
+    at, text = lines.start(), lines[0]
+    cuts = [(0, 0), *(m.span() for m in _BREAK.finditer(text)), (len(text), len(text))]
+    each = [(a, b) for (_, a), (b, _) in zip(cuts, cuts[1:])]
+    out, i, last = [], 0, 0
+    while i < len(each):
+        start, width, ends = each[i][0], each[i][1] - each[i][0], []
+        if width >= 16 and text.startswith(("M", "b3BlbnNzaC1rZXkt"), start):  # a sequence, or OpenSSH's magic
+            last = max(last, i)
+            while last + 1 < len(each) and each[last][1] - each[last][0] == width >= len(text[slice(*each[last + 1])].rstrip("=")):
+                last += 1
+            if text[start] == "b":
+                ends = [last, last - 1]
+            elif (data := _unpacked(text[start : start + 16])) and (top := _element(data, 0, 1 << 40)):
+                ends = [i + -(-(-(-top[2] * 4 // 3)) // width) - 1]  # its length says how many lines
+        for end in ends:
+            if i < end <= last and (data := _unpacked("".join(text[a:b] for a, b in each[i : end + 1]))) and is_private_key(data):
+                out.append((at + start, at + each[end][1]))
+                i = end
+                break
+        i += 1
+    return out
+
+
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start, then kind as listed in KINDS."""
     found = []
@@ -122,9 +156,14 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     pems = []
     if "PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
-            data = _unpacked(re.sub(r"\s+", "", m[2]))
-            if data and is_private_key(data):
+            body = _ESCAPED.sub("\n", m[2])
+            head = _HEADERS.match(body)
+            data = _unpacked(re.sub(r"\s+", "", body[head.end() :] if head else body))
+            if data and (is_private_key(data) or head and _ENCRYPTED.search(head[0])):
                 pems.append(m.span())
+    for m in _LINES.finditer(text):
+        if not any(a <= m.start() < b for a, b in pems):
+            pems += _wrapped(m)
     keys = list(pems)
     for m in _PACKED.finditer(text):
         if not any(a <= m.start() < b for a, b in pems) and (data := _unpacked(m[0])) and is_private_key(data):
@@ -145,8 +184,8 @@ def scan(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with secrets, array<struct<kind, start, end>> in code points of the whole text, end exclusive.
 
     assign, access and hex are patterns alone. private_key and signed_token are reported only after a base-64 or hex
-    candidate, or a PEM body, decodes to a key encoding whose nested lengths fit to the byte, or to a signed-token
-    header that names its algorithm. Spans of different kinds may overlap. A null text is empty and has none; repeated
+    candidate, which may be wrapped in lines, or a PEM body decodes to a key encoding whose nested lengths fit to the byte, or to a signed-token
+    header that names its algorithm; a PEM body with headers that call it encrypted needs only decode. Spans of different kinds may overlap. A null text is empty and has none; repeated
     rows stay; a column named secrets is replaced.
     """
     docs = docs.drop("secrets")

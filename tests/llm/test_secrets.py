@@ -1,0 +1,47 @@
+"""Private keys that aren't one unbroken run or a plain PEM body."""
+
+import base64
+import textwrap
+
+import pytest
+from test_text_operators import der
+
+from kawara.llm import secrets
+
+PKCS8 = der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2b\x65\x70")), der(4, bytes(range(200))))
+DSA = der(0x30, der(2, b"\0"), *[der(2, bytes([1]) * n) for n in (128, 20, 128, 128, 20)])
+
+
+def wrapped(data, width=64, by="\n"):
+    return by.join(textwrap.wrap(base64.b64encode(data).decode(), width))
+
+
+def keys(text):
+    return [x[1:] for x in secrets.find_secrets(text) if x[0] == "private_key"]
+
+
+@pytest.mark.parametrize("by", ["\\n", "\\r\\n", "\\\\n", "\r\n"])
+def test_escaped_line_ends(by):
+    pem = f"-----BEGIN PRIVATE KEY-----{by}{wrapped(PKCS8, by=by)}{by}-----END PRIVATE KEY-----"
+    assert keys(f'{{"k": "{pem}{by}"}}') == [(7, 7 + len(pem))]
+
+
+@pytest.mark.parametrize("by", ["\n", "\\n"])
+def test_headers(by):
+    pem = f"-----BEGIN RSA PRIVATE KEY-----{by}Proc-Type: 4,ENCRYPTED{by}DEK-Info: AES-128-CBC,00FF{by}{by}{wrapped(bytes(range(96)), by=by)}{by}-----END RSA PRIVATE KEY-----"
+    assert keys(f"x {pem} y") == [(2, 2 + len(pem))]
+    assert keys(pem.replace("Proc-Type: 4,ENCRYPTED", "Comment: none")) == []
+
+
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize("by", ["\n", "\r\n", "\n  ", "\\n"])
+def test_wrapped_without_armour(width, by):
+    lines = wrapped(PKCS8, width, by)
+    for before, after in (("", ""), ("key:\n", "\nend"), ("x" * width + "\n", "\n\nMore")):
+        assert keys(before + lines + after) == [(len(before), len(before) + len(lines))]
+    assert keys(wrapped(PKCS8[:-1], width, by)) == [] == keys(wrapped(b"0" * 10_000))
+
+
+def test_dsa():
+    assert secrets.is_private_key(DSA) and not secrets.is_private_key(DSA + b"\0")
+    assert not secrets.is_private_key(der(0x30, der(2, b"\0"), *[der(2, b"\1")] * 4))
