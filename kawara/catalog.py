@@ -473,12 +473,15 @@ def known_url_skip(spark, d):
 
 @query("SELECT page_id % 10 AS source_id, page_id // 10 AS ordinal, 'T&' || page_id AS title, url || '#a=1&b=2' AS link, false AS broken FROM pages UNION ALL SELECT -1, NULL, NULL, NULL, true")
 def feed_items(spark, d):
-    """The pages' addresses written as feeds whose ampersands are bare, and read again; one feed is no XML."""
+    """The pages' addresses written as feeds whose ampersands are bare, and read again; one feed is no XML.
+
+    A source's pages are written in parts of up to 100, so that no feed grows with the table.
+    """
     one = F.format_string("<item><title>T&amp;%d</title><link>%s#a=1&b=2</link></item>", "page_id", "url")
-    rows = _read(spark, d, "pages").groupBy((F.col("page_id") % 10).alias("source_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", one.alias("item")))), lambda x: x["item"]), "").alias("items"))
+    rows = _read(spark, d, "pages").groupBy((F.col("page_id") % 10 + F.expr("page_id div 1000") * 10).alias("source_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", one.alias("item")))), lambda x: x["item"]), "").alias("items"))
     written = rows.select("source_id", F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>")).alias("xml"))
     out = feeds.feed_items(written.union(spark.createDataFrame([(-1, "<rss>")], "source_id long, xml string")))
-    return out.select("source_id", F.col("ordinal").cast("long").alias("ordinal"), "title", "link", "broken")
+    return out.select((F.col("source_id") % 10).alias("source_id"), (F.col("ordinal") + F.expr("source_id div 10") * 100).cast("long").alias("ordinal"), "title", "link", "broken")
 
 
 @query("""SELECT CASE WHEN n_nationkey % 2 = 0 THEN '号外NET ' || n_name ELSE n_name || '経済新聞' END AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'https://' || lower(n_name) || '.goguynet.jp/' ELSE 'https://' || lower(n_name) || '.keizai.biz/' END AS url,
