@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import base64
-import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, fields, free, pack_ints, total_bytes, unpack_ints, with_columns
+from .common import boxed, fields, free, pack_ints, partitions, to_arrow, unboxed, unpack_ints
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -27,17 +27,6 @@ def word_encoding(path: str):
     return tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=read_ranks(path), special_tokens={})
 
 
-class _Ids(dict):
-    """The ids of a pre-token, made when first asked for."""
-
-    def __init__(self, encoding):
-        self.encoding = encoding
-
-    def __missing__(self, word: bytes) -> np.ndarray:
-        self[word] = out = np.array(self.encoding.encode_ordinary(word.decode()), "<u4")
-        return out
-
-
 class _Places(dict):
     """The number of a pre-token in order of first occurrence."""
 
@@ -46,119 +35,106 @@ class _Places(dict):
         return n
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "text", block_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+def _packed(found: list[tuple[np.ndarray, np.ndarray, list[bytes]]]) -> pa.RecordBatch:
+    """(block, ats, lengths, ids) a block, of rows of blocks, places and ids."""
+    block, at = (np.concatenate(x) for x in list(zip(*found))[:2])
+    ids = pa.array([x for _, _, own in found for x in own], pa.binary())
+    order = np.lexsort((at, block))
+    block, at, ids = block[order], at[order], ids.take(pa.array(order))
+    lengths = np.asarray(pc.binary_length(ids)) // 4
+    flat = np.frombuffer(b"".join(ids.to_pylist()), "<u4")
+    ends = np.cumsum(lengths)
+    cuts = np.flatnonzero(np.diff(block, prepend=block[0] - 1, append=block[-1] + 1))
+    pick = lambda make: pa.array([make(a, b) for a, b in zip(cuts, cuts[1:])], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), pick(lambda a, b: pack_ints(at[a:b])), pick(lambda a, b: pack_ints(lengths[a:b])), pick(lambda a, b: pack_ints(flat[ends[a] - lengths[a] : ends[b - 1]]))], ["block", "ats", "lengths", "ids"])
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "text", block_bytes: int = 4 << 20, partition_bytes: int = 32 << 20) -> DataFrame:
     """``docs`` with token_ids (binary: little-endian unsigned 32-bit ids) in place of the text column.
 
-    1. A task splits the texts by ``pattern`` and, for every block of about ``block_bytes``, keeps each text as places
-       in the block's list of distinct pre-tokens (pre-aggregation: a frequent word leaves a block once).
-    2. The distinct pre-tokens of all blocks are dealt by their hash into buckets; a bucket encodes each one once.
-    3. The ids go back to their blocks, where every text is put together again by position.
+    1. Texts are split by ``pattern`` and written in blocks of about ``block_bytes``, each text as places in the
+       block's list of distinct pre-tokens, and beside them that list, a row a pre-token with its place (a frequent
+       word leaves a block once).
+    2. The pre-tokens of all blocks are dealt and sorted by Spark; a partition encodes each distinct one once and
+       sends the ids to the blocks that have it. Sorting spills and a run of equal pre-tokens is read as a stream.
+    3. A block puts every text together again by position.
 
-    The first two steps' rows share one exchange. Buckets grow in number with the corpus, so none holds more than about
-    ``bucket_bytes`` of text accounts for. A null or empty text has no ids; repeated rows stay; a column named
-    token_ids is replaced.
+    Rows are in proportion to the texts, and there is a partition for about ``partition_bytes`` of text. A null or
+    empty text has no ids; repeated rows stay; a column named token_ids is replaced.
     """
     docs = docs.drop("token_ids")
-    buckets = max(8, -(-total_bytes(docs, text_col) // bucket_bytes))
-    key, kind, part, blob = free(docs, "key", "kind", "part", "blob")
-    mine = [T.StructField(key, T.LongType()), T.StructField(kind, T.IntegerType()), T.StructField(part, T.LongType()), T.StructField(blob, T.BinaryType())]
-    own = fields(docs, (text_col,))
-    dealt = T.StructType([*own, *mine])
-    sent = T.StructType([mine[0], mine[2], mine[3]])
-
-    def split(batches):
+    own, (count,) = fields(docs, (text_col,)), free(docs, "count")
+    after = T.StructType([*own, T.StructField("token_ids", T.BinaryType())])
+    find = []  # made once a task
+
+    def split(table: pa.Table, number: int) -> tuple[pa.Table, pa.Table]:
         import regex
-        import zstandard
-
-        find = regex.compile(pattern).findall
-        for number, table in blocks(batches, text_col, block_bytes):
-            places = _Places()
-            each = [np.fromiter(map(places.__getitem__, found), np.uint32, len(found)) for found in (find(t or "") for t in table[text_col].to_pylist())]
-            flat = np.concatenate(each)
-            order = np.argsort(-np.bincount(flat, minlength=len(places)), kind="stable")  # frequent first: small numbers
-            rank = np.empty(len(order), np.uint32)
-            rank[order] = np.arange(len(order), dtype=np.uint32)
-            listed = list(places)
-            listed = [listed[i].encode() for i in order]
-            bucket = np.fromiter(map(zlib.crc32, listed), np.uint32, len(listed)) % buckets
-            rest = table.drop_columns([text_col])
-            n = table.num_rows
-            schema = pa.schema([*rest.schema, pa.field(key, pa.int64()), pa.field(kind, pa.int32()), pa.field(part, pa.int64()), pa.field(blob, pa.binary())])
-            rows = rest.append_column(key, pa.array(np.full(n, number))).append_column(kind, pa.array(np.zeros(n, np.int32))).append_column(part, pa.nulls(n, pa.int64())).append_column(blob, pa.array([pack_ints(rank[x]) for x in each], pa.binary()))
-            yield from rows.cast(schema).to_batches()
-            by = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1, append=-1).astype(bool)) if len(by) else np.zeros(1, int)
-            keys, parts, blobs, kinds = [number], [None], [pack_ints(bucket)], [1]
-            for a, b in zip(cuts, cuts[1:]):
-                found = [listed[i] for i in by[a:b]]
-                lengths = pack_ints(np.fromiter(map(len, found), np.uint32, len(found)))
-                keys.append(-1 - int(bucket[by[a]]))
-                parts.append(number)
-                blobs.append(len(lengths).to_bytes(4, "little") + lengths + zstandard.ZstdCompressor(level=3).compress(b"".join(found)))
-                kinds.append(2)
-            yield from with_columns(pa.table({key: pa.array(keys, pa.int64()), kind: pa.array(kinds, pa.int32()), part: pa.array(parts, pa.int64()), blob: pa.array(blobs, pa.binary())}), schema).to_batches()
-
-    encoding = []  # made once a task
-
-    def encode_bucket(table: pa.Table) -> pa.Table:
-        import zstandard
-
-        keys, parts, blobs = [], [], []
-        if table[kind][0].as_py() == 2:
-            if not encoding:
-                encoding.append(word_encoding(ranks_path))
-            ids = _Ids(encoding[0])
-            for k, block, b in zip(table[key].to_pylist(), table[part].to_pylist(), table[blob], strict=True):
-                b = b.as_py()
-                n = 4 + int.from_bytes(b[:4], "little")
-                ends = np.cumsum(unpack_ints(b[4:n]), dtype=np.int64).tolist()
-                flat = zstandard.ZstdDecompressor().decompress(b[n:])
-                got = [ids[flat[a:e]] for a, e in zip([0, *ends], ends)]
-                lengths = pack_ints(np.fromiter(map(len, got), np.uint32, len(got)))
-                keys.append(block)
-                parts.append(-1 - k)
-                blobs.append(len(lengths).to_bytes(4, "little") + lengths + pack_ints(np.concatenate(got)))
-        return pa.table({key: pa.array(keys, pa.int64()), part: pa.array(parts, pa.int64()), blob: pa.array(blobs, pa.binary())})
+
+        if not find:
+            find.append(regex.compile(pattern).findall)
+        places = _Places()
+        each = [np.fromiter(map(places.__getitem__, found), np.uint32, len(found)) for found in (find[0](t or "") for t in table[text_col].to_pylist())]
+        flat = np.concatenate(each)
+        order = np.argsort(-np.bincount(flat, minlength=len(places)), kind="stable")  # frequent first: small numbers
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        listed = pa.array(list(places), pa.string()).take(pa.array(order))
+        rest = table.drop_columns([text_col]).append_column(count, pa.array(list(map(len, each)), pa.int64())).replace_schema_metadata({"places": base64.b64encode(pack_ints(rank[flat]))})
+        return rest, pa.table({"word": listed, "at": pa.array(np.arange(len(order), dtype=np.int32))})
+
+    def encode_words(batches):
+        encoding, found, n, last, ids = word_encoding(ranks_path), [], 0, None, b""
+        for batch in batches:
+            coded = batch.column("word").dictionary_encode()
+            each = []
+            for word in coded.dictionary.to_pylist():
+                if word != last:  # equal words stand together
+                    last, ids = word, np.array(encoding.encode_ordinary(word), "<u4").tobytes()
+                each.append(ids)
+            found.append((batch.column("block").to_numpy(), batch.column("at").to_numpy(), pa.array(each, pa.binary()).take(coded.indices).to_pylist()))
+            n += batch.num_rows
+            if n > 1 << 18:
+                yield _packed(found)
+                found, n = [], 0
+        if n:
+            yield _packed(found)
 
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
-        docs_part = left.filter(pc.equal(left[kind], 0))
-        out = docs_part.drop_columns([key, kind, part, blob])
-        if not docs_part.num_rows:
-            return out.append_column("token_ids", pa.array([], pa.binary()))
-        bucket = unpack_ints(left.filter(pc.equal(left[kind], 1))[blob][0].as_py())
-        by = np.argsort(bucket, kind="stable")
-        starts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        size, offset, ids, at = np.zeros(len(bucket), np.int64), np.zeros(len(bucket), np.int64), [], 0
-        for p, b in zip(right[part].to_pylist(), right[blob]):
-            b = b.as_py()
-            n = 4 + int.from_bytes(b[:4], "little")
-            lengths = unpack_ints(b[4:n]).astype(np.int64)
-            here = by[starts[p] : starts[p + 1]]
-            size[here] = lengths
-            offset[here] = at + np.cumsum(lengths) - lengths
-            ids.append(unpack_ints(b[n:]))
-            at += len(ids[-1])
-        if not (size > 0).all():
-            raise ValueError("pre-tokens came back without ids")
-        ids = np.concatenate(ids) if ids else np.zeros(0, "<u4")
-        texts = []
-        for b in docs_part[blob]:
-            places = unpack_ints(b.as_py())
+        out = []
+        for rows in left["rows"]:
+            table = unboxed(rows)
+            places, counts = unpack_ints(base64.b64decode(table.schema.metadata[b"places"])), table[count].to_numpy()
+            size = np.zeros(int(places.max()) + 1 if len(places) else 0, np.int64)
+            offset, ids, at = np.zeros_like(size), [np.zeros(0, "<u4")], 0
+            for a, n, b in zip(right["ats"].to_pylist(), right["lengths"].to_pylist(), right["ids"].to_pylist()):
+                here, lengths = unpack_ints(a), unpack_ints(n).astype(np.int64)
+                size[here] = lengths
+                offset[here] = at + np.cumsum(lengths) - lengths
+                ids.append(unpack_ints(b))
+                at += len(ids[-1])
+            if not (size > 0).all():
+                raise ValueError("pre-tokens came back without ids")
             lengths = size[places]
             ends = np.cumsum(lengths)
-            texts.append(ids[np.repeat(offset[places] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)].tobytes())
-        return out.append_column("token_ids", pa.array(texts, pa.binary()))
+            flat = np.concatenate(ids)[np.repeat(offset[places] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+            cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+            texts = [flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+            out.append(table.drop_columns([count]).replace_schema_metadata(None).append_column("token_ids", pa.array(texts, pa.binary())))
+        return pa.concat_tables(out) if out else to_arrow(after).empty_table()
 
-    pieces = docs.mapInArrow(split, dealt)
-    coded = pieces.groupBy(key).applyInArrow(encode_bucket, sent)
-    return pieces.groupBy(key).cogroup(coded.groupBy(key)).applyInArrow(put_together, T.StructType([*own, T.StructField("token_ids", T.BinaryType())]))
+    boxes = boxed(docs, text_col, block_bytes, split, "word string, at int")
+    size = boxes.agg(F.sum("size")).first()[0] or 0
+    words = boxes.where("word IS NOT NULL").select("word", "block", "at").repartition(partitions(docs, size, partition_bytes), "word").sortWithinPartitions("word")
+    coded = words.mapInArrow(encode_words, "block long, ats binary, lengths binary, ids binary")
+    return boxes.where("rows IS NOT NULL").select("block", "rows").groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(put_together, after)
 
 
 def decode(encoded: DataFrame, ranks_path: str, *, ids_col: str = "token_ids") -> DataFrame:
     """``encoded`` with decoded (binary): the bytes of its ids, by a join to the token-byte table.
 
     The table has a row for each id of the vocabulary, whatever the corpus, so every task holds it (a broadcast join),
-    and the ids of a batch are looked up at once. Null ids have null bytes, no ids have none, an id that the table
+    and the ids of a batch are looked up at once: a join of Spark's would need a row for each token and a shuffle to
+    put the texts together again. Null ids have null bytes, no ids have none, an id that the table
     lacks is an error; a column named decoded is replaced.
     """
     encoded = encoded.drop("decoded")

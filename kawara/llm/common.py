@@ -11,10 +11,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema as to_arrow
 
 from kawara.operators.durable import durable, shared_folder
 
-__all__ = ["blocks", "components", "durable", "fields", "free", "pack_ints", "shared_folder", "total_bytes", "unpack_ints", "utf8", "with_columns", "words"]
+__all__ = ["blocks", "boxed", "components", "durable", "fields", "free", "pack_ints", "pack_longs", "partitions", "shared_folder", "to_arrow", "unboxed", "unpack_ints", "unpack_longs", "utf8", "words"]
 
 
 def free(df: DataFrame, *names: str) -> list[str]:
@@ -34,11 +35,6 @@ def fields(df: DataFrame, drop: tuple[str, ...] = ()) -> list[T.StructField]:
     return [T.StructField(f.name, f.dataType, True) for f in df.schema.fields if f.name not in drop]
 
 
-def total_bytes(df: DataFrame, text: str) -> int:
-    """UTF-8 bytes of a text column, over all rows."""
-    return df.agg(F.sum(F.octet_length(F.col(f"`{text}`"))).cast("long")).first()[0] or 0
-
-
 def white_to_space(col):
     return F.translate(col, "\t\n\x0b\x0c\r", "     ")
 
@@ -81,6 +77,42 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, block_bytes: int) -> It
         yield number, pa.Table.from_batches(held)
 
 
+def boxed(docs: DataFrame, text: str, block_bytes: int, build=None, extra: str = "") -> DataFrame:
+    """``docs`` in blocks of about ``block_bytes`` of text, written: (block long, size long, rows binary) a block.
+
+    ``rows`` is the block's table, to be read by ``unboxed``. The numbers of blocks follow partitions and arrival, so
+    the result is written at once: a task that runs again never deals rows into other blocks than its readers know.
+    ``build(table, number)`` may give a block other contents: (table to keep, rows of the columns ``extra``), the
+    latter written beside with null ``rows``.
+    """
+    schema = T.StructType.fromDDL(f"block long, size long, rows binary{', ' + extra if extra else ''}")
+
+    def box(batches):
+        names = schema.names
+        for number, table in blocks(batches, text, block_bytes):
+            size = pc.sum(pc.binary_length(table[text])).as_py() or 0
+            table, more = build(table, number) if build else (table, None)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table, max_chunksize=1 << 20)
+            arrow = pa.schema([pa.field("block", pa.int64()), pa.field("size", pa.int64()), pa.field("rows", pa.binary()), *(more.schema if more is not None else [])])
+            yield from with_columns(pa.table({"block": pa.array([number]), "size": pa.array([size]), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())}), arrow).to_batches()
+            if more is not None:
+                yield from with_columns(more.append_column("block", pa.array(np.full(more.num_rows, number))), arrow).select(names).to_batches(max_chunksize=10_000)
+
+    return durable(docs.mapInArrow(box, schema))
+
+
+def unboxed(rows: pa.Scalar | bytes) -> pa.Table:
+    with pa.ipc.open_stream(rows.as_buffer() if isinstance(rows, pa.Scalar) else rows) as stream:
+        return stream.read_all()
+
+
+def partitions(df: DataFrame, size: int, each: int) -> int:
+    """How many partitions take ``size`` bytes, about ``each`` in one; the session's number at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
 def with_columns(table: pa.Table, schema: pa.Schema) -> pa.Table:
     """``table`` in the order of ``schema``; columns that it lacks are null."""
     return pa.table([table[f.name] if f.name in table.schema.names else pa.nulls(table.num_rows, f.type) for f in schema], schema=schema)
@@ -99,6 +131,19 @@ def unpack_ints(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
 
+def pack_longs(a: np.ndarray) -> bytes:
+    """Unsigned integers as eight planes of bytes, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a, "<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack_longs(b: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the edges (a long, b long): (node, component), component the smallest node reachable.
 
@@ -116,7 +161,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
-        edges = durable(large.join(small, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a != b").distinct())
+        edges = durable(large.join(small, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a != b").distinct(), replaces=edges)
         now = mark(edges)
         if now == seen:
             break

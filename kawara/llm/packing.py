@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +21,12 @@ from .common import blocks, durable, fields, free
 #: Most words that a task keeps the ids of.
 KNOWN_WORDS = 1_000_000
 
-#: Letters with marks after them, which are pre-tokens of their own: ASCII punctuation without the apostrophe.
-_MARKED = r"^(\p{L}+)([!-&(-/:-@\[-`{-~]+)$"
+#: What tokens end with that end a word.
+MARK = "</w>"
+
+#: Letters with marks after them, which are pre-tokens of their own: ASCII punctuation without the apostrophe. The last
+#: letter is one that normalising leaves a letter, unlike the dotted capital i.
+_MARKED = r"^(\p{L}*[A-Za-zÀ-ÖØ-öø-įı-ʯΆ-ϿЀ-ҁҊ-ӿぁ-ゖァ-ヺ一-鿿])([!-&(-/:-@\[-`{-~]+)$"
 
 
 def _gather(flat: np.ndarray, cuts: np.ndarray, places: pa.Array, offsets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -31,26 +38,43 @@ def _gather(flat: np.ndarray, cuts: np.ndarray, places: pa.Array, offsets: pa.Ar
     return out, np.concatenate([[0], ends])[offsets - offsets[0]]
 
 
+#: What WordEncoder needs of a tokenizer file (fixed values): how its texts are normalised and cut into pre-tokens.
+_NORMALISED = ["NFC", {"Regex": r"\s+"}, "Lowercase"]
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _by_words(spec: dict) -> bool:
+    """Whether the ids of a text are those of its words, as WordEncoder takes them."""
+    steps = [x.get("pattern") or x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    cuts = [x for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"]
+    plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) and t["content"].isascii() and " " not in t["content"] for t in spec["added_tokens"])
+    return steps == _NORMALISED and [x["pattern"] for x in cuts] == [{"Regex": _CUT}] and spec["model"].get("end_of_word_suffix") == MARK and plain
+
+
 class WordEncoder:
-    """Token ids of whole texts; each distinct word is encoded once.
+    """Token ids of whole texts, as the tokenizer gives them without special tokens around; each distinct word is encoded once.
 
     For vocabularies whose pre-tokens never reach over white space or from letters into other characters, whose
     normaliser looks at no neighbour across white space and whose words end in a marked token, as those with word
     ends. Then the ids of a text are those of its words in order, those of letters with marks after them are the
     letters' and the marks', and words of letters alone can be encoded many at once, for each ends with its first
-    marked token.
+    marked token. Strings of added tokens stand inside words and become their ids there, as in whole texts. A
+    tokenizer of another make encodes whole texts.
     """
 
-    def __init__(self, path: str, mark: str = "</w>"):
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given this task its core
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.by_words = _by_words(spec)
+        self.added = "|".join(re.escape(t["content"].lower()) for t in spec["added_tokens"]) or r"[^\s\S]"
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(mark)]] = True
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(MARK)]] = True
         self.known: dict[str, bytes] = {"": b""}
 
     def _one_by_one(self, words: list[str]) -> None:
@@ -74,11 +98,15 @@ class WordEncoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in order, and where each text's begin and the last one's end; null is empty."""
+        if not self.by_words:
+            each = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(each), "<u4"), np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int64)])
         words = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         coded = words.flatten().dictionary_encode()
         parts = pc.split_pattern(pc.replace_substring_regex(coded.dictionary, _MARKED, r"\1 \2"), " ")
         single = parts.flatten()
-        single = pc.if_else(pc.string_is_ascii(single), pc.ascii_lower(single), single).dictionary_encode()
+        low = pc.ascii_lower(single)  # but for what would become an added token's string
+        single = pc.if_else(pc.and_not(pc.string_is_ascii(single), pc.match_substring_regex(low, self.added)), low, single).dictionary_encode()
         distinct = single.dictionary.to_pylist()
         if len(self.known) > KNOWN_WORDS:
             self.known = {"": b""}

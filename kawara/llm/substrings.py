@@ -6,12 +6,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, fields, free, total_bytes, utf8, with_columns
+from .common import boxed, fields, pack_ints, pack_longs, partitions, to_arrow, unboxed, unpack_ints, unpack_longs, utf8
 
-#: Base of the rolling hash, an odd number, modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
+#: Bases of the rolling hashes, odd numbers, modulo 2**64.
+BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
 class _Hashes(dict):
@@ -26,7 +27,7 @@ class _Hashes(dict):
         return out
 
 
-def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+def window_hashes(words: np.ndarray, width: int, base: int = BASE) -> np.ndarray:
     """Rabin-Karp hashes, modulo 2**64, of all windows of ``width`` word hashes: h(i+1) = h(i) * B - w(i) * B**width + w(i+width).
 
     The recurrence is unrolled by doubling: a window of 2k words is one of k words times B**k plus the next k words.
@@ -35,7 +36,7 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        total, done, have, block, base, rest = np.zeros(n, np.uint64), 0, words, 1, BASE, width
+        total, done, have, block, base, rest = np.zeros(n, np.uint64), 0, words, 1, base, width
         while rest:
             if rest & 1:
                 total = total * np.uint64(base) + have[done : done + n]
@@ -55,99 +56,170 @@ def _mixed(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(33))
 
 
-def _block_hashes(texts: list[bytes], width: int, hashes: _Hashes) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """The words of each text, the hash of every window of every text in order, and how many windows each text has."""
+def _block_hashes(texts: list[bytes], width: int, hashes: _Hashes, hash_bits: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
+    """The words of each text, two hashes (64 and 32 bits) of every window of every text in order, and how many windows each text has."""
     split = [t.split() for t in texts]  # bytes split at exactly the six ASCII white characters
     counts = np.fromiter(map(len, split), np.int64, len(split))
-    each = [_mixed(window_hashes(np.fromiter(map(hashes.__getitem__, ws), np.uint64, len(ws)), width)) for ws in split]
-    return split, np.concatenate(each) if each else np.zeros(0, np.uint64), np.maximum(counts - width + 1, 0)
+    first, second = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+    for ws in split:
+        if len(ws) >= width:
+            own = np.fromiter(map(hashes.__getitem__, ws), np.uint64, len(ws))
+            first.append(_mixed(window_hashes(own, width)))
+            second.append((_mixed(window_hashes(own, width, SECOND_BASE)) >> np.uint64(32)).astype(np.uint32))
+    keep = np.uint64((2**64 - 1) ^ (2 ** (64 - hash_bits) - 1))
+    return split, np.concatenate(first) & keep, np.concatenate(second), np.maximum(counts - width + 1, 0)
+
+
+def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the distinct pairs of hashes stand first, in order of the hashes; each window's pair; how often each pair occurs."""
+    order = np.argsort(first, kind="stable")
+    if len(order) and ((first[order][1:] == first[order][:-1]) & (second[order][1:] != second[order][:-1])).any():
+        order = np.lexsort((second, first))
+    new = np.ones(len(order), bool)
+    new[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[new], of, np.diff(np.append(np.flatnonzero(new), len(order)))
+
+
+def _twice(batches, slack: int = 1 << 20):
+    """Of (first, second, block, at), sorted by the hashes, the places of those that stand twice: (block, ats packed)."""
+
+    def packed(found):
+        block, at = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((at, block))
+        block, at = block[order], at[order]
+        cuts = np.flatnonzero(np.diff(block, prepend=block[0] - 1, append=block[-1] + 1))
+        blobs = [pack_ints(at[a:b]) for a, b in zip(cuts, cuts[1:])]
+        yield from pa.table({"block": block[cuts[:-1]], "ats": pa.array(blobs, pa.binary())}).to_batches(max_chunksize=10_000)
+
+    carried, carried_hit, found, n = None, False, [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy() for c in batch.columns]
+        if carried is not None:
+            columns = [np.concatenate([x, y]) for x, y in zip(carried, columns)]
+        same = (columns[0][1:] == columns[0][:-1]) & (columns[1][1:] == columns[1][:-1])
+        hit = np.zeros(len(columns[0]), bool)
+        hit[1:] |= same
+        hit[:-1] |= same
+        hit[0] |= carried_hit
+        carried, carried_hit = [x[-1:] for x in columns], bool(hit[-1])  # what follows may equal it
+        hit[-1] = False
+        found.append((columns[2][hit], columns[3][hit]))
+        n += len(found[-1][0])
+        if n > slack:
+            yield from packed(found)
+            found, n = [], 0
+    if carried_hit:
+        found.append((carried[2], carried[3]))
+    if sum(len(x) for x, _ in found):
+        yield from packed(found)
+
+
+def sent_windows(boxes: DataFrame, text_col: str, width: int, ranges: int, hash_bits: int = 64) -> DataFrame:
+    """What blocks send: a row for each range that they have windows in, (range, block, start, first, second)."""
+
+    def send(batches):
+        hashes = _Hashes()
+        edges = (np.arange(1, ranges, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges)
+        for batch in batches:
+            for number, rows in zip(batch.column("block").to_pylist(), batch.column("rows")):
+                _, first, second, _ = _block_hashes(utf8(unboxed(rows)[text_col]), width, hashes, hash_bits)
+                places = _distinct(first, second)[0]
+                first, second = first[places], second[places]
+                cuts = np.concatenate([[0], np.searchsorted(first >> np.uint64(32), edges), [len(first)]])
+                used = np.flatnonzero(np.diff(cuts))
+                blobs = [pack_longs(np.diff(first[a:b], prepend=np.uint64(0))) for a, b in zip(cuts[used], cuts[used + 1])]
+                checks = [second[a:b].tobytes() for a, b in zip(cuts[used], cuts[used + 1])]
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.full(len(used), number)), pa.array(cuts[used]), pa.array(blobs, pa.binary()), pa.array(checks, pa.binary())], ["range", "block", "start", "first", "second"])
+
+    return boxes.select("block", "rows").mapInArrow(send, "range long, block long, start long, first binary, second binary")
+
+
+def n_ranges(size: int, blocks: int, parts: int, row_hashes: int) -> int:
+    """How many ranges: some for each partition, but so few that a block's rows hold ``row_hashes`` pairs or more on average."""
+    return max(1, min(4 * parts, size // max(1, blocks) // 8 // row_hashes))  # a word has about 8 bytes or more
 
 
-def remove_repeats(docs: DataFrame, *, text_col: str = "text", width: int = 35, block_bytes: int = 4 << 20, bucket_bytes: int = 12 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, text_col: str = "text", width: int = 35, block_bytes: int = 4 << 20, partition_bytes: int = 16 << 20, row_hashes: int = 16, hash_bits: int = 64) -> DataFrame:
     """``docs`` with kept_text, n_words, n_removed and removed, array<struct<start, end>>: maximal intervals of words.
 
     A window is ``width`` consecutive words of one text, as they stand. A word goes if it lies in a window whose words
     also start at another place, in this text or another; all windows are judged on the texts as given.
 
-    1. A task takes the Rabin-Karp hash of every window of its texts. A block of about ``block_bytes`` sends each
-       distinct hash once, to the bucket of its high bits, and knows itself which ones it holds twice.
-    2. A bucket counts the blocks that hold each hash, and answers with one bit a hash: held by another block or not.
-    3. The bits meet the block's texts again; windows found twice merge into intervals.
-
-    Buckets grow in number with the corpus; a passage copied a million times is one hash a block, not a million rows.
-    The words of windows aren't compared after their 64-bit hashes: n windows have a false repeat with probability
-    n*n/2**65 (one in 2,000 for 1e8 windows). A null text has no words and its kept_text is null; an empty one stays
-    empty; kept words are joined by one space. Repeated rows count as texts of their own; columns named like the
-    results are replaced.
+    1. Texts are written in blocks of about ``block_bytes``. A block takes two independent Rabin-Karp hashes of every
+       window, knows itself which pairs it holds twice, and sends each distinct pair once.
+    2. Pairs travel packed, a row for each range of the first hash, and are spread, sorted and counted by Spark: a
+       partition reads them in order and sends back the places of those that stand twice. Sorting spills, so no
+       range has to fit in memory.
+    3. The places meet the blocks again; windows found twice merge into intervals.
+
+    Ranges grow with the corpus, a partition for about ``partition_bytes`` of text, until a row holds only about
+    ``row_hashes`` pairs; so rows stay in proportion to the texts, and a passage copied a million times is one pair a
+    block. Windows count as equal if both hashes, 64 and 32 bits, are: n windows have about n*n/2**97 false pairs, one
+    in 1,600 for 1e13. ``hash_bits`` keeps only so many bits of the first. A null text has no words and its kept_text
+    is null; an empty one stays empty; kept words are joined by one space. Repeated rows count as texts of their own;
+    columns named like the results are replaced.
     """
     results = ("kept_text", "n_words", "n_removed", "removed")
     docs = docs.drop(*[c for c in results if c != text_col])
-    buckets = max(8, -(-total_bytes(docs, text_col) // bucket_bytes))
-    key, part, blob = free(docs, "key", "part", "blob")
-    mine = [T.StructField(key, T.LongType()), T.StructField(part, T.LongType()), T.StructField(blob, T.BinaryType())]
     own = fields(docs)
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     after = T.StructType([*own, T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", spans)])
-
-    def bucket_cuts(distinct: np.ndarray) -> np.ndarray:
-        """Where the buckets begin in sorted hashes: equal ranges of the high 32 bits."""
-        edges = (np.arange(1, buckets, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets)
-        return np.concatenate([[0], np.searchsorted(distinct >> np.uint64(32), edges), [len(distinct)]])
-
-    def send(batches):
-        hashes = _Hashes()
-        for number, table in blocks(batches, text_col, block_bytes):
-            schema = pa.schema([*table.schema, pa.field(key, pa.int64()), pa.field(part, pa.int64()), pa.field(blob, pa.binary())])
-            yield from with_columns(table.append_column(key, pa.array(np.full(table.num_rows, number))), schema).to_batches(max_chunksize=2000)
-            distinct = np.unique(_block_hashes(utf8(table[text_col]), width, hashes)[1])
-            cuts = bucket_cuts(distinct)
-            used = np.flatnonzero(np.diff(cuts))
-            yield from with_columns(pa.table({key: pa.array(-1 - used), part: pa.array(np.full(len(used), number)), blob: pa.array([distinct[cuts[k] : cuts[k + 1]].tobytes() for k in used], pa.binary())}), schema).to_batches()
-
-    def count(table: pa.Table) -> pa.Table:
-        if table[key][0].as_py() >= 0:
-            return pa.table({key: pa.array([], pa.int64()), part: pa.array([], pa.int64()), blob: pa.array([], pa.binary())})
-        each = [np.frombuffer(b.as_py(), np.uint64) for b in table[blob]]
-        flat = np.sort(np.concatenate(each))
-        repeated = np.unique(flat[1:][flat[1:] == flat[:-1]])
-        del flat
-        bits = []
-        for own_hashes in each:
-            at = np.minimum(np.searchsorted(repeated, own_hashes), max(0, len(repeated) - 1))
-            bits.append(np.packbits(repeated[at] == own_hashes if len(repeated) else np.zeros(len(own_hashes), bool)).tobytes())
-        return pa.table({key: table[part], part: pa.array([-1 - k for k in table[key].to_pylist()], pa.int64()), blob: pa.array(bits, pa.binary())})
+    boxes = boxed(docs, text_col, block_bytes)
+    size, n_blocks = boxes.agg(F.sum("size"), F.count("*")).first()
+    parts = partitions(docs, size or 0, partition_bytes)
+    ranges = n_ranges(size or 0, n_blocks, parts, row_hashes)
+
+    def spread(batches):
+        for batch in batches:
+            held, n = [], 0
+            for block, start, a, b in zip(batch.column("block").to_pylist(), batch.column("start").to_pylist(), batch.column("first"), batch.column("second")):
+                first, second = np.cumsum(unpack_longs(a.as_py()), dtype=np.uint64).view(np.int64), np.frombuffer(b.as_py(), np.int32)
+                held.append((first, second, np.full(len(first), block), np.arange(start, start + len(first), dtype=np.int32)))
+                n += len(first)
+                if n > 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["first", "second", "block", "at"])
+                    held, n = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["first", "second", "block", "at"])
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([*[f for f in left.schema if f.name not in (key, part, blob)], pa.field("kept_text", pa.string()), pa.field("n_words", pa.int64()), pa.field("n_removed", pa.int64()), pa.field("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
-        if left[key][0].as_py() < 0 if left.num_rows else True:
-            return schema.empty_table()
-        left = left.drop_columns([key, part, blob])
-        split, flat, counts = _block_hashes(utf8(left[text_col]), width, _Hashes())
-        distinct, inverse, times = np.unique(flat, return_inverse=True, return_counts=True)
-        repeated, cuts = times > 1, bucket_cuts(distinct)
-        for k, bits in zip(right[part].to_pylist(), right[blob].to_pylist()):
-            n = cuts[k + 1] - cuts[k]
-            repeated[cuts[k] : cuts[k + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
-        hit, ends = repeated[inverse], np.cumsum(counts)
-        kept, n_words, n_removed, removed = [], [], [], []
-        for ws, end, windows in zip(split, ends.tolist(), counts.tolist()):
-            here = np.flatnonzero(hit[end - windows : end])
-            n_words.append(len(ws))
-            if not len(here):
-                kept.append(b" ".join(ws))
-                n_removed.append(0)
-                removed.append([])
-                continue
-            gaps = np.flatnonzero(np.diff(here) > width)  # windows that touch or overlap make one interval
-            starts, stops = here[np.concatenate([[0], gaps + 1])].tolist(), (here[np.concatenate([gaps, [len(here) - 1]])] + width).tolist()
-            kept.append(b" ".join([w for a, b in zip([0, *stops], [*starts, len(ws)]) for w in ws[a:b]]))
-            n_removed.append(sum(stops) - sum(starts))
-            removed.append([{"start": a, "end": b} for a, b in zip(starts, stops)])
-        texts = pa.array([k if v else None for k, v in zip(kept, left[text_col].is_valid().to_pylist())], pa.binary()).cast(pa.string())
-        for name, column in zip(results, (texts, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, schema.field("removed").type)), strict=True):
-            left = left.append_column(name, column)
-        return left.cast(schema)
-
-    sent = docs.mapInArrow(send, T.StructType([*own, *mine]))
-    answers = sent.groupBy(key).applyInArrow(count, T.StructType(mine))
-    return sent.groupBy(key).cogroup(answers.groupBy(key)).applyInArrow(remove, after)
+        schema = None
+        out = []
+        for rows in left["rows"]:
+            table = unboxed(rows)
+            split, first, second, counts = _block_hashes(utf8(table[text_col]), width, _Hashes(), hash_bits)
+            _, of, times = _distinct(first, second)
+            repeated = times > 1
+            for ats in right["ats"].to_pylist():
+                repeated[unpack_ints(ats)] = True
+            hit, ends = repeated[of], np.cumsum(counts)
+            kept, n_words, n_removed, removed = [], [], [], []
+            for ws, end, windows in zip(split, ends.tolist(), counts.tolist()):
+                here = np.flatnonzero(hit[end - windows : end])
+                n_words.append(len(ws))
+                if not len(here):
+                    kept.append(b" ".join(ws))
+                    n_removed.append(0)
+                    removed.append([])
+                    continue
+                gaps = np.flatnonzero(np.diff(here) > width)  # windows that touch or overlap make one interval
+                starts, stops = here[np.concatenate([[0], gaps + 1])].tolist(), (here[np.concatenate([gaps, [len(here) - 1]])] + width).tolist()
+                kept.append(b" ".join([w for a, b in zip([0, *stops], [*starts, len(ws)]) for w in ws[a:b]]))
+                n_removed.append(sum(stops) - sum(starts))
+                removed.append([{"start": a, "end": b} for a, b in zip(starts, stops)])
+            texts = pa.array([k if v else None for k, v in zip(kept, table[text_col].is_valid().to_pylist())], pa.binary()).cast(pa.string())
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            for name, column in zip(results, (texts, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, kind)), strict=True):
+                table = table.append_column(name, column)
+            schema = table.schema
+            out.append(table)
+        return pa.concat_tables(out) if out else (schema or to_arrow(after)).empty_table()
+
+    sent = sent_windows(boxes, text_col, width, ranges, hash_bits).repartition(min(parts, ranges), "range")
+    flat = sent.mapInArrow(spread, "first long, second int, block long, at int").sortWithinPartitions("first", "second")
+    twice = flat.mapInArrow(_twice, "block long, ats binary")
+    return boxes.select("block", "rows").groupBy("block").cogroup(twice.groupBy("block")).applyInArrow(remove, after)

@@ -72,7 +72,6 @@ def plain(docs):
     out.append(masked)
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     pieces = []
     for i, t in masked:
         ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]

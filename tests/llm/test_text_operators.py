@@ -34,6 +34,8 @@ ODD = [
     (8, "a b c " * 3000, "k"),
     (10, "ΟΔΟΣ ΑΣ, İstanbul Straße; e\u0301te\u0301 caf\u00e9! a, a. a... 'Tis y'all's x's. dž Ǆ ﬁn 东京市 日本！ नमस्ते, 9a a9 ½ ² a\u00a0b\u3000c", "k"),
     (9, "<|endoftext|> <|startoftext|> The\n\nTHE the", "k"),
+    (11, "<|endoftext|>", "k"),
+    (12, "glued<|endoftext|>é<|startoftext|><|endoftext|>'s <|ENDOFTEXT|> <<|EndOfText|>> İ! क़.", "k"),
 ]
 
 
@@ -77,7 +79,6 @@ def test_quality_keeps_the_good(spark):
 def test_pieces(name, request):
     df = request.getfixturevalue(name)
     tokenizer = Tokenizer.from_file(WORD_BPE)
-    tokenizer.encode_special_tokens = True
     want = []
     for i, t in texts(df):
         ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
@@ -153,6 +154,53 @@ def test_substrings(name, block, request):
     assert all((r.kept_text is None) == (r.text is None) for r in rows)
 
 
+def windows_sent(spark, texts, block_bytes, partition_bytes):
+    """Rows and pairs that blocks send, and words."""
+    boxes = substrings.boxed(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), "text", block_bytes)
+    size, n = boxes.agg(F.sum("size"), F.count("*")).first()
+    ranges = substrings.n_ranges(size, n, max(4, size // partition_bytes), 16)
+    sent = substrings.sent_windows(boxes, "text", 35, ranges)
+    return sent.count(), sum(len(w.split()) for w in texts)
+
+
+def test_rows_sent_are_in_proportion(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 400)) for _ in range(960)]
+    shares = [rows / n for rows, n in (windows_sent(spark, texts[:k], 20_000, 2000) for k in (60, 240, 960))]
+    assert max(shares) < 1 / 8 and shares[2] < 1.1 * shares[1]
+
+
+def test_equal_first_hashes_remove_nothing(spark):
+    rng = np.random.default_rng(3)
+    texts = [(i, " ".join(f"w{x}" for x in rng.integers(0, 10**6, 200))) for i in range(30)] + [(100, PASSAGE), (101, "a " + PASSAGE), (102, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for bits in (0, 3):
+        got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(df, block_bytes=3000, hash_bits=bits).collect()}
+        assert got == {i: 60 if i in (100, 101) else 0 for i, _ in texts}
+
+
+def test_long_and_repeated_rows(spark):
+    """Texts of megabytes, rows that are equal in all columns, and columns named as those that the operators make."""
+    rng = np.random.default_rng(4)
+    long = " ".join(f"w{x}" for x in rng.integers(0, 5000, 400_000)) + " token=abcdef0123456789 "
+    names = "block, size, rows, word, at, start, first, second, ats, count, id, node, least, range".split(", ")
+    df = spark.createDataFrame([(1, long), (2, "x " + long[:1_000_000]), (3, "short"), (3, "short"), (4, None)], "doc_id long, text string")
+    df = df.select("*", *[F.lit("c").alias(n) for n in names])
+    whole = tiktoken.Encoding("whole", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    for r in bpe.decode(bpe.encode(df, RANKS, public_tokenizers.PATTERN), RANKS).collect():
+        assert bytes(r.decoded).decode() == {1: long, 2: "x " + long[:1_000_000], 3: "short", 4: ""}[r.doc_id] and r.word == "c"
+        assert r.doc_id != 1 or list(np.frombuffer(bytes(r.token_ids), "<u4")) == whole.encode_ordinary(long)
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substrings.remove_repeats(df).collect())
+    shared = len(long[:1_000_000].split())
+    assert [x[:2] for x in got] == [(1, 400_001), (2, shared + 1), (3, 1), (3, 1), (4, 0)] and shared - 1 <= got[0][2] <= shared + 1 and got[2:] == [(3, 1, 0), (3, 1, 0), (4, 0, 0)]
+    pieces = packing.pack(packing.token_pieces(df, WORD_BPE, keep_ids=False)).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("length").alias("tokens")).collect()
+    assert {r.doc_id: r.n for r in pieces} == {r.doc_id: -(-r.tokens // 4096) for r in pieces if r.doc_id != 3} | {3: 2}
+    prints = sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect())
+    assert [i for i, _ in prints] == [1, 2, 3, 3, 4] and prints[2] == prints[3] == (3, 3)
+    masked = {r.doc_id: r.text for r in secrets.redact(secrets.scan(df)).collect()}
+    assert masked[1].endswith(" [SECRET] ") and len(masked[1]) == len(long) - len("token=abcdef0123456789") + len("[SECRET]") and masked[4] is None
+
+
 def test_substrings_of_nothing(odd):
     assert substrings.remove_repeats(odd.limit(0)).count() == 0
 
