@@ -2,40 +2,54 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder in spark.checkpoint.dir and read from there; a folder is made where that is unset."""
-    _folder(df.sparkSession)
-    return df.checkpoint()
 
+def durable(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    """``df`` written as Parquet to a new path in the shared folder and read from there.
 
-def _folder(spark: SparkSession) -> str:
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoint-"))
-    return given or spark.sparkContext.getCheckpointDir()
+    ``replaces``, an earlier result of this function that nothing reads any more once ``df`` is written, is deleted
+    then, so a loop keeps the files of one round.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    if replaces is not None:
+        forget(replaces)
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what ``durable`` wrote for ``df``; other DataFrames have nothing to delete."""
+    if path := _written.pop(df, None):
+        jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the shared folder."""
-    return f"{_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, the context's own, or else one in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/kawara_shared"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def numbered(df: DataFrame, order: list[Column], name: str, start: int = 1) -> DataFrame:
     """``df`` with ``name``: start, start + 1, ... in ``order``, which must be total for numbers that don't change.
 
-    Rows are dealt by ranges of the order and numbered in their own partition; only the partitions' counts are added
-    up. No rows, no numbers.
+    Rows are written first, as ranges are found by a sample of them; then they are dealt by ranges of the order and
+    numbered in their own partition, and only the partitions' counts are added up. No rows, no numbers.
     """
     at, part = f"{name}__at", f"{name}__part"
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
-    rows = durable(rows.withColumn(part, F.shiftright(at, 33)))
+    given = durable(df)
+    rows = given.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    rows = durable(rows.withColumn(part, F.shiftright(at, 33)), replaces=given)
     counts = sorted(tuple(r) for r in rows.groupBy(part).count().collect())  # a row a partition
     before, offsets = start, []
     for p, n in counts:

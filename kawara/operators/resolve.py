@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .durable import durable, numbered
@@ -23,30 +23,41 @@ def _first(rows: DataFrame, key: str, at: str, name: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(at).alias(name))
 
 
+def _with(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``rows`` left joined to ``found``, one row a key. Rows of a null key, maybe most, aren't shuffled: they find nothing."""
+    extra = [F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema.fields if f.name != key]
+    have, lack = rows.where(F.col(key).isNotNull()), rows.where(F.col(key).isNull())
+    return have.join(found, key, "left").select(*rows.columns, *[c for c in found.columns if c != key]).unionByName(lack.select(*rows.columns, *extra))
+
+
 def leaders(items: DataFrame, *, rank: str = "rank", keys: tuple[str, ...] = ("tel", "name")) -> DataFrame:
     """``items`` with leads: true for those that, taken in order of ``rank``, share no key with a leader before them.
 
     That is the lexicographically first maximal independent set, found in rounds: an open item that comes first under
     each of its keys leads; open items that share a key with a leader don't. Each round is a keyed minimum with a
     map-side combine and a join to one row a key, so no pairs are formed and a frequent key costs what a rare one
-    does. ``rank`` must be distinct and not null; null keys are shared with nobody; no rows, no rounds.
+    does; it reads and writes only what is still open. A chain of keys, each shared with the next item, takes as many
+    rounds as it is long. ``rank`` must be distinct and not null; null keys are shared with nobody; no rows, no rounds.
     """
-    state = durable(items.select(rank, *keys, F.lit(None).cast("boolean").alias("leads")))
-    while True:
-        unsure = state.where("leads IS NULL")
-        if unsure.isEmpty():
-            break
-        firsts = {k: _first(unsure, k, rank, f"{k}__first") for k in keys}
-        marked = reduce(lambda df, k: df.join(firsts[k], k, "left"), keys, unsure)
-        leads = reduce(Column.__and__, [F.coalesce(F.col(f"{k}__first") == F.col(rank), F.lit(True)) for k in keys])
+    unsure = durable(items.select(rank, *keys))
+    decided = [unsure.where("false").select(rank, F.lit(None).cast("boolean").alias("leads"))]
+    while not unsure.isEmpty():
+        marked, leads = unsure, F.lit(True)
+        for k in keys:
+            marked = _with(marked, _first(unsure, k, rank, f"{k}__first"), k)
+            leads = leads & F.coalesce(F.col(f"{k}__first") == F.col(rank), F.lit(True))
         marked = durable(marked.select(rank, *keys, leads.alias("leads")))
-        new = marked.where("leads")
-        taken = {k: new.where(F.col(k).isNotNull()).select(k, F.lit(True).alias(f"{k}__taken")).distinct() for k in keys}
-        rest = reduce(lambda df, k: df.join(taken[k], k, "left"), keys, marked.where("NOT leads"))
-        gone = reduce(Column.__or__, [F.coalesce(F.col(f"{k}__taken"), F.lit(False)) for k in keys])
-        rest = rest.select(rank, *keys, F.when(gone, False).alias("leads"))
-        state = durable(state.where("leads IS NOT NULL").unionByName(new).unionByName(rest))
-    return items.join(state.select(rank, "leads"), rank)
+        rest, gone = marked.where("NOT leads"), F.lit(False)
+        for k in keys:
+            taken = marked.where(F.col("leads") & F.col(k).isNotNull()).select(k, F.lit(True).alias(f"{k}__taken")).distinct()
+            rest = _with(rest, taken, k)
+            gone = gone | F.coalesce(F.col(f"{k}__taken"), F.lit(False))
+        rest = durable(rest.select(rank, *keys, gone.alias("gone")))
+        decided += [marked.where("leads").select(rank, "leads"), rest.where("gone").select(rank, F.lit(False).alias("leads"))]
+        if len(decided) > 40:  # a long chain's plan stays short
+            decided = [durable(reduce(DataFrame.unionByName, decided))]
+        unsure = rest.where("NOT gone").drop("gone")
+    return items.join(reduce(DataFrame.unionByName, decided), rank)
 
 
 def resolve(items: DataFrame, stores: DataFrame, *, rank: str = "rank", first_id: int | None = None) -> DataFrame:
@@ -71,7 +82,7 @@ def resolve(items: DataFrame, stores: DataFrame, *, rank: str = "rank", first_id
     near = lambda key: stores.join(items.select(key).distinct(), key, "left_semi")
     known_tel = _first(near(tel), tel, "id", "known_tel")
     known_name = _first(near(name), name, "id", "known_name")
-    found = durable(items.join(known_tel, tel, "left").join(known_name, name, "left"))
+    found = durable(_with(_with(items, known_tel, tel), known_name, name))
     fresh = found.where("known_tel IS NULL AND known_name IS NULL")
     led = durable(leaders(fresh.select(rank, tel, name, "pref", "city"), rank=rank, keys=(tel, name)))
     if first_id is None:
@@ -82,7 +93,7 @@ def resolve(items: DataFrame, stores: DataFrame, *, rank: str = "rank", first_id
     by_tel = made.where(F.col(tel).isNotNull()).select(tel, F.col(rank).alias("tel_rank"), F.col("store_id").alias("tel_store"))
     by_name = made.where(F.col(name).isNotNull()).select(name, F.col(rank).alias("name_rank"), F.col("store_id").alias("name_store"))
     before = lambda c: F.when(F.col(f"{c}_rank") <= F.col(rank), F.col(f"{c}_store"))
-    placed = found.join(by_tel, tel, "left").join(by_name, name, "left")
+    placed = _with(_with(found, by_tel, tel), by_name, name)
     placed = placed.withColumn("store_id", F.coalesce("known_tel", before("tel"), "known_name", before("name")))
 
     words = lambda df, at: df.select("pref", "city", F.explode(name_tokens(F.col(name))).alias("word"), at)
