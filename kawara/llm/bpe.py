@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import boxed, fields, free, pack_ints, partitions, to_arrow, unboxed, unpack_ints
+from .common import blocks, box, fields, free, pack_ints, partitions, to_arrow, unboxed, unpack_ints
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -35,98 +36,116 @@ class _Places(dict):
         return n
 
 
-def _packed(found: list[tuple[np.ndarray, np.ndarray, list[bytes]]]) -> pa.RecordBatch:
-    """(block, ats, lengths, ids) a block, of rows of blocks, places and ids."""
-    block, at = (np.concatenate(x) for x in list(zip(*found))[:2])
-    ids = pa.array([x for _, _, own in found for x in own], pa.binary())
-    order = np.lexsort((at, block))
-    block, at, ids = block[order], at[order], ids.take(pa.array(order))
-    lengths = np.asarray(pc.binary_length(ids)) // 4
-    flat = np.frombuffer(b"".join(ids.to_pylist()), "<u4")
-    ends = np.cumsum(lengths)
-    cuts = np.flatnonzero(np.diff(block, prepend=block[0] - 1, append=block[-1] + 1))
-    pick = lambda make: pa.array([make(a, b) for a, b in zip(cuts, cuts[1:])], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), pick(lambda a, b: pack_ints(at[a:b])), pick(lambda a, b: pack_ints(lengths[a:b])), pick(lambda a, b: pack_ints(flat[ends[a] - lengths[a] : ends[b - 1]]))], ["block", "ats", "lengths", "ids"])
+class _Ids(dict):
+    """The ids of a pre-token, made when first asked for."""
 
+    def __init__(self, encoding):
+        self.encoding = encoding
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "text", block_bytes: int = 4 << 20, partition_bytes: int = 32 << 20) -> DataFrame:
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = out = np.array(self.encoding.encode_ordinary(word.decode()), "<u4").tobytes()
+        return out
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "text", block_bytes: int = 4 << 20, range_bytes: int = 8 << 20, row_words: int = 64) -> DataFrame:
     """``docs`` with token_ids (binary: little-endian unsigned 32-bit ids) in place of the text column.
 
-    1. Texts are split by ``pattern`` and written in blocks of about ``block_bytes``, each text as places in the
-       block's list of distinct pre-tokens, and beside them that list, a row a pre-token with its place (a frequent
-       word leaves a block once).
-    2. The pre-tokens of all blocks are dealt and sorted by Spark; a partition encodes each distinct one once and
-       sends the ids to the blocks that have it. Sorting spills and a run of equal pre-tokens is read as a stream.
-    3. A block puts every text together again by position.
+    1. A task splits the texts by ``pattern`` and, for every block of about ``block_bytes``, keeps each text as places
+       in the block's list of distinct pre-tokens (a frequent word leaves a block once).
+    2. The distinct pre-tokens travel packed, a row a block for each range of their hashes; a range encodes each one
+       once.
+    3. The ids go back to their blocks, where every text is put together again by position.
+
+    The first two steps' rows share one exchange. There is a range for about ``range_bytes`` of text, so that its
+    rows fit a task, until a row holds only about ``row_words`` pre-tokens; from then on a range's rows are dealt to
+    several tasks by their block, each of which encodes the range's pre-tokens once. So rows stay in proportion to the
+    texts.
 
-    Rows are in proportion to the texts, and there is a partition for about ``partition_bytes`` of text. A null or
-    empty text has no ids; repeated rows stay; a column named token_ids is replaced.
+    Blocks are numbered by partition and arrival: ``docs`` is to be read from files, or written before (``durable``),
+    so that a task that is run again meets the same rows in the same order. A null or empty text has no ids; repeated
+    rows stay; a column named token_ids is replaced.
     """
     docs = docs.drop("token_ids")
     own, (count,) = fields(docs, (text_col,)), free(docs, "count")
     after = T.StructType([*own, T.StructField("token_ids", T.BinaryType())])
-    find = []  # made once a task
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`"))).cast("long")).first()[0] or 0
+    groups = max(8, -(-size // range_bytes))
+    ranges = min(groups, max(8, block_bytes // 32 // row_words))  # a block has about a distinct pre-token for 32 bytes
+    split_by_block = -(-groups // ranges)
+    names = ["key", "range", "rows", "places", "words"]
 
-    def split(table: pa.Table, number: int) -> tuple[pa.Table, pa.Table]:
+    def split(batches):
         import regex
+        import zstandard
+
+        find = regex.compile(pattern).findall
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for number, table in blocks(batches, text_col, block_bytes):
+            places = _Places()
+            each = [np.fromiter(map(places.__getitem__, found), np.uint32, len(found)) for found in (find(t or "") for t in table[text_col].to_pylist())]
+            flat = np.concatenate(each)
+            order = np.argsort(-np.bincount(flat, minlength=len(places)), kind="stable")  # frequent first: small numbers
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            listed = list(places)
+            listed = [listed[i].encode() for i in order]
+            of = np.fromiter(map(zlib.crc32, listed), np.uint32, len(listed)) % np.uint32(ranges)
+            rest = table.drop_columns([text_col]).append_column(count, pa.array(list(map(len, each)), pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.nulls(1, pa.int64()), pa.array([box(rest)], pa.binary()), pa.array([pack_ints(rank[flat])], pa.binary()), pa.array([pack_ints(of)], pa.binary())], names)
+            by = np.argsort(of, kind="stable")
+            cuts = np.flatnonzero(np.diff(of[by].astype(np.int64), prepend=-1, append=-1)) if len(by) else np.zeros(1, np.int64)
+            found = [[listed[i] for i in by[a:b]] for a, b in zip(cuts, cuts[1:])]
+            used = of[by][cuts[:-1]].astype(np.int64)
+            lengths = [pack_ints(np.fromiter(map(len, x), np.uint32, len(x))) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(-1 - (used * split_by_block + number % split_by_block)), pa.array(used), pa.array([number.to_bytes(8, "little")] * len(used), pa.binary()), pa.array(lengths, pa.binary()), pa.array([squeeze(b"".join(x)) for x in found], pa.binary())], names)
+
+    encoding = []  # made once a task
+
+    def encode_range(table: pa.Table) -> pa.Table:
+        import zstandard
 
-        if not find:
-            find.append(regex.compile(pattern).findall)
-        places = _Places()
-        each = [np.fromiter(map(places.__getitem__, found), np.uint32, len(found)) for found in (find[0](t or "") for t in table[text_col].to_pylist())]
-        flat = np.concatenate(each)
-        order = np.argsort(-np.bincount(flat, minlength=len(places)), kind="stable")  # frequent first: small numbers
-        rank = np.empty(len(order), np.uint32)
-        rank[order] = np.arange(len(order), dtype=np.uint32)
-        listed = pa.array(list(places), pa.string()).take(pa.array(order))
-        rest = table.drop_columns([text_col]).append_column(count, pa.array(list(map(len, each)), pa.int64())).replace_schema_metadata({"places": base64.b64encode(pack_ints(rank[flat]))})
-        return rest, pa.table({"word": listed, "at": pa.array(np.arange(len(order), dtype=np.int32))})
-
-    def encode_words(batches):
-        encoding, found, n, last, ids = word_encoding(ranks_path), [], 0, None, b""
-        for batch in batches:
-            coded = batch.column("word").dictionary_encode()
-            each = []
-            for word in coded.dictionary.to_pylist():
-                if word != last:  # equal words stand together
-                    last, ids = word, np.array(encoding.encode_ordinary(word), "<u4").tobytes()
-                each.append(ids)
-            found.append((batch.column("block").to_numpy(), batch.column("at").to_numpy(), pa.array(each, pa.binary()).take(coded.indices).to_pylist()))
-            n += batch.num_rows
-            if n > 1 << 18:
-                yield _packed(found)
-                found, n = [], 0
-        if n:
-            yield _packed(found)
+        out = []
+        if table["key"][0].as_py() < 0:
+            if not encoding:
+                encoding.append(word_encoding(ranks_path))
+            ids = _Ids(encoding[0])
+            for number, block, lengths, words in zip(table["range"].to_pylist(), table["rows"].to_pylist(), table["places"].to_pylist(), table["words"].to_pylist()):
+                ends = np.cumsum(unpack_ints(lengths), dtype=np.int64).tolist()
+                flat = zstandard.ZstdDecompressor().decompress(words)
+                got = [ids[flat[a:e]] for a, e in zip([0, *ends], ends)]
+                out.append((int.from_bytes(block, "little"), number, pack_ints(np.fromiter(map(len, got), np.uint32, len(got)) // 4), pack_ints(np.frombuffer(b"".join(got), "<u4"))))
+        columns = list(zip(*out)) or [()] * 4
+        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["key", "range", "lengths", "ids"])
 
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for rows in left["rows"]:
-            table = unboxed(rows)
-            places, counts = unpack_ints(base64.b64decode(table.schema.metadata[b"places"])), table[count].to_numpy()
-            size = np.zeros(int(places.max()) + 1 if len(places) else 0, np.int64)
-            offset, ids, at = np.zeros_like(size), [np.zeros(0, "<u4")], 0
-            for a, n, b in zip(right["ats"].to_pylist(), right["lengths"].to_pylist(), right["ids"].to_pylist()):
-                here, lengths = unpack_ints(a), unpack_ints(n).astype(np.int64)
-                size[here] = lengths
-                offset[here] = at + np.cumsum(lengths) - lengths
-                ids.append(unpack_ints(b))
-                at += len(ids[-1])
-            if not (size > 0).all():
-                raise ValueError("pre-tokens came back without ids")
-            lengths = size[places]
-            ends = np.cumsum(lengths)
-            flat = np.concatenate(ids)[np.repeat(offset[places] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-            cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-            texts = [flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-            out.append(table.drop_columns([count]).replace_schema_metadata(None).append_column("token_ids", pa.array(texts, pa.binary())))
+        if left.num_rows and left["key"][0].as_py() >= 0:
+            for rows, places, of in zip(left["rows"], left["places"].to_pylist(), left["words"].to_pylist()):
+                table, places, of = unboxed(rows), unpack_ints(places), unpack_ints(of)
+                by = np.argsort(of, kind="stable")
+                starts = np.searchsorted(of[by], right["range"].to_numpy())
+                size, offset, ids, at = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64), [np.zeros(0, "<u4")], 0
+                for start, n, b in zip(starts, right["lengths"].to_pylist(), right["ids"].to_pylist()):
+                    lengths = unpack_ints(n).astype(np.int64)
+                    here = by[start : start + len(lengths)]
+                    size[here] = lengths
+                    offset[here] = at + np.cumsum(lengths) - lengths
+                    ids.append(unpack_ints(b))
+                    at += len(ids[-1])
+                if not (size > 0).all():
+                    raise ValueError("pre-tokens came back without ids")
+                ids, cuts = np.concatenate(ids), np.concatenate([[0], np.cumsum(table[count].to_numpy())])
+                texts = []
+                for a, b in zip(cuts, cuts[1:]):
+                    lengths = size[places[a:b]]
+                    ends = np.cumsum(lengths)
+                    texts.append(ids[np.repeat(offset[places[a:b]] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)].tobytes())
+                out.append(table.drop_columns([count]).append_column("token_ids", pa.array(texts, pa.binary())))
         return pa.concat_tables(out) if out else to_arrow(after).empty_table()
 
-    boxes = boxed(docs, text_col, block_bytes, split, "word string, at int")
-    size = boxes.agg(F.sum("size")).first()[0] or 0
-    words = boxes.where("word IS NOT NULL").select("word", "block", "at").repartition(partitions(docs, size, partition_bytes), "word").sortWithinPartitions("word")
-    coded = words.mapInArrow(encode_words, "block long, ats binary, lengths binary, ids binary")
-    return boxes.where("rows IS NOT NULL").select("block", "rows").groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(put_together, after)
+    pieces = docs.mapInArrow(split, "key long, range long, rows binary, places binary, words binary").repartition(partitions(docs, size, range_bytes), "key")
+    coded = pieces.groupBy("key").applyInArrow(encode_range, "key long, range long, lengths binary, ids binary")
+    return pieces.groupBy("key").cogroup(coded.groupBy("key")).applyInArrow(put_together, after)
 
 
 def decode(encoded: DataFrame, ranks_path: str, *, ids_col: str = "token_ids") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema as to_arrow
 
 from kawara.operators.durable import durable, shared_folder
 
-__all__ = ["blocks", "boxed", "components", "durable", "fields", "free", "pack_ints", "pack_longs", "partitions", "shared_folder", "to_arrow", "unboxed", "unpack_ints", "unpack_longs", "utf8", "words"]
+__all__ = ["blocks", "box", "boxed", "components", "durable", "fields", "free", "pack_ints", "pack_longs", "partitions", "shared_folder", "to_arrow", "unboxed", "unpack_ints", "unpack_longs", "utf8", "words"]
 
 
 def free(df: DataFrame, *names: str) -> list[str]:
@@ -77,35 +77,31 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, block_bytes: int) -> It
         yield number, pa.Table.from_batches(held)
 
 
-def boxed(docs: DataFrame, text: str, block_bytes: int, build=None, extra: str = "") -> DataFrame:
+def box(table: pa.Table) -> bytes:
+    """A table as compressed bytes."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table, max_chunksize=1 << 20)
+    return sink.getvalue().to_pybytes()
+
+
+def unboxed(rows: pa.Scalar | bytes) -> pa.Table:
+    with pa.ipc.open_stream(rows.as_buffer() if isinstance(rows, pa.Scalar) else rows) as stream:
+        return stream.read_all()
+
+
+def boxed(docs: DataFrame, text: str, block_bytes: int) -> DataFrame:
     """``docs`` in blocks of about ``block_bytes`` of text, written: (block long, size long, rows binary) a block.
 
     ``rows`` is the block's table, to be read by ``unboxed``. The numbers of blocks follow partitions and arrival, so
     the result is written at once: a task that runs again never deals rows into other blocks than its readers know.
-    ``build(table, number)`` may give a block other contents: (table to keep, rows of the columns ``extra``), the
-    latter written beside with null ``rows``.
     """
-    schema = T.StructType.fromDDL(f"block long, size long, rows binary{', ' + extra if extra else ''}")
 
-    def box(batches):
-        names = schema.names
+    def run(batches):
         for number, table in blocks(batches, text, block_bytes):
-            size = pc.sum(pc.binary_length(table[text])).as_py() or 0
-            table, more = build(table, number) if build else (table, None)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(table, max_chunksize=1 << 20)
-            arrow = pa.schema([pa.field("block", pa.int64()), pa.field("size", pa.int64()), pa.field("rows", pa.binary()), *(more.schema if more is not None else [])])
-            yield from with_columns(pa.table({"block": pa.array([number]), "size": pa.array([size]), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())}), arrow).to_batches()
-            if more is not None:
-                yield from with_columns(more.append_column("block", pa.array(np.full(more.num_rows, number))), arrow).select(names).to_batches(max_chunksize=10_000)
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([pc.sum(pc.binary_length(table[text])).as_py() or 0]), pa.array([box(table)], pa.binary())], ["block", "size", "rows"])
 
-    return durable(docs.mapInArrow(box, schema))
-
-
-def unboxed(rows: pa.Scalar | bytes) -> pa.Table:
-    with pa.ipc.open_stream(rows.as_buffer() if isinstance(rows, pa.Scalar) else rows) as stream:
-        return stream.read_all()
+    return durable(docs.mapInArrow(run, "block long, size long, rows binary"))
 
 
 def partitions(df: DataFrame, size: int, each: int) -> int:
@@ -113,11 +109,6 @@ def partitions(df: DataFrame, size: int, each: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
-def with_columns(table: pa.Table, schema: pa.Schema) -> pa.Table:
-    """``table`` in the order of ``schema``; columns that it lacks are null."""
-    return pa.table([table[f.name] if f.name in table.schema.names else pa.nulls(table.num_rows, f.type) for f in schema], schema=schema)
-
-
 def pack_ints(a: np.ndarray) -> bytes:
     """Unsigned integers under 2**32 as four planes of bytes, compressed."""
     import zstandard

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -57,42 +59,89 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _block_hashes(texts: list[bytes], width: int, hashes: _Hashes, hash_bits: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    """The words of each text, two hashes (64 and 32 bits) of every window of every text in order, and how many windows each text has."""
+    """The words of each text, two hashes (64 and 24 bits) of every window of every text in order, and how many windows each text has."""
     split = [t.split() for t in texts]  # bytes split at exactly the six ASCII white characters
     counts = np.fromiter(map(len, split), np.int64, len(split))
-    first, second = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
-    for ws in split:
-        if len(ws) >= width:
-            own = np.fromiter(map(hashes.__getitem__, ws), np.uint64, len(ws))
-            first.append(_mixed(window_hashes(own, width)))
-            second.append((_mixed(window_hashes(own, width, SECOND_BASE)) >> np.uint64(32)).astype(np.uint32))
-    keep = np.uint64((2**64 - 1) ^ (2 ** (64 - hash_bits) - 1))
-    return split, np.concatenate(first) & keep, np.concatenate(second), np.maximum(counts - width + 1, 0)
-
-
-def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where the distinct pairs of hashes stand first, in order of the hashes; each window's pair; how often each pair occurs."""
-    order = np.argsort(first, kind="stable")
-    if len(order) and ((first[order][1:] == first[order][:-1]) & (second[order][1:] != second[order][:-1])).any():
+    windows = np.maximum(counts - width + 1, 0)
+    own = np.fromiter(map(hashes.__getitem__, chain.from_iterable(split)), np.uint64, int(counts.sum()))
+    inside = np.ones(max(0, len(own) - width + 1), bool)  # not those that reach from one text into the next
+    for end in (np.cumsum(counts)[:-1] if len(counts) else ()):
+        inside[max(0, end - width + 1) : end] = False
+    first = _mixed(window_hashes(own, width)[inside])
+    second = (_mixed(window_hashes(own, width, SECOND_BASE)[inside]) >> np.uint64(40)).astype(np.uint32)
+    return split, first & np.uint64((2**64 - 1) ^ (2 ** (64 - hash_bits) - 1)), second, windows
+
+
+def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of hashes, in order; each window's pair; how often each pair occurs."""
+    order = np.argsort(first)
+    one, other = first[order], second[order]
+    if ((one[1:] == one[:-1]) & (other[1:] != other[:-1])).any():
         order = np.lexsort((second, first))
+        one, other = first[order], second[order]
     new = np.ones(len(order), bool)
-    new[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
+    new[1:] = (one[1:] != one[:-1]) | (other[1:] != other[:-1])
     of = np.empty(len(order), np.int64)
     of[order] = np.cumsum(new) - 1
-    return order[new], of, np.diff(np.append(np.flatnonzero(new), len(order)))
+    return one[new], other[new], of, np.diff(np.append(np.flatnonzero(new), len(order)))
+
+
+def _packed_places(block: np.ndarray, at: np.ndarray):
+    """(block, ats packed) a block."""
+    order = np.lexsort((at, block))
+    block, at = block[order], at[order]
+    cuts = np.flatnonzero(np.diff(block, prepend=block[0] - 1, append=block[-1] + 1)) if len(block) else np.zeros(1, np.int64)
+    blobs = [pack_ints(at[a:b]) for a, b in zip(cuts, cuts[1:])]
+    yield from pa.table({"block": block[cuts[:-1]], "ats": pa.array(blobs, pa.binary())}).to_batches(max_chunksize=10_000)
+
+
+def _unpacked(batch: pa.RecordBatch):
+    """The pairs of each row, (first, second, block, at)."""
+    for block, start, a, b in zip(batch.column("block").to_pylist(), batch.column("start").to_pylist(), batch.column("first"), batch.column("second")):
+        first, second = np.cumsum(unpack_longs(a.as_py()), dtype=np.uint64).view(np.int64), np.zeros((len(b.as_py()) // 3, 4), np.uint8)
+        second[:, :3] = np.frombuffer(b.as_py(), np.uint8).reshape(-1, 3)
+        yield first, second.view("<i4").reshape(-1), np.full(len(first), block), np.arange(start, start + len(first), dtype=np.int32)
+
+
+def _twice_by_range(batches):
+    """Of rows of sent_windows, sorted by range, the places of pairs that stand twice; a range at a time in memory."""
+
+    def counted(held):
+        first, second, block, at = (np.concatenate(x) for x in zip(*held))
+        _, _, of, times = _distinct(first.view(np.uint64), second.view(np.uint32))
+        hit = (times > 1)[of]
+        yield from _packed_places(block[hit], at[hit])
+
+    now, held = None, []
+    for batch in batches:
+        for number, row in zip(batch.column("range").to_pylist(), _unpacked(batch)):
+            if number != now and held:
+                yield from counted(held)
+                held = []
+            now = number
+            held.append(row)
+    if held:
+        yield from counted(held)
+
+
+def _spread(batches):
+    """The pairs of rows of sent_windows, a row each."""
+    names = ["first", "second", "block", "at"]
+    for batch in batches:
+        held, n = [], 0
+        for row in _unpacked(batch):
+            held.append(row)
+            n += len(row[0])
+            if n > 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names)
+                held, n = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names)
 
 
 def _twice(batches, slack: int = 1 << 20):
     """Of (first, second, block, at), sorted by the hashes, the places of those that stand twice: (block, ats packed)."""
 
-    def packed(found):
-        block, at = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((at, block))
-        block, at = block[order], at[order]
-        cuts = np.flatnonzero(np.diff(block, prepend=block[0] - 1, append=block[-1] + 1))
-        blobs = [pack_ints(at[a:b]) for a, b in zip(cuts, cuts[1:])]
-        yield from pa.table({"block": block[cuts[:-1]], "ats": pa.array(blobs, pa.binary())}).to_batches(max_chunksize=10_000)
-
     carried, carried_hit, found, n = None, False, [], 0
     for batch in batches:
         if not batch.num_rows:
@@ -110,12 +159,12 @@ def _twice(batches, slack: int = 1 << 20):
         found.append((columns[2][hit], columns[3][hit]))
         n += len(found[-1][0])
         if n > slack:
-            yield from packed(found)
+            yield from _packed_places(*(np.concatenate(x) for x in zip(*found)))
             found, n = [], 0
     if carried_hit:
         found.append((carried[2], carried[3]))
     if sum(len(x) for x, _ in found):
-        yield from packed(found)
+        yield from _packed_places(*(np.concatenate(x) for x in zip(*found)))
 
 
 def sent_windows(boxes: DataFrame, text_col: str, width: int, ranges: int, hash_bits: int = 64) -> DataFrame:
@@ -127,23 +176,23 @@ def sent_windows(boxes: DataFrame, text_col: str, width: int, ranges: int, hash_
         for batch in batches:
             for number, rows in zip(batch.column("block").to_pylist(), batch.column("rows")):
                 _, first, second, _ = _block_hashes(utf8(unboxed(rows)[text_col]), width, hashes, hash_bits)
-                places = _distinct(first, second)[0]
-                first, second = first[places], second[places]
+                first, second, _, _ = _distinct(first, second)
                 cuts = np.concatenate([[0], np.searchsorted(first >> np.uint64(32), edges), [len(first)]])
                 used = np.flatnonzero(np.diff(cuts))
                 blobs = [pack_longs(np.diff(first[a:b], prepend=np.uint64(0))) for a, b in zip(cuts[used], cuts[used + 1])]
-                checks = [second[a:b].tobytes() for a, b in zip(cuts[used], cuts[used + 1])]
+                checks = [second[a:b].view(np.uint8).reshape(-1, 4)[:, :3].tobytes() for a, b in zip(cuts[used], cuts[used + 1])]
                 yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.full(len(used), number)), pa.array(cuts[used]), pa.array(blobs, pa.binary()), pa.array(checks, pa.binary())], ["range", "block", "start", "first", "second"])
 
     return boxes.select("block", "rows").mapInArrow(send, "range long, block long, start long, first binary, second binary")
 
 
-def n_ranges(size: int, blocks: int, parts: int, row_hashes: int) -> int:
-    """How many ranges: some for each partition, but so few that a block's rows hold ``row_hashes`` pairs or more on average."""
-    return max(1, min(4 * parts, size // max(1, blocks) // 8 // row_hashes))  # a word has about 8 bytes or more
+def n_ranges(size: int, blocks: int, range_bytes: int, row_pairs: int) -> tuple[int, bool]:
+    """How many ranges: one for each ``range_bytes`` of text, but so few that a block's rows hold ``row_pairs`` or more on average; and whether that makes ranges larger."""
+    wanted, most = max(1, -(-size // range_bytes)), max(1, size // max(1, blocks) // 8 // row_pairs)  # a word has about 8 bytes or more
+    return min(wanted, most), wanted > most
 
 
-def remove_repeats(docs: DataFrame, *, text_col: str = "text", width: int = 35, block_bytes: int = 4 << 20, partition_bytes: int = 16 << 20, row_hashes: int = 16, hash_bits: int = 64) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, text_col: str = "text", width: int = 35, block_bytes: int = 3 << 20, range_bytes: int = 8 << 20, row_pairs: int = 16, hash_bits: int = 64) -> DataFrame:
     """``docs`` with kept_text, n_words, n_removed and removed, array<struct<start, end>>: maximal intervals of words.
 
     A window is ``width`` consecutive words of one text, as they stand. A word goes if it lies in a window whose words
@@ -151,15 +200,15 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", width: int = 35,
 
     1. Texts are written in blocks of about ``block_bytes``. A block takes two independent Rabin-Karp hashes of every
        window, knows itself which pairs it holds twice, and sends each distinct pair once.
-    2. Pairs travel packed, a row for each range of the first hash, and are spread, sorted and counted by Spark: a
-       partition reads them in order and sends back the places of those that stand twice. Sorting spills, so no
-       range has to fit in memory.
+    2. Pairs travel packed, a row for each range of the first hash, which Spark deals and sorts; a partition counts
+       one range after the other and sends back the places of pairs that stand twice.
     3. The places meet the blocks again; windows found twice merge into intervals.
 
-    Ranges grow with the corpus, a partition for about ``partition_bytes`` of text, until a row holds only about
-    ``row_hashes`` pairs; so rows stay in proportion to the texts, and a passage copied a million times is one pair a
-    block. Windows count as equal if both hashes, 64 and 32 bits, are: n windows have about n*n/2**97 false pairs, one
-    in 1,600 for 1e13. ``hash_bits`` keeps only so many bits of the first. A null text has no words and its kept_text
+    Ranges grow in number with the corpus, one for about ``range_bytes`` of text. Beyond so many that a block's rows
+    would hold fewer than ``row_pairs`` pairs, a range no longer has to fit in memory: its pairs become rows that Spark
+    sorts, spilling where it must. So rows sent stay in proportion to the texts. A passage copied a million times is one pair a
+    block. Windows count as equal if both hashes, 64 and 24 bits, are: n windows have about n*n/2**89 false pairs, 0.2
+    for 1e13. ``hash_bits`` keeps only so many bits of the first. A null text has no words and its kept_text
     is null; an empty one stays empty; kept words are joined by one space. Repeated rows count as texts of their own;
     columns named like the results are replaced.
     """
@@ -170,21 +219,7 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", width: int = 35,
     after = T.StructType([*own, T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", spans)])
     boxes = boxed(docs, text_col, block_bytes)
     size, n_blocks = boxes.agg(F.sum("size"), F.count("*")).first()
-    parts = partitions(docs, size or 0, partition_bytes)
-    ranges = n_ranges(size or 0, n_blocks, parts, row_hashes)
-
-    def spread(batches):
-        for batch in batches:
-            held, n = [], 0
-            for block, start, a, b in zip(batch.column("block").to_pylist(), batch.column("start").to_pylist(), batch.column("first"), batch.column("second")):
-                first, second = np.cumsum(unpack_longs(a.as_py()), dtype=np.uint64).view(np.int64), np.frombuffer(b.as_py(), np.int32)
-                held.append((first, second, np.full(len(first), block), np.arange(start, start + len(first), dtype=np.int32)))
-                n += len(first)
-                if n > 1 << 16:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["first", "second", "block", "at"])
-                    held, n = [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["first", "second", "block", "at"])
+    ranges, large = n_ranges(size or 0, n_blocks, range_bytes, row_pairs)
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = None
@@ -192,7 +227,7 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", width: int = 35,
         for rows in left["rows"]:
             table = unboxed(rows)
             split, first, second, counts = _block_hashes(utf8(table[text_col]), width, _Hashes(), hash_bits)
-            _, of, times = _distinct(first, second)
+            _, _, of, times = _distinct(first, second)
             repeated = times > 1
             for ats in right["ats"].to_pylist():
                 repeated[unpack_ints(ats)] = True
@@ -219,7 +254,11 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", width: int = 35,
             out.append(table)
         return pa.concat_tables(out) if out else (schema or to_arrow(after)).empty_table()
 
-    sent = sent_windows(boxes, text_col, width, ranges, hash_bits).repartition(min(parts, ranges), "range")
-    flat = sent.mapInArrow(spread, "first long, second int, block long, at int").sortWithinPartitions("first", "second")
-    twice = flat.mapInArrow(_twice, "block long, ats binary")
+    sent = sent_windows(boxes, text_col, width, ranges, hash_bits)
+    sent = sent.repartition(max(ranges, partitions(docs, 0, 1)), "range")
+    if large:
+        flat = sent.mapInArrow(_spread, "first long, second int, block long, at int")
+        twice = flat.sortWithinPartitions("first", "second").mapInArrow(_twice, "block long, ats binary")
+    else:
+        twice = sent.sortWithinPartitions("range").mapInArrow(_twice_by_range, "block long, ats binary")
     return boxes.select("block", "rows").groupBy("block").cogroup(twice.groupBy("block")).applyInArrow(remove, after)

@@ -123,7 +123,7 @@ def test_packing_edges(spark):
 def test_bpe(name, block, request):
     df = request.getfixturevalue(name)
     whole = tiktoken.Encoding("whole", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
-    out = bpe.decode(bpe.encode(df, RANKS, public_tokenizers.PATTERN, block_bytes=block), RANKS)
+    out = bpe.decode(bpe.encode(df, RANKS, public_tokenizers.PATTERN, block_bytes=block, range_bytes=block), RANKS)
     got = sorted((r.doc_id, list(np.frombuffer(bytes(r.token_ids), "<u4")), bytes(r.decoded).decode()) for r in out.collect())
     assert got == sorted((i, whole.encode_ordinary(t), t) for i, t in texts(df))
 
@@ -136,7 +136,7 @@ def test_decode_edges(spark):
 
 
 @pytest.mark.parametrize("name", ["odd", "docs"])
-@pytest.mark.parametrize("block", [8 << 20, 3000])
+@pytest.mark.parametrize("block", [8 << 20, 3000, 50])
 def test_substrings(name, block, request):
     df = request.getfixturevalue(name).withColumn("part", F.lit(1))
     split = [(i, WORD.findall(t)) for i, t in texts(df)]
@@ -146,7 +146,7 @@ def test_substrings(name, block, request):
         gone = {k + j for k in range(len(ws) - 34) if seen[tuple(ws[k : k + 35])] > 1 for j in range(35)}
         return len(ws), len(gone), " ".join(w for k, w in enumerate(ws) if k not in gone)
 
-    out = substrings.remove_repeats(df, block_bytes=block)
+    out = substrings.remove_repeats(df, block_bytes=block, range_bytes=2 * block)
     assert out.columns == ["doc_id", "text", *df.columns[2:], "kept_text", "n_words", "n_removed", "removed"]
     rows = out.collect()
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text or "") for r in rows) == sorted((i, *plain(ws)) for i, ws in split)
@@ -154,12 +154,11 @@ def test_substrings(name, block, request):
     assert all((r.kept_text is None) == (r.text is None) for r in rows)
 
 
-def windows_sent(spark, texts, block_bytes, partition_bytes):
-    """Rows and pairs that blocks send, and words."""
+def windows_sent(spark, texts, block_bytes, range_bytes):
+    """Rows that blocks send, and words."""
     boxes = substrings.boxed(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), "text", block_bytes)
     size, n = boxes.agg(F.sum("size"), F.count("*")).first()
-    ranges = substrings.n_ranges(size, n, max(4, size // partition_bytes), 16)
-    sent = substrings.sent_windows(boxes, "text", 35, ranges)
+    sent = substrings.sent_windows(boxes, "text", 35, substrings.n_ranges(size, n, range_bytes, 16)[0])
     return sent.count(), sum(len(w.split()) for w in texts)
 
 
@@ -174,8 +173,8 @@ def test_equal_first_hashes_remove_nothing(spark):
     rng = np.random.default_rng(3)
     texts = [(i, " ".join(f"w{x}" for x in rng.integers(0, 10**6, 200))) for i in range(30)] + [(100, PASSAGE), (101, "a " + PASSAGE), (102, None)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    for bits in (0, 3):
-        got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(df, block_bytes=3000, hash_bits=bits).collect()}
+    for bits, range_bytes in ((8, 12 << 20), (8, 100)):
+        got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(df, block_bytes=3000, hash_bits=bits, range_bytes=range_bytes).collect()}
         assert got == {i: 60 if i in (100, 101) else 0 for i, _ in texts}
 
 
