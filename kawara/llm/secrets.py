@@ -8,8 +8,7 @@ import json
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import fields
@@ -29,6 +28,8 @@ _ENCRYPTED = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED")
 _LINES = re.compile(r"(?:(?<![A-Za-z0-9+/_\\-])|(?<=\\n))[A-Za-z0-9+/_-]{16,}(?:(?:[^\S\n\r]*\r?\n[^\S\n\r]*|(?:\\+r)?\\+n)[A-Za-z0-9+/_-]+)+={0,2}")
 _BREAK = re.compile(r"[^\S\n\r]*\r?\n[^\S\n\r]*|(?:\\+r)?\\+n")
 _PACKED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Where a key may begin inside a run, after a path or a word that is glued to it: a DER sequence or OpenSSH's magic.
+_BEGINS = re.compile(r"(?<=[/_+-])(?:MI[A-Za-z0-9+/_-]|MC|MD|ME|MF|MG|MH|b3BlbnNzaC1rZXkt)")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]{16,})")
 _LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
 
@@ -145,6 +146,26 @@ def _wrapped(lines: re.Match) -> list[tuple[int, int]]:
     return out
 
 
+def _key_in(run: str) -> tuple[int, int] | None:
+    """Where a private key stands in a run of base 64: the whole run, or what follows one of its marks, as far as its length says."""
+    if (data := _unpacked(run)) and is_private_key(data):
+        return 0, len(run)
+    for m in [None, *_BEGINS.finditer(run)]:
+        start = m.start() if m else 0
+        if run.startswith("b3Blbn", start):
+            if start and (data := _unpacked(run[start:])) and is_private_key(data):
+                return start, len(run)
+            continue
+        head = _unpacked(run[start : start + 16])
+        top = _element(head, 0, 1 << 40) if head and head[0] == 0x30 else None
+        if top and 30 <= top[2] <= len(run):
+            end = start + -(-top[2] * 4 // 3)
+            end += min(-(end - start) % 4, len(run) - len(run.rstrip("=")) if end == len(run.rstrip("=")) else 0)
+            if end <= len(run) and (data := _unpacked(run[start:end])) and is_private_key(data):
+                return start, end
+    return None
+
+
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start, then kind as listed in KINDS."""
     found = []
@@ -166,8 +187,8 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
             pems += _wrapped(m)
     keys = list(pems)
     for m in _PACKED.finditer(text):
-        if not any(a <= m.start() < b for a, b in pems) and (data := _unpacked(m[0])) and is_private_key(data):
-            keys.append(m.span())
+        if not any(a <= m.start() < b for a, b in pems) and (found_at := _key_in(m[0])):
+            keys.append((m.start() + found_at[0], m.start() + found_at[1]))
     for m in _LONG_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0])):
             keys.append(m.span())
@@ -202,16 +223,22 @@ def scan(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _masked(text: str, spans: list[dict], mark: str) -> str:
+    pieces, at = [], 0
+    for start, end in sorted((s["start"], s["end"]) for s in spans):
+        if start > at or not pieces:
+            pieces += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*pieces, text[at:]])
+
+
 def redact(docs: DataFrame, *, text_col: str = "text", spans_col: str = "secrets", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with ``mark`` in place of every span; spans that overlap or touch make one. Null texts stay null."""
-    text, spans = F.col(text_col), F.coalesce(F.col(spans_col), F.array().cast(SPANS))
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
-    def step(a: Column, s: Column) -> Column:
-        fresh = (s["start"] > a["at"]) | (a["at"] == 0)
-        between = F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
-        return F.struct(F.when(fresh, F.concat(a["out"], between, F.lit(mark))).otherwise(a["out"]).alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
+    def run(batches):
+        at = docs.columns.index(text_col)
+        for batch in batches:
+            texts = [t if t is None or not s else _masked(t, s, mark) for t, s in zip(batch.column(text_col).to_pylist(), batch.column(spans_col).to_pylist())]
+            yield batch.set_column(at, text_col, pa.array(texts, pa.string()))
 
-    done = F.aggregate(ordered, start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    return docs.withColumn(text_col, F.when(F.size(spans) > 0, done).otherwise(text))
+    return docs.mapInArrow(run, T.StructType(fields(docs)))

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, durable, fields, free, utf8
+from .common import components, durable, fields, utf8
+from .jaccard import near_copies
 
 #: Cells of up to so many rows are compared row by row at once; larger ones by a search that leaves a spanning forest.
 SMALL_CELL = 16
@@ -100,15 +101,19 @@ def _cell_links(cell: np.ndarray, up: np.ndarray, bits: np.ndarray, node: np.nda
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
 
 
-def grid_links(prints: DataFrame, *, bits_col: str = "fingerprint_bits", node_col: str = "node", radius: int = 3) -> DataFrame:
+def grid_links(prints: DataFrame, *, bits_col: str = "fingerprint_bits", node_col: str = "node", radius: int = 3, hot_rows: int = 2048) -> DataFrame:
     """Links (a, b) between nodes whose 64-bit fingerprints differ in at most ``radius`` (up to 3) bits.
 
     A fingerprint is embedded as the bit counts of its 32 two-bit segments. The Manhattan distance of two embeddings
     is at most the Hamming distance; split over two halves of 16 counts, one half is at distance 0 or 1. So each
     fingerprint stands in one grid cell for each half, and also looks into the cells one count higher along each of
-    the 16 axes; nodes that meet are verified on all 64 bits. ``prints`` has distinct fingerprints. All links between
-    small cells' nodes come out; where many nodes share a cell, enough of the links to connect what they connect.
-    No rows, no links.
+    the 16 axes; nodes that meet are verified on all 64 bits.
+
+    Cells of more than ``hot_rows`` rows are split: two fingerprints that meet by a half in which they differ in one
+    bit at most agree in one of its two 16-bit parts, and in one of the four 8-bit parts of the other half, so each
+    row goes to eight smaller cells, one for each choice of the two. ``prints`` has distinct fingerprints. All links
+    between small cells' nodes come out; where many nodes share a cell, enough of the links to connect what they
+    connect. No rows, no links.
     """
     if radius > 3:
         raise ValueError("two halves find at most three differing bits")
@@ -122,6 +127,15 @@ def grid_links(prints: DataFrame, *, bits_col: str = "fingerprint_bits", node_co
     cells = cells.select("bits", "node", (F.shiftleft(F.col("c.half"), 40) + F.col("c.at")).alias("cell"))
     steps = F.expr("explode(concat(array(0L), transform(filter(sequence(0, 15), i -> (shiftrightunsigned(cell, 2 * i) & 3) < 2), i -> shiftleft(1L, 2 * i))))")
     rows = cells.select("bits", "node", "cell", steps.alias("step")).select((F.col("cell") + F.col("step")).alias("cell"), (F.col("step") > 0).alias("up"), "bits", "node")
+    hot = durable(rows.groupBy("cell").agg(F.count("*").alias("rows")).where(F.col("rows") > hot_rows).select(F.col("cell").alias("hot")))
+    n_hot = hot.count()
+    if n_hot:
+        rows = rows.join(F.broadcast(hot) if n_hot <= 100_000 else hot, rows["cell"] == hot["hot"], "left")
+        second = F.shiftright("cell", 40) == 1  # the half that the cell is of
+        own, other = (F.when(second == F.lit(top), F.shiftrightunsigned("bits", 32)).otherwise(F.col("bits").bitwiseAND(low)) for top in (True, False))
+        part = lambda p, q: F.lit((4 * p + q + 1) << 24) + F.shiftleft(F.shiftright(own, 16 * p).bitwiseAND(F.lit(0xFFFF)), 8) + F.shiftright(other, 8 * q).bitwiseAND(F.lit(0xFF))
+        parts = F.when(F.col("hot").isNotNull(), F.array(*[F.xxhash64("cell", part(p, q)) for p in range(2) for q in range(4)])).otherwise(F.array("cell"))
+        rows = rows.select(F.explode(parts).alias("cell"), "up", "bits", "node")
 
     def verify(batches):
         held: list[pa.RecordBatch] = []
@@ -146,7 +160,7 @@ def grid_links(prints: DataFrame, *, bits_col: str = "fingerprint_bits", node_co
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 3, rule: str = "bits") -> DataFrame:
     """One row a document: id_col, fingerprint (16 hex digits) and component_id, the smallest id reachable over links.
 
     Fingerprints that differ in at most ``radius`` bits are linked, those of texts without words like any other. Equal
@@ -154,7 +168,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     component's smallest node names it. Rows with a null id take part like others but name no component: one of theirs
     alone has a null component_id; their nodes lie above all ids, so an id of 2**62 or more is an error. Other columns
     go; repeated rows stay.
+
+    With ``rule`` "shingles" texts are linked by their shingles themselves, of which 0.8 or more must be common:
+    fingerprints near enough to propose all such pairs are too many, so ``near_copies`` finds them, and there is no
+    fingerprint in the result; ``radius`` isn't used.
     """
+    if rule == "shingles":
+        return near_copies(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words)
     top = F.lit(2**62)
     prints = durable(fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))))
     least = F.when(F.col("least") >= top, F.raise_error(F.lit("ids end below 2**62")).cast("long")).otherwise(F.col("least"))

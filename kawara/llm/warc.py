@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import durable
+
 #: Headers that a not-modified answer may update in the stored response (fixed values); the rest of it is ignored.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 
+#: Profiles of revisits that say the server answered "not modified" (fixed values).
+NOT_MODIFIED = ("http://netpreserve.org/warc/1.0/revisit/server-not-modified", "http://netpreserve.org/warc/1.1/revisit/server-not-modified")
+
 _URL = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?"
 
 
@@ -41,26 +46,39 @@ def _etag(headers: Column) -> Column:
     return F.regexp_replace(F.try_element_at(headers, F.lit("etag")), r"^W/", "")
 
 
-def resolve_revisits(records: DataFrame, *, bucket_seconds: int = 3600) -> DataFrame:
+def resolve_revisits(records: DataFrame, *, bucket_seconds: int = 3600, hot_records: int = 1 << 16) -> DataFrame:
     """One row a revisit: record_id, canonical_url, date, outcome, response_id, status, headers, payload.
 
     ``records`` has record_id long, record_type ('response' or 'revisit'), url, date timestamp, status int, headers
-    map<string, string> and payload string. A revisit stands for the latest strictly earlier full response (status
+    map<string, string> and payload string, and may have profile string, a revisit's WARC-Profile (none: not
+    modified). A revisit stands for the latest strictly earlier full response (status
     200) to its canonical URL; of responses of one instant, the one with the largest id. outcome:
 
     - resolved: the entity tags agree under weak comparison or, if either side has none, the modification dates do;
       the row has the response's status and payload, and its headers with the permitted ones of the revisit put over
       them;
-    - mismatch: the validators disagree; no_validator: there is none to compare; no_response: nothing earlier. These
-      rows keep the revisit's own status and headers, and have no payload; response_id says what was compared.
+    - mismatch: the validators disagree; no_validator: there is none to compare; no_response: nothing earlier;
+      other_profile: the revisit is of another kind, as one of an identical payload, which validators don't judge.
+      These rows keep the revisit's own status and headers, and have no payload; response_id says what was compared
+      (nothing for another profile).
 
     The as-of join has two levels, so a URL with most of the records doesn't meet in one task: within a bucket of
     ``bucket_seconds`` a window finds the latest response, and each bucket's last one is carried to later buckets.
-    Payloads are joined by id in the end. Records with a null URL, date or id of the response take no part as
+    Buckets are cut finer, to a second, for URLs that have more than ``hot_records`` records in one. Payloads are
+    joined by id in the end; of several responses with one id, the latest counts, of equal dates the one with the
+    largest status, headers and payload. Records with a null URL, date or id of the response take no part as
     responses; such revisits have no_response. Repeated rows stay; extra columns go; no rows, none.
     """
-    rows = records.select("record_id", "record_type", canonical_url(F.col("url")).alias("url"), "date", "status", lower_headers(F.col("headers")).alias("headers"), F.unix_micros("date").alias("at"))
-    rows = rows.withColumn("bucket", F.floor(F.col("at") / F.lit(bucket_seconds * 1_000_000)).cast("long"))
+    profile = F.col("profile") if "profile" in records.columns else F.lit(None).cast("string")
+    records = records.withColumn("profile", profile)
+    rows = records.select("record_id", "record_type", canonical_url(F.col("url")).alias("url"), "date", "status", lower_headers(F.col("headers")).alias("headers"), F.unix_micros("date").alias("at"), (F.col("profile").isNull() | F.col("profile").isin(*NOT_MODIFIED)).alias("plain"))
+    coarse = lambda seconds: F.floor(F.col("at") / F.lit(seconds * 1_000_000)).cast("long")
+    full_buckets = rows.where("url IS NOT NULL AND at IS NOT NULL").groupBy("url", coarse(bucket_seconds).alias("bucket")).agg(F.count("*").alias("n")).where(F.col("n") > hot_records)
+    hot = durable(full_buckets.select("url").distinct().withColumn("hot", F.lit(True)))
+    # a bucket is named by its first second, so that fine and coarse ones have one order
+    rows = rows.withColumn("bucket", coarse(bucket_seconds) * bucket_seconds)
+    if not hot.isEmpty():
+        rows = rows.join(hot, "url", "left").withColumn("bucket", F.when(F.col("hot"), coarse(1)).otherwise(F.col("bucket"))).drop("hot")
     full = (F.col("record_type") == "response") & (F.col("status") == 200) & F.col("record_id").isNotNull()
     found = F.when(full, F.struct("at", "record_id", _etag(F.col("headers")).alias("etag"), F.try_element_at("headers", F.lit("last-modified")).alias("modified")))
     rows = rows.withColumn("found", found)
@@ -76,18 +94,22 @@ def resolve_revisits(records: DataFrame, *, bucket_seconds: int = 3600) -> DataF
     near = known.withColumn("near", F.max("found").over(within)).where("record_type = 'revisit'").join(carried, ["url", "bucket"])
     near = near.withColumn("of", F.coalesce("near", "carried"))
     lost = rows.where("record_type = 'revisit' AND (url IS NULL OR at IS NULL)")
-    both = near.select("record_id", "url", "date", "status", "headers", "of").unionByName(lost.select("record_id", "url", "date", "status", "headers", F.lit(None).cast(near.schema["of"].dataType).alias("of")))
+    kept = ["record_id", "url", "date", "status", "headers", "plain"]
+    both = near.select(*kept, "of").unionByName(lost.select(*kept, F.lit(None).cast(near.schema["of"].dataType).alias("of")))
+    both = both.withColumn("of", F.when(F.col("plain"), F.col("of")))
 
     tag, modified = _etag(F.col("headers")), F.try_element_at("headers", F.lit("last-modified"))
     outcome = (
-        F.when(F.col("of").isNull(), "no_response")
+        F.when(~F.col("plain"), "other_profile")
+        .when(F.col("of").isNull(), "no_response")
         .when(tag.isNotNull() & F.col("of.etag").isNotNull(), F.when(tag == F.col("of.etag"), "resolved").otherwise("mismatch"))
         .when(modified.isNotNull() & F.col("of.modified").isNotNull(), F.when(modified == F.col("of.modified"), "resolved").otherwise("mismatch"))
         .otherwise("no_validator")
     )
     both = both.withColumn("outcome", outcome).withColumn("response_id", F.col("of.record_id")).withColumn("wanted", F.when(F.col("outcome") == "resolved", F.col("of.record_id")))
-    stored = records.where("record_type = 'response' AND status = 200 AND record_id IS NOT NULL").select(F.col("record_id").alias("wanted"), F.col("status").alias("stored_status"), lower_headers(F.col("headers")).alias("stored"), "payload")
-    stored = stored.dropDuplicates(["wanted"])
+    stored = records.where("record_type = 'response' AND status = 200 AND record_id IS NOT NULL").select(F.col("record_id").alias("wanted"), F.col("status").alias("stored_status"), lower_headers(F.col("headers")).alias("stored"), "payload", "date")
+    last = F.max(F.struct("date", "stored_status", F.map_entries("stored").alias("entries"), "payload")).alias("s")
+    stored = stored.groupBy("wanted").agg(last).select("wanted", "s.stored_status", F.map_from_entries("s.entries").alias("stored"), "s.payload")
     out = both.join(stored, "wanted", "left")
     hit = F.col("wanted").isNotNull()
     updates = F.map_filter("headers", lambda k, v: k.isin(*PERMITTED))

@@ -45,3 +45,23 @@ def test_wrapped_without_armour(width, by):
 def test_dsa():
     assert secrets.is_private_key(DSA) and not secrets.is_private_key(DSA + b"\0")
     assert not secrets.is_private_key(der(0x30, der(2, b"\0"), *[der(2, b"\1")] * 4))
+
+
+@pytest.mark.parametrize("before", ["key/", "path/to/key-", "x_", "a+", "MIIB/"])
+def test_glued(before):
+    for data in (PKCS8, DSA):
+        run = base64.b64encode(data).decode()
+        assert keys(f"é {before}{run}, z") == [(2 + len(before), 2 + len(before) + len(run))]
+        assert keys(f"{before}{run[:-8]}") == []
+
+
+def test_touching_spans():
+    rows = [{"start": 2, "end": 4}, {"start": 4, "end": 6}, {"start": 3, "end": 5}, {"start": 8, "end": 9}]
+    assert secrets._masked("ab0123cdX.", rows, "[]") == "ab[]cd[]."
+    assert secrets._masked("0123", [{"start": 0, "end": 4}, {"start": 0, "end": 2}], "[]") == "[]"
+
+
+def test_long_text_with_many_spans():
+    text = "token=abcdef01 é " * 100_000
+    found = [{"start": a, "end": b} for _, a, b in secrets.find_secrets(text)]
+    assert len(found) == 100_000 and secrets._masked(text, found, "[S]") == "[S] é " * 100_000

@@ -34,7 +34,7 @@ def test_recall(spark, sf):
     assert all(x == sorted(x, key=lambda p: (-p[1], p[0])) for x in by.values())
     exact = {(q, i): s for q, x in want.items() for i, s in x}
     assert all(exact.get((q, i), s) == s for q, x in by.items() for i, s in x)
-    assert np.mean([len({i for i, _ in by[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.93
+    assert np.mean([len({i for i, _ in by[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.95
 
 
 def test_norms_and_copies(spark):
@@ -49,12 +49,31 @@ def test_norms_and_copies(spark):
     assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == 100][:3] == [i for i, _ in want[100]][:3]
 
 
+def test_very_long_vectors(spark):
+    """A few vectors of another order of length are found, and the others' neighbours aren't lost beside them."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(20, 8))
+    vectors = centres[rng.integers(0, 20, 3000)] + 0.1 * rng.normal(size=(3000, 8))
+    vectors[[5, 700]] *= 1e6
+    vectors[9] *= 1e200
+    df = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<double>")
+    got = ann.search(df, df.where("vec_id % 50 = 0"), 20, least_met=100).collect()
+    with np.errstate(over="ignore"):
+        want = brute(list(range(3000)), vectors, range(0, 3000, 50), 20)
+    assert np.mean([len({r.vec_id for r in got if r.query_id == q} & {i for i, _ in x}) / 20 for q, x in want.items()]) >= 0.95
+    assert {r.vec_id for r in got if r.query_id == 700} >= {i for i, _ in want[700][:3]}
+
+
 def test_few_and_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (8, [-1.0, 0.0]), (9, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [tuple(r) for r in ann.search(df, df, 20).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 0.5), (0, 2, 8, -1.0), (1, 1, 0, 0.5), (1, 2, 8, -0.5), (8, 1, 1, -0.5), (8, 2, 0, -1.0)]
+    more = df.union(spark.createDataFrame([(20, [2.0]), (21, [-3.0]), (22, [1.0, 2.0, 3.0])], df.schema))
+    assert [tuple(r) for r in ann.search(more, more, 20).where("query_id IN (7, 20, 21, 22)").orderBy("query_id", "rank").collect()] == [(7, 1, 20, 2.0), (7, 2, 21, -3.0), (20, 1, 7, 2.0), (20, 2, 21, -6.0), (21, 1, 7, -3.0), (21, 2, 20, -6.0)]
+    named = df.select("*", *[F.lit("c").alias(n) for n in ("id", "vector", "bucket", "lists", "wide", "copy")])
+    assert [tuple(r) for r in ann.search(named, named, 20).orderBy("query_id", "rank").collect()] == got
     assert ann.search(df.limit(0), df).count() == 0 and ann.search(df, df.limit(0)).count() == 0
 
 
@@ -113,5 +132,18 @@ def test_revisits(spark):
             assert r.payload is None and r.status == 304 and r.headers == mine
 
 
+def test_profiles_ties_and_hot_urls(spark):
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    plain, same = warc.NOT_MODIFIED[0], "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+    tag = lambda t: {"ETag": t}
+    rows = [(1, "response", "http://a/", at(0), 200, tag("x"), "old", None), (1, "response", "http://a/", at(1), 200, tag("x"), "b", None), (1, "response", "http://a/", at(1), 200, tag("x"), "c", None)]
+    rows += [(10 + i, "response", "http://a/", at(100 + i), 200, tag(f"t{i}"), f"p{i}", None) for i in range(50)]
+    rows += [(200, "revisit", "http://a/", at(50), 304, tag("x"), None, plain), (201, "revisit", "http://a/", at(200), 304, tag("t49"), None, None), (202, "revisit", "http://a/", at(200), 200, tag("t49"), None, same), (203, "revisit", "http://a/", at(5000), 304, tag("t49"), None, plain), (204, "revisit", "http://a/", at(110), 304, tag("t9"), None, plain)]
+    df = spark.createDataFrame(rows, "record_id long, record_type string, url string, date timestamp, status int, headers map<string,string>, payload string, profile string")
+    for hot in (10, 1000):
+        got = {r.record_id: (r.outcome, r.response_id, r.payload) for r in warc.resolve_revisits(df, hot_records=hot).collect()}
+        assert got == {200: ("resolved", 1, "c"), 201: ("resolved", 59, "p49"), 202: ("other_profile", None, None), 203: ("resolved", 59, "p49"), 204: ("resolved", 19, "p9")}
+
+
 def test_no_records(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], "record_id long, record_type string, url string, date timestamp, status int, headers map<string,string>, payload string")).count() == 0
