@@ -20,7 +20,7 @@ from .operators.durable import numbered, shared_folder
 from .operators.serving import Filters
 from .plans import ingest, maintain, views
 from .sources import feeds
-from .sources.schema import SCHEMAS, quarantine
+from .sources.schema import SCHEMAS, Tables, quarantine
 from .streaming import poll
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,10 +194,14 @@ def cards(spark, d):
     return pages_of.cards(served(spark, d), _today())
 
 
+def _matching(spark: SparkSession, d: str, f: Filters, hidden: DataFrame | None = None) -> DataFrame:
+    return views.matching(stores(spark, d), links(spark, d), articles(spark, d), sources(spark, d), f, _today(), hidden)
+
+
 def _filtered(name: str, f: Filters, condition: str) -> None:
     @query(_TABLES + f"SELECT id, date, sources FROM served WHERE {condition}", name)
     def run(spark, d):
-        return pages_of.apply_filters(served(spark, d), f, _today()).select("id", "date", _json("sources").alias("sources"))
+        return _matching(spark, d, f).select("id", "date", _json("sources").alias("sources"))
 
 
 for _n in (3, 7, 30):
@@ -224,7 +228,7 @@ def _hidden(spark):
 
 @query(_TABLES + "SELECT id, name FROM served WHERE id NOT IN ('1', '5', '9', '77', 'nobody')")
 def filter_hidden(spark, d):
-    return pages_of.apply_filters(served(spark, d), Filters(), _today(), _hidden(spark)).select("id", "name")
+    return _matching(spark, d, Filters(), _hidden(spark)).select("id", "name")
 
 
 @query(_TABLES + "SELECT count(*) AS n FROM served WHERE id IN ('1', '5', '9', '77', 'nobody')")
@@ -234,7 +238,7 @@ def hidden_count(spark, d):
 
 @query(_TABLES + f"SELECT pref, count(*) AS n FROM served WHERE date >= DATE '{TODAY}' - 7 GROUP BY pref")
 def filtered_counts(spark, d):
-    return maintain.count_by(pages_of.apply_filters(served(spark, d), Filters(within_days=7), _today()))
+    return maintain.count_by(_matching(spark, d, Filters(within_days=7)))
 
 
 def _ordered(name: str, order: str, keys: str) -> None:
@@ -252,19 +256,33 @@ _ordered("sort_collated", "genre", "genre, date DESC")
 _ordered("sort_rank_list", "pref", f"list_position({_PREFS}, pref), date DESC")
 
 
-@query(_TABLES + "SELECT DISTINCT city AS value FROM served WHERE pref = '東京都'")
-def facet_city_by_pref(spark, d):
-    return pages_of.facets(served(spark, d), "東京都").where("facet = 'city'").select("value")
+def _facet(name: str, facet: str, sql: str, pref: str = "") -> None:
+    @query(_TABLES + f"SELECT value, row_number() OVER (ORDER BY value) AS position FROM (SELECT DISTINCT {sql})", name)
+    def run(spark, d):
+        return views.facets(stores(spark, d), links(spark, d), articles(spark, d), sources(spark, d), pref).where(F.col("facet") == facet).select("value", "position")
+
+
+_facet("facet_city_by_pref", "city", "city AS value FROM served WHERE pref = '東京都'", "東京都")
+_facet("facet_genre", "genre", "genre AS value FROM served")
+_facet("facet_nested_sources", "source", "name AS value FROM told WHERE store_id IN (SELECT id FROM stores)")
+
+#: Genres with a colour of their own and one without, in the Japanese order: kana by sound, then kanji by their place in JIS X 0208.
+_LISTED = ["イタリアン", "カフェ", "そば", "タイ料理", "フレンチ", "ラーメン", "沖縄料理", "海鮮", "居酒屋", "寿司", "焼肉", "中華", "和菓子"]
+
 
+def _listed(spark, d):
+    genre = F.element_at(F.array(*[F.lit(g) for g in _LISTED]), (F.col("id") * 5 % len(_LISTED) + 1).cast("int"))
+    return served(spark, d).withColumn("genre", genre)
 
-@query(_TABLES + "SELECT DISTINCT genre AS value FROM served")
-def facet_genre(spark, d):
-    return pages_of.facets(served(spark, d)).where("facet = 'genre'").select("value")
 
+@query(_TABLES + f"SELECT id, row_number() OVER (ORDER BY id::BIGINT * 5 % {len(_LISTED)}, date DESC, id::BIGINT) AS position FROM served")
+def sort_japanese_genres(spark, d):
+    return numbered(_listed(spark, d).select("id", "date", "genre", "pref", "open_date"), pages_of.order_keys("genre"), "position").select("id", "position")
 
-@query(_TABLES + "SELECT DISTINCT name AS value FROM told WHERE store_id IN (SELECT id FROM stores)")
-def facet_nested_sources(spark, d):
-    return pages_of.facets(served(spark, d)).where("facet = 'source'").select("value")
+
+@query(_TABLES + f"SELECT id, ([{_quoted(['#2d5f3f', '#7c6f64', '#4a5c3a', '#6a7f3a', '#3a5a82', '#d97706', '#c95d4a', '#6b7280', '#c4554d', '#143d5c', '#8b1e1e', '#9b2226', '#6b4226'])}])[id::BIGINT * 5 % {len(_LISTED)} + 1] AS colour FROM served")
+def card_colours(spark, d):
+    return _listed(spark, d).select("id", pages_of.genre_colour(F.col("genre")).alias("colour"))
 
 
 @query(f"""SELECT o_orderkey, CASE WHEN n > 0 THEN '🎉 ' || md || ' オープン予定（あと' || n || '日）' WHEN n = 0 THEN '🎉 本日 ' || md || ' オープン！' WHEN n >= -7 THEN '🎉 ' || md || ' オープン（' || -n || '日前）' ELSE '🎉 ' || md || ' オープン' END AS label, n >= 0 AS future
@@ -352,6 +370,27 @@ def probe_split(spark, d):
     return maintain.probe_split(parts.select("url"), counts, parts.where("p_brand = 'Brand#2'"))
 
 
+_PROBED = """, found AS (SELECT p_partkey AS url, CASE WHEN p_size % 4 = 0 THEN -1 ELSE p_size % 3 END::BIGINT AS items FROM part WHERE p_size <> 7),
+split AS (SELECT p_partkey AS url, p_type AS pref, CASE WHEN p_brand = 'Brand#2' THEN 'known' WHEN coalesce(items, -1) > 0 THEN 'fresh' ELSE 'dead' END AS status FROM part LEFT JOIN found ON url = p_partkey)
+"""
+
+
+def _probed(spark, d):
+    parts = _read(spark, d, "part").select(F.col("p_partkey").alias("url"), F.col("p_type").alias("pref"), "p_size", "p_brand")
+    counts = parts.where("p_size != 7").select("url", F.when(F.col("p_size") % 4 == 0, -1).otherwise(F.col("p_size") % 3).cast("long").alias("items"))
+    return maintain.probe_split(parts.select("url", "pref"), counts, parts.where("p_brand = 'Brand#2'"))
+
+
+@query(_TABLES + _PROBED + "SELECT s AS status, count(split.status) AS n FROM (VALUES ('fresh'), ('dead'), ('known')) t(s) LEFT JOIN split ON split.status = s GROUP BY s")
+def probe_summary(spark, d):
+    return maintain.probe_counts(_probed(spark, d))
+
+
+@query(_TABLES + _PROBED + "SELECT url, pref, row_number() OVER (ORDER BY pref, url) AS position FROM split WHERE status = 'fresh'")
+def probe_fresh(spark, d):
+    return numbered(_probed(spark, d).where("status = 'fresh'"), maintain.fresh_order(), "position").select("url", "pref", "position")
+
+
 @query(_TABLES + "SELECT id, name FROM sources WHERE enabled AND (name ILIKE '%nation_1%' OR url ILIKE '%nation_1%')")
 def sources_by_keyword(spark, d):
     return maintain.find_sources(sources(spark, d), "nation_1").select("id", "name")
@@ -411,15 +450,26 @@ def dedupe_exact_key(spark, d):
     return keyed.join(keyed.groupBy("key").agg(F.min("doc_id").alias("leader")), "key").select("doc_id", "leader")
 
 
-@query()
+#: The sequential definition of resolution over r (i from 1, tel, name, area): each step sees the stores made before it.
+_FOLD = """f(i, store, made, tels, names) AS (SELECT 0::BIGINT, NULL::BIGINT, false, []::VARCHAR[], []::VARCHAR[]
+  UNION ALL SELECT i, coalesce(hit, len(tels) + 1), hit IS NULL, CASE WHEN hit IS NULL THEN list_append(tels, tel) ELSE tels END, CASE WHEN hit IS NULL THEN list_append(names, name) ELSE names END
+  FROM (SELECT r.i, r.tel, r.name, f.tels, f.names, coalesce(CASE WHEN r.tel IS NOT NULL THEN nullif(list_position(f.tels, r.tel), 0) END, nullif(list_position(f.names, r.name), 0))::BIGINT AS hit FROM f JOIN r ON r.i = f.i + 1)),
+placed AS (SELECT r.*, f.store AS store_id, f.made FROM f JOIN r USING (i)),
+resolved AS (SELECT p.* EXCLUDE (made), CASE WHEN NOT p.made THEN 'merged' WHEN s.first IS NULL THEN 'new' ELSE 'soft' END AS outcome, s.first AS duplicate_of_id FROM placed p
+  LEFT JOIN (SELECT p.i, min(o.store_id) AS first FROM placed p JOIN placed o ON p.made AND o.made AND o.i < p.i AND o.area = p.area AND list_contains(string_split(o.name, '-'), left(p.name, 4)) GROUP BY p.i) s USING (i))
+"""
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY c_custkey) AS i, c_custkey AS rank, CASE WHEN c_custkey % 3 <> 0 THEN floor(c_acctbal)::BIGINT::VARCHAR END AS tel, lower(c_mktsegment[1:4]) || '-' || (c_custkey % 997) AS name, c_nationkey AS area FROM customer),
+{_FOLD} SELECT rank, outcome, store_id, duplicate_of_id FROM resolved""")
 def dedupe_leader(spark, d):
-    """Customers resolved in order against each other, by the last digits of their balance and a part of their name."""
-    rows = _read(spark, d, "customer").select(F.col("c_custkey").alias("rank"), F.when(F.col("c_custkey") % 3 != 0, F.format_string("%.0f", F.col("c_acctbal"))).alias("tel_normalized"), F.concat_ws("-", F.lower("c_mktsegment"), (F.col("c_custkey") % 997).cast("string")).alias("name_normalized"), F.col("c_nationkey").cast("string").alias("pref"), F.lit("").alias("city"))
+    """Customers resolved in order against each other, by the whole part of their balance and a part of their name."""
+    rows = _read(spark, d, "customer").select(F.col("c_custkey").alias("rank"), F.when(F.col("c_custkey") % 3 != 0, F.floor("c_acctbal").cast("long").cast("string")).alias("tel_normalized"), F.concat_ws("-", F.lower(F.substring("c_mktsegment", 1, 4)), (F.col("c_custkey") % 997).cast("string")).alias("name_normalized"), F.col("c_nationkey").cast("string").alias("pref"), F.lit("").alias("city"))
     return resolve.resolve(rows, rows.limit(0).withColumnRenamed("rank", "id")).select("rank", "outcome", "store_id", "duplicate_of_id")
 
 
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
-def group_counts_run(spark, d):
+def count_by_language(spark, d):
     return maintain.count_by(_read(spark, d, "documents"), "lang")
 
 
@@ -447,7 +497,14 @@ def first_image(spark, d):
     return spark.createDataFrame(_IMAGES, "id int, html string").select("id", html.first_image(F.col("html")).alias("image"))
 
 
-@query()
+_BODY = "regexp_extract(html, '(?s)<body>(.*?)(?:</body>|\\z)', 1)"
+for _tag in ("script", "style", "nav", "footer"):
+    _BODY = f"regexp_replace({_BODY}, '(?s)<{_tag}>.*?(?:</{_tag}>|\\z)', '', 'g')"
+_ENTITY = lambda t: f"replace(replace({t}, '&middot;', '·'), '&copy;', '©')"
+
+
+@query(f"""WITH p AS (SELECT page_id, {_sql_strip(_ENTITY("regexp_extract(html, '(?s)<article>(.*?)(?:</article>|\\z)', 1)"))} AS article, {_SQL_TAGLESS.format("regexp_extract(html, '(?s)<article>(.*?)(?:</article>|\\z)', 1)")} AS loose, {_sql_strip(_ENTITY(_BODY))} AS body FROM pages)
+SELECT page_id, md5(left(CASE WHEN length(trim(loose)) > 200 THEN article ELSE body END, 10000)) AS text_md5, NULL::VARCHAR AS thumbnail FROM p""")
 def main_content(spark, d):
     main = html.main_content(F.col("html"))
     return _read(spark, d, "pages").select("page_id", main.alias("main")).select("page_id", F.md5("main.text").alias("text_md5"), "main.thumbnail")
@@ -471,16 +528,31 @@ def known_url_skip(spark, d):
 # ---- feeds and polls
 
 
+def _feeds_of(rows: DataFrame, key: str, item: Column) -> DataFrame:
+    """One feed a source (source_id, xml) of items in order of ``key``."""
+    one = rows.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, item.alias("item")))), lambda x: x["item"]), "").alias("items"))
+    return one.select("source_id", F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>")).alias("xml"))
+
+
+def _page_feeds(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "pages").withColumn("source_id", F.col("page_id") % 10 + F.expr("page_id div 1000") * 10)
+    return _feeds_of(rows, "page_id", F.format_string("<item><title>T&amp;%d</title><link>%s#a=1&b=2</link></item>", "page_id", "url"))
+
+
+@query("SELECT page_id % 10 + page_id // 1000 * 10 AS source_id, count(*) AS items FROM pages GROUP BY ALL UNION ALL VALUES (-1, -1), (-2, 0)")
+def feed_item_counts(spark, d):
+    """Items of each feed, of one that is no XML and of one without items."""
+    more = spark.createDataFrame([(-1, "<rss>"), (-2, "<rss><channel></channel></rss>")], "source_id long, xml string")
+    return feeds.item_counts(_page_feeds(spark, d).union(more), "source_id")
+
+
 @query("SELECT page_id % 10 AS source_id, page_id // 10 AS ordinal, 'T&' || page_id AS title, url || '#a=1&b=2' AS link, false AS broken FROM pages UNION ALL SELECT -1, NULL, NULL, NULL, true")
 def feed_items(spark, d):
     """The pages' addresses written as feeds whose ampersands are bare, and read again; one feed is no XML.
 
     A source's pages are written in parts of up to 100, so that no feed grows with the table.
     """
-    one = F.format_string("<item><title>T&amp;%d</title><link>%s#a=1&b=2</link></item>", "page_id", "url")
-    rows = _read(spark, d, "pages").groupBy((F.col("page_id") % 10 + F.expr("page_id div 1000") * 10).alias("source_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", one.alias("item")))), lambda x: x["item"]), "").alias("items"))
-    written = rows.select("source_id", F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>")).alias("xml"))
-    out = feeds.feed_items(written.union(spark.createDataFrame([(-1, "<rss>")], "source_id long, xml string")))
+    out = feeds.feed_items(_page_feeds(spark, d).union(spark.createDataFrame([(-1, "<rss>")], "source_id long, xml string")))
     return out.select((F.col("source_id") % 10).alias("source_id"), (F.col("ordinal") + F.expr("source_id div 10") * 100).cast("long").alias("ordinal"), "title", "link", "broken")
 
 
@@ -491,7 +563,7 @@ def source_templates(spark, d):
 
 
 @query("SELECT DISTINCT event_id, user_id, event_type FROM events")
-def incremental_ingest(spark, d):
+def append_once(spark, d):
     """Events taken in by a stream, and by another one that starts over: the second adds nothing."""
     schema = _read(spark, d, "events").schema
     folder = shared_folder(spark)
@@ -525,17 +597,25 @@ _TEXTS = [
     (19, "", "", ""),
     (20, "１２．「焼肉 にくまる」　リニューアルオープン", "神奈川県横浜市西区南幸1-6-31 045-321-1111 5月3日に開業", "神奈川県"),
 ]
-_ROWS = f"WITH r(id, title, content, pref) AS (VALUES {_values(_TEXTS)})"
+#: Each document with one of the texts: its title, and its content before the document's own.
+_ROWS = f"""WITH l(n, title, content, pref) AS (VALUES {_values(_TEXTS)}),
+r AS (SELECT doc_id AS id, title, content || ' ' || coalesce(text, '') AS content, pref FROM documents JOIN l ON n = doc_id % {len(_TEXTS)} + 1)"""
 
 
 def _texts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_TEXTS, "id int, title string, content string, pref string")
 
 
+def _long_texts(spark: SparkSession, d: str) -> DataFrame:
+    one = F.element_at(F.array(*[F.struct(*[F.lit(v).cast("string").alias(c) for c, v in zip(("title", "content", "pref"), row[1:])]) for row in _TEXTS]), (F.col("doc_id") % len(_TEXTS) + 1).cast("int"))
+    rows = _read(spark, d, "documents").select("doc_id", "text", one.alias("of"))
+    return rows.select(F.col("doc_id").alias("id"), "of.title", F.concat("of.content", F.lit(" "), F.coalesce("text", F.lit(""))).alias("content"), "of.pref")
+
+
 def _on_texts(name: str, sql: str, column: Callable[[], Column]) -> None:
     @query(f"{_ROWS} SELECT id, {sql} AS value FROM r", name)
     def run(spark, d):
-        return _texts(spark).select("id", column().alias("value"))
+        return _long_texts(spark, d).select("id", column().alias("value"))
 
 
 _T, _C, _BOTH = "coalesce(title, '')", "coalesce(content, '')", "concat_ws(' ', title, content)"
@@ -614,6 +694,85 @@ def update_genres(spark, d):
     return changes.update(stores(spark, d), read.select("id", F.lit("urgent").alias("genre"))).select("id", "genre")
 
 
+_NEWS = [("ラーメンの話", "寿司と鮨"), ("news", "寿司と鮨とカフェ"), ("news", "なし"), ("news", "うどん")]
+
+
+@query(_TABLES + """, one AS (SELECT store_id AS id, min(article_id) AS article_id FROM links GROUP BY store_id)
+SELECT s.id, coalesce(CASE article_id % 4 WHEN 0 THEN 'ラーメン' WHEN 1 THEN '寿司' WHEN 3 THEN 'うどん' END, CASE WHEN s.id % 5 = 0 THEN 'ラーメン' ELSE s.genre END) AS genre FROM stores s LEFT JOIN one USING (id)""")
+def reclassify_genres(spark, d):
+    """Stores whose first article tells another genre than theirs."""
+    news = F.element_at(F.array(*[F.struct(F.lit(t).alias("title"), F.lit(c).alias("content")) for t, c in _NEWS]), (F.col("id") % 4 + 1).cast("int"))
+    read = articles(spark, d).select("id", news.alias("n")).select("id", "n.*")
+    known = stores(spark, d).withColumn("genre", F.when(F.col("id") % 5 == 0, "ラーメン").otherwise(F.col("genre"))).withColumn("updated_at", F.lit(None).cast("timestamp"))
+    return maintain.reclassify(known, links(spark, d), read, F.lit(TODAY).cast("timestamp")).select("id", "genre")
+
+
+@query("SELECT 'stores' AS name, 0::BIGINT AS n")
+def truncate_stores(spark, d):
+    return changes.truncate(stores(spark, d)).agg(F.lit("stores").alias("name"), F.count("*").alias("n"))
+
+
+#: Customers as news: no food (0), a chain (1), a source without a city (2), else a shop with a name and maybe a phone,
+#: which others share. A source has up to 100 of them.
+_NEWS_ROWS = """k AS (SELECT c_custkey AS key, c_custkey % 11 AS kind, c_custkey // 100 * 3 + CASE WHEN c_custkey % 11 = 2 THEN 2 ELSE c_custkey % 2 END AS source_id, c_custkey // 100 % 2 AS batch,
+  CASE WHEN c_custkey % 5 <> 0 THEN '03' || lpad((c_custkey % 389)::VARCHAR, 4, '0') || '5678' END AS tel, '麺屋' || lpad((c_custkey % 83)::VARCHAR, 2, '0') || CASE WHEN c_custkey % 13 = 0 THEN '' ELSE (c_custkey % 7) || '号' END AS name FROM customer)"""
+
+
+def _sql_news(order: str) -> str:
+    return f"""WITH RECURSIVE {_NEWS_ROWS}, a AS (SELECT *, row_number() OVER (ORDER BY {order}) AS article_id FROM k WHERE kind <> 0),
+r AS (SELECT row_number() OVER (ORDER BY article_id) AS i, article_id, tel, name, 0 AS area FROM a WHERE kind > 2), {_FOLD}
+SELECT 'article' AS side, article_id AS id, 'https://news.example/' || key AS other FROM a
+UNION ALL SELECT 'store', store_id, name || ' ' || coalesce(tel, '-') || ' ' || coalesce(duplicate_of_id::VARCHAR, '-') FROM resolved WHERE outcome <> 'merged'
+UNION ALL SELECT 'link', store_id, article_id::VARCHAR FROM resolved"""
+
+
+_NEWS_COUNTS = " UNION ALL SELECT 'count', n, status FROM (SELECT CASE kind WHEN 1 THEN 'chain' ELSE 'incomplete' END AS status, count(*) AS n FROM a WHERE kind < 3 GROUP BY ALL UNION ALL SELECT CASE outcome WHEN 'merged' THEN 'merged' ELSE 'added' END, count(*) FROM resolved GROUP BY ALL)"
+
+
+def _news(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Feeds (source_id, xml, fetched_at) and their sources."""
+    key = F.col("c_custkey")
+    kind, padded = key % 11, lambda n, w: F.lpad((key % n).cast("string"), w, "0")
+    name = F.concat(F.lit("麺屋"), padded(83, 2), F.when(key % 13 == 0, "").otherwise(F.concat((key % 7).cast("string"), F.lit("号"))))
+    title = F.when(kind == 0, "美容室オープン").when(kind == 1, F.concat(F.lit("カフェ「スターバックス"), name, F.lit("」オープン"))).otherwise(F.concat(F.lit("ラーメン「"), name, F.lit("」オープン")))
+    body = F.when(key % 5 != 0, F.concat(F.lit("電話 03-"), padded(389, 4), F.lit("-5678"))).otherwise("とんこつ")
+    item = F.concat(F.lit("<item><title>"), title, F.lit("</title><link>https://news.example/"), key.cast("string"), F.lit("</link><description>"), body, F.lit("</description></item>"))
+    rows = _read(spark, d, "customer").select(key, (F.expr("c_custkey div 100") * 3 + F.when(kind == 2, 2).otherwise(key % 2)).cast("long").alias("source_id"), item.alias("item"))
+    written = _feeds_of(rows, "c_custkey", F.col("item")).withColumn("fetched_at", F.lit("2026-04-23").cast("timestamp"))
+    known = rows.select(F.col("source_id").alias("id")).distinct().select("id", F.lit("東京都").alias("pref"), F.when(F.col("id") % 3 != 2, "北区").alias("city"), F.lit(True).alias("enabled"))
+    return written, known
+
+
+def _told(new_articles: DataFrame, new_stores: DataFrame, joined: DataFrame) -> DataFrame:
+    out = new_articles.select(F.lit("article").alias("side"), "id", F.col("article_url").alias("other"))
+    out = out.union(new_stores.select(F.lit("store"), "id", F.concat_ws(" ", "name_normalized", F.coalesce("tel_normalized", F.lit("-")), F.coalesce(F.col("duplicate_of_id").cast("string"), F.lit("-")))))
+    return out.union(joined.select(F.lit("link"), "store_id", F.col("article_id").cast("string")))
+
+
+@query(_sql_news("source_id, key") + _NEWS_COUNTS)
+def ingest_run(spark, d):
+    """One batch of news taken into empty tables: articles, stores, links, and the run's counts."""
+    written, known = _news(spark, d)
+    nothing = lambda t: spark.createDataFrame([], SCHEMAS[t])
+    out = ingest.ingest(written, _read(spark, d, "pages").select("url", "html"), known, nothing("articles"), nothing("stores"), F.lit("2026-04-23").cast("timestamp"))
+    return _told(out.articles, out.stores, out.links).union(out.counts.select(F.lit("count"), "n", "status"))
+
+
+@query(_sql_news("batch, source_id, key"))
+def poll_twice(spark, d):
+    """The news landing in two parts, polled after each and once more: what is known isn't taken in again."""
+    written, known = _news(spark, d)
+    folder = shared_folder(spark)
+    tables = Tables(spark, f"{folder}/tables").create()
+    tables.append("sources", known.select("*", *[F.col("id").cast("string").alias(c) for c in ("name", "url")], *[F.lit(None).cast("string").alias(c) for c in ("rss_url", "source_type")], *[F.lit(None).cast("timestamp").alias(c) for c in ("last_crawled_at", "created_at")]), -1)
+    pages = _read(spark, d, "pages").select("url", "html")
+    first = F.expr("source_id div 3") % 2 == 0
+    for part in (written.where(first), written.where(~first), written.where(first).limit(3)):
+        part.write.mode("append").parquet(f"{folder}/feeds")
+        poll.poll(spark, f"{folder}/feeds", pages, tables, f"{folder}/progress").awaitTermination()
+    return _told(tables.read("articles"), tables.read("stores"), tables.read("store_articles"))
+
+
 @query()
 def ingest_batch(spark, d):
     """The literal texts as one feed a prefecture, ingested into empty tables: the stores made."""

@@ -34,6 +34,24 @@ _OPENS_TOO = r"(?:オープン|OPEN|開店|開業|グランドオープン)"
 _FULL_DATE = r"(\d{4})[年/\-.](\d{1,2})[月/\-.](\d{1,2})"
 _STATION = rf"(?<![{_RUN}])([{_RUN}]{{2,6}}駅)"
 
+#: Fixed patterns and words of headlines: their beginnings, a review's phrase, endings, and what opens or closes.
+_HEAD_BRACKETS, _HEAD_NUMBER = r"【[^】]*】\s*", r"^\s*\d+[.、]\s*"
+_HEAD_DATE = r"(?iu)^(?:\d{4}年)?\d{1,2}月\d{1,2}日\s*(?:に|の)?\s*(?:オープン|OPEN|開店|開業|グランドオープン|新規オープン)(?:予定)?[、,\s]*"
+_QUOTED = "「([^」]+)」|『([^』]+)』"
+_REVIEWED = rf"{_OPENS}[、,\s]+([^、。]{{2,30}}?)(?:で(?:頂く|いただく|味わう|食べ|楽し|堪能|楽しむ)|にて)"
+_HEAD_END = r"[！!？?。]*\s*\z"
+_NEWS = [rf"[、。]?\s*{day}\s*{_OPENS_TOO}(?:予定)?{_HEAD_END}" for day in (r"\d{1,4}年\d{1,2}月\d{1,2}日", r"\d{1,2}月\d{1,2}日", r"\d{1,2}月")] + [
+    rf"[、。]?\s*(?:に|で|へ|が|は|を)?\s*(?:新規)?{_OPENS_TOO}(?:予定|へ)?{_HEAD_END}"
+]
+_TALK = r"[、。]?\s*(?:注目|話題|大人気)\s*\z"
+_SHOP = r"(?:専門店|食堂|レストラン|ダイニング|カフェ|酒場|バル|ビストロ|店)"
+_STYLED = rf"[にへ]「[^」]{{2,}}」|[にへ][^{WHITE}、。]{{0,14}}{_SHOP}(?:が|、|を|[{WHITE}]|\z)"
+_OPENING_TITLES = ["オープン", "OPEN", "開店", "開業"]
+_OPENING_ARTICLES = ["オープン", "OPEN", "開店", "開業", "新規オープン", "新店"]
+_OPENING_TEXTS = ["オープン", "開店", "開業", "グランドオープン", "新規開店", "新装開店"]
+_CLOSING = ["閉店", "閉業", "ラストデー", "ラストオーダー終了"]
+_OPENING_AGAIN = "(?i)オープン|OPEN|開店|開業|グランドオープン|新規開店|New Open|NEW OPEN"
+
 
 def nonblank(col: Column) -> Column:
     """The text, or null where it is empty (as after a pattern without a match)."""
@@ -165,29 +183,26 @@ def extract_genre(text: Column, title: Column | None = None) -> Column:
 
 def extract_store_name(title: Column) -> Column:
     """The shop's name in a headline: a quotation, the name in a review's phrase, or what is left without the news."""
-    text = F.trim(F.regexp_replace(F.regexp_replace(normalize_text(title), r"【[^】]*】\s*", ""), r"^\s*\d+[.、]\s*", ""))
-    text = F.trim(F.regexp_replace(text, rf"(?iu)^(?:\d{{4}}年)?\d{{1,2}}月\d{{1,2}}日\s*(?:に|の)?\s*(?:オープン|OPEN|開店|開業|グランドオープン|新規オープン)(?:予定)?[、,\s]*", ""))
+    text = F.trim(F.regexp_replace(F.regexp_replace(normalize_text(title), _HEAD_BRACKETS, ""), _HEAD_NUMBER, ""))
+    text = F.trim(F.regexp_replace(text, _HEAD_DATE, ""))
 
     def name(found: Column) -> Column:
         found = F.trim(found)
         return F.when((utf16_length(found) >= 2) & ~found.isin(*words.NAME_REJECTS), found)
 
-    quoted = F.regexp_extract(text, "「([^」]+)」|『([^』]+)』", 0)
+    quoted = F.regexp_extract(text, _QUOTED, 0)
     quoted = name(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
-    reviewed = name(extract(text, rf"{_OPENS}[、,\s]+([^、。]{{2,30}}?)(?:で(?:頂く|いただく|味わう|食べ|楽し|堪能|楽しむ)|にて)"))
-    end = r"[！!？?。]*\s*\z"
-    news = [rf"[、。]?\s*{day}\s*{_OPENS_TOO}(?:予定)?{end}" for day in (r"\d{1,4}年\d{1,2}月\d{1,2}日", r"\d{1,2}月\d{1,2}日", r"\d{1,2}月")]
-    news.append(rf"[、。]?\s*(?:に|で|へ|が|は|を)?\s*(?:新規)?{_OPENS_TOO}(?:予定|へ)?{end}")
-    once = lambda t: reduce(lambda t, p: F.trim(F.regexp_replace(t, p, "")), news, t)
+    reviewed = name(extract(text, _REVIEWED))
+    once = lambda t: reduce(lambda t, p: F.trim(F.regexp_replace(t, p, "")), _NEWS, t)
     # each useful pass takes four characters at least, so this many passes reach the fixpoint
     rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), (F.length(text) / 2).cast("int")))
-    rest = F.aggregate(rounds, text, lambda t, _: F.when(any_of(t, ["オープン", "OPEN", "開店", "開業"]), once(t)).otherwise(t))
-    rest = F.trim(F.regexp_replace(rest, r"[、。]?\s*(?:注目|話題|大人気)\s*\z", ""))
+    rest = F.aggregate(rounds, text, lambda t, _: F.when(any_of(t, _OPENING_TITLES), once(t)).otherwise(t))
+    rest = F.trim(F.regexp_replace(rest, _TALK, ""))
     return F.coalesce(quoted, reviewed, F.when((rest != "") & ~rest.isin(*words.NAME_REJECTS), rest))
 
 
 def is_opening_article(title: Column, content: Column) -> Column:
-    return any_of(F.concat_ws(" ", title, content), ["オープン", "OPEN", "開店", "開業", "新規オープン", "新店"])
+    return any_of(F.concat_ws(" ", title, content), _OPENING_ARTICLES)
 
 
 def extract_station(text: Column) -> Column:
@@ -200,10 +215,8 @@ def is_food_opening(title: Column, content: Column) -> Column:
     """Whether an article announces a new place to eat."""
     title, content = F.coalesce(title, F.lit("")), F.coalesce(content, F.lit(""))
     text = F.concat(title, F.lit(" "), content)
-    shop = r"(?:専門店|食堂|レストラン|ダイニング|カフェ|酒場|バル|ビストロ|店)"
-    styled = title.rlike(rf"[にへ]「[^」]{{2,}}」|[にへ][^{WHITE}、。]{{0,14}}{shop}(?:が|、|を|[{WHITE}]|\z)")
-    opening = any_of(title, words.TITLE_OPENINGS) | (styled & any_of(content, ["オープン", "開店", "開業", "グランドオープン", "新規開店", "新装開店"]))
-    closing = any_of(title, ["閉店", "閉業", "ラストデー", "ラストオーダー終了"]) & ~title.rlike("(?i)オープン|OPEN|開店|開業|グランドオープン|新規開店|New Open|NEW OPEN")
+    opening = any_of(title, words.TITLE_OPENINGS) | (title.rlike(_STYLED) & any_of(content, _OPENING_TEXTS))
+    closing = any_of(title, _CLOSING) & ~title.rlike(_OPENING_AGAIN)
     return opening & ~any_of(title, words.TITLE_REJECTS) & ~closing & ~any_of(text, words.NON_FOOD) & any_of(text, words.FOOD)
 
 

@@ -23,11 +23,12 @@ def upsert(table: DataFrame, rows: DataFrame, key: list[str], *, order: Column |
     """``table`` with ``rows`` merged on ``key``: known keys take the supplied columns, others are inserted.
 
     Columns that ``rows`` doesn't supply keep their value, so they are unchanged by a second run. Of rows with one key
-    the last by ``order`` counts (any one without it). A null key equals no key and is inserted. Where the table has
+    the last by ``order`` counts; of equals, or without an order, the one with the largest columns. A null key equals no key and is inserted. Where the table has
     an id, new rows are numbered after the largest by their key.
     """
     supplied = [c for c in rows.columns if c not in key]
-    latest = F.max_by(F.struct(*supplied, F.lit(True).alias("found")), order if order is not None else F.lit(0)) if supplied else F.first(F.struct(F.lit(True).alias("found")))
+    ranks = F.struct(*([order.alias("order")] if order is not None else []), *supplied)
+    latest = F.max_by(F.struct(*supplied, F.lit(True).alias("found")), ranks) if supplied else F.first(F.struct(F.lit(True).alias("found")))
     keyed = " AND ".join(f"{k} IS NOT NULL" for k in key)
     last = rows.where(keyed).groupBy(*key).agg(latest.alias("given"))
     known = table.join(last, key, "left")

@@ -40,14 +40,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def numbered(df: DataFrame, order: list[Column], name: str, start: int = 1) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], name: str, start: int = 1, *, written: bool = False) -> DataFrame:
     """``df`` with ``name``: start, start + 1, ... in ``order``, which must be total for numbers that don't change.
 
-    Rows are written first, as ranges are found by a sample of them; then they are dealt by ranges of the order and
-    numbered in their own partition, and only the partitions' counts are added up. No rows, no numbers.
+    Rows are written first, unless they are read from what is ``written`` already, as ranges are found by a sample of
+    them; then they are dealt by ranges of the order and numbered in their own partition, and only the partitions'
+    counts are added up. No rows, no numbers.
     """
     at, part = f"{name}__at", f"{name}__part"
-    given = durable(df)
+    given = df if written else durable(df)
     rows = given.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
     rows = durable(rows.withColumn(part, F.shiftright(at, 33)), replaces=given)
     counts = sorted(tuple(r) for r in rows.groupBy(part).count().collect())  # a row a partition

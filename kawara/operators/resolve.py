@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .durable import durable, numbered
@@ -18,6 +18,20 @@ def name_tokens(name: Column) -> Column:
     return F.array_distinct(F.filter(F.split(name, r"[^\p{L}\p{N}]+", -1), lambda t: t != ""))
 
 
+def _parts(name: Column, longest: int, starts: Column) -> Column:
+    """The distinct parts of a name of up to ``longest`` characters that begin at ``starts``, an array of places from 1."""
+    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(name) - i + 1)), lambda n: F.substr(name, i, n)))))
+
+
+#: How a store's name answers for an item's first characters: by a whole run of letters and digits, by its beginning,
+#: or anywhere. Each gives what a name is known by, so a match is a join on equal keys.
+SIMILAR = {
+    "token": name_tokens,
+    "prefix": lambda name: F.when(F.length(name) > 0, _parts(name, PREFIX, F.array(F.lit(1)))),
+    "trigram": lambda name: F.when(F.length(name) > 0, _parts(name, PREFIX, F.sequence(F.lit(1), F.length(name)))),
+}
+
+
 def _first(rows: DataFrame, key: str, at: str, name: str) -> DataFrame:
     """The least ``at`` of each value of ``key``; nulls have none."""
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(at).alias(name))
@@ -60,7 +74,7 @@ def leaders(items: DataFrame, *, rank: str = "rank", keys: tuple[str, ...] = ("t
     return items.join(reduce(DataFrame.unionByName, decided), rank)
 
 
-def resolve(items: DataFrame, stores: DataFrame, *, rank: str = "rank", first_id: int | None = None) -> DataFrame:
+def resolve(items: DataFrame, stores: DataFrame, *, rank: str = "rank", first_id: int | None = None, similar: str = "token") -> DataFrame:
     """``items`` with outcome ('merged', 'soft' or 'new'), store_id and duplicate_of_id.
 
     ``items`` has tel_normalized, name_normalized, pref, city and ``rank``, distinct and ordered as the items came;
@@ -68,8 +82,9 @@ def resolve(items: DataFrame, stores: DataFrame, *, rank: str = "rank", first_id
 
     - is merged into the store with its phone number, else into that with its name, anywhere, that was known before
       it, from an earlier batch or from this one;
-    - else makes a new store, soft if a store before it in its city has a name of which one run of letters and digits
-      equals the item's first four characters; duplicate_of_id is that store.
+    - else makes a new store, soft if a store before it in its city has a name that is ``similar``: one run of its
+      letters and digits equals the item's first four characters ("token"), it begins with them ("prefix") or has them
+      anywhere ("trigram"); duplicate_of_id is that store.
 
     Where several stores fit, the one with the least id does. Merged items add no keys, so this isn't the same as
     connected components. New stores are numbered in order of rank from ``first_id``, or after the largest id. Null
@@ -84,10 +99,10 @@ def resolve(items: DataFrame, stores: DataFrame, *, rank: str = "rank", first_id
     known_name = _first(near(name), name, "id", "known_name")
     found = durable(_with(_with(items, known_tel, tel), known_name, name))
     fresh = found.where("known_tel IS NULL AND known_name IS NULL")
-    led = durable(leaders(fresh.select(rank, tel, name, "pref", "city"), rank=rank, keys=(tel, name)))
+    led = leaders(fresh.select(rank, tel, name, "pref", "city"), rank=rank, keys=(tel, name))
     if first_id is None:
         first_id = (stores.agg(F.max("id")).first()[0] or 0) + 1
-    made = durable(numbered(led.where("leads").select(rank, tel, name, "pref", "city"), [F.col(rank)], "store_id", first_id))
+    made = numbered(led.where("leads").select(rank, tel, name, "pref", "city"), [F.col(rank)], "store_id", first_id)
 
     # of the stores made here, at most one has a number or a name
     by_tel = made.where(F.col(tel).isNotNull()).select(tel, F.col(rank).alias("tel_rank"), F.col("store_id").alias("tel_store"))
@@ -96,7 +111,7 @@ def resolve(items: DataFrame, stores: DataFrame, *, rank: str = "rank", first_id
     placed = _with(_with(found, by_tel, tel), by_name, name)
     placed = placed.withColumn("store_id", F.coalesce("known_tel", before("tel"), "known_name", before("name")))
 
-    words = lambda df, at: df.select("pref", "city", F.explode(name_tokens(F.col(name))).alias("word"), at)
+    words = lambda df, at: df.select("pref", "city", F.explode(SIMILAR[similar](F.col(name))).alias("word"), at)
     begun = made.withColumn("word", F.substring(name, 1, PREFIX))
     asked = begun.select("pref", "city", "word").distinct()
     old = words(stores, F.col("id").alias("at")).join(asked, ["pref", "city", "word"], "left_semi").groupBy("pref", "city", "word").agg(F.min("at").alias("old_store"))
@@ -109,11 +124,12 @@ def resolve(items: DataFrame, stores: DataFrame, *, rank: str = "rank", first_id
     return out.withColumn("outcome", outcome).select(*items.columns, "outcome", "store_id", "duplicate_of_id")
 
 
-def resolve_one_by_one(items: list[dict], stores: list[dict]) -> list[tuple[str, int, int | None]]:
+def resolve_one_by_one(items: list[dict], stores: list[dict], similar: str = "token") -> list[tuple[str, int, int | None]]:
     """What resolve() must return, item by item in order: the definition, for small inputs and tests."""
     import re
 
     known, out = [dict(s) for s in stores], []
+    like = {"token": lambda start, n: start in re.split(r"[\W_]+", n), "prefix": lambda start, n: n.startswith(start), "trigram": lambda start, n: start in n}[similar]
     next_id = max((s["id"] for s in known), default=0) + 1
     for x in items:
         hits = [s["id"] for s in known if x["tel_normalized"] is not None and s["tel_normalized"] == x["tel_normalized"]]
@@ -122,7 +138,7 @@ def resolve_one_by_one(items: list[dict], stores: list[dict]) -> list[tuple[str,
             out.append(("merged", min(hits), None))
             continue
         start = (x["name_normalized"] or "")[:PREFIX]
-        alike = [s["id"] for s in known if start and (s["pref"], s["city"]) == (x["pref"], x["city"]) and start in re.split(r"[\W_]+", s["name_normalized"] or "")]
+        alike = [s["id"] for s in known if start and (s["pref"], s["city"]) == (x["pref"], x["city"]) and like(start, s["name_normalized"] or "")]
         out.append(("soft" if alike else "new", next_id, min(alike, default=None)))
         known.append({**x, "id": next_id})
         next_id += 1

@@ -103,15 +103,6 @@ def apply_order(rows: DataFrame, order: str) -> DataFrame:
     return rows.orderBy(*order_keys(order))
 
 
-def facets(rows: DataFrame, pref: str = "") -> DataFrame:
-    """The choices that a reader has: (facet, value) of cities in the prefecture, genres and names of sources."""
-    kept = rows.where(F.col("pref") == pref) if pref else rows
-    cities = kept.select(F.lit("city").alias("facet"), F.col("city").alias("value"))
-    genres = rows.select(F.lit("genre").alias("facet"), F.col("genre").alias("value"))
-    names = rows.select(F.lit("source").alias("facet"), F.explode("sources.name").alias("value"))
-    return cities.union(genres).union(names).distinct()
-
-
 def month_day(date: Column) -> Column:
     """MM/DD of an ISO date."""
     return F.replace(F.substring(date, 6, 5), F.lit("-"), F.lit("/"))

@@ -34,15 +34,15 @@ def skip_known(items: DataFrame, link: str, articles: DataFrame, url: str) -> Da
     return items.join(known, link, "left_anti")
 
 
-def new_items(feeds: DataFrame, sources: DataFrame, articles: DataFrame) -> DataFrame:
-    """Items of enabled sources' feeds (source_id, xml, fetched_at) that aren't known by their link yet, with their source.
+def new_items(items: DataFrame, sources: DataFrame, articles: DataFrame) -> DataFrame:
+    """Items, as feed_items gives them, of enabled sources' feeds that aren't known by their link yet, with their source.
 
     Rows: source_id, ordinal, link, title, published_at, rss_text, thumbnail, src_pref, src_city. Items without a link
     and feeds that can't be read give none.
     """
     on = sources.where("enabled").select(F.col("id").alias("source_id"), F.col("pref").alias("src_pref"), F.col("city").alias("src_city"))
-    items = feed_items(feeds).where("NOT broken AND link IS NOT NULL AND link != ''").join(on, "source_id")
-    items = skip_known(durable(items), "link", articles, "article_url")
+    items = items.where("NOT broken AND link IS NOT NULL AND link != ''").join(on, "source_id")
+    items = skip_known(items, "link", articles, "article_url")
     raw = F.coalesce("html", F.lit(""))
     return items.select("source_id", "ordinal", "link", F.regexp_replace(F.coalesce("title", F.lit("")), rf"^[{text.WHITE}]+|[{text.WHITE}]+\z", "").alias("title"), published_at(F.col("published"), F.col("fetched_at")).alias("published_at"), html.strip_html(raw).alias("rss_text"), html.first_image(raw).alias("thumbnail"), "src_pref", "src_city")
 
@@ -92,11 +92,12 @@ def ingest(feeds: DataFrame, pages: DataFrame, sources: DataFrame, articles: Dat
     date of opening that the calendar lacks is null, and the item is listed in ``rejected`` with its reason, as are
     items without a readable date.
     """
-    items = new_items(feeds, sources, articles).where(text.is_food_opening(F.col("title"), F.col("rss_text")))
+    parsed = durable(feed_items(feeds))
+    items = new_items(parsed, sources, articles).where(text.is_food_opening(F.col("title"), F.col("rss_text")))
     read = durable(extracted(with_pages(durable(first_of_link(items)), pages)))
     order = [F.col("source_id"), F.col("ordinal")]
     first = (articles.agg(F.max("id")).first()[0] or 0) + 1
-    taken = durable(numbered(read.where("published_at IS NOT NULL"), order, "article_id", first))
+    taken = numbered(read.where("published_at IS NOT NULL"), order, "article_id", first, written=True)
     new_articles = taken.select(F.col("article_id").alias("id"), "source_id", F.col("link").alias("article_url"), "title", F.substring("content", 1, CONTENT).alias("content"), F.col("thumbnail").alias("thumbnail_url"), "published_at", F.lit(None).cast("string").alias("raw_html"), F.lit(True).alias("parsed"), now.alias("created_at"))
 
     named = F.col("name").isNotNull() & (F.col("name") != "") & text.nonblank(F.col("pref")).isNotNull() & (F.col("city") != "")
@@ -110,7 +111,7 @@ def ingest(feeds: DataFrame, pages: DataFrame, sources: DataFrame, articles: Dat
         (F.col("outcome") == "soft").alias("duplicate_flag"), "duplicate_of_id", now.alias("created_at"), now.alias("updated_at"), "nearest_station",
     )
     links = placed.select("store_id", "article_id")
-    crawled = feed_items(feeds).where("NOT broken").select("source_id").distinct()
+    crawled = parsed.where("NOT broken").select("source_id").distinct()
     reason = F.when(F.col("published_at").isNull(), "published_at").when(F.col("opening").isNotNull() & F.try_to_date("opening").isNull(), "open_date")
     rejected = read.select("source_id", "ordinal", "link", reason.alias("reason")).where("reason IS NOT NULL")
     counts = judged.where("state != 'candidate'").select(F.col("state").alias("status")).union(placed.select(F.when(F.col("outcome") == "merged", "merged").otherwise("added"))).groupBy("status").agg(F.count("*").alias("n"))

@@ -60,6 +60,16 @@ def probe_split(candidates: DataFrame, counts: DataFrame, known: DataFrame) -> D
     return rows.withColumn("status", status).drop("have")
 
 
+def probe_counts(split: DataFrame) -> DataFrame:
+    """(status, n): how many candidates are fresh, dead and known; none is 0."""
+    return split.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("fresh", "dead", "known")]).select(F.explode(F.array(*[F.struct(F.lit(s).alias("status"), F.col(s).alias("n")) for s in ("fresh", "dead", "known")])).alias("c")).select("c.*")
+
+
+def fresh_order() -> list[Column]:
+    """The order in which fresh candidates are listed: by prefecture, then address."""
+    return [F.collate("pref", "ja").asc(), F.col("pref").asc(), F.col("url").asc()]
+
+
 def latest(rows: DataFrame, at: str, n: int, key: str = "id") -> DataFrame:
     """The ``n`` latest rows for a report, of equals those with the larger key."""
     return rows.orderBy(F.col(at).desc(), F.col(key).desc()).limit(n)

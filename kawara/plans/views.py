@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.words import OTHER_GENRE
+from ..operators.durable import numbered
 from ..operators.serving import Filters, apply_filters, apply_order, predicate
 
 SERVED = ["id", "name", "addr", "pref", "city", "tel", "genre", "nearest_station", "open_date", "listed_date", "thumbnail_url", "duplicate_flag", "duplicate_of_id"]
@@ -60,15 +61,38 @@ def serving_rows(view: DataFrame) -> DataFrame:
     )
 
 
-def serve(stores: DataFrame, links: DataFrame, articles: DataFrame, sources: DataFrame, filters: Filters, today: Column, hidden: DataFrame | None = None) -> DataFrame:
-    """One lazy plan from the tables to the ordered rows of a page.
+def matching(stores: DataFrame, links: DataFrame, articles: DataFrame, sources: DataFrame, filters: Filters, today: Column, hidden: DataFrame | None = None) -> DataFrame:
+    """Serving rows that ``filters`` let pass, in no order.
 
-    Place and date filter the scan of stores; where they do, links of other stores go before their articles are joined
-    and gathered.
+    What a store's own columns decide filters the scan of stores; where that is asked for, links of other stores go
+    before their articles are joined and gathered.
     """
-    narrow = Filters(pref=filters.effective_pref, city=filters.city, within_days=filters.within_days)
+    genre = filters.genre if filters.genre != OTHER_GENRE else ""  # that one stands for none, too
+    narrow = Filters(pref=filters.effective_pref, city=filters.city, within_days=filters.within_days, genre=genre, require_tel=filters.require_tel, require_addr=filters.require_addr)
     if narrow != Filters():
-        wanted = stores.where(predicate(narrow, today, date="listed_date"))
-        links = links.join(wanted.select(F.col("id").alias("store_id")), "store_id", "left_semi")
-    rows = serving_rows(stores_with_sources(stores, links, articles, sources))
-    return apply_order(apply_filters(rows, filters, today, hidden), filters.order)
+        stores = stores.where(predicate(narrow, today, date="listed_date"))
+        links = links.join(stores.select(F.col("id").alias("store_id")), "store_id", "left_semi")
+    return apply_filters(serving_rows(stores_with_sources(stores, links, articles, sources)), filters, today, hidden)
+
+
+def serve(stores: DataFrame, links: DataFrame, articles: DataFrame, sources: DataFrame, filters: Filters, today: Column, hidden: DataFrame | None = None) -> DataFrame:
+    """One lazy plan from the tables to the ordered rows of a page."""
+    return apply_order(matching(stores, links, articles, sources, filters, today, hidden), filters.order)
+
+
+def facets(stores: DataFrame, links: DataFrame, articles: DataFrame, sources: DataFrame, pref: str = "") -> DataFrame:
+    """The choices that a reader has, sorted: (facet, value, position) of cities in the prefecture, genres and names of sources.
+
+    Cities and genres come from stores alone, names from the sources of articles that a store has; each side is made
+    distinct before it is joined on. A source without a name comes last, as null.
+    """
+    kept = stores.where(F.col("pref") == pref) if pref else stores
+    cities = kept.select(F.lit("city").alias("facet"), F.col("city").alias("value"))
+    genres = stores.select(F.lit("genre"), F.coalesce("genre", F.lit(OTHER_GENRE)))
+    told = links.join(stores.select(F.col("id").alias("store_id")), "store_id", "left_semi").select(F.col("article_id").alias("id"))
+    told = articles.select("id", "source_id").join(told, "id", "left_semi").select("source_id").distinct()
+    names = told.join(sources.select(F.col("id").alias("source_id"), "name"), "source_id", "left").select(F.lit("source"), "name")
+    values = cities.distinct().unionByName(genres.toDF("facet", "value").distinct()).unionByName(names.toDF("facet", "value").distinct())
+    placed = numbered(values, [F.col("facet").asc(), F.col("value").asc_nulls_last()], "position")
+    first = placed.groupBy("facet").agg(F.min("position").alias("first"))  # a row a facet
+    return placed.join(F.broadcast(first), "facet").select("facet", "value", (F.col("position") - F.col("first") + 1).alias("position"))
