@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -262,6 +263,23 @@ def test_grid_finds_every_link(spark):
     assert [got.get(i, i) for i in range(len(x))] == want.tolist()
 
 
+@pytest.mark.parametrize("same_half", [True, False])
+def test_hot_cells(spark, same_half):
+    """10^5 fingerprints in one cell, of which some pairs link; all halves equal, or all of one count."""
+    rng = np.random.default_rng(5)
+    n = 100_000
+    high = rng.integers(0, 2**32, n, dtype=np.uint64)
+    ones = rng.integers(0, 2, (n, 16), dtype=np.uint64) + np.uint64(1)  # each segment is 01 or 10
+    low = np.full(n, 0x55555555, np.uint64) if same_half else (ones << (2 * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+    bits = (high << np.uint64(32)) | low
+    bits[:300] = bits[300:600] ^ np.uint64(0b1011 << 40)
+    bits[600:700] = bits[700:800] ^ np.uint64((1 << 33) | (1 << 50) | 1)
+    df = spark.createDataFrame(pd.DataFrame({"node": np.arange(n), "fingerprint_bits": bits.view(np.int64)})).repartition(4)
+    links = {tuple(sorted((r.a, r.b))) for r in simhash.grid_links(df).distinct().collect()}
+    assert {(i, i + 300) for i in range(300)} | {(600 + i, 700 + i) for i in range(100)} <= links
+    assert all(int(bits[a] ^ bits[b]).bit_count() <= 3 for a, b in links)
+
+
 def test_simhash_null_ids(spark):
     rows = spark.createDataFrame([(None, "a b c d"), (None, "x y z"), (5, "a b c d")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(rows).collect()), key=str)
