@@ -47,7 +47,7 @@ class _Ids(dict):
         return out
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "text", block_bytes: int = 4 << 20, range_bytes: int = 8 << 20, row_words: int = 64) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "text", block_bytes: int = 4 << 20, range_bytes: int = 8 << 20, row_words: int = 64, decoded: bool = False) -> DataFrame:
     """``docs`` with token_ids (binary: little-endian unsigned 32-bit ids) in place of the text column.
 
     1. A task splits the texts by ``pattern`` and, for every block of about ``block_bytes``, keeps each text as places
@@ -63,11 +63,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "t
 
     Blocks are numbered by partition and arrival: ``docs`` is to be read from files, or written before (``durable``),
     so that a task that is run again meets the same rows in the same order. A null or empty text has no ids; repeated
-    rows stay; a column named token_ids is replaced.
+    rows stay; a column named token_ids is replaced. With ``decoded`` the ids are decoded again where they are put
+    together, as ``decode`` does, into a column of that name.
     """
-    docs = docs.drop("token_ids")
+    docs = docs.drop("token_ids", *["decoded"] * decoded)
     own, (count,) = fields(docs, (text_col,)), free(docs, "count")
-    after = T.StructType([*own, T.StructField("token_ids", T.BinaryType())])
+    after = T.StructType([*own, T.StructField("token_ids", T.BinaryType()), *[T.StructField("decoded", T.BinaryType())] * decoded])
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`"))).cast("long")).first()[0] or 0
     groups = max(8, -(-size // range_bytes))
     ranges = min(groups, max(8, block_bytes // 32 // row_words))  # a block has about a distinct pre-token for 32 bytes
@@ -99,7 +100,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "t
             lengths = [pack_ints(np.fromiter(map(len, x), np.uint32, len(x))) for x in found]
             yield pa.RecordBatch.from_arrays([pa.array(-1 - (used * split_by_block + number % split_by_block)), pa.array(used), pa.array([number.to_bytes(8, "little")] * len(used), pa.binary()), pa.array(lengths, pa.binary()), pa.array([squeeze(b"".join(x)) for x in found], pa.binary())], names)
 
-    encoding = []  # made once a task
+    encoding, tokens = [], []  # made once a task
 
     def encode_range(table: pa.Table) -> pa.Table:
         import zstandard
@@ -140,7 +141,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "t
                     lengths = size[places[a:b]]
                     ends = np.cumsum(lengths)
                     texts.append(ids[np.repeat(offset[places[a:b]] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)].tobytes())
-                out.append(table.drop_columns([count]).append_column("token_ids", pa.array(texts, pa.binary())))
+                texts = pa.array(texts, pa.binary())
+                table = table.drop_columns([count]).append_column("token_ids", texts)
+                if decoded:
+                    if not tokens:
+                        tokens.append(token_bytes(ranks_path))
+                    table = table.append_column("decoded", pa.chunked_array([join_bytes(tokens[0], texts.slice(at, 200)) for at in range(0, len(texts), 200)], pa.binary()))
+                out.append(table)
         return pa.concat_tables(out) if out else to_arrow(after).empty_table()
 
     pieces = docs.mapInArrow(split, "key long, range long, rows binary, places binary, words binary").repartition(partitions(docs, size, range_bytes), "key")
@@ -148,36 +155,44 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "t
     return pieces.groupBy("key").cogroup(coded.groupBy("key")).applyInArrow(put_together, after)
 
 
+def token_bytes(ranks_path: str) -> pa.Array:
+    """The token-byte table: each id's bytes, null for an id that no token has."""
+    ranks = read_ranks(ranks_path)
+    table: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for token, i in ranks.items():
+        table[i] = token
+    return pa.array(table, pa.large_binary())
+
+
+def join_bytes(tokens: pa.Array, ids: pa.Array) -> pa.Array:
+    """The bytes of each value of ``ids``, looked up in the table at once; null stays null, an id that it lacks is an error."""
+    flat = np.frombuffer(b"".join(x.as_py() or b"" for x in ids), "<u4")
+    got = tokens.take(pa.array(flat)) if not len(flat) or flat.max() < len(tokens) else None
+    if got is None or got.null_count:
+        raise ValueError("an id that the table lacks")
+    offsets = np.frombuffer(got.buffers()[1], "<i8", len(got) + 1, got.offset * 8) if len(got) else np.zeros(1, np.int64)
+    counts = np.asarray(pc.fill_null(pc.binary_length(ids), 0)) // 4
+    cuts = offsets[np.concatenate([[0], np.cumsum(counts)])]
+    data = memoryview(got.buffers()[2]) if len(got) else memoryview(b"")
+    return pa.array([None if not v else bytes(data[a:b]) for v, a, b in zip(ids.is_valid().to_pylist(), cuts, cuts[1:])], pa.binary())
+
+
 def decode(encoded: DataFrame, ranks_path: str, *, ids_col: str = "token_ids") -> DataFrame:
     """``encoded`` with decoded (binary): the bytes of its ids, by a join to the token-byte table.
 
     The table has a row for each id of the vocabulary, whatever the corpus, so every task holds it (a broadcast join),
     and the ids of a batch are looked up at once: a join of Spark's would need a row for each token and a shuffle to
-    put the texts together again. Null ids have null bytes, no ids have none, an id that the table
-    lacks is an error; a column named decoded is replaced.
+    put the texts together again. Null ids have null bytes, no ids have none, an id that the table lacks is an error; a
+    column named decoded is replaced.
     """
     encoded = encoded.drop("decoded")
     schema = T.StructType([*fields(encoded), T.StructField("decoded", T.BinaryType())])
 
     def join(batches):
-        ranks = read_ranks(ranks_path)
-        table: list[bytes | None] = [None] * (max(ranks.values()) + 1)
-        for token, i in ranks.items():
-            table[i] = token
-        tokens = pa.array(table, pa.large_binary())
+        tokens = token_bytes(ranks_path)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids = part.column(ids_col)
-                flat = np.frombuffer(b"".join(x.as_py() or b"" for x in ids), "<u4")
-                got = tokens.take(pa.array(flat)) if not len(flat) or flat.max() < len(table) else None
-                if got is None or got.null_count:
-                    raise ValueError("an id that the table lacks")
-                offsets = np.frombuffer(got.buffers()[1], "<i8", len(got) + 1, got.offset * 8) if len(got) else np.zeros(1, np.int64)
-                counts = np.asarray(pc.fill_null(pc.binary_length(ids), 0)) // 4
-                cuts = offsets[np.concatenate([[0], np.cumsum(counts)])]
-                data = memoryview(got.buffers()[2]) if len(got) else memoryview(b"")
-                out = [None if not v else bytes(data[a:b]) for v, a, b in zip(ids.is_valid().to_pylist(), cuts, cuts[1:])]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, join_bytes(tokens, part.column(ids_col))], schema.names)
 
     return encoded.mapInArrow(join, schema)

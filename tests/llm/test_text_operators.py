@@ -127,6 +127,8 @@ def test_bpe(name, block, request):
     out = bpe.decode(bpe.encode(df, RANKS, public_tokenizers.PATTERN, block_bytes=block, range_bytes=block), RANKS)
     got = sorted((r.doc_id, list(np.frombuffer(bytes(r.token_ids), "<u4")), bytes(r.decoded).decode()) for r in out.collect())
     assert got == sorted((i, whole.encode_ordinary(t), t) for i, t in texts(df))
+    both = bpe.encode(df.withColumn("decoded", F.lit("x")), RANKS, public_tokenizers.PATTERN, block_bytes=block, range_bytes=block, decoded=True)
+    assert sorted((r.doc_id, bytes(r.decoded).decode()) for r in both.collect()) == sorted(texts(df))
 
 
 def test_decode_edges(spark):
