@@ -8,6 +8,9 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Small row groups, whose size is looked at every ten rows: a task that writes wide rows holds few of them.
+SMALL = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 10}
+
 _written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -18,7 +21,7 @@ def durable(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     then, so a loop keeps the files of one round.
     """
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**SMALL).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _written[out] = path
     if replaces is not None:
