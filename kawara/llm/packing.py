@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .common import blocks, durable, fields, free
 
 #: Most words that a task keeps the ids of.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 300_000
 
 #: What tokens end with that end a word.
 MARK = "</w>"
@@ -201,7 +201,7 @@ def best_two_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def pack(pieces: DataFrame, *, length_col: str = "length", capacity: int = 4096, group_pieces: int = 1 << 15, group_tokens: int = 1 << 24) -> DataFrame:
+def pack(pieces: DataFrame, *, length_col: str = "length", capacity: int = 4096, group_pieces: int = 1 << 15, group_tokens: int = 1 << 23) -> DataFrame:
     """``pieces`` with sequence_id and offset: every row has a place in a sequence of at most ``capacity``, without gaps.
 
     The rows are dealt evenly into groups of about ``group_pieces`` rows and ``group_tokens`` at most, each packed by

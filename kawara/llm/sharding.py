@@ -29,7 +29,8 @@ def shard(docs: DataFrame, shards: int, *, group_cols: list[str], size_col: str
     Rows equal in ``group_cols`` (nulls equal each other) stay together. Groups of at least a parcel's size (the sum
     over shards * parcels_per_shard) are parcels of their own, of which there are at most shards * parcels_per_shard;
     smaller groups are bundled by hash into as many parcels, so the schedule's input is bounded whatever the data.
-    The parcels go by falling size to the least-loaded shard through a heap. A group larger than a shard's fair share
+    The parcels go by falling size to the least-loaded shard through a heap, so a shard passes its fair share by at
+    most the largest parcel. A group larger than a shard's fair share
     makes its shard the largest; no split could keep it together. Null sizes count as 0. Slots are numbered within
     ranges of about ``slot_rows`` and shifted by the counts before. No rows, no rows; columns named shard or slot are
     replaced.

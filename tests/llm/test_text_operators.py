@@ -357,6 +357,26 @@ def test_shards(spark, docs):
     assert set(loads) == set(range(6)) and max(loads.values()) - min(loads.values()) <= 0.01 * sum(loads.values())
 
 
+@pytest.mark.parametrize("parcels", [1, 20])
+def test_bundled_shards(spark, parcels):
+    """Many small groups in a few bundles: groups stay together, and no shard passes its share by more than the largest parcel."""
+    rng = np.random.default_rng(6)
+    rows = [(i, int(n), f"g{g}") for i, (n, g) in enumerate(zip(rng.integers(1, 100, 4000), rng.integers(0, 1500, 4000)))] + [(9000 + i, 50, "hot") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, size long, content string")
+    got = sharding.shard(df, 6, group_cols=["content"], parcels_per_shard=parcels, slot_rows=300).collect()
+    assert sorted((r.doc_id, r.size, r.content) for r in got) == sorted(rows)
+    homes, loads, slots, groups = {}, Counter(), {}, Counter()
+    for r in got:
+        assert homes.setdefault(r.content, r.shard) == r.shard
+        loads[r.shard] += r.size
+        groups[r.content] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    total = sum(loads.values())
+    largest = max(max(groups.values()), 2 * total / (6 * parcels))  # a bundle of evenly hashed groups is less than twice the mean
+    assert max(loads.values()) <= total / 6 + largest
+
+
 def test_shards_edges(spark):
     rows = spark.createDataFrame([(None, None, None, "x"), (1, 5, "a", "x"), (1, 5, "a", "x"), (2, 0, None, "x")], "doc_id long, size long, content string, lot string")
     got = sharding.shard(rows, 3, group_cols=["content"]).collect()
