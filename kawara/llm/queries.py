@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, ann, bpe, chat, fim, packing, quality, secrets, sharding, simhash, substrings, warc
+from . import align, ann, bpe, chat, fim, packing, quality, secrets, sharding, simhash, substrings, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -107,7 +107,14 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output"), "output_sha256"), digest(fim.restored(), "restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_byte_bpe, op4_substring_dedup, op5_simhash, op6_warc_revisits, op7_chat_format, op8_nearest_vectors, op9_secret_scan, op10_lpt_shards, op11_token_alignment, op12_fill_in_middle)}
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = toxicity.fit(docs, labels.where(~held_out))
+    return model.score(docs).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_byte_bpe, op4_substring_dedup, op5_simhash, op6_warc_revisits, op7_chat_format, op8_nearest_vectors, op9_secret_scan, op10_lpt_shards, op11_token_alignment, op12_fill_in_middle, op13_toxicity)}
 
 _STOP = ", ".join("'" + w + "'" for w in quality.stop_forms())
 
