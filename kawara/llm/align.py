@@ -8,13 +8,14 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import blocks, box, fields, free, pack_ints, pack_longs, partitions, to_arrow, unboxed, unpack_ints, unpack_longs
+from .common import blocks, box, fields, free, pack_ints, partitions, to_arrow, unboxed, unpack_ints
 
 #: Whatever any of the two may take for white space: the property of Unicode and four separators of ASCII.
 _WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -41,6 +42,9 @@ class Tokenizers:
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
+        sizes = np.zeros(max(self.a_bytes) + 1, np.int64)
+        sizes[list(self.a_bytes)] = [len(x) for x in self.a_bytes.values()]
+        self.a_sizes, self.b_sizes = sizes, np.array([len(x) for x in self.b_bytes], np.int64)
         self.lone_space = self.b.piece_to_id(_SPACE)
         self.cuts = cut_characters(p for i, p in enumerate(pieces) if not self.b.is_byte(i))
         if " " not in self.cuts:
@@ -77,26 +81,72 @@ def cut_characters(pieces) -> list[str]:
     return [c for c in " \t\n\x0b\x0c\r" if c not in held]
 
 
-def align_ids(a: list[int], a_sizes: list[int], b: list[int], b_sizes: list[int]) -> tuple[list[int], list[str]]:
-    """Links (a << 32 | b for each pair of tokens that share a byte) and groups between common ends."""
-    links, groups = [], []
-    i = j = i0 = j0 = 0
-    x, y = a_sizes[0], b_sizes[0]
-    while True:
-        links.append(a[i] << 32 | b[j])
-        if x == y:
-            i, j = i + 1, j + 1
-            groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-            if i == len(a):
-                return links, groups
-            i0, j0 = i, j
-            x, y = x + a_sizes[i], y + b_sizes[j]
-        elif x < y:
-            i += 1
-            x += a_sizes[i]
-        else:
-            j += 1
-            y += b_sizes[j]
+class Aligned:
+    """Segments' tokens and how they line up, flat: sizes (A tokens, B tokens, links) a segment, ids of A, ids of B, and
+    a step for each link, whether the tokens of both end there (BOTH) or only that of A or of B.
+
+    A link is a stretch of bytes between neighbouring ends, so links are as many as ends, and the ids of one follow from
+    the steps before it. A segment whose tokens don't spell it has none.
+    """
+
+    def __init__(self, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, steps: np.ndarray):
+        self.sizes, self.a, self.b, self.steps = sizes, a, b, steps
+
+    @classmethod
+    def of(cls, tokenizers: Tokenizers, segments: list[bytes]) -> Aligned:
+        sizes, a_ids, b_ids = np.zeros((3, len(segments)), np.int64), [], []
+        for at in range(0, len(segments), 5000):
+            part = segments[at : at + 5000]
+            for k, (segment, a, b) in enumerate(zip(part, *tokenizers.encode([s.decode() for s in part])), at):
+                if b"".join(map(tokenizers.a_bytes.__getitem__, a)) == segment == b"".join(map(tokenizers.b_bytes.__getitem__, b)):
+                    sizes[0, k], sizes[1, k] = len(a), len(b)
+                    a_ids += a
+                    b_ids += b
+        a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
+        a_ends, b_ends = np.cumsum(tokenizers.a_sizes[a]), np.cumsum(tokenizers.b_sizes[b])
+        ends = np.union1d(a_ends, b_ends)
+        in_a, in_b = (np.isin(ends, x, assume_unique=True) for x in (a_ends, b_ends))
+        last = np.concatenate([[0], np.searchsorted(ends, a_ends, "right")])[np.cumsum(sizes[0])]  # links up to each segment's end
+        sizes[2] = np.diff(last, prepend=0)
+        return cls(sizes, a, b, np.where(in_a & in_b, BOTH, np.where(in_a, ONLY_A, ONLY_B)).astype(np.uint8))
+
+    def take(self, of: np.ndarray) -> Aligned:
+        """The segments ``of``, in that order."""
+        flat = []
+        for values, n in zip((self.a, self.b, self.steps), self.sizes):
+            starts = np.cumsum(n) - n
+            flat.append(values[np.repeat(starts[of], n[of]) + _within(n[of])])
+        return Aligned(self.sizes[:, of], *flat)
+
+    def links(self) -> np.ndarray:
+        """Pairs of ids, a << 32 | b."""
+        place = lambda other: np.cumsum(self.steps != other) - (self.steps != other)
+        return self.a[place(ONLY_B)] << 32 | self.b[place(ONLY_A)]
+
+    def groups(self) -> np.ndarray:
+        """The number of groups of each segment: of ends that both share."""
+        return np.diff(np.concatenate([[0], np.cumsum(self.steps == BOTH)])[np.cumsum(self.sizes[2])], prepend=0)
+
+    def written(self, ids: pa.Array) -> tuple[memoryview, np.ndarray]:
+        """All segments' groups as text, each group followed by a semicolon, and where each segment's text begins; ``ids``
+        is ``written_ids``."""
+        third = len(ids) // 3
+        group = np.cumsum(self.steps == BOTH) - (self.steps == BOTH)
+        by_a, by_b = self.steps != ONLY_B, self.steps != ONLY_A  # where a token of each ends
+        order = np.argsort(np.concatenate([2 * group[by_a], 2 * group[by_b] + 1]), kind="stable")
+        shown = np.concatenate([self.a + third * (self.steps[by_a] == BOTH), self.b + 2 * third * (self.steps[by_b] == BOTH)])
+        got = ids.take(pa.array(shown[order]))
+        offsets = np.frombuffer(got.buffers()[1], "<i8", len(got) + 1, got.offset * 8) if len(got) else np.zeros(1, np.int64)
+        return memoryview(got.buffers()[2] or b"") if len(got) else memoryview(b""), offsets[np.concatenate([[0], np.cumsum(self.sizes[0] + self.sizes[1])])]
+
+
+#: Which tokens end where a link does.
+BOTH, ONLY_A, ONLY_B = 0, 1, 2
+
+
+def written_ids(n: int) -> pa.Array:
+    """The ids 0 to n - 1 with what follows them in a group's text: more of their side, the other side, the next group."""
+    return pa.array([f"{i}{end}" for end in ",|;" for i in range(n)], pa.large_string())
 
 
 class _Places(dict):
@@ -107,21 +157,6 @@ class _Places(dict):
         return n
 
 
-def _aligned(tokenizers: Tokenizers, segments: list[bytes]) -> list[tuple]:
-    """(A tokens, B tokens, groups, links, group text) of each; zeros where the tokens' bytes aren't the segment's."""
-    out = []
-    for at in range(0, len(segments), 5000):
-        part = segments[at : at + 5000]
-        for segment, a, b in zip(part, *tokenizers.encode([s.decode() for s in part])):
-            a_bytes, b_bytes = [tokenizers.a_bytes[i] for i in a], [tokenizers.b_bytes[i] for i in b]
-            if b"".join(a_bytes) == segment == b"".join(b_bytes):
-                links, groups = align_ids(a, list(map(len, a_bytes)), b, list(map(len, b_bytes)))
-                out.append((len(a), len(b), len(groups), links, ";".join(groups).encode()))
-            else:
-                out.append((0, 0, 0, [], b""))
-    return out
-
-
 def align(docs: DataFrame, byte_bpe_path: str, piece_path: str, *, text_col: str = "text", block_bytes: int = 4 << 20, range_bytes: int = 8 << 20, row_segments: int = 64) -> DataFrame:
     """``docs`` with n_a, n_b, n_groups, n_links, n_best, count_sum and groups in place of the text column.
 
@@ -185,8 +220,8 @@ def align(docs: DataFrame, byte_bpe_path: str, piece_path: str, *, text_col: str
             lengths = [pack_ints(np.fromiter(map(len, x), np.uint32, len(x))) for x in found]
             yield pa.RecordBatch.from_arrays([pa.array(-1 - (used * split_by_block + number % split_by_block)), pa.array(used), pa.array([number.to_bytes(8, "little")] * len(used), pa.binary()), pa.array(lengths, pa.binary()), pa.array([squeeze(b"".join(x)) for x in found], pa.binary())], names)
 
-    coded_schema = "key long, range long, sizes binary, links binary, texts binary, pair long, n long, best boolean"
-    coded_names = ["key", "range", "sizes", "links", "texts", "pair", "n", "best"]
+    coded_schema = "key long, range long, sizes binary, a binary, b binary, steps binary, pair long, n long, best boolean"
+    coded_names = [x.split()[0] for x in coded_schema.split(", ")]
 
     def align_range(table: pa.Table) -> pa.Table:
         import zstandard
@@ -197,88 +232,93 @@ def align(docs: DataFrame, byte_bpe_path: str, piece_path: str, *, text_col: str
             for lengths, words in zip(table["places"].to_pylist(), table["words"].to_pylist()):
                 ends = np.cumsum(unpack_ints(lengths), dtype=np.int64).tolist()
                 flat = zstandard.ZstdDecompressor().decompress(words)
-                asked.append([places[flat[a:e]] for a, e in zip([0, *ends], ends)])
-            known = _aligned(tokenizers(), list(places))
+                asked.append(np.array([places[flat[a:e]] for a, e in zip([0, *ends], ends)], np.int64))
+            known = Aligned.of(tokenizers(), list(places))
             for number, block, of in zip(table["range"].to_pylist(), table["rows"].to_pylist(), asked):
-                got = [known[i] for i in of]
-                sizes = np.array([(a, b, g, len(links), len(text)) for a, b, g, links, text in got], np.uint32)
-                out.append((int.from_bytes(block, "little"), number, pack_ints(sizes.T.reshape(-1)), pack_longs(np.array([x for g in got for x in g[3]], np.uint64)), squeeze(b"".join(g[4] for g in got))))
-        columns = list(zip(*out)) or [()] * 5
-        arrays = [pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
+                got = known.take(of)
+                out.append((int.from_bytes(block, "little"), number, pack_ints(got.sizes.reshape(-1)), pack_ints(got.a), pack_ints(got.b), squeeze(got.steps.tobytes())))
+        columns = list(zip(*out)) or [()] * 6
+        arrays = [pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), *[pa.binary()] * 4))]
         return pa.table([*arrays, pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.bool_())], coded_names)
 
-    def block_of(row: dict, right: pa.Table, texts: bool) -> tuple:
-        """A block's places, and its distinct segments' sizes, links and, if asked for, group texts."""
+    def block_of(row: dict, right: pa.Table) -> tuple[np.ndarray, Aligned]:
+        """A block's places, and its distinct segments as they were aligned."""
         import zstandard
 
         places, of = unpack_ints(row["places"]), unpack_ints(row["words"])
         by = np.argsort(of, kind="stable")
-        sizes, starts = np.zeros((5, len(of)), np.int64), np.searchsorted(of[by], right["range"].to_numpy())
-        links, said = np.zeros(len(of), object), np.zeros(len(of), object)
-        for start, packed, pairs, text in zip(starts, right["sizes"].to_pylist(), right["links"].to_pylist(), right["texts"].to_pylist()):
-            got = unpack_ints(packed).reshape(5, -1).astype(np.int64)
-            here = by[start : start + got.shape[1]]
-            sizes[:, here] = got
-            links[here] = _cut(unpack_longs(pairs).view(np.int64), got[3])
-            if texts:
-                said[here] = _cut(zstandard.ZstdDecompressor().decompress(text), got[4])
-        return places, sizes, np.concatenate([np.zeros(0, np.int64), *links]), said
-
-    def of_documents(row: dict, places: np.ndarray, sizes: np.ndarray) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        starts, order, parts = np.searchsorted(of[by], right["range"].to_numpy()), [np.zeros(0, np.int64)], []
+        for start, sizes, a, b, steps in zip(starts, *(right[c].to_pylist() for c in ("sizes", "a", "b", "steps"))):
+            parts.append((unpack_ints(sizes).reshape(3, -1).astype(np.int64), unpack_ints(a).astype(np.int64), unpack_ints(b).astype(np.int64), np.frombuffer(zstandard.ZstdDecompressor().decompress(steps), np.uint8)))
+            order.append(by[start : start + parts[-1][0].shape[1]])
+        order = np.concatenate(order)
+        if len(order) != len(of):
+            raise ValueError("segments came back without their alignment")
+        none = (np.zeros((3, 0), np.int64), *[np.zeros(0, np.int64)] * 2, np.zeros(0, np.uint8))
+        got = Aligned(*(np.concatenate(x, axis=-1) for x in zip(none, *parts)))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return places, got.take(back)
+
+    def of_documents(row: dict, places: np.ndarray, got: Aligned) -> tuple[pa.Table, np.ndarray, np.ndarray]:
         """The documents, the cuts of places between them, and which have tokens."""
         table = unboxed(row["rows"])
         cuts = np.concatenate([[0], np.cumsum(table[count].to_numpy())])
-        wrong = np.concatenate([[0], np.cumsum(sizes[0][places] == 0)])
+        wrong = np.concatenate([[0], np.cumsum(got.sizes[0][places] == 0)])
         return table, cuts, (np.diff(cuts) > 0) & (np.diff(wrong[cuts]) == 0)
 
     def count_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows and left["key"][0].as_py() >= 0:
             row = left.to_pylist()[0]
-            places, sizes, links, _ = block_of(row, right, False)
-            _, cuts, spelt = of_documents(row, places, sizes)
+            places, got = block_of(row, right)
+            _, cuts, spelt = of_documents(row, places, got)
             keep = np.repeat(spelt, np.diff(cuts))
             document = np.repeat(np.arange(len(spelt)), np.diff(cuts))[keep]
-            held = np.unique(document * len(sizes[0]) + places[keep]) if len(sizes[0]) else np.zeros(0, np.int64)  # segments once a document
-            document, segment = np.divmod(held, max(1, len(sizes[0])))
-            pairs, number = np.unique(links, return_inverse=True)
-            at = np.repeat((np.cumsum(sizes[3]) - sizes[3])[segment], sizes[3][segment]) + _within(sizes[3][segment])
-            held = np.unique(np.repeat(document, sizes[3][segment]) * max(1, len(pairs)) + number[at])
-            n = np.bincount(held % max(1, len(pairs)), minlength=len(pairs))
-            out = [pa.table([pa.array(np.full(np.count_nonzero(n), row["key"])), pa.array(pairs[n > 0]), pa.array(n[n > 0].astype(np.int64))], ["key", "pair", "n"])]
+            document, segment = np.divmod(pd.unique(document * max(1, got.sizes.shape[1]) + places[keep]), max(1, got.sizes.shape[1]))  # a segment once a document
+            number, pairs = pd.factorize(got.links())
+            n = got.sizes[2]
+            at = np.repeat((np.cumsum(n) - n)[segment], n[segment]) + _within(n[segment])
+            held = pd.unique(np.repeat(document, n[segment]) * max(1, len(pairs)) + number[at])
+            times = np.bincount(held % max(1, len(pairs)), minlength=len(pairs))
+            out = [pa.table([pa.array(np.full(np.count_nonzero(times), row["key"])), pa.array(pairs[times > 0]), pa.array(times[times > 0].astype(np.int64))], ["key", "pair", "n"])]
         return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64())] * 3, ["key", "pair", "n"])
 
+    shown: list[pa.Array] = []  # once a task
+
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or left["key"][0].as_py() < 0:
             return to_arrow(after).empty_table()
         row, counted = left.to_pylist()[0], right.filter(right["pair"].is_valid())
-        places, sizes, links, said = block_of(row, right.filter(right["range"].is_valid()), True)
-        table, cuts, spelt = of_documents(row, places, sizes)
+        places, got = block_of(row, right.filter(right["range"].is_valid()))
+        table, cuts, spelt = of_documents(row, places, got)
         pairs, n, best = (counted[c].to_numpy() for c in ("pair", "n", "best"))
-        order = np.argsort(pairs)
-        at = np.searchsorted(pairs[order], links)
-        known = at < len(pairs)  # a pair that only texts without tokens hold has no count
-        known[known] = pairs[order][at[known]] == links[known]
-        of = order[at[known]]
-        link_n, link_best = np.zeros(len(links), np.int64), np.zeros(len(links), np.int64)
-        link_n[known], link_best[known] = n[of], best[of]
-        ends = np.cumsum(sizes[3])
-        added = [np.concatenate([[0], np.cumsum(x)]) for x in (link_best, link_n)]
-        by_segment = [sizes[0], sizes[1], sizes[2], sizes[3], *[x[ends] - x[ends - sizes[3]] for x in added]]
+        links = got.links()
+        of = pd.Index(pairs).get_indexer(links)
+        of, known = np.maximum(of, 0), of >= 0  # a pair that only texts without tokens hold has no count
+        per_link = [np.where(known, x[of], 0) if len(x) else np.zeros(len(links), np.int64) for x in (best.astype(np.int64), n)]
+        ends = np.cumsum(got.sizes[2])
+        added = [np.concatenate([[0], np.cumsum(x)]) for x in per_link]
+        by_segment = [got.sizes[0], got.sizes[1], got.groups(), got.sizes[2], *[x[ends] - x[ends - got.sizes[2]] for x in added]]
         table = table.drop_columns([count])
         for name, values in zip(results, by_segment):
             total = np.concatenate([[0], np.cumsum(values[places])])[cuts]
             table = table.append_column(name, pa.array(np.where(spelt, np.diff(total), 0)))
-        texts = [b";".join(said[places[a:b]]) if x else b"" for a, b, x in zip(cuts, cuts[1:], spelt)]
+        if not shown:
+            shown.append(written_ids(max(len(tokenizers().a_sizes), len(tokenizers().b_sizes))))
+        text, begins = got.written(shown[0])
+        said = _cut(text, begins)
+        texts = [b"".join(said[places[a:b]])[:-1] if x else b"" for a, b, x in zip(cuts, cuts[1:], spelt)]
         return table.append_column("groups", pa.array(texts, pa.binary()).cast(pa.string()))
 
     n = partitions(docs, size, range_bytes)
     pieces = docs.mapInArrow(split, "key long, range long, rows binary, places binary, words binary").repartition(n, "key")
     coded = pieces.groupBy("key").applyInArrow(align_range, coded_schema).repartition(n, "key")
     met = pieces.groupBy("key").cogroup(coded.groupBy("key")).applyInArrow(count_pairs, "key long, pair long, n long").repartition(n, "pair")
-    counted = met.withColumn("n", F.sum("n").over(Window.partitionBy("pair"))).withColumn("a", F.shiftright("pair", 32))
-    highest = counted.groupBy("a").agg(F.max("n").alias("highest"))  # at most a row for each id of A
-    back = counted.join(F.broadcast(highest), "a").select("key", F.lit(None).cast("long").alias("range"), *[F.lit(None).cast("binary").alias(x) for x in ("sizes", "links", "texts")], "pair", "n", (F.col("n") == F.col("highest")).alias("best"))
+    counted = met.withColumn("n", F.sum("n").over(Window.partitionBy("pair"))).withColumn("id_a", F.shiftright("pair", 32))
+    # at most a row for each id of A; with the key, lest a narrower copy of the exchange be made for it
+    highest = counted.groupBy("id_a").agg(F.max(F.struct("n", "key")).alias("top")).select("id_a", F.col("top.n").alias("highest"))
+    back = counted.join(F.broadcast(highest), "id_a").select("key", F.lit(None).cast("long").alias("range"), *[F.lit(None).cast("binary").alias(x) for x in ("sizes", "a", "b", "steps")], "pair", "n", (F.col("n") == F.col("highest")).alias("best"))
     return pieces.groupBy("key").cogroup(coded.unionByName(back).groupBy("key")).applyInArrow(put_together, after)
 
 
@@ -287,9 +327,8 @@ def _within(sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def _cut(values, sizes: np.ndarray) -> np.ndarray:
-    """``values`` in pieces of these sizes, as an array of objects."""
-    out, ends = np.empty(len(sizes), object), np.cumsum(sizes).tolist()
-    for k, (a, b) in enumerate(zip([0, *ends], ends)):
-        out[k] = values[a:b]
+def _cut(values, bounds: np.ndarray) -> np.ndarray:
+    """``values`` in pieces between neighbouring bounds, as an array of objects."""
+    out, bounds = np.empty(len(bounds) - 1, object), bounds.tolist()
+    out[:] = [values[a:b] for a, b in zip(bounds, bounds[1:])]
     return out
