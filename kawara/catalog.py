@@ -334,15 +334,21 @@ def audit_suspicious(spark, d):
     return maintain.suspicious(_read(spark, d, "documents").withColumnRenamed("text", "name"), _PARTS).select("doc_id")
 
 
-@query(_TABLES + ", bad AS (SELECT id FROM stores WHERE name ILIKE '%77%' OR name ILIKE '%#00000001%') SELECT 'stores' AS side, id, NULL::BIGINT AS article_id FROM stores WHERE id NOT IN (FROM bad) UNION ALL SELECT 'links', store_id, article_id FROM links WHERE store_id NOT IN (FROM bad)")
+_CLEANED = _TABLES + ", bad AS (SELECT id FROM stores WHERE name ILIKE '%77%' OR name ILIKE '%#00000001%') SELECT 'stores' AS side, id, NULL::BIGINT AS article_id FROM stores WHERE id NOT IN (FROM bad) UNION ALL SELECT 'links', store_id, article_id FROM links WHERE store_id NOT IN (FROM bad)"
+
+
+@query(_CLEANED)
 def cleanup_noise(spark, d):
     kept, joined = maintain.clean_up(stores(spark, d), links(spark, d), ["77", "#00000001"])
     return kept.select(F.lit("stores").alias("side"), "id", F.lit(None).cast("long").alias("article_id")).union(joined.select(F.lit("links"), "store_id", "article_id"))
 
 
-@query(_TABLES + """, kept AS (SELECT id, duplicate_of_id FROM stores WHERE listed_date >= DATE '2026-01-20' - INTERVAL 2 YEAR), read AS (SELECT id FROM articles WHERE published_at >= DATE '2026-01-20' - INTERVAL 28 YEAR)
+_PURGED = _TABLES + """, kept AS (SELECT id, duplicate_of_id FROM stores WHERE listed_date >= DATE '2026-01-20' - INTERVAL 2 YEAR), read AS (SELECT id FROM articles WHERE published_at >= DATE '2026-01-20' - INTERVAL 28 YEAR)
 SELECT 'stores' AS side, id, CASE WHEN duplicate_of_id NOT IN (SELECT id FROM stores WHERE listed_date < DATE '2026-01-20' - INTERVAL 2 YEAR) THEN duplicate_of_id END AS other FROM kept UNION ALL SELECT 'articles', id, NULL FROM read
-UNION ALL SELECT 'links', store_id, article_id FROM links WHERE store_id IN (SELECT id FROM kept) AND article_id IN (SELECT id FROM read)""")
+UNION ALL SELECT 'links', store_id, article_id FROM links WHERE store_id IN (SELECT id FROM kept) AND article_id IN (SELECT id FROM read)"""
+
+
+@query(_PURGED)
 def purge_retention(spark, d):
     as_of = F.lit("2026-01-20").cast("date")
     shifted = articles(spark, d).withColumn("published_at", F.add_months("published_at", 26 * 12))
@@ -697,8 +703,11 @@ def update_genres(spark, d):
 _NEWS = [("ラーメンの話", "寿司と鮨"), ("news", "寿司と鮨とカフェ"), ("news", "なし"), ("news", "うどん")]
 
 
-@query(_TABLES + """, one AS (SELECT store_id AS id, min(article_id) AS article_id FROM links GROUP BY store_id)
-SELECT s.id, coalesce(CASE article_id % 4 WHEN 0 THEN 'ラーメン' WHEN 1 THEN '寿司' WHEN 3 THEN 'うどん' END, CASE WHEN s.id % 5 = 0 THEN 'ラーメン' ELSE s.genre END) AS genre FROM stores s LEFT JOIN one USING (id)""")
+_RECLASSIFIED = _TABLES + """, one AS (SELECT store_id AS id, min(article_id) AS article_id FROM links GROUP BY store_id)
+SELECT s.id, coalesce(CASE article_id % 4 WHEN 0 THEN 'ラーメン' WHEN 1 THEN '寿司' WHEN 3 THEN 'うどん' END, CASE WHEN s.id % 5 = 0 THEN 'ラーメン' ELSE s.genre END) AS genre FROM stores s LEFT JOIN one USING (id)"""
+
+
+@query(_RECLASSIFIED)
 def reclassify_genres(spark, d):
     """Stores whose first article tells another genre than theirs."""
     news = F.element_at(F.array(*[F.struct(F.lit(t).alias("title"), F.lit(c).alias("content")) for t, c in _NEWS]), (F.col("id") % 4 + 1).cast("int"))
@@ -707,6 +716,64 @@ def reclassify_genres(spark, d):
     return maintain.reclassify(known, links(spark, d), read, F.lit(TODAY).cast("timestamp")).select("id", "genre")
 
 
+# ---- changes that reach the tables, and what is read back
+
+
+def _stored(spark: SparkSession, d: str, articles_too: DataFrame | None = None, batches: int = 4) -> Tables:
+    """The catalogue's tables in a new folder, their rows dealt to batches by store."""
+    tables = Tables(spark, f"{shared_folder(spark)}/tables").create()
+    read = articles_too if articles_too is not None else articles(spark, d)
+    rows = {"stores": stores(spark, d).withColumn("batch", F.col("id") % batches), "store_articles": links(spark, d).withColumn("batch", F.col("store_id") % batches), "articles": read.withColumn("batch", F.col("id") % batches)}
+    for table, df in rows.items():
+        tables.append_batches(table, df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in tables.read(table).schema.fields if f.name not in df.columns]))
+    return tables
+
+
+@query(_PURGED)
+def purge_tables(spark, d):
+    tables = _stored(spark, d, articles(spark, d).withColumn("published_at", F.add_months("published_at", 26 * 12)))
+    tables.purge(F.lit("2026-01-20").cast("date"))
+    out = tables.read("stores").select(F.lit("stores").alias("side"), "id", F.col("duplicate_of_id").alias("other"))
+    return out.union(tables.read("articles").select(F.lit("articles"), "id", F.lit(None).cast("long"))).union(tables.read("store_articles").select(F.lit("links"), "store_id", "article_id"))
+
+
+@query(_CLEANED)
+def cleanup_tables(spark, d):
+    tables = _stored(spark, d)
+    maintain.clean_up_in(tables, ["77", "#00000001"])
+    return tables.read("stores").select(F.lit("stores").alias("side"), "id", F.lit(None).cast("long").alias("article_id")).union(tables.read("store_articles").select(F.lit("links"), "store_id", "article_id"))
+
+
+@query(_RECLASSIFIED)
+def reclassify_tables(spark, d):
+    news = F.element_at(F.array(*[F.struct(F.lit(t).alias("title"), F.lit(c).alias("content")) for t, c in _NEWS]), (F.col("id") % 4 + 1).cast("int"))
+    tables = _stored(spark, d, articles(spark, d).drop("title", "content").withColumn("n", news).select("*", "n.*").drop("n"))
+    tables.update("stores", tables.read("stores").where("id % 5 = 0").select("id", F.lit("ラーメン").alias("genre")))
+    maintain.reclassify_in(tables, F.lit(TODAY).cast("timestamp"))
+    return tables.read("stores").select("id", "genre")
+
+
+@query("SELECT 'articles' AS name, 0::BIGINT AS n, (SELECT max(o_orderkey) FROM orders) AS top UNION ALL SELECT 'stores', 0, (SELECT max(c_custkey) FROM customer) UNION ALL SELECT 'known', 0, NULL")
+def reset_tables(spark, d):
+    """The tables after a reset: no rows, no known URLs, and the largest ids that were given, as they were."""
+    tables = _stored(spark, d)
+    maintain.reset_in(tables)
+    out = [tables.read(t).agg(F.lit(t).alias("name"), F.count("*").alias("n")).withColumn("top", F.lit(tables.top(t)).cast("long")) for t in ("articles", "stores")]
+    return out[0].union(out[1]).union(tables.known(articles(spark, d).select("article_url")).agg(F.lit("known"), F.count("*"), F.lit(None).cast("long")))
+
+
+@query("SELECT o_orderkey AS id, 'https://news.example/' || o_orderkey AS known FROM orders UNION ALL SELECT -1, NULL FROM range(2)")
+def compacted_tables(spark, d):
+    """Articles of forty batches, made few: their rows, whether each URL is still known, and a row for each batch left."""
+    tables = _stored(spark, d, batches=40)
+    tables.compact(40)
+    rows = tables.read("articles").select("id", "article_url")
+    known = tables.known(rows.select("article_url"))
+    left = tables.at["articles"].read().select("batch").distinct()
+    left = left.union(tables.at["article_keys"].read().select("batch").distinct())
+    return rows.join(known.withColumn("known", F.col("article_url")), "article_url", "left").select("id", "known").union(left.select(F.lit(-1).cast("long"), F.lit(None).cast("string")))
+
+
 @query("SELECT 'stores' AS name, 0::BIGINT AS n")
 def truncate_stores(spark, d):
     return changes.truncate(stores(spark, d)).agg(F.lit("stores").alias("name"), F.count("*").alias("n"))

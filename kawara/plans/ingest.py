@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -83,9 +84,12 @@ def extracted(items: DataFrame) -> DataFrame:
     ).withColumn("name_normalized", text.normalize_name(F.col("name"))).withColumn("addr_normalized", F.when(F.col("addr").isNotNull(), text.normalize_address(F.col("addr")))).withColumn("tel_normalized", text.normalize_tel(F.col("tel")))
 
 
-def ingest(feeds: DataFrame, pages: DataFrame, sources: DataFrame, articles: DataFrame, stores: DataFrame, now: Column) -> Batch:
+def ingest(feeds: DataFrame, pages: DataFrame, sources: DataFrame, articles: DataFrame | Callable[[DataFrame], DataFrame], stores: DataFrame, now: Column, tops: tuple[int, int] | None = None) -> Batch:
     """What a poll of ``feeds`` (source_id, xml, fetched_at) adds to the tables.
 
+    ``articles`` are the known ones, or a function from the items' links (link) to those that may stand among them
+    (article_url); ``tops`` are the largest ids of articles and stores that were given before, else those in the tables.
+
     Order is by source id and place in the feed. Only the feed's text decides whether an item announces a place to eat;
     items that don't are forgotten and judged again next time. Every other one with a readable date becomes an
     article; of these, the ones with a name, a prefecture and a city that aren't a chain's become or join a store. A
@@ -93,17 +97,19 @@ def ingest(feeds: DataFrame, pages: DataFrame, sources: DataFrame, articles: Dat
     items without a readable date.
     """
     parsed = durable(feed_items(feeds))
+    top_article, top_store = tops or (articles.agg(F.max("id")).first()[0] or 0, None)
+    if callable(articles):
+        articles = articles(parsed.where("link IS NOT NULL").select("link").distinct())
     items = new_items(parsed, sources, articles).where(text.is_food_opening(F.col("title"), F.col("rss_text")))
     read = durable(extracted(with_pages(durable(first_of_link(items)), pages)))
     order = [F.col("source_id"), F.col("ordinal")]
-    first = (articles.agg(F.max("id")).first()[0] or 0) + 1
-    taken = numbered(read.where("published_at IS NOT NULL"), order, "article_id", first, written=True)
+    taken = numbered(read.where("published_at IS NOT NULL"), order, "article_id", top_article + 1, written=True)
     new_articles = taken.select(F.col("article_id").alias("id"), "source_id", F.col("link").alias("article_url"), "title", F.substring("content", 1, CONTENT).alias("content"), F.col("thumbnail").alias("thumbnail_url"), "published_at", F.lit(None).cast("string").alias("raw_html"), F.lit(True).alias("parsed"), now.alias("created_at"))
 
     named = F.col("name").isNotNull() & (F.col("name") != "") & text.nonblank(F.col("pref")).isNotNull() & (F.col("city") != "")
     state = F.when(~F.coalesce(named, F.lit(False)), "incomplete").when(text.is_chain(F.col("name")), "chain").otherwise("candidate")
     judged = taken.withColumn("state", state)
-    placed = durable(resolve(judged.where("state = 'candidate'").withColumn("rank", F.col("article_id")), stores))
+    placed = durable(resolve(judged.where("state = 'candidate'").withColumn("rank", F.col("article_id")), stores, first_id=None if top_store is None else top_store + 1))
     made = placed.where("outcome != 'merged'")
     new_stores = made.select(
         F.col("store_id").alias("id"), "name", "name_normalized", "addr", "addr_normalized", "pref", "city", "tel", "tel_normalized", "genre",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import words
 from ..functions.text import any_of, extract_genre
 from ..operators.changes import delete_stores, update
+from ..sources.schema import Tables
 
 
 def any_part(text: Column, parts: list[str]) -> Column:
@@ -52,6 +53,21 @@ def reclassify(stores: DataFrame, links: DataFrame, articles: DataFrame, now: Co
     return update(stores, reclassified(stores, links, articles), stamp=("updated_at", now))
 
 
+def clean_up_in(tables: Tables, parts: list[str] = words.NOISE) -> None:
+    """``clean_up`` of the tables themselves."""
+    tables.delete("stores", suspicious(tables.read("stores"), parts).select("id"))
+
+
+def reclassify_in(tables: Tables, now: Column) -> None:
+    """``reclassify`` of the tables themselves."""
+    tables.update("stores", reclassified(tables.read("stores"), tables.read("store_articles"), tables.read("articles")), stamp=("updated_at", now))
+
+
+def reset_in(tables: Tables) -> None:
+    """No articles, stores and links, so that the next poll takes in everything again; sources and their crawls stay."""
+    tables.truncate("store_articles", "stores", "articles")
+
+
 def probe_split(candidates: DataFrame, counts: DataFrame, known: DataFrame) -> DataFrame:
     """``candidates`` (url) with items and status: 'known', else 'fresh' with items in its feed, else 'dead'. Without a count, -1."""
     have = known.select("url", F.lit(True).alias("have")).distinct()

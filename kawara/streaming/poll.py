@@ -14,18 +14,21 @@ from ..sources.schema import Tables
 FEEDS = "source_id long, xml string, fetched_at timestamp"
 
 
-def poll(spark: SparkSession, feeds_folder: str, pages: DataFrame, tables: Tables, checkpoint: str, keyword: str = "") -> StreamingQuery:
+def poll(spark: SparkSession, feeds_folder: str, pages: DataFrame, tables: Tables, checkpoint: str, keyword: str = "", compact_from: int = 16) -> StreamingQuery:
     """Start a query that ingests all feeds (Parquet files of FEEDS) that have landed since it last ran, and then ends.
 
     Every batch appends a partition to each table and reads only the batches before it, so one that is run again after
     a failure replaces what it had left. Articles are known by their URL, so feeds that repeat them add nothing. A
-    batch numbers its rows after all earlier ones; run one query at a time for a set of tables. With ``keyword`` only
-    sources whose name or address holds it take part.
+    batch numbers its rows after all earlier ones; run one query at a time for a set of tables. Before it begins, small
+    batches before it, once they are ``compact_from``, are made one (``Tables.compact``), so that neither files nor partitions grow with the number of
+    polls. With ``keyword`` only sources whose name or address holds it take part.
     """
     feeds = spark.readStream.schema(FEEDS).parquet(feeds_folder)
 
     def take(batch: DataFrame, number: int) -> None:
-        out = ingest(batch, pages, find_sources(tables.sources(number), keyword), tables.read("articles", number), tables.read("stores", number), F.current_timestamp())
+        tables.compact(number, least=compact_from)
+        tops = tables.top("articles", number), tables.top("stores", number)
+        out = ingest(batch, pages, find_sources(tables.sources(number), keyword), lambda links: tables.known(links, number), tables.read("stores", number), F.current_timestamp(), tops)
         for name, rows in (("articles", out.articles), ("stores", out.stores), ("store_articles", out.links), ("crawls", out.crawls)):
             tables.append(name, rows, number)
 
