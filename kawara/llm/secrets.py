@@ -33,6 +33,10 @@ _BEGINS = re.compile(r"(?<=[/_+-])(?:MI[A-Za-z0-9+/_-]|MC|MD|ME|MF|MG|MH|b3BlbnN
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]{16,})")
 _LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
 
+#: A private key has up to ten elements on a level (PKCS#1 of several primes); more are none.
+MOST_ELEMENTS = 16
+_ONE_ALPHABET = str.maketrans("-_", "+/")
+
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -52,33 +56,38 @@ def _element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
 
 
 def _children(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
-    """The elements that fill data[start:end] exactly."""
+    """The elements that fill data[start:end] exactly; None if they don't, or are more than a key ever has on one level."""
     out = []
     while start < end:
-        if (x := _element(data, start, end)) is None:
+        if len(out) == MOST_ELEMENTS or (x := _element(data, start, end)) is None:
             return None
         out.append(x)
         start = x[2]
     return out
 
 
-def is_private_key(data: bytes) -> bool:
-    """A DER private key (PKCS#1, DSA, PKCS#8, SEC 1, or an encrypted PKCS#8) or an OpenSSH one, with lengths that nest exactly."""
+def _openssh_size(data: bytes) -> int | None:
+    """How long the OpenSSH key is that ``data`` begins with, by the lengths of its parts; None if it doesn't hold one."""
     magic = b"openssh-key-v1\0"
-    if data.startswith(magic):
-        at = len(magic)
-        for _ in range(3):  # cipher, key derivation and its options
-            if at + 4 > len(data):
-                return False
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
+    if not data.startswith(magic):
+        return None
+    at, parts, keys = len(magic), 3, 0  # cipher, key derivation and its options
+    while parts:
         if at + 4 > len(data):
-            return False
-        keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
-        for _ in range(keys + 1 if keys < 16 else 0):  # the public keys and the private part
-            if at + 4 > len(data):
-                return False
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-        return 0 < keys < 16 and at == len(data)
+            return None
+        at, parts = at + 4 + int.from_bytes(data[at : at + 4], "big"), parts - 1
+        if not parts and not keys:
+            keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+            if not 0 < keys < 16:
+                return None
+            parts = keys + 1  # the public keys and the private part
+    return at if at <= len(data) else None
+
+
+def is_private_key(data: bytes) -> bool:
+    """A DER private key (PKCS#1, DSA, PKCS#8, SEC 1, or an encrypted PKCS#8) or an OpenSSH one, with lengths that nest exactly."""
+    if (size := _openssh_size(data)) is not None:
+        return size == len(data)
     top = _element(data, 0, len(data))
     if top is None or top[0] != 0x30 or top[2] != len(data):
         return False
@@ -121,27 +130,58 @@ def _json_object(text: str) -> dict | None:
     return got if isinstance(got, dict) else None
 
 
+class _View:
+    """``size`` bytes that base 64 from ``start`` on stands for, each decoded only where it is looked at: whether lengths
+    nest is known from the heads of a few elements, however long the text that they claim."""
+
+    def __init__(self, text: str, start: int, size: int):
+        self.text, self.start, self.size = text, start, size
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at: int | slice) -> int | bytes:
+        a, b, _ = at.indices(self.size) if isinstance(at, slice) else (at, at + 1, 1)
+        if a >= b:
+            return b""
+        part = self.text[self.start + a // 3 * 4 : self.start + -(-b // 3) * 4]
+        got = base64.b64decode(part + "=" * (-len(part) % 4))[a % 3 : a % 3 + b - a]
+        return got if isinstance(at, slice) else got[0]
+
+    def startswith(self, head: bytes) -> bool:
+        return self[: len(head)] == head
+
+
 def _wrapped(lines: re.Match) -> list[tuple[int, int]]:
-    """Spans of private keys that are two or more lines, all of one width but for the last, which is no longer."""
+    """Spans of private keys that are two or more lines, all of one width but for the last, which is no longer.
+
+    Lines of one width are joined once, however many of them a key may begin at.
+    """
     at, text = lines.start(), lines[0]
     cuts = [(0, 0), *(m.span() for m in _BREAK.finditer(text)), (len(text), len(text))]
     each = [(a, b) for (_, a), (b, _) in zip(cuts, cuts[1:])]
-    out, i, last = [], 0, 0
+    out, i, first, last, same, joined = [], 0, 0, -1, 0, ""
     while i < len(each):
-        start, width, ends = each[i][0], each[i][1] - each[i][0], []
-        if width >= 16 and text.startswith(("M", "b3BlbnNzaC1rZXkt"), start):  # a sequence, or OpenSSH's magic
-            last = max(last, i)
+        width = each[i][1] - each[i][0]
+        if i > last or width != same:  # the last line of a stretch may begin the next
+            first, last, same = i, i, width
             while last + 1 < len(each) and each[last][1] - each[last][0] == width >= len(text[slice(*each[last + 1])].rstrip("=")):
                 last += 1
-            if text[start] == "b":
-                ends = [last, last - 1]
-            elif (data := _unpacked(text[start : start + 16])) and (top := _element(data, 0, 1 << 40)):
-                ends = [i + -(-(-(-top[2] * 4 // 3)) // width) - 1]  # its length says how many lines
-        for end in ends:
-            if i < end <= last and (data := _unpacked("".join(text[a:b] for a, b in each[i : end + 1]))) and is_private_key(data):
-                out.append((at + start, at + each[end][1]))
-                i = end
-                break
+            joined = "".join(text[a:b] for a, b in each[first : last + 1]).rstrip("=").translate(_ONE_ALPHABET)
+        start, ends = (i - first) * width, []
+        if width >= 16 and text.startswith(("M", "b3BlbnNzaC1rZXkt"), each[i][0]):  # a sequence, or OpenSSH's magic
+            if joined[start] == "b":
+                ends = [(last, len(joined)), (last - 1, (last - first) * width)]
+            elif top := _element(_View(joined, start, min(12, (len(joined) - start) * 3 // 4)), 0, 1 << 40):
+                used = -(-top[2] * 4 // 3)  # its length says how many lines
+                ends = [(i - (-used // width) - 1, min(start + used, len(joined)))]
+        for end, stop in ends:
+            if i < end <= last and (stop - start) % 4 != 1 and is_private_key(_View(joined, start, (stop - start) * 3 // 4)):
+                # what is left of the last line is padding
+                if stop == len(joined) if end == last else stop == (end + 1 - first) * width:
+                    out.append((at + each[i][0], at + each[end][1]))
+                    i = end
+                    break
         i += 1
     return out
 
@@ -150,22 +190,34 @@ def _key_in(run: str) -> tuple[int, int] | None:
     """Where a private key stands in a run of base 64: the whole run, or what follows one of its marks, as far as its length says."""
     if (data := _unpacked(run)) and is_private_key(data):
         return 0, len(run)
-    for m in [None, *_BEGINS.finditer(run)]:
-        start = m.start() if m else 0
+    text = run.rstrip("=").translate(_ONE_ALPHABET)
+    for start in (0, *(m.start() for m in _BEGINS.finditer(run))):
+        room = (len(text) - start) * 3 // 4
         if run.startswith("b3Blbn", start):
-            if start and (data := _unpacked(run[start:])) and is_private_key(data):
-                return start, len(run)
-            continue
-        head = _unpacked(run[start : start + 16])
-        top = _element(head, 0, 1 << 40) if head and head[0] == 0x30 else None
-        if top and 30 <= top[2] <= len(run):
-            end = start + -(-top[2] * 4 // 3)
-            end += min(-(end - start) % 4, len(run) - len(run.rstrip("=")) if end == len(run.rstrip("=")) else 0)
-            if end <= len(run) and (data := _unpacked(run[start:end])) and is_private_key(data):
-                return start, end
+            size = _openssh_size(_View(text, start, room))
+        else:
+            head = _View(text, start, min(12, room))[:]
+            top = _element(head, 0, 1 << 40) if head and head[0] == 0x30 else None
+            size = top[2] if top and 30 <= top[2] <= room and is_private_key(_View(text, start, top[2])) else None
+        if size:
+            end = start + -(-size * 4 // 3)
+            return start, end + (min(-(end - start) % 4, len(run) - len(text)) if end == len(text) else 0)
     return None
 
 
+class _Inside:
+    """Whether a place is in one of some spans; places are asked for from left to right."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.spans, self.next, self.end = sorted(spans), 0, -1
+
+    def __contains__(self, place: int) -> bool:
+        while self.next < len(self.spans) and self.spans[self.next][0] <= place:
+            self.end = max(self.end, self.spans[self.next][1])
+            self.next += 1
+        return place < self.end
+
+
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start, then kind as listed in KINDS."""
     found = []
@@ -182,12 +234,11 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
             data = _unpacked(re.sub(r"\s+", "", body[head.end() :] if head else body))
             if data and (is_private_key(data) or head and _ENCRYPTED.search(head[0])):
                 pems.append(m.span())
-    for m in _LINES.finditer(text):
-        if not any(a <= m.start() < b for a, b in pems):
-            pems += _wrapped(m)
-    keys = list(pems)
+    known = _Inside(pems)
+    pems = pems + [x for m in _LINES.finditer(text) if m.start() not in known for x in _wrapped(m)]
+    keys, known = list(pems), _Inside(pems)
     for m in _PACKED.finditer(text):
-        if not any(a <= m.start() < b for a, b in pems) and (found_at := _key_in(m[0])):
+        if m.start() not in known and (found_at := _key_in(m[0])):
             keys.append((m.start() + found_at[0], m.start() + found_at[1]))
     for m in _LONG_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0])):
