@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import html, text, words
-from .operators import changes, resolve
+from .operators import changes, resolve, similar
 from .operators import serving as pages_of
 from .operators.durable import numbered, shared_folder
 from .operators.serving import Filters
@@ -474,6 +474,29 @@ def dedupe_leader(spark, d):
     return resolve.resolve(rows, rows.limit(0).withColumnRenamed("rank", "id")).select("rank", "outcome", "store_id", "duplicate_of_id")
 
 
+_CHAIN = "SELECT c_custkey AS rank, CASE WHEN c_custkey % 97 <> 0 THEN c_custkey // 2 END AS tel, (c_custkey + 1) // 2 AS name FROM customer"
+
+
+@query(f"""WITH c AS ({_CHAIN}), l AS (SELECT rank, coalesce(tel = lag(tel) OVER w OR name = lag(name) OVER w, false) AS linked FROM c WINDOW w AS (ORDER BY rank)),
+s AS (SELECT rank, count(*) FILTER (NOT linked) OVER (ORDER BY rank) AS part FROM l) SELECT rank, row_number() OVER (PARTITION BY part ORDER BY rank) % 2 = 1 AS leads FROM s""")
+def chain_leaders(spark, d):
+    """Customers in chains, each sharing a key with the next: every other one of a chain leads."""
+    rows = _read(spark, d, "customer").selectExpr("c_custkey AS rank", "CASE WHEN c_custkey % 97 <> 0 THEN c_custkey div 2 END AS tel", "(c_custkey + 1) div 2 AS name")
+    return resolve.leaders(rows, fold_rows=100).select("rank", "leads")
+
+
+_GRAMS = "list_distinct(list_transform(range(1, length(name) + 2), lambda i: ('  ' || name || ' ')[i:i + 2]))"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT p_brand AS pref, p_type AS city, p_name || ' ' || p_size AS name FROM part), g AS (SELECT *, {_GRAMS} AS grams FROM n),
+p AS (SELECT a.pref, a.city, a.name AS left_name, b.name AS right_name, len(list_intersect(a.grams, b.grams)) AS common, len(a.grams) + len(b.grams) AS held FROM g a JOIN g b ON a.pref = b.pref AND a.city = b.city)
+SELECT pref, city, left_name, right_name, round(common / (held - common), 6) AS similarity FROM p WHERE common >= 0.6::DOUBLE * (held - common)""")
+def similar_part_names(spark, d):
+    """Parts of a brand and type whose names are alike by six tenths of their trigrams."""
+    rows = _read(spark, d, "part").select(F.col("p_brand").alias("pref"), F.col("p_type").alias("city"), F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("name"))
+    return similar.similar_names(rows, rows, threshold=0.6).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
 def count_by_language(spark, d):
     return maintain.count_by(_read(spark, d, "documents"), "lang")

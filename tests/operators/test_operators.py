@@ -1,5 +1,6 @@
 """Resolution, changes and serving on small tables."""
 
+import random
 from datetime import date, datetime
 
 import pytest
@@ -7,15 +8,15 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kawara.operators import changes, durable, resolve, serving
+from kawara.operators import changes, durable, resolve, serving, similar
 from kawara.plans import views
 
 ITEM = "rank long, tel_normalized string, name_normalized string, pref string, city string"
 STORE = "id long, tel_normalized string, name_normalized string, pref string, city string"
 
 
-def resolved(spark, items, stores, similar="token"):
-    out = resolve.resolve(spark.createDataFrame(items, ITEM), spark.createDataFrame(stores, STORE), similar=similar).orderBy("rank").collect()
+def resolved(spark, items, stores, similar="token", **more):
+    out = resolve.resolve(spark.createDataFrame(items, ITEM), spark.createDataFrame(stores, STORE), similar=similar, **more).orderBy("rank").collect()
     return [(r.outcome, r.store_id, r.duplicate_of_id) for r in out]
 
 
@@ -40,14 +41,52 @@ def test_same_as_one_by_one(spark, rows, old):
     items = [(i, t, n, p, "c") for i, (t, n, p) in enumerate(rows)]
     stores = [(10 + i, t, n, "p", "c") for i, (t, n) in enumerate(old)]
     assert resolved(spark, items, stores) == want(items, stores)
+    assert resolved(spark, items, stores, fold_rows=0) == want(items, stores)
 
 
-@pytest.mark.parametrize(("similar", "first"), [("token", None), ("prefix", 1), ("trigram", 1)])
-def test_ways_of_a_soft_match(spark, similar, first):
+@pytest.mark.parametrize(("way", "first"), [("token", None), ("prefix", 1), ("part", 1)])
+def test_ways_of_a_soft_match(spark, way, first):
     names = ["麺屋さくら本店", "新麺屋さくら", "麺屋さくら柏店", "麺", "の麺屋さ", ""]
     items = [(i, None, n, "p", "c") for i, n in enumerate(names)]
-    got = resolved(spark, items, [], similar)
-    assert got == want(items, [], similar) and got[2][2] == first
+    got = resolved(spark, items, [], way)
+    assert got == want(items, [], way) and got[2][2] == first
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.5, 0.9])
+def test_soft_match_by_similar_names(spark, threshold):
+    rng = random.Random(4)
+    words = ["麺屋", "さくら", "本店", "cafe", "bar", "ひなた", "二号"]
+    items = [(i, None, "".join(rng.choices(words, k=rng.randint(0, 4))) or None, rng.choice("pq"), "c") for i in range(60)]
+    stores = [(10 + i, None, "".join(rng.choices(words, k=2)), rng.choice("pq"), "c") for i in range(8)]
+    got = resolved(spark, items, stores, threshold)
+    assert got == want(items, stores, threshold) and (threshold > 0.5 or {"soft", "new"} <= {o for o, *_ in got})
+
+
+@pytest.mark.parametrize("threshold", [0.25, 0.6, 1.0])
+def test_similar_names_are_those_of_every_pair(spark, threshold):
+    rng = random.Random(9)
+    names = ["", None, "a", "ab", "aaaa", "aaaaa", *["".join(rng.choices("abc", k=rng.randint(1, 9))) for _ in range(60)], *["hot name"] * 20]
+    rows = [(rng.choice(["p", "q", None]), "c", n) for n in names]
+    df = spark.createDataFrame(rows, "pref string, city string, name string")
+    got = {(r.pref, r.left_name, r.right_name): r.similarity for r in similar.similar_names(df, df, threshold=threshold).collect()}
+    grams = lambda n: {f"  {n} "[k : k + 3] for k in range(len(n) + 1)}
+    share = lambda a, b: len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    want = {(p, a, b): share(a, b) for p, _, a in rows for q, _, b in rows if p and p == q and a and b and share(a, b) >= threshold - 1e-9}
+    assert got == want and len(got) > 20
+    assert similar.similar_names(df.limit(0), df, threshold=threshold).count() == 0
+
+
+@pytest.mark.parametrize("more", [{}, {"fold_rows": 0}])
+def test_a_chain(spark, more):
+    """Each item shares a key with the next one: every other one leads."""
+    n = 10_000 if not more else 600
+    items = [(i, f"t{i // 2}", f"n{(i + 1) // 2}", "p", "c") for i in range(n)]
+    spark.sparkContext.setJobGroup("chain", "")
+    got = {r.rank: r.leads for r in resolve.leaders(spark.createDataFrame(items, ITEM), keys=("tel_normalized", "name_normalized"), **more).collect()}
+    assert got == {i: i % 2 == 0 for i in range(n)}
+    if not more:
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain")) < 12
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_upsert_without_an_order_is_fixed(spark):
