@@ -13,12 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import html, text, words
+from .functions import dictionary, html, sql, text, words
 from .operators import changes, resolve, similar
 from .operators import serving as pages_of
 from .operators.durable import numbered, shared_folder
 from .operators.serving import Filters
-from .plans import ingest, maintain, views
+from .plans import ingest, maintain, pages, views
+from .plans import served as served_view
 from .sources import feeds
 from .sources.schema import SCHEMAS, Tables, quarantine
 from .streaming import poll
@@ -497,6 +498,41 @@ def similar_part_names(spark, d):
     return similar.similar_names(rows, rows, threshold=0.6).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(f"SELECT doc_id, {_sql_scores('text', _TOPICS)} AS topic FROM documents")
+def topics_by_table(spark, d):
+    """As keyword_score_argmax, with the words in a table that is joined."""
+    listed = spark.createDataFrame([(label, w, i) for i, (label, ws) in enumerate(_TOPICS.items()) for w in ws], "label string, word string, order int")
+    return dictionary.best_label(_read(spark, d, "documents"), listed, key="doc_id").select("doc_id", F.col("label").alias("topic"))
+
+
+@query(_TABLES + "SELECT id, ((n - 1) // 40 + 1)::BIGINT AS page FROM (SELECT id, row_number() OVER (ORDER BY open_date DESC NULLS LAST, listed_date DESC, id) AS n FROM stores) WHERE n <= 160")
+def pages_by_key(spark, d):
+    """The first four pages of stores by opening day, each asked for by the last row of the one before."""
+    folder, keys = shared_folder(spark), [pages.Key("open_date", True), pages.Key("listed_date", True), pages.Key("id")]
+    pages.lay_out(stores(spark, d).select("id", "name", "open_date", "listed_date"), keys, folder, files=12)
+    out, last = None, None
+    for number in range(1, 5):
+        found = pages.page(spark, folder, keys, 40, last)
+        rows = found.collect()  # a page
+        last = rows[-1].asDict() if rows else last
+        shown = found.select("id", F.lit(number).cast("long").alias("page"))
+        out = shown if out is None else out.union(shown)
+    return out
+
+
+@query("SELECT event_id, CASE WHEN event_id % 10 = 0 AND ts < TIMESTAMP '2024-01-20' THEN 2 ELSE 1 END::BIGINT AS n FROM events")
+def recent_events_once(spark, d):
+    """Events that come again: at once, where a stream knows them still, and forty days later, where it has forgotten them."""
+    folder, seen = shared_folder(spark), _read(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    again = seen.where("event_id % 10 = 0 AND ts < '2024-01-20'").withColumn("ts", F.col("ts") + F.expr("INTERVAL 40 DAYS"))
+    for part in (seen, seen.where("event_id % 3 = 0"), again):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    once = poll.recent_once(stream, "event_id", "ts", "2 days")
+    once.writeStream.format("parquet").option("checkpointLocation", f"{folder}/progress").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(seen.schema).parquet(f"{folder}/out").groupBy("event_id").agg(F.count("*").alias("n"))
+
+
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
 def count_by_language(spark, d):
     return maintain.count_by(_read(spark, d, "documents"), "lang")
@@ -641,7 +677,12 @@ def _long_texts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("doc_id").alias("id"), "of.title", F.concat("of.content", F.lit(" "), F.coalesce("text", F.lit(""))).alias("content"), "of.pref")
 
 
+_TEXT_SQL: dict[str, str] = {}
+
+
 def _on_texts(name: str, sql: str, column: Callable[[], Column]) -> None:
+    _TEXT_SQL[name] = sql
+
     @query(f"{_ROWS} SELECT id, {sql} AS value FROM r", name)
     def run(spark, d):
         return _long_texts(spark, d).select("id", column().alias("value"))
@@ -714,6 +755,22 @@ _on_texts("extract_store_name", _sql_store_name(), lambda: text.extract_store_na
 _on_texts("normalize_address", f"translate(regexp_replace({_sql_normal('content')}, '[{_WHITE}]+', '', 'g'), '‐－−ー―', '-----')", lambda: text.normalize_address(_content()))
 
 
+#: The text functions as SQL calls them: each as registered, with its arguments.
+_CALLS = {
+    "extract_pref": "extract_pref(content)", "extract_city": "extract_city(content, pref)", "extract_tel": "extract_tel(content)", "extract_station": "extract_station(concat(title, ' ', content))",
+    "is_opening_article": "is_opening_article(title, content)", "is_chain_store": "is_chain_store(title)", "extract_genre": "extract_genre(content, title)", "extract_address": "extract_address(content, pref)",
+    "extract_store_name": "extract_store_name(title)", "normalize_address": "normalize_address(content)",
+}
+
+
+@query(f"{_ROWS} SELECT id, {', '.join(f'{_TEXT_SQL[k]} AS {k}' for k in _CALLS)} FROM r")
+def sql_functions(spark, d):
+    """The text functions called from SQL, over every document's text."""
+    sql.register(spark)
+    _long_texts(spark, d).createOrReplaceTempView("kawara_texts")
+    return spark.sql(f"SELECT id, {', '.join(f'{call} AS {k}' for k, call in _CALLS.items())} FROM kawara_texts")
+
+
 @query(_TABLES + """, one AS (SELECT store_id AS id, min(article_id) AS article_id FROM links GROUP BY store_id)
 SELECT s.id, CASE WHEN a.title LIKE '%HIGH%' THEN 'urgent' ELSE s.genre END AS genre FROM stores s LEFT JOIN one USING (id) LEFT JOIN articles a ON a.id = one.article_id""")
 def update_genres(spark, d):
@@ -848,21 +905,36 @@ def ingest_run(spark, d):
     return _told(out.articles, out.stores, out.links).union(out.counts.select(F.lit("count"), "n", "status"))
 
 
-@query(_sql_news("batch, source_id, key"))
-def poll_twice(spark, d):
-    """The news landing in two parts, polled after each and once more: what is known isn't taken in again."""
+def _polled(spark: SparkSession, d: str, view: bool = False) -> Tables:
     written, known = _news(spark, d)
     folder = shared_folder(spark)
     tables = Tables(spark, f"{folder}/tables").create()
     tables.append("sources", known.select("*", *[F.col("id").cast("string").alias(c) for c in ("name", "url")], *[F.lit(None).cast("string").alias(c) for c in ("rss_url", "source_type")], *[F.lit(None).cast("timestamp").alias(c) for c in ("last_crawled_at", "created_at")]), -1)
     pages = _read(spark, d, "pages").select("url", "html")
+    if view:
+        served_view.rebuild(tables)
     first = F.expr("source_id div 3") % 2 == 0
     for part in (written.where(first), written.where(~first), written.where(first).limit(3)):
         part.write.mode("append").parquet(f"{folder}/feeds")
-        poll.poll(spark, f"{folder}/feeds", pages, tables, f"{folder}/progress").awaitTermination()
+        poll.poll(spark, f"{folder}/feeds", pages, tables, f"{folder}/progress", view=view).awaitTermination()
+    return tables
+
+
+@query(_sql_news("batch, source_id, key"))
+def poll_twice(spark, d):
+    """The news landing in two parts, polled after each and once more: what is known isn't taken in again."""
+    tables = _polled(spark, d)
     return _told(tables.read("articles"), tables.read("stores"), tables.read("store_articles"))
 
 
+@query(_sql_news("batch, source_id, key").split("SELECT 'article' AS side")[0] + """SELECT store_id AS id, arg_max('ラーメン「' || resolved.name || '」オープン', resolved.article_id) AS article_title,
+string_agg('https://news.example/' || key, ' ' ORDER BY resolved.article_id DESC) AS urls FROM resolved JOIN a USING (article_id) GROUP BY store_id""")
+def served_after_polls(spark, d):
+    """The stored view after polls, each of which merged its batch into it: stores with their latest title and articles."""
+    rows = served_view.view(_polled(spark, d, view=True))
+    return rows.select("id", "article_title", F.array_join(F.transform("sources", lambda s: s["url"]), " ").alias("urls"))
+
+
 @query()
 def ingest_batch(spark, d):
     """The literal texts as one feed a prefecture, ingested into empty tables: the stores made."""

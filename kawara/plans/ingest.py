@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import html, text
@@ -108,8 +108,13 @@ def ingest(feeds: DataFrame, pages: DataFrame, sources: DataFrame, articles: Dat
 
     named = F.col("name").isNotNull() & (F.col("name") != "") & text.nonblank(F.col("pref")).isNotNull() & (F.col("city") != "")
     state = F.when(~F.coalesce(named, F.lit(False)), "incomplete").when(text.is_chain(F.col("name")), "chain").otherwise("candidate")
-    judged = taken.withColumn("state", state)
-    placed = durable(resolve(judged.where("state = 'candidate'").withColumn("rank", F.col("article_id")), stores, first_id=None if top_store is None else top_store + 1))
+    # counted while they are written, not in a pass of their own
+    told, made_of = Observation(), Observation()
+    count = lambda column, *values: [F.count_if(F.col(column) == v).alias(v) for v in values]
+    judged = durable(taken.withColumn("state", state).observe(told, *count("state", "incomplete", "chain")))
+    found = resolve(judged.where("state = 'candidate'").withColumn("rank", F.col("article_id")), stores, first_id=None if top_store is None else top_store + 1)
+    placed = durable(found.observe(made_of, *count("outcome", "merged", "soft", "new")))
+    counted = {**told.get, "merged": made_of.get["merged"], "added": made_of.get["soft"] + made_of.get["new"]}
     made = placed.where("outcome != 'merged'")
     new_stores = made.select(
         F.col("store_id").alias("id"), "name", "name_normalized", "addr", "addr_normalized", "pref", "city", "tel", "tel_normalized", "genre",
@@ -120,5 +125,5 @@ def ingest(feeds: DataFrame, pages: DataFrame, sources: DataFrame, articles: Dat
     crawled = parsed.where("NOT broken").select("source_id").distinct()
     reason = F.when(F.col("published_at").isNull(), "published_at").when(F.col("opening").isNotNull() & F.try_to_date("opening").isNull(), "open_date")
     rejected = read.select("source_id", "ordinal", "link", reason.alias("reason")).where("reason IS NOT NULL")
-    counts = judged.where("state != 'candidate'").select(F.col("state").alias("status")).union(placed.select(F.when(F.col("outcome") == "merged", "merged").otherwise("added"))).groupBy("status").agg(F.count("*").alias("n"))
+    counts = read.sparkSession.createDataFrame([(k, n) for k, n in counted.items() if n], "status string, n long")
     return Batch(new_articles, new_stores, links, crawled.select("source_id", now.alias("crawled_at")), rejected, counts)

@@ -28,9 +28,14 @@ def stores_with_sources(stores: DataFrame, links: DataFrame, articles: DataFrame
     read = links.join(articles.select(F.col("id").alias("article_id"), "source_id", F.col("article_url").alias("url"), "title", "published_at"), "article_id")
     read = read.join(sources.select(F.col("id").alias("source_id"), "name", F.col("source_type").alias("type")), "source_id", "left")
     told = read.groupBy("store_id").agg(F.sort_array(F.collect_list(F.struct("published_at", "article_id", "name", "url", "title", "type")), asc=False).alias("told"))
-    told = told.select(F.col("store_id").alias("id"), F.col("told")[0]["title"].alias("article_title"), F.transform("told", lambda t: F.struct(t["name"].alias("name"), t["url"].alias("url"), t["title"].alias("title"), t["type"].alias("type"))).alias("sources"))
+    return with_told(stores.select(*SERVED).join(told.withColumnRenamed("store_id", "id"), "id", "left"))
+
+
+def with_told(rows: DataFrame) -> DataFrame:
+    """``rows`` with article_title and sources in place of told, what articles tell of a store, the latest first."""
+    sources = F.transform("told", lambda t: F.struct(t["name"].alias("name"), t["url"].alias("url"), t["title"].alias("title"), t["type"].alias("type")))
     empty = F.array().cast("array<struct<name:string,url:string,title:string,type:string>>")
-    return stores.select(*SERVED).join(told, "id", "left").withColumn("sources", F.coalesce("sources", empty))
+    return rows.withColumn("article_title", F.get("told", F.lit(0))["title"]).withColumn("sources", F.coalesce(sources, empty)).drop("told")
 
 
 def with_originals(stores: DataFrame) -> DataFrame:
