@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema as to_arrow
 
+from kawara.operators.components import components
 from kawara.operators.durable import durable, shared_folder
 
-__all__ = ["blocks", "box", "boxed", "components", "durable", "fields", "free", "pack_ints", "pack_longs", "partitions", "shared_folder", "to_arrow", "unboxed", "unpack_ints", "unpack_longs", "utf8", "words"]
+__all__ = ["blocks", "box", "boxed", "components", "durable", "fields", "free", "give_back", "pack_ints", "pack_longs", "partitions", "shared_folder", "to_arrow", "trimmed", "unboxed", "unpack_ints", "unpack_longs", "utf8", "words"]
 
 
 def free(df: DataFrame, *names: str) -> list[str]:
@@ -44,6 +48,26 @@ def words(col):
     return F.array_remove(F.split(white_to_space(F.coalesce(col, F.lit(""))), " ", -1), "")
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a partition's batches; when it ends, what the worker no longer needs goes back to the system: a
+    worker stays for the stages that follow, and with it the memory that the allocators hold for its next task."""
+
+    def kept(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return kept
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library isn't glibc nothing needs doing
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """A string column as bytes; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -101,7 +125,7 @@ def boxed(docs: DataFrame, text: str, block_bytes: int) -> DataFrame:
         for number, table in blocks(batches, text, block_bytes):
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([pc.sum(pc.binary_length(table[text])).as_py() or 0]), pa.array([box(table)], pa.binary())], ["block", "size", "rows"])
 
-    return durable(docs.mapInArrow(run, "block long, size long, rows binary"))
+    return durable(docs.mapInArrow(trimmed(run), "block long, size long, rows binary"))
 
 
 def partitions(df: DataFrame, size: int, each: int) -> int:
@@ -133,29 +157,3 @@ def unpack_longs(b: bytes) -> np.ndarray:
     import zstandard
 
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of the edges (a long, b long): (node, component), component the smallest node reachable.
-
-    Alternating large-star and small-star steps; each is two aggregations and two joins on node ids, so neither an
-    edge list nor a component ever meets in one place. Loops and repeated edges are harmless; no edges, no rows.
-    """
-    edges = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    seen = mark(edges)
-    while seen[0]:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        edges = durable(large.join(small, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a != b").distinct(), replaces=edges)
-        now = mark(edges)
-        if now == seen:
-            break
-        seen = now
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component"))
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots).distinct()

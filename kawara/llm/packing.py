@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, durable, fields, free
+from .common import blocks, durable, fields, free, trimmed
 
 #: Most words that a task keeps the ids of.
 KNOWN_WORDS = 300_000
@@ -148,7 +148,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
                 columns["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(np.frombuffer(b"".join(bits), "<i4")))
             yield from pa.table(list(columns.values()), names=schema.names).to_batches()
 
-    return docs.select(id_col, text_col).mapInArrow(cut, schema)
+    return docs.select(id_col, text_col).mapInArrow(trimmed(cut), schema)
 
 
 def best_two_fit(lengths: list[int], capacity: int) -> list[list[int]]:

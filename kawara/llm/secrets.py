@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import fields
+from .common import fields, trimmed
 
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "private_key", "signed_token")
@@ -271,7 +271,7 @@ def scan(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
                 spans = [[{"kind": k, "start": a, "end": b} for k, a, b in find_secrets(t or "")] for t in part.column(text_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(spans, kind)], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def _masked(text: str, spans: list[dict], mark: str) -> str:
@@ -292,4 +292,4 @@ def redact(docs: DataFrame, *, text_col: str = "text", spans_col: str = "secrets
             texts = [t if t is None or not s else _masked(t, s, mark) for t, s in zip(batch.column(text_col).to_pylist(), batch.column(spans_col).to_pylist())]
             yield batch.set_column(at, text_col, pa.array(texts, pa.string()))
 
-    return docs.mapInArrow(run, T.StructType(fields(docs)))
+    return docs.mapInArrow(trimmed(run), T.StructType(fields(docs)))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import boxed, fields, pack_ints, pack_longs, partitions, to_arrow, unboxed, unpack_ints, unpack_longs, utf8
+from .common import boxed, fields, pack_ints, pack_longs, partitions, to_arrow, trimmed, unboxed, unpack_ints, unpack_longs, utf8
 
 #: Bases of the rolling hashes, odd numbers, modulo 2**64.
 BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -183,7 +183,7 @@ def sent_windows(boxes: DataFrame, text_col: str, width: int, ranges: int, hash_
                 checks = [second[a:b].view(np.uint8).reshape(-1, 4)[:, :3].tobytes() for a, b in zip(cuts[used], cuts[used + 1])]
                 yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.full(len(used), number)), pa.array(cuts[used]), pa.array(blobs, pa.binary()), pa.array(checks, pa.binary())], ["range", "block", "start", "first", "second"])
 
-    return boxes.select("block", "rows").mapInArrow(send, "range long, block long, start long, first binary, second binary")
+    return boxes.select("block", "rows").mapInArrow(trimmed(send), "range long, block long, start long, first binary, second binary")
 
 
 def n_ranges(size: int, blocks: int, range_bytes: int, row_pairs: int) -> tuple[int, bool]:
@@ -198,8 +198,8 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", width: int = 35,
     A window is ``width`` consecutive words of one text, as they stand. A word goes if it lies in a window whose words
     also start at another place, in this text or another; all windows are judged on the texts as given.
 
-    1. Texts are written in blocks of about ``block_bytes``. A block takes two independent Rabin-Karp hashes of every
-       window, knows itself which pairs it holds twice, and sends each distinct pair once.
+    1. Texts are written in blocks of about ``block_bytes``. A block takes two Rabin-Karp hashes of every
+       window, both over the same 64-bit hashes of its words, knows itself which pairs it holds twice, and sends each distinct pair once.
     2. Pairs travel packed, a row for each range of the first hash, which Spark deals and sorts; a partition counts
        one range after the other and sends back the places of pairs that stand twice.
     3. The places meet the blocks again; windows found twice merge into intervals.
@@ -208,7 +208,8 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", width: int = 35,
     would hold fewer than ``row_pairs`` pairs, a range no longer has to fit in memory: its pairs become rows that Spark
     sorts, spilling where it must. So rows sent stay in proportion to the texts. A passage copied a million times is one pair a
     block. Windows count as equal if both hashes, 64 and 24 bits, are: n windows have about n*n/2**89 false pairs, 0.2
-    for 1e13. ``hash_bits`` keeps only so many bits of the first. A null text has no words and its kept_text
+    for 1e13, beside those of different words of one 64-bit hash, which agree in both: V words have about V*V/2**65
+    such pairs, 0.03 for 1e9. ``hash_bits`` keeps only so many bits of the first. A null text has no words and its kept_text
     is null; an empty one stays empty; kept words are joined by one space. Repeated rows count as texts of their own;
     columns named like the results are replaced.
     """
@@ -258,7 +259,7 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", width: int = 35,
     sent = sent.repartition(max(ranges, partitions(docs, 0, 1)), "range")
     if large:
         flat = sent.mapInArrow(_spread, "first long, second int, block long, at int")
-        twice = flat.sortWithinPartitions("first", "second").mapInArrow(_twice, "block long, ats binary")
+        twice = flat.sortWithinPartitions("first", "second").mapInArrow(trimmed(_twice), "block long, ats binary")
     else:
-        twice = sent.sortWithinPartitions("range").mapInArrow(_twice_by_range, "block long, ats binary")
+        twice = sent.sortWithinPartitions("range").mapInArrow(trimmed(_twice_by_range), "block long, ats binary")
     return boxes.select("block", "rows").groupBy("block").cogroup(twice.groupBy("block")).applyInArrow(remove, after)
