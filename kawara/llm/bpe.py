@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,8 +63,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "t
 
     Blocks are numbered by partition and arrival: ``docs`` is to be read from files, or written before (``durable``),
     so that a task that is run again meets the same rows in the same order. A null or empty text has no ids; repeated
-    rows stay; a column named token_ids is replaced. With ``decoded`` the ids are decoded again where they are put
-    together, as ``decode`` does, into a column of that name.
+    rows stay; a column named token_ids is replaced.
+
+    With ``decoded`` the ids are decoded again into a column of that name: a row for each distinct id of a block joins
+    the token-byte table (broadcast; a row an id of the vocabulary, whatever the corpus), and with what it says the
+    block's texts are put together as bytes, too.
     """
     docs = docs.drop("token_ids", *["decoded"] * decoded)
     own, (count,) = fields(docs, (text_col,)), free(docs, "count")
@@ -100,7 +103,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "t
             lengths = [pack_ints(np.fromiter(map(len, x), np.uint32, len(x))) for x in found]
             yield pa.RecordBatch.from_arrays([pa.array(-1 - (used * split_by_block + number % split_by_block)), pa.array(used), pa.array([number.to_bytes(8, "little")] * len(used), pa.binary()), pa.array(lengths, pa.binary()), pa.array([squeeze(b"".join(x)) for x in found], pa.binary())], names)
 
-    encoding, tokens = [], []  # made once a task
+    encoding = []  # made once a task
 
     def encode_range(table: pa.Table) -> pa.Table:
         import zstandard
@@ -118,8 +121,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "t
         columns = list(zip(*out)) or [()] * 4
         return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["key", "range", "lengths", "ids"])
 
+    def used_ids(table: pa.Table) -> pa.Table:
+        ids = np.unique(np.concatenate([np.zeros(0, "<u4"), *map(unpack_ints, table["ids"].to_pylist())])).astype(np.int64)
+        return pa.table({"key": pa.array(np.full(len(ids), table["key"][0].as_py()), pa.int64()), "id": pa.array(ids, pa.int64())})
+
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
+        if decoded:
+            named = right.filter(right["id"].is_valid()).sort_by("id")
+            right = right.filter(right["range"].is_valid())
+            used, tokens = named["id"].to_numpy(), pa.array(named["bytes"].to_pylist(), pa.large_binary())
         if left.num_rows and left["key"][0].as_py() >= 0:
             for rows, places, of in zip(left["rows"], left["places"].to_pylist(), left["words"].to_pylist()):
                 table, places, of = unboxed(rows), unpack_ints(places), unpack_ints(of)
@@ -144,14 +155,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "t
                 texts = pa.array(texts, pa.binary())
                 table = table.drop_columns([count]).append_column("token_ids", texts)
                 if decoded:
-                    if not tokens:
-                        tokens.append(token_bytes(ranks_path))
-                    table = table.append_column("decoded", pa.chunked_array([join_bytes(tokens[0], texts.slice(at, 200)) for at in range(0, len(texts), 200)], pa.binary()))
+                    table = table.append_column("decoded", pa.chunked_array([join_bytes(tokens, texts.slice(at, 200), used) for at in range(0, len(texts), 200)], pa.binary()))
                 out.append(table)
         return pa.concat_tables(out) if out else to_arrow(after).empty_table()
 
-    pieces = docs.mapInArrow(split, "key long, range long, rows binary, places binary, words binary").repartition(partitions(docs, size, range_bytes), "key")
+    n = partitions(docs, size, range_bytes)
+    pieces = docs.mapInArrow(split, "key long, range long, rows binary, places binary, words binary").repartition(n, "key")
     coded = pieces.groupBy("key").applyInArrow(encode_range, "key long, range long, lengths binary, ids binary")
+    if decoded:
+        coded = coded.repartition(n, "key")
+        named = coded.groupBy("key").applyInArrow(used_ids, "key long, id long").join(F.broadcast(token_table(docs.sparkSession, ranks_path)), "id")
+        coded = coded.unionByName(named, allowMissingColumns=True)
     return pieces.groupBy("key").cogroup(coded.groupBy("key")).applyInArrow(put_together, after)
 
 
@@ -164,9 +178,20 @@ def token_bytes(ranks_path: str) -> pa.Array:
     return pa.array(table, pa.large_binary())
 
 
-def join_bytes(tokens: pa.Array, ids: pa.Array) -> pa.Array:
-    """The bytes of each value of ``ids``, looked up in the table at once; null stays null, an id that it lacks is an error."""
+def token_table(spark: SparkSession, ranks_path: str) -> DataFrame:
+    """The token-byte table: (id, bytes)."""
+    return spark.createDataFrame(sorted((i, bytearray(token)) for token, i in read_ranks(ranks_path).items()), "id long, bytes binary")
+
+
+def join_bytes(tokens: pa.Array, ids: pa.Array, of: np.ndarray | None = None) -> pa.Array:
+    """The bytes of each value of ``ids``, looked up at once in the table, whose rows are the ids from 0 on, or those of
+    ``of``; null stays null, an id that it lacks is an error."""
     flat = np.frombuffer(b"".join(x.as_py() or b"" for x in ids), "<u4")
+    if of is not None:
+        at = np.searchsorted(of, flat)
+        if len(flat) and (at.max() == len(of) or (of[at] != flat).any()):
+            raise ValueError("an id that the table lacks")
+        flat = at
     got = tokens.take(pa.array(flat)) if not len(flat) or flat.max() < len(tokens) else None
     if got is None or got.null_count:
         raise ValueError("an id that the table lacks")
