@@ -149,7 +149,7 @@ SELECT min(doc_id) AS doc_id, count(*) AS copies, to_json(list_sort(list(DISTINC
 FROM k WHERE lang = 'en' GROUP BY key""")
 def catalogue_slice(spark, d):
     """Documents of one language by their normalised text: leader, copies and sources, most copied first."""
-    rows = _read(spark, d, "documents").where("lang = 'en'").select("doc_id", "source", text.normalize_name(F.col("text")).alias("key"))
+    rows = _read(spark, d, "documents").where("lang = 'en'").select("doc_id", "source", F.sha2(text.normalize_name(F.col("text")), 256).alias("key"))
     groups = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.to_json(F.array_sort(F.collect_set("source"))).alias("sources"))
     return numbered(groups.drop("key"), [F.desc("copies"), F.asc("doc_id")], "position")
 
@@ -935,6 +935,30 @@ def served_after_polls(spark, d):
     return rows.select("id", "article_title", F.array_join(F.transform("sources", lambda s: s["url"]), " ").alias("urls"))
 
 
+_ARTICLE = "regexp_extract(html, '(?s)<article>(.*?)(?:</article>|\\z)', 1)"
+
+
+@query(f"""WITH k AS (SELECT page_id, page_id // 100 AS source_id, url || CASE WHEN page_id % 5 = 0 THEN '#none' ELSE '' END AS link FROM pages WHERE page_id % 7 <> 0),
+a AS (SELECT *, row_number() OVER (ORDER BY source_id, page_id) AS id FROM k QUALIFY row_number() OVER (PARTITION BY link ORDER BY source_id, page_id) = 1),
+h AS (SELECT url AS link, max(html) AS html FROM pages GROUP BY url),
+p AS (SELECT link, {_sql_strip(_ENTITY(_ARTICLE))} AS article, {_SQL_TAGLESS.format(_ARTICLE)} AS loose, {_sql_strip(_ENTITY(_BODY))} AS body FROM h),
+m AS (SELECT a.*, coalesce(left(CASE WHEN length(trim(loose)) > 200 THEN article ELSE body END, 10000), '') AS page FROM a LEFT JOIN p USING (link))
+SELECT 'article' AS side, id, link || ' ' || md5(left(CASE WHEN length(page) > 4 THEN page ELSE 'とんこつ' END, 5000)) || ' i' || page_id || '.png' AS other FROM m
+UNION ALL SELECT 'crawl', source_id, '2026-04-23' FROM (SELECT DISTINCT page_id // 100 AS source_id FROM pages)""")
+def ingest_pages(spark, d):
+    """Every page told of by an item, most by its address and some without one, taken in with the pages at hand: articles
+    with what of page and feed was kept, and the crawls."""
+    rows, key = _read(spark, d, "pages"), F.col("page_id")
+    link = F.when(key % 7 == 0, "").otherwise(F.concat(F.lit("<link>"), F.col("url"), F.when(key % 5 == 0, "#none").otherwise(""), F.lit("</link>")))
+    item = F.concat(F.lit("<item><title>ラーメン「店"), key.cast("string"), F.lit("」オープン</title>"), link, F.lit("<description>とんこつ&lt;img src='i"), key.cast("string"), F.lit(".png'&gt;</description></item>"))
+    feed = _feeds_of(rows.withColumn("source_id", F.expr("page_id div 100")), "page_id", item).withColumn("fetched_at", F.lit("2026-04-23").cast("timestamp"))
+    known = feed.select(F.col("source_id").alias("id"), F.lit("東京都").alias("pref"), F.lit("北区").alias("city"), F.lit(True).alias("enabled"))
+    nothing = lambda t: spark.createDataFrame([], SCHEMAS[t])
+    out = ingest.ingest(feed, rows.select("url", "html"), known, nothing("articles"), nothing("stores"), F.lit("2026-04-23").cast("timestamp"))
+    kept = out.articles.select(F.lit("article").alias("side"), "id", F.concat_ws(" ", "article_url", F.md5("content"), "thumbnail_url").alias("other"))
+    return kept.union(out.crawls.select(F.lit("crawl"), "source_id", F.col("crawled_at").cast("date").cast("string")))
+
+
 @query()
 def ingest_batch(spark, d):
     """The literal texts as one feed a prefecture, ingested into empty tables: the stores made."""

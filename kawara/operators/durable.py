@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 SMALL = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 10}
 
 _written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: Paths written inside each open ``scratch``.
+_scratches: list[list[str]] = []
 
 
 def durable(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
@@ -21,6 +25,8 @@ def durable(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     then, so a loop keeps the files of one round.
     """
     path = shared_folder(df.sparkSession)
+    for paths in _scratches[-1:]:
+        paths.append(path)
     df.write.options(**SMALL).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _written[out] = path
@@ -32,14 +38,34 @@ def durable(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
 def forget(df: DataFrame) -> None:
     """Delete what ``durable`` wrote for ``df``; other DataFrames have nothing to delete."""
     if path := _written.pop(df, None):
-        jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Whatever ``durable`` writes in the block is deleted at its end: for blocks that write or collect their results
+    themselves. An inner block deletes its own alone."""
+    _scratches.append([])
+    try:
+        yield
+    finally:
+        for path in _scratches.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir, the context's own, or else one in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/kawara_shared"
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, the context's own, or else one in
+    the warehouse, which on a cluster must not be a folder of the driver's machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/kawara_shared"
+        if base.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; {base} is the driver's own")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.durable import scratch
 from ..plans import served
 from ..plans.ingest import ingest, skip_known
 from ..plans.maintain import find_sources
@@ -28,6 +29,10 @@ def poll(spark: SparkSession, feeds_folder: str, pages: DataFrame, tables: Table
     feeds = spark.readStream.schema(FEEDS).parquet(feeds_folder)
 
     def take(batch: DataFrame, number: int) -> None:
+        with scratch(spark):
+            take_in(batch, number)
+
+    def take_in(batch: DataFrame, number: int) -> None:
         tables.compact(number, least=compact_from)
         tops = tables.top("articles", number), tables.top("stores", number)
         out = ingest(batch, pages, find_sources(tables.sources(number), keyword), lambda links: tables.known(links, number), tables.read("stores", number), F.current_timestamp(), tops)

@@ -224,3 +224,37 @@ def test_cards(rows):
     assert (got["1"].heading, got["1"].shop, got["1"].more, got["1"].opening, got["1"].place, got["1"].phone) == ("second", "A", "+2件", "🎉 04/25 オープン予定（あと2日）", "住所未抽出", "📞 03")
     assert (got["2"].heading, got["2"].shop, got["2"].station, got["2"].colour, got["2"].badge) == ("A", "B", "🚃 最寄: 立川駅", "#6b7280", "掲載 04/01")
     assert (got["3"].heading, got["3"].source, got["3"].opening, got["4"].opening) == ("C", None, "🎉 04/01 オープン", "🎉 04/20 オープン（3日前）")
+
+
+def test_scratch_is_deleted(spark):
+    with durable.scratch(spark):
+        one = durable.durable(spark.range(3))
+        with durable.scratch(spark):
+            two = durable.durable(spark.range(4))
+            assert two.count() == 4
+        assert one.count() == 3
+        with pytest.raises(Exception, match="(?i)not exist|FILE_NOT_FOUND|FAILED_READ"):
+            two.collect()
+    with pytest.raises(Exception, match="(?i)not exist|FILE_NOT_FOUND|FAILED_READ"):
+        one.collect()
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    class Conf(dict):
+        pass
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf({"spark.sql.warehouse.dir": "file:/home/x/spark-warehouse"}), Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        durable.shared_folder(Session())
+    Session.conf["spark.sql.warehouse.dir"] = "hdfs://n/warehouse"
+    assert durable.shared_folder(Session()).startswith("hdfs://n/warehouse/kawara_shared/")
+    Context.master, Session.conf["spark.sql.warehouse.dir"] = "local[4]", "/tmp/w"
+    assert durable.shared_folder(Session()).startswith("/tmp/w/kawara_shared/")
