@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from test_text_operators import plain_fingerprint
+from test_text_operators import heap_loads, plain_fingerprint
 from test_vectors_and_warc import brute
 from tokenizers import Tokenizer
 
@@ -104,4 +104,4 @@ def test_shards(spark, texts):
     for s in loads:
         slots = sorted(r.slot for r in rows if r.shard == s)
         assert slots == list(range(len(slots)))
-    assert max(loads.values()) <= max(max(groups.values()), 1.34 * sum(loads.values()) / 24)
+    assert [loads[s] for s in range(24)] == heap_loads(list(groups.values()), 24)

@@ -1,5 +1,6 @@
 """The text operators against plain versions of themselves, and on nulls, empty texts, ties and clashing names."""
 
+import heapq
 import re
 import zlib
 from collections import Counter
@@ -357,13 +358,22 @@ def test_shards(spark, docs):
     assert set(loads) == set(range(6)) and max(loads.values()) - min(loads.values()) <= 0.01 * sum(loads.values())
 
 
-@pytest.mark.parametrize("parcels", [1, 20])
-def test_bundled_shards(spark, parcels):
-    """Many small groups in a few bundles: groups stay together, and no shard passes its share by more than the largest parcel."""
+def heap_loads(groups: list[int], shards: int) -> list[int]:
+    """The definition: every group by itself, by falling size, to the least-loaded shard."""
+    heap = [(0, s) for s in range(shards)]
+    for n in sorted(groups, reverse=True):
+        load, s = heapq.heappop(heap)
+        heapq.heappush(heap, (load + n, s))
+    return [n for n, _ in sorted(heap, key=lambda x: x[1])]
+
+
+@pytest.mark.parametrize("broadcast", [0, 1 << 14])
+def test_shards_are_those_of_a_heap_over_all_groups(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(sharding, "BROADCAST_SIZES", broadcast)
     rng = np.random.default_rng(6)
-    rows = [(i, int(n), f"g{g}") for i, (n, g) in enumerate(zip(rng.integers(1, 100, 4000), rng.integers(0, 1500, 4000)))] + [(9000 + i, 50, "hot") for i in range(900)]
+    rows = [(i, int(n), f"g{g}") for i, (n, g) in enumerate(zip(rng.integers(1, 100, 4000), rng.integers(0, 3500, 4000)))] + [(9000 + i, 50, "hot") for i in range(900)] + [(20_000 + i, 7, f"s{i}") for i in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, size long, content string")
-    got = sharding.shard(df, 6, group_cols=["content"], parcels_per_shard=parcels, slot_rows=300).collect()
+    got = sharding.shard(df, 6, group_cols=["content"], slot_rows=300).collect()
     assert sorted((r.doc_id, r.size, r.content) for r in got) == sorted(rows)
     homes, loads, slots, groups = {}, Counter(), {}, Counter()
     for r in got:
@@ -372,9 +382,7 @@ def test_bundled_shards(spark, parcels):
         groups[r.content] += r.size
         slots.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
-    total = sum(loads.values())
-    largest = max(max(groups.values()), 2 * total / (6 * parcels))  # a bundle of evenly hashed groups is less than twice the mean
-    assert max(loads.values()) <= total / 6 + largest
+    assert [loads[s] for s in range(6)] == heap_loads(list(groups.values()), 6)
 
 
 def test_shards_edges(spark):
@@ -385,6 +393,16 @@ def test_shards_edges(spark):
 
 
 def test_schedule_takes_the_least_loaded():
-    assert sharding.schedule([(1, 7), (2, 6), (3, 5), (4, 4), (5, 4)], 2) == {1: 0, 2: 1, 3: 1, 4: 0, 5: 0}
+    assert sharding.schedule([(7, 1), (6, 1), (5, 1), (4, 2)], 2) == [(7, 0, [1, 1]), (6, 1, [0, 1]), (5, 2, [0, 1]), (4, 3, [2, 2])]
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        shards, sizes = int(rng.integers(1, 9)), {int(n): int(c) for n, c in zip(rng.integers(0, 60, 12), rng.integers(1, 90, 12))}
+        loads, seen = [0] * shards, 0
+        for size, before, shares in sharding.schedule(list(sizes.items()), shards):
+            assert before == seen and shares[-1] == sizes[size]
+            seen += sizes[size]
+            loads = [n + size * (b - a) for n, a, b in zip(loads, [0, *shares], shares)]
+        assert loads == heap_loads([n for n, c in sizes.items() for _ in range(c)], shards)
+
 
 
