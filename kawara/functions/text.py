@@ -16,6 +16,7 @@ from . import words
 
 WHITE = r"\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 
+_WHITE_CHARACTERS = "\t\n\x0b\x0c\r\u00a0\u1680\u2028\u2029\u202f\u205f\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
 _WIDE = "".join(chr(c + 0xFEE0) for r in (range(0x30, 0x3A), range(0x41, 0x5B), range(0x61, 0x7B)) for c in r) + "\uff0d\u2015\u3000"
 _NARROW = "".join(chr(ord(c) - 0xFEE0) for c in _WIDE[:62]) + "-- "
 
@@ -84,26 +85,33 @@ def normalize_text(text: Column) -> Column:
 
 def normalize_name(name: Column) -> Column:
     """A key for shop names: no brackets, company forms or spaces, lower case; may be empty."""
-    return F.lower(_no_white(_company_free(normalize_text(name))))
+    return F.lower(_no_white(_company_free(_narrow(name))))
 
 
 def _company_free(name: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(name, r"[（(].*?[)）]", ""), "株式会社|有限会社|合同会社", "")
+    """Without what stands in brackets, and company forms. The patterns run on names that hold their first character alone."""
+    bare = F.when(name.contains("(") | name.contains("（"), F.regexp_replace(name, r"[（(].*?[)）]", "")).otherwise(name)
+    return F.when(bare.contains("会社"), F.regexp_replace(bare, "株式会社|有限会社|合同会社", "")).otherwise(bare)
 
 
-def _no_white(normal: Column) -> Column:
-    """Normalised text without its spaces, which are all the white space that it has."""
-    return F.replace(normal, F.lit(" "), F.lit(""))
+def _narrow(text: Column) -> Column:
+    """As normalize_text, but each white character is a space of its own: where spaces go anyway, that is one pass less."""
+    return F.translate(F.coalesce(text, F.lit("")), _WIDE + _WHITE_CHARACTERS, _NARROW + " " * len(_WHITE_CHARACTERS))
+
+
+def _no_white(narrow: Column) -> Column:
+    """Normalised or narrowed text without its spaces, which are all the white space that it has."""
+    return F.replace(narrow, F.lit(" "), F.lit(""))
 
 
 def normalize_address(address: Column) -> Column:
     """A key for addresses: no spaces, all dashes alike, the long vowel mark among them."""
-    return F.translate(_no_white(normalize_text(address)), "‐－−ー―", "-----")
+    return F.translate(_no_white(_narrow(address)), "‐－−ー―", "-----")
 
 
 def normalize_tel(tel: Column) -> Column:
     """The digits, if there are at least nine."""
-    digits = F.regexp_replace(normalize_text(tel), "[^0-9]", "")
+    digits = F.regexp_replace(_narrow(tel), "[^0-9]", "")
     return F.when(F.length(digits) >= 9, digits)
 
 

@@ -115,3 +115,12 @@ def test_main_content(spark, page, want):
 def test_dates_are_dates(spark):
     row = spark.createDataFrame([("2026年4月25日オープン",)], "t string").select(F.try_to_date(text.extract_open_date(F.col("t"), F.lit(2026))).alias("d")).first()
     assert row.d == date(2026, 4, 25)
+
+
+def test_white_space_of_keys(spark):
+    """Each white character between the parts of a name, also within brackets, over line ends."""
+    white = [chr(c) for c in (*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
+    rows = spark.createDataFrame([(f"{w}株式会社{w}Ａ（b{w}{w}c）{w}D会社(e",) for w in white] + [("a\nb(c\nd)e",), ("(x)",), ("会社",), (None,)], "t string")
+    got = [tuple(r) for r in rows.select(text.normalize_name(F.col("t")), text.normalize_address(F.col("t")), text.normalize_tel(F.concat(F.col("t"), F.lit(" 03－1234　5678")))).collect()]
+    assert got[:-4] == [("ad会社(e", "株式会社A（bc）D会社(e", "0312345678")] * len(white)
+    assert [g[0] for g in got[-4:]] == ["abe", "", "会社", ""] and [g[1] for g in got[-4:]] == ["ab(cd)e", "(x)", "会社", ""]
