@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import blocks, box, fields, free, pack_ints, partitions, to_arrow, unboxed, unpack_ints
+from .common import blocks, box, fields, free, pack_ints, partitions, settled, to_arrow, unboxed, unpack_ints
 
 #: Whatever any of the two may take for white space: the property of Unicode and four separators of ASCII.
 _WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -176,12 +176,12 @@ def align(docs: DataFrame, byte_bpe_path: str, piece_path: str, *, text_col: str
        broadcast, a row for each id of A's vocabulary at most.
     4. Blocks receive alignments and counts, and put documents together.
 
-    ``docs`` is to be read from files, or written before (``durable``), so that a task that runs again deals the same
-    blocks. Ranges are dealt to several tasks by block where they are many (``row_segments``). Repeated rows count as
+    ``docs`` that aren't just read from files are written first (``settled``), so that a task that runs again deals the
+    same blocks. Ranges are dealt to several tasks by block where they are many (``row_segments``). Repeated rows count as
     documents of their own; columns of the result's names are replaced. No rows, no rows.
     """
     results = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    docs = docs.drop(*results, "groups")
+    docs = settled(docs.drop(*results, "groups"))
     own, (count,) = fields(docs, (text_col,)), free(docs, "count")
     after = T.StructType([*own, *[T.StructField(x, T.LongType()) for x in results], T.StructField("groups", T.StringType())])
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`"))).cast("long")).first()[0] or 0

@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema as to_arrow
 from kawara.operators.components import components
 from kawara.operators.durable import durable, shared_folder
 
-__all__ = ["blocks", "box", "boxed", "components", "durable", "fields", "free", "give_back", "pack_ints", "pack_longs", "partitions", "shared_folder", "to_arrow", "trimmed", "unboxed", "unpack_ints", "unpack_longs", "utf8", "words"]
+__all__ = ["blocks", "box", "boxed", "components", "durable", "fields", "free", "give_back", "pack_ints", "pack_longs", "partitions", "settled", "shared_folder", "to_arrow", "trimmed", "unboxed", "unpack_ints", "unpack_longs", "utf8", "words"]
 
 
 def free(df: DataFrame, *names: str) -> list[str]:
@@ -128,6 +128,22 @@ def boxed(docs: DataFrame, text: str, block_bytes: int) -> DataFrame:
     return durable(docs.mapInArrow(trimmed(run), "block long, size long, rows binary"))
 
 
+#: Steps that give a partition's rows in the same order whenever it is made again.
+_STEADY = {"Project", "Filter", "LogicalRelation", "LogicalRDD", "LocalRelation", "Range", "MapInArrow", "MapInPandas", "Generate", "SubqueryAlias", "LocalLimit"}
+
+
+def settled(docs: DataFrame) -> DataFrame:
+    """``docs`` as they are where they are read from files and only narrowed, else a written copy: after a shuffle a task
+    that runs again may meet its rows in another order, and would number its blocks otherwise than others have read."""
+    todo = [docs._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        plan = todo.pop()
+        if plan.getClass().getSimpleName() not in _STEADY:
+            return durable(docs)
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    return docs
+
+
 def partitions(df: DataFrame, size: int, each: int) -> int:
     """How many partitions take ``size`` bytes, about ``each`` in one; the session's number at least."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each))

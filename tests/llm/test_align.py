@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kawara.llm import align, queries
+from kawara.llm.common import settled
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SF = "/root/testdata/sf0.001"
@@ -79,3 +80,13 @@ def test_registered_query(spark):
         got = whole[r.doc_id]
         assert (got.n_a, got.n_b, got.n_groups, got.n_links) == want[:4]
         assert got.groups_sha256 == (hashlib.sha256(want[6].encode()).hexdigest() if want[6] else "")
+
+
+def test_rows_that_a_shuffle_deals_are_written_first(spark, tmp_path):
+    spark.createDataFrame([(k, "a b " * k) for k in range(20)], "id long, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    assert settled(docs) is docs and settled(narrow := docs.where("id > 3").select("text")) is narrow
+    for dealt in (docs.repartition(3), docs.join(docs.select("id"), "id"), docs.distinct(), docs.orderBy("id")):
+        copy = settled(dealt)
+        assert copy is not dealt and copy.count() == dealt.count() and settled(copy) is copy
+    assert align.align(docs.repartition(3), A, B).count() == 20
