@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Up to so many characters that words begin with are looked for in a text before its windows are taken.
 FIRST_CHARACTERS = 4096
+#: Places in a stretch of text; it also has what words that begin at the last of them may need.
+STRETCH = 64
 
 
 def find_words(rows: DataFrame, words: DataFrame, *, key: str = "id", text: str = "text", word: str = "word") -> DataFrame:
@@ -21,11 +23,13 @@ def find_words(rows: DataFrame, words: DataFrame, *, key: str = "id", text: str
     shape = words.agg(F.array_sort(F.collect_set(F.length("word"))).alias("lengths"), F.collect_set(F.substring("word", 1, 1)).alias("first")).first()
     if not shape.lengths:
         return rows.where("false").select(key, F.lit("").alias("word"), F.lit(0).cast("long").alias("n"))
-    held = F.col(text)
-    places = F.sequence(F.lit(1), F.length(held))
+    # overlapping stretches of a text, in one pass: what follows costs the same wherever in a long text it is
+    stretches = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{1,{STRETCH - 1 + shape.lengths[-1]}}})).{{1,{STRETCH}}}"), F.lit(1))
+    held = F.col("stretch")
+    places = F.sequence(F.lit(1), F.least(F.lit(STRETCH), F.length(held)))
     if len(shape.first) <= FIRST_CHARACTERS:
         places = F.filter(places, lambda i: F.contains(F.lit("".join(shape.first)), F.substr(held, i, F.lit(1))))
-    at = rows.where(F.length(held) > 0).select(key, text, F.explode(places).alias("at"))
+    at = rows.where(F.length(text) > 0).select(key, F.explode(stretches).alias("stretch")).select(key, "stretch", F.explode(places).alias("at"))
     # a window that passes the end is cut there; only the whole ones may be words
     windows = at.select(key, F.explode(F.filter(F.array(*[F.struct(F.substr(held, F.col("at"), F.lit(n)).alias("word"), F.lit(n).alias("n")) for n in shape.lengths]), lambda w: F.length(w["word"]) == w["n"])).alias("w")).select(key, "w.word")
     return windows.join(words, "word").groupBy(key, "word").agg(F.count("*").alias("n"))

@@ -30,6 +30,15 @@ def test_same_as_the_folded_expressions(spark):
     assert held == {r.id: bool(r.food) for r in df.select("id", text.any_of(F.col("text"), words.FOOD).alias("food")).collect()}
 
 
+def test_words_across_stretches(spark):
+    """A word at every place around the ends of stretches, and in a text as long as a book."""
+    word = "ぁ🙂x"
+    texts = ["・" * n + word + "・" * (n % 3) for n in range(130)] + [("・" * 1000 + word) * 1000]
+    found = dictionary.find_words(rows(spark, texts), spark.createDataFrame([(word,), ("no" * 40,), ("x",)], "word string"))
+    got = {(r.id, r.word): r.n for r in found.collect()}
+    assert got == {(i, w): 1 if i < 130 else 1000 for i in range(131) for w in (word, "x")}
+
+
 def test_a_hundred_thousand_words(spark):
     table = spark.range(100_000).select(F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(";")).alias("word"))
     df = spark.range(200).select("id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: F.concat(F.lit("w"), (F.col("id") * 997 + i * 31).cast("string"), F.lit(";"))), " ").alias("text"))
