@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, box, fields, free, pack_ints, partitions, to_arrow, unboxed, unpack_ints
+from .common import blocks, box, fields, free, pack_ints, partitions, settled, to_arrow, unboxed, unpack_ints
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -61,15 +61,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "t
     several tasks by their block, each of which encodes the range's pre-tokens once. So rows stay in proportion to the
     texts.
 
-    Blocks are numbered by partition and arrival: ``docs`` is to be read from files, or written before (``durable``),
-    so that a task that is run again meets the same rows in the same order. A null or empty text has no ids; repeated
+    Blocks are numbered by partition and arrival, so ``docs`` that aren't just read from files are written first
+    (``settled``): a task that is run again meets the same rows in the same order. A null or empty text has no ids; repeated
     rows stay; a column named token_ids is replaced.
 
     With ``decoded`` the ids are decoded again into a column of that name: a row for each distinct id of a block joins
     the token-byte table (broadcast; a row an id of the vocabulary, whatever the corpus), and with what it says the
     block's texts are put together as bytes, too.
     """
-    docs = docs.drop("token_ids", *["decoded"] * decoded)
+    docs = settled(docs.drop("token_ids", *["decoded"] * decoded))
     own, (count,) = fields(docs, (text_col,)), free(docs, "count")
     after = T.StructType([*own, T.StructField("token_ids", T.BinaryType()), *[T.StructField("decoded", T.BinaryType())] * decoded])
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`"))).cast("long")).first()[0] or 0
@@ -117,12 +117,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "t
                 ends = np.cumsum(unpack_ints(lengths), dtype=np.int64).tolist()
                 flat = zstandard.ZstdDecompressor().decompress(words)
                 got = [ids[flat[a:e]] for a, e in zip([0, *ends], ends)]
-                out.append((int.from_bytes(block, "little"), number, pack_ints(np.fromiter(map(len, got), np.uint32, len(got)) // 4), pack_ints(np.frombuffer(b"".join(got), "<u4"))))
-        columns = list(zip(*out)) or [()] * 4
-        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["key", "range", "lengths", "ids"])
+                # ids as places in the row's own list of them, the frequent first: small numbers
+                used, ids_at, times = np.unique(np.frombuffer(b"".join(got), "<u4"), return_inverse=True, return_counts=True)
+                order = np.argsort(-times, kind="stable")
+                rank = np.empty(len(order), np.uint32)
+                rank[order] = np.arange(len(order), dtype=np.uint32)
+                out.append((int.from_bytes(block, "little"), number, pack_ints(np.fromiter(map(len, got), np.uint32, len(got)) // 4), pack_ints(used[order]), pack_ints(rank[ids_at])))
+        columns = list(zip(*out)) or [()] * 5
+        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), *[pa.binary()] * 3))], ["key", "range", "lengths", "used", "ids"])
 
     def used_ids(table: pa.Table) -> pa.Table:
-        ids = np.unique(np.concatenate([np.zeros(0, "<u4"), *map(unpack_ints, table["ids"].to_pylist())])).astype(np.int64)
+        ids = np.unique(np.concatenate([np.zeros(0, "<u4"), *map(unpack_ints, table["used"].to_pylist())])).astype(np.int64)
         return pa.table({"key": pa.array(np.full(len(ids), table["key"][0].as_py()), pa.int64()), "id": pa.array(ids, pa.int64())})
 
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -137,12 +142,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "t
                 by = np.argsort(of, kind="stable")
                 starts = np.searchsorted(of[by], right["range"].to_numpy())
                 size, offset, ids, at = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64), [np.zeros(0, "<u4")], 0
-                for start, n, b in zip(starts, right["lengths"].to_pylist(), right["ids"].to_pylist()):
+                for start, n, u, b in zip(starts, *(right[c].to_pylist() for c in ("lengths", "used", "ids"))):
                     lengths = unpack_ints(n).astype(np.int64)
                     here = by[start : start + len(lengths)]
                     size[here] = lengths
                     offset[here] = at + np.cumsum(lengths) - lengths
-                    ids.append(unpack_ints(b))
+                    ids.append(unpack_ints(u)[unpack_ints(b)])
                     at += len(ids[-1])
                 if not (size > 0).all():
                     raise ValueError("pre-tokens came back without ids")
@@ -161,7 +166,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "t
 
     n = partitions(docs, size, range_bytes)
     pieces = docs.mapInArrow(split, "key long, range long, rows binary, places binary, words binary").repartition(n, "key")
-    coded = pieces.groupBy("key").applyInArrow(encode_range, "key long, range long, lengths binary, ids binary")
+    coded = pieces.groupBy("key").applyInArrow(encode_range, "key long, range long, lengths binary, used binary, ids binary")
     if decoded:
         coded = coded.repartition(n, "key")
         named = coded.groupBy("key").applyInArrow(used_ids, "key long, id long").join(F.broadcast(token_table(docs.sparkSession, ranks_path)), "id")
