@@ -14,6 +14,8 @@ from .common import components, durable, fields, utf8
 
 #: Cells of up to so many rows are compared row by row at once; larger ones by a search that leaves a spanning forest.
 SMALL_CELL = 16
+#: Fingerprints that are compared with each other without looking at blocks of their bits first.
+LARGE_GROUP = 512
 
 
 def _fingerprints(texts: list[bytes], shingle_words: int) -> np.ndarray:
@@ -71,6 +73,36 @@ def fingerprints(docs: DataFrame, *, text_col: str = "text", shingle_words: int
     return docs.mapInArrow(run, schema)
 
 
+def _split_links(bits: np.ndarray, node: np.ndarray, radius: int, splits: int = 4):
+    """Links that connect what the links of ``radius`` bits connect.
+
+    The bits in which the fingerprints differ are cut into ``radius`` + 1 blocks: two that are linked agree in one of
+    them, so each block's groups of equal ones are gone through by themselves, cut again while they are large. So
+    unlinked fingerprints meet few others, however many share a cell.
+    """
+    if len(bits) > LARGE_GROUP and splits:
+        varying = int(np.bitwise_or.reduce(bits ^ bits[0]))
+        places = [k for k in range(64) if varying >> k & 1]
+        for b in range(radius + 1):
+            mask = np.uint64(sum(1 << k for k in places[b :: radius + 1]))
+            order = np.argsort(bits & mask, kind="stable")
+            cuts = np.flatnonzero(np.diff((bits & mask)[order]))
+            for group in np.split(order, cuts + 1):
+                if len(group) > 1:
+                    yield from _split_links(bits[group], node[group], radius, splits - 1)
+        return
+    todo = np.arange(len(bits))
+    while len(todo):
+        frontier, todo = [todo[0]], todo[1:]
+        while frontier and len(todo):
+            here = frontier.pop()
+            near = np.bitwise_count(bits[todo] ^ bits[here]) <= radius
+            found, todo = todo[near], todo[~near]
+            if len(found):
+                yield np.full(len(found), node[here]), node[found]
+                frontier += found.tolist()
+
+
 def _cell_links(cell: np.ndarray, up: np.ndarray, bits: np.ndarray, node: np.ndarray, radius: int):
     """Links of nodes that share a cell, rows sorted by cell; of a large cell, a spanning forest of its links."""
     starts = np.flatnonzero(np.diff(cell, prepend=cell[0] - 1))
@@ -86,17 +118,9 @@ def _cell_links(cell: np.ndarray, up: np.ndarray, bits: np.ndarray, node: np.nda
         left.append(node[i])
         right.append(node[i + d])
     for s, n in zip(starts[(sizes > SMALL_CELL) & has_base].tolist(), sizes[(sizes > SMALL_CELL) & has_base].tolist()):
-        own, ids = bits[s : s + n], node[s : s + n]
-        todo = np.arange(n)
-        while len(todo):
-            frontier, todo = [todo[0]], todo[1:]
-            while frontier and len(todo):
-                here = frontier.pop()
-                near = np.bitwise_count(own[todo] ^ own[here]) <= radius
-                found, todo = todo[near], todo[~near]
-                left.append(np.full(len(found), ids[here]))
-                right.append(ids[found])
-                frontier += found.tolist()
+        for a, b in _split_links(bits[s : s + n], node[s : s + n], radius):
+            left.append(a)
+            right.append(b)
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
 
 
