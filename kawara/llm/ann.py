@@ -189,7 +189,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str =
     listed = vectors.where((F.size("vector") == size) & F.lit(not plain) & ~F.col("wide"))
     rows, most = (0, 1.0) if plain else (rows, most)
     share = min(1.0, sample_rows / max(1, rows))
-    picked = listed.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).toArrow() if rows else None
+    picked = listed.where(F.pmod(F.xxhash64("id", "vector"), F.lit(1 << 30)) < int(share * (1 << 30))).toArrow() if rows else None
     picked = picked.take(pa.array(np.random.default_rng(0).permutation(picked.num_rows))) if rows else None
     sample = _matrix(picked["vector"]) if rows and picked.num_rows else np.zeros((0, size))
     lift = lambda m: np.concatenate([m, np.sqrt(np.maximum(0, most - (m**2).sum(axis=1)))[:, None]], axis=1)
@@ -294,6 +294,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str =
             asking, points, bound, selected = qs["id"].to_numpy(), _matrix(qs["vector"]), qs["bound"].to_numpy(), qs["lists"].combine_chunks()
             who, what = selected.value_parent_indices().to_numpy(), selected.flatten().to_numpy()
             by_vector, by_query = np.argsort(of, kind="stable"), np.argsort(what, kind="stable")
+            # rough scores in single precision, as far below the true ones as their rounding can be
+            with np.errstate(over="ignore"):
+                lengths = (points**2).sum(axis=1)
+            rough, slack = (np.float32, 1.2e-7 * (matrix.shape[1] + 8)) if 1e-20 < min(most, lengths.min()) and max(most, lengths.max()) < 1e30 else (np.float64, 1e-9)
+            rough_matrix, rough_points = matrix.astype(rough, copy=False), points.astype(rough, copy=False)
+            least = bound - slack * np.sqrt(most) * np.sqrt(lengths)
             for one in np.intersect1d(of, what):
                 own = by_vector[np.searchsorted(of[by_vector], one) : np.searchsorted(of[by_vector], one, "right")]
                 asked = who[by_query[np.searchsorted(what[by_query], one) : np.searchsorted(what[by_query], one, "right")]]
@@ -302,7 +308,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str =
                     fits = asking[some][:, None] != ids[own][None]
                     if one >= 0:  # exact scores decide among what may be among the best
                         with np.errstate(over="ignore", invalid="ignore"):
-                            fits &= ~(points[some] @ matrix[own].T < (bound[some] - 1e-9 * np.sqrt(most) * np.sqrt((points[some] ** 2).sum(axis=1)))[:, None])
+                            fits &= ~(rough_points[some] @ rough_matrix[own].T < least[some][:, None])
                     q, v = np.nonzero(fits)
                     score = _scores(points[some][q], matrix[own][v])
                     real = ~np.isnan(score)

@@ -147,3 +147,20 @@ def test_profiles_ties_and_hot_urls(spark):
 
 def test_no_records(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], "record_id long, record_type string, url string, date timestamp, status int, headers map<string,string>, payload string")).count() == 0
+
+
+@pytest.mark.parametrize("scale", [1e-30, 1e-12, 1.0, 1e18])
+def test_rough_scores_at_every_scale(spark, scale):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(3000, 8)) * scale
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    asked = [i for i in range(3000) if i % 100 == 0]
+    got = {}
+    for r in ann.search(df, df.where("vec_id % 100 = 0"), 5, list_rows=100, least_met=3000).collect():
+        got.setdefault(r.query_id, {})[r.rank - 1] = r.vec_id
+    products = vectors[asked] @ vectors.T
+    hits = 0
+    for i, q in enumerate(asked):
+        order = [j for j in np.argsort(-products[i], kind="stable") if j != q][:5]
+        hits += len(set(order) & set(got[q].values()))
+    assert hits == 5 * len(asked)
