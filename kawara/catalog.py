@@ -557,9 +557,12 @@ _IMAGES = [(1, "<p><img alt='x' data-src=no src='a.png'><img src=b>"), (2, "<p>n
 
 
 @query(f"""SELECT id, coalesce(nullif(regexp_extract(a, '(?is)(?:^|[\\s"''])src\\s*=\\s*"([^"]*)"', 1), ''), nullif(regexp_extract(a, '(?is)(?:^|[\\s"''])src\\s*=\\s*''([^'']*)''', 1), ''), nullif(regexp_extract(a, '(?is)(?:^|[\\s"''])src\\s*=\\s*([^\\s"''>]+)', 1), '')) AS image
-FROM (SELECT id, nullif(regexp_extract(html, '(?is)<img\\b([^>]*)>', 1), '') AS a FROM (VALUES {_values(_IMAGES)}) t(id, html))""")
+FROM (SELECT page_id AS id, nullif(regexp_extract(replace(p.html, '<article>', '<article>' || t.html), '(?is)<img\\b([^>]*)>', 1), '') AS a FROM pages p JOIN (VALUES {_values(_IMAGES)}) t(n, html) ON n = page_id % 6 + 1)""")
 def first_image(spark, d):
-    return spark.createDataFrame(_IMAGES, "id int, html string").select("id", html.first_image(F.col("html")).alias("image"))
+    """The pages, each with one of six ways to write an image, or none, in its article."""
+    image = F.element_at(F.array(*[F.lit(h) for _, h in _IMAGES]), (F.col("page_id") % 6 + 1).cast("int"))
+    shown = F.when(image.isNotNull(), F.replace(F.col("html"), F.lit("<article>"), F.concat(F.lit("<article>"), image)))
+    return _read(spark, d, "pages").select(F.col("page_id").alias("id"), html.first_image(shown).alias("image"))
 
 
 _BODY = "regexp_extract(html, '(?s)<body>(.*?)(?:</body>|\\z)', 1)"
@@ -961,11 +964,12 @@ def ingest_pages(spark, d):
 
 @query()
 def ingest_batch(spark, d):
-    """The literal texts as one feed a prefecture, ingested into empty tables: the stores made."""
-    prefs = [(i + 1, p, None, True) for i, p in enumerate(words.PREFS)]
-    known = spark.createDataFrame(prefs, "id long, pref string, city string, enabled boolean")
-    item = F.concat(F.lit("<item><title>"), F.coalesce("title", F.lit("")), F.lit("</title><link>https://news.example/"), F.col("id").cast("string"), F.lit("</link><description>"), F.coalesce("content", F.lit("")), F.lit("</description></item>"))
-    rows = _texts(spark).select(F.array_position(F.array(*[F.lit(p) for p in words.PREFS]), F.col("pref")).alias("source_id"), "id", item.alias("item")).where("source_id > 0")
+    """Every document with one of the texts as an item of its prefecture's feeds, ingested into empty tables: the stores made."""
+    shown = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    item = F.concat(F.lit("<item><title>"), shown("title"), F.lit("</title><link>https://news.example/"), F.col("id").cast("string"), F.lit("</link><description>"), shown("content"), F.lit("</description></item>"))
+    place = F.array_position(F.array(*[F.lit(p) for p in words.PREFS]), F.col("pref"))
+    rows = _long_texts(spark, d).where(place > 0).select((place + 10 * F.expr("id div 1000")).alias("source_id"), "pref", "id", item.alias("item"))
+    known = rows.select(F.col("source_id").alias("id"), "pref").distinct().select("id", "pref", F.lit(None).cast("string").alias("city"), F.lit(True).alias("enabled"))
     written = rows.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "item"))), lambda x: x["item"]), "").alias("items"))
     feed = written.select("source_id", F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>")).alias("xml"), F.lit("2026-04-23").cast("timestamp").alias("fetched_at"))
     out = ingest.ingest(feed, _read(spark, d, "pages").select("url", "html"), known, spark.createDataFrame([], SCHEMAS["articles"]), spark.createDataFrame([], SCHEMAS["stores"]), F.lit("2026-04-23").cast("timestamp"))
