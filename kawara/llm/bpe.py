@@ -128,14 +128,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "t
 
     def used_ids(table: pa.Table) -> pa.Table:
         ids = np.unique(np.concatenate([np.zeros(0, "<u4"), *map(unpack_ints, table["used"].to_pylist())])).astype(np.int64)
-        return pa.table({"key": pa.array(np.full(len(ids), table["key"][0].as_py()), pa.int64()), "id": pa.array(ids, pa.int64())})
+        each = lambda x: pa.array(np.full(len(ids), x), pa.int64())
+        return pa.table({"key": each(table["key"][0].as_py()), "least": each(min(table["range"].to_pylist())), "id": pa.array(ids, pa.int64())})
 
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if decoded:
-            named = right.filter(right["id"].is_valid()).sort_by("id")
-            right = right.filter(right["range"].is_valid())
-            used, tokens = named["id"].to_numpy(), pa.array(named["bytes"].to_pylist(), pa.large_binary())
+            named = [x for some in right["named"].to_pylist() for x in some or ()]
+            used, tokens = np.array([x["id"] for x in named], np.int64), pa.array([x["bytes"] for x in named], pa.large_binary())
         if left.num_rows and left["key"][0].as_py() >= 0:
             for rows, places, of in zip(left["rows"], left["places"].to_pylist(), left["words"].to_pylist()):
                 table, places, of = unboxed(rows), unpack_ints(places), unpack_ints(of)
@@ -169,8 +169,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "t
     coded = pieces.groupBy("key").applyInArrow(encode_range, "key long, range long, lengths binary, used binary, ids binary")
     if decoded:
         coded = coded.repartition(n, "key")
-        named = coded.groupBy("key").applyInArrow(used_ids, "key long, id long").join(F.broadcast(token_table(docs.sparkSession, ranks_path)), "id")
-        coded = coded.unionByName(named, allowMissingColumns=True)
+        named = coded.groupBy("key").applyInArrow(used_ids, "key long, least long, id long").join(F.broadcast(token_table(docs.sparkSession, ranks_path)), "id")
+        named = named.repartition(n, "key").groupBy(F.col("key").alias("of")).agg(F.min("least").alias("least"), F.sort_array(F.collect_list(F.struct("id", "bytes"))).alias("named"))
+        # the first of a block's rows takes the block's tokens along; both sides lie by key already, so nothing is sent again
+        coded = coded.join(named, (F.col("key") == F.col("of")) & (F.col("range") <= F.col("least")), "left").drop("of", "least")
     return pieces.groupBy("key").cogroup(coded.groupBy("key")).applyInArrow(put_together, after)
 
 
