@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes that a file of a compacted batch has at most, about.
+FILE = 128 << 20
+
 
 @dataclass(frozen=True)
 class Partitioned:
@@ -116,3 +119,15 @@ def bins(sizes: dict[int, int], target: int, least: int) -> list[list[int]]:
         out[-1].append(b)
         held += sizes[b]
     return [x for x in out if len(x) > 1]
+
+
+def tier(sizes: dict[int, int], least: int) -> list[list[int]]:
+    """The batches to be made one, if there are ``least``: all but those larger than all that are smaller together.
+
+    A batch that is written again is then part of one at least twice as large, so rows are written again as often as
+    the table has doubled, and the batches left out double in size from one to the next, so they are few.
+    """
+    by_size = sorted(sizes, key=lambda b: (sizes[b], b))
+    while len(by_size) > 1 and sizes[by_size[-1]] > sum(sizes[b] for b in by_size[:-1]):
+        by_size.pop()
+    return [sorted(by_size)] if len(by_size) >= max(2, least) else []

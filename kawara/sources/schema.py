@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.words import PREFS, SOURCE_TYPES
 from ..operators.changes import update, upsert
 from ..operators.durable import durable
-from .partitions import Partitioned, bins
+from .partitions import FILE, Partitioned, bins, tier
 
 SCHEMAS = {
     "sources": "id long, name string, url string, rss_url string, source_type string, pref string, city string, enabled boolean, last_crawled_at timestamp, created_at timestamp",
@@ -175,15 +175,20 @@ class Tables:
         self.delete("stores", self.read("stores").where(F.col("listed_date") < oldest).select("id"))
         self.delete("articles", self.read("articles").where(F.col("published_at") < oldest).select("id"))
 
-    def compact(self, before: int, *, least: int = 16, target: int = 128 << 20) -> None:
-        """Small batches among those ``before`` one become larger ones, under the number of their newest.
+    def compact(self, before: int, *, least: int = 16, target: int | None = None) -> None:
+        """Batches among those ``before`` one become fewer, under the number of their newest.
+
+        All that are small beside each other become one, however large they are (``tier``); with ``target`` small ones
+        become batches of at most so many bytes (``bins``), which later changes write again more cheaply. A batch's
+        rows are dealt to several tasks and files of about FILE bytes.
 
         Only batches that no run will write again may be named: in a poll, those before its own. Of crawls and given
         ids the largest of each name is kept; keys go to the partitions of their hashes.
         """
         for table, at in self.at.items():
             at.finish()
-            found = bins({b: n for b, n in at.sizes().items() if 0 <= b < before}, target, least)
+            sizes = {b: n for b, n in at.sizes().items() if 0 <= b < before}
+            found = tier(sizes, least) if target is None else bins(sizes, target, least)
             if not found:
                 continue
             moved = self.spark.createDataFrame([(b, x[-1]) for x in found for b in x], "batch long, into long")
@@ -195,4 +200,6 @@ class Tables:
                 rows = rows.groupBy("batch", "part", "name").agg(F.max("top").alias("top"))
             if table == "article_keys":
                 rows = rows.distinct().withColumn("bucket", bucket(F.col("article_url")))
-            at.replace(rows.repartition(*at.by), sorted(b for x in found for b in x))
+            files = max(-(-sum(sizes[b] for b in x) // FILE) for x in found)
+            rows = rows.repartition(*at.by, F.pmod(F.xxhash64(*rows.columns), F.lit(files)))
+            at.replace(rows, sorted(b for x in found for b in x))

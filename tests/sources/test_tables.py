@@ -9,7 +9,7 @@ from plans.test_ingest import FEEDS, PAGES, frame, tables
 from pyspark.sql import functions as F
 
 from kawara.plans import maintain
-from kawara.sources.partitions import Partitioned, bins
+from kawara.sources.partitions import Partitioned, bins, tier
 from kawara.sources.schema import BUCKETS, SCHEMAS, Tables
 from kawara.streaming import poll
 
@@ -151,6 +151,22 @@ def test_bins():
     assert bins({0: 49, 1: 49, 2: 49}, 100, 2) == [[0, 1]]
 
 
+def test_tier():
+    assert tier({}, 0) == [] and tier({0: 1}, 0) == [] and tier({b: 60 << 20 for b in range(40)}, 16) == [list(range(40))]
+    assert tier({0: 1000, 1: 10, 2: 30, 3: 10, 4: 60}, 2) == [[1, 3]] and tier({0: 1000, 1: 10, 2: 20, 3: 10}, 3) == [[1, 2, 3]] and tier({0: 1, 1: 1}, 3) == []
+
+
+def test_large_batches_become_one(spark, tmp_path, monkeypatch):
+    """Forty batches that are too large together for one file are still one batch, of several files."""
+    t = Tables(spark, str(tmp_path / "t")).create()
+    t.append_batches("articles", filled(spark, "articles", [(i, i % 40) for i in range(400)], article_url=F.concat(F.lit("https://a/"), F.col("id").cast("string"))))
+    sizes = Partitioned.sizes
+    monkeypatch.setattr(Partitioned, "sizes", lambda self: {b: 4096 * n for b, n in sizes(self).items()})
+    t.compact(40)
+    assert sorted(t.at["articles"].sizes()) == [-1, 39] and sorted(t.at["article_keys"].sizes()) == [-1, 39]
+    assert ids(t, "articles") == list(range(400)) and len(files(t, "articles")) > 1
+
+
 def test_polls_compact(spark, tmp_path):
     pages = spark.createDataFrame(PAGES, "url string, html string")
     found = []
