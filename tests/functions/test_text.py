@@ -105,6 +105,7 @@ def test_cases(spark):
         (f"<body><div class='x post-body'>{'p' * 150} {'q' * 150}<img src='in.png'></div></body>", ("p" * 150 + " " + "q" * 150, "in.png")),
         (None, ("", None)),
         ("<body>" + "z" * 20_000, ("z" * 10_000, None)),
+        ("<body>a&amp;&amp</h1>b&copy=1 &copyx; &#38; &eacute; & &", ("a&&ampb&copy=1 &copyx; & é & &", None)),
     ],
 )
 def test_main_content(spark, page, want):
