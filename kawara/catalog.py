@@ -957,7 +957,7 @@ def ingest_pages(spark, d):
     feed = _feeds_of(rows.withColumn("source_id", F.expr("page_id div 100")), "page_id", item).withColumn("fetched_at", F.lit("2026-04-23").cast("timestamp"))
     known = feed.select(F.col("source_id").alias("id"), F.lit("東京都").alias("pref"), F.lit("北区").alias("city"), F.lit(True).alias("enabled"))
     nothing = lambda t: spark.createDataFrame([], SCHEMAS[t])
-    out = ingest.ingest(feed, rows.select("url", "html"), known, nothing("articles"), nothing("stores"), F.lit("2026-04-23").cast("timestamp"))
+    out = ingest.ingest(feed, rows.select("url", "html"), known, nothing("articles"), nothing("stores"), F.lit("2026-04-23").cast("timestamp"), count_repeats=True)
     kept = out.articles.select(F.lit("article").alias("side"), "id", F.concat_ws(" ", "article_url", F.md5("content"), "thumbnail_url").alias("other"))
     return kept.union(out.crawls.select(F.lit("crawl"), "source_id", F.col("crawled_at").cast("date").cast("string")))
 

@@ -84,11 +84,12 @@ def extracted(items: DataFrame) -> DataFrame:
     ).withColumn("name_normalized", text.normalize_name(F.col("name"))).withColumn("addr_normalized", F.when(F.col("addr").isNotNull(), text.normalize_address(F.col("addr")))).withColumn("tel_normalized", text.normalize_tel(F.col("tel")))
 
 
-def ingest(feeds: DataFrame, pages: DataFrame, sources: DataFrame, articles: DataFrame | Callable[[DataFrame], DataFrame], stores: DataFrame, now: Column, tops: tuple[int, int] | None = None) -> Batch:
+def ingest(feeds: DataFrame, pages: DataFrame, sources: DataFrame, articles: DataFrame | Callable[[DataFrame], DataFrame], stores: DataFrame, now: Column, tops: tuple[int, int] | None = None, *, count_repeats: bool = False) -> Batch:
     """What a poll of ``feeds`` (source_id, xml, fetched_at) adds to the tables.
 
     ``articles`` are the known ones, or a function from the items' links (link) to those that may stand among them
-    (article_url); ``tops`` are the largest ids of articles and stores that were given before, else those in the tables.
+    (article_url); ``tops`` are the largest ids of articles and stores that were given before, else those in the tables. With
+    ``count_repeats`` an item whose link an earlier one has uses up an article's id, as a refused insert does.
 
     Order is by source id and place in the feed. Only the feed's text decides whether an item announces a place to eat;
     items that don't are forgotten and judged again next time. Every other one with a readable date becomes an
@@ -101,9 +102,15 @@ def ingest(feeds: DataFrame, pages: DataFrame, sources: DataFrame, articles: Dat
     if callable(articles):
         articles = articles(parsed.where("link IS NOT NULL").select("link").distinct())
     items = new_items(parsed, sources, articles).where(text.is_food_opening(F.col("title"), F.col("rss_text")))
-    read = durable(extracted(with_pages(durable(first_of_link(items)), pages)))
     order = [F.col("source_id"), F.col("ordinal")]
-    taken = numbered(read.where("published_at IS NOT NULL"), order, "article_id", top_article + 1, written=True)
+    if count_repeats:
+        items = durable(items)
+        places = numbered(items.where("published_at IS NOT NULL").select(*order), order, "article_id", top_article + 1)
+        items = items.join(places, ["source_id", "ordinal"], "left")
+    read = durable(extracted(with_pages(durable(first_of_link(items)), pages)))
+    taken = read.where("published_at IS NOT NULL")
+    if not count_repeats:
+        taken = numbered(taken, order, "article_id", top_article + 1, written=True)
     new_articles = taken.select(F.col("article_id").alias("id"), "source_id", F.col("link").alias("article_url"), "title", F.substring("content", 1, CONTENT).alias("content"), F.col("thumbnail").alias("thumbnail_url"), "published_at", F.lit(None).cast("string").alias("raw_html"), F.lit(True).alias("parsed"), now.alias("created_at"))
 
     named = F.col("name").isNotNull() & (F.col("name") != "") & text.nonblank(F.col("pref")).isNotNull() & (F.col("city") != "")

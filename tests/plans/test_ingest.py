@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kawara.plans import ingest, maintain, views
 from kawara.operators.serving import Filters
 from kawara.sources import feeds
-from kawara.sources.schema import Tables, quarantine
+from kawara.sources.schema import SCHEMAS, Tables, quarantine
 from kawara.streaming import poll
 
 RSS = """<?xml version="1.0" encoding="UTF-8"?>
@@ -111,6 +111,15 @@ def test_one_batch(spark, tmp_path):
     assert good.count() == 4 and bad.count() == 0
 
 
+def test_repeats_use_up_ids(spark):
+    sources = spark.createDataFrame([(1, "東京都", "北区", True), (2, "東京都", "北区", True)], "id long, pref string, city string, enabled boolean")
+    rows = [(1, rss(*[item("ラーメン「店」オープン", f"https://a/{k}", "soon" if k == 4 else None) for k in (1, 2, 1, 4, 3)])), (2, rss(*[item("ラーメン「店」オープン", f"https://a/{k}", None) for k in (2, 4, 5)]))]
+    nothing = lambda t: spark.createDataFrame([], SCHEMAS[t])
+    for count, want in ((True, {1: 1, 2: 2, 3: 4, 5: 7}), (False, {1: 1, 2: 2, 3: 3, 5: 4})):
+        out = ingest.ingest(frame(spark, rows), spark.createDataFrame([], "url string, html string"), sources, nothing("articles"), nothing("stores"), F.lit("2026-04-23").cast("timestamp"), count_repeats=count)
+        assert {int(r.article_url[-1]): r.id for r in out.articles.collect()} == want
+
+
 def test_polls_are_idempotent(spark, tmp_path):
     t = tables(spark, tmp_path / "tables")
     pages = spark.createDataFrame(PAGES, "url string, html string")
