@@ -61,3 +61,13 @@ def test_sql_functions(spark):
     got = spark.sql(f"SELECT {', '.join(f'{c} AS c{i}' for i, c in enumerate(calls))} FROM titles")
     assert got.collect() == df.select(*[f(F.col("t")).alias(f"c{i}") for i, f in enumerate(calls.values())]).collect()
     assert "Python" not in got._jdf.queryExecution().toString()
+
+
+def test_windows_stay_where_words_are_few(spark):
+    """Windows of texts meet the words without a shuffle; what is found is shuffled alone."""
+    words = spark.createDataFrame([("ab",), ("c",)], "word string")
+    rows = spark.createDataFrame([(1, "abcab"), (2, "zz")], "id long, text string")
+    found = dictionary.find_words(rows, words)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted(map(tuple, found.collect())) == [(1, "ab", 2), (1, "c", 1)]
