@@ -21,11 +21,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each component of texts that share 0.8 of their five-word shingles.
 
-    Fingerprints near enough to find all such pairs are too many to compare, so this stage compares shingles themselves.
+    SimHash fingerprints that differ in at most three bits link first, each link checked by the shingles themselves; near
+    copies that fingerprints are too far apart to show are then found by the shingles that fewest texts have.
     Where rows repeat a doc_id, those of the kept one whose texts differ all stay, and equal ones stay once. Rows
     without a doc_id can't be told apart, so they all stay.
     """
-    kept = jaccard.near_copies(docs, shingle_words=5).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
+    kept = jaccard.near_copies(docs, shingle_words=5, radius=3).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
     (times,) = free(docs, "times")
     out = docs.join(durable(kept.withColumnRenamed("times", times)), "doc_id")
     once, more = out.where(F.col(times) == 1), out.where(F.col(times) > 1).dropDuplicates(["doc_id", "text"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import components, durable, trimmed, utf8
+from .simhash import grid_links
 from .substrings import _Hashes, _mixed, window_hashes
 
 
@@ -32,6 +33,15 @@ def _node(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64))
 
 
+def _fingerprint(shingles: np.ndarray) -> np.uint64:
+    """The SimHash of distinct shingles: each votes with the bits of its hash, a bit is 1 if more than half have it."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), 1 << 14):
+        part = shingles[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > len(shingles), bitorder="little").view("<u8")[0]
+
+
 def _sent(n: int) -> int:
     """How many of ``n`` shingles, the smallest, a text sends."""
     return 2 * (n // 5) or 1
@@ -100,12 +110,26 @@ def _open(posts: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(several, "shingle")
 
 
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are near copies."""
+    one, other = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
+    return pairs.join(one, "a").join(other, "b").where(_similar(F.col("of_a"), F.col("of_b"))).select("a", "b")
+
+
+def _fingerprint_links(distinct: DataFrame, sets: DataFrame, radius: int) -> DataFrame:
+    """Near copies (a, b) among nodes whose fingerprints (bits) are equal or differ in at most ``radius`` bits."""
+    named = durable(distinct.join(sets.select("node"), "node").select("node", "bits"))
+    first = durable(named.groupBy("bits").agg(F.min("node").alias("first")))
+    equal = named.join(first, "bits").where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    near = grid_links(first, bits_col="bits", node_col="first", radius=radius)
+    return _verified(equal.unionByName(near).distinct(), sets)
+
+
 def _star_links(posts: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
     """Near copies (a, b) among open posts, each node compared with one other for each of its shingles: the same for all nodes of the shingle."""
     centre = posts.groupBy("shingle").agg(F.min_by(F.struct("node", "n", "label"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("c"))
     pairs = posts.join(centre, "shingle").where("label != c.label").where(_of_like_size("n", "c.n")).select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct()
-    one, other = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
-    return pairs.join(one, "a").join(other, "b").where(_similar(F.col("of_a"), F.col("of_b"))).select("a", "b")
+    return _verified(pairs, sets)
 
 
 def _block_links(posts: DataFrame, sets: DataFrame, chunk_shingles: int) -> DataFrame:
@@ -146,7 +170,7 @@ def _common(rows: DataFrame, hashed, of: str, texts: int, sample_texts: int) ->
     return durable(some.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where(F.col("count") >= least).select("shingle"))
 
 
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, rounds: int = 2, chunk_shingles: int = 1 << 20, sample_texts: int = 1 << 12) -> DataFrame:
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, rounds: int = 2, chunk_shingles: int = 1 << 20, sample_texts: int = 1 << 12, radius: int | None = None) -> DataFrame:
     """One row a document: id_col and component_id, the smallest id reachable over pairs of texts that are near copies.
 
     Near copies share 0.8 or more of their distinct shingles (common by united) of ``shingle_words`` words; A-Z is
@@ -159,6 +183,9 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
        common. Nodes that do are candidates.
     4. In each of ``rounds`` a shingle's nodes are compared with one of them, so most of a large group of copies is
        connected at a cost in proportion to it. Shingles whose nodes are all connected are done.
+       With a ``radius`` (up to 3) SimHash fingerprints of the shingles link first: nodes that differ in at most so many
+       bits meet in a grid (``simhash.grid_links``), and those that are near copies are connected before any round, so
+       the rounds have only what no fingerprint finds.
     5. Nodes of the others are compared in chunks of about ``chunk_shingles``, two chunks in a task, so no task holds
        a whole group; chunks that are connected already don't meet.
 
@@ -169,20 +196,20 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def hashed(batches, sent):
-        """(id, node, how many shingles, shingles), of which only the first are sent, or none."""
+        """(id, node, how many shingles, shingles), of which only the first are sent; with none the fingerprint instead."""
         hashes = _Hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 each = [_shingles(t, shingle_words, hashes) for t in utf8(part.column("text"))]
                 nodes, sizes = np.array([_node(s) for s in each], np.int64), np.array([len(s) for s in each], np.int64)
-                each = [s[: sent(len(s))] for s in each]
+                each = [s[: sent(len(s))] for s in each] if sent else [np.array([_fingerprint(s)]) if radius is not None else s[:0] for s in each]
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in each])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(nodes), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(each).view(np.int64)))], ["id", "node", "n", "shingles"])
 
     of = "id long, node long, n long, shingles array<long>"
-    prints = durable(rows.mapInArrow(trimmed(lambda b: hashed(b, lambda n: 0)), of).select("id", "node"))
-    distinct = durable(prints.groupBy("node").agg(F.min("id").alias("least")))
+    prints = durable(rows.mapInArrow(trimmed(lambda b: hashed(b, None)), of).select("id", "node", F.try_element_at("shingles", F.lit(1)).alias("bits")))
+    distinct = durable(prints.groupBy("node").agg(F.min("id").alias("least"), F.first("bits").alias("bits")))
 
     sent = rows.mapInArrow(trimmed(lambda b: hashed(b, _sent)), of).select("node", "n", F.explode("shingles").alias("shingle"))
     # a shingle that a sample shows to be common is dealt to many tasks and counts as the commonest; any order of
@@ -206,6 +233,9 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     links = durable(posts.sparkSession.createDataFrame([], "a long, b long"))
     labels = posts.sparkSession.createDataFrame([], "node long, component long")
+    if radius is not None:
+        links = durable(_fingerprint_links(distinct, sets, radius), replaces=links)
+        labels = components(links)
     for turn in range(rounds):
         links = durable(links.unionByName(_star_links(_open(posts, labels), sets, turn)), replaces=links)
         labels = components(links)

@@ -60,3 +60,17 @@ def test_stage_finds_copies_beyond_three_bits(spark):
     assert (plain_fingerprint(first) ^ plain_fingerprint(second)).bit_count() > 3 and alike(shingles(first), shingles(second))
     docs = spark.createDataFrame([(1, first), (2, second), (3, "else")], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()) == [1, 3]
+
+
+def test_fingerprints_link_first(spark, monkeypatch):
+    """With a radius fingerprints propose links, checked by shingles; components stay those of the shingles alone."""
+    words = [f"w{i * 7919 % 1009}" for i in range(1200)]
+    texts = [" ".join(words), " ".join([*words[:600], "other", *words[601:]]), " ".join([*words[:500], *["x"] * 60, *words[560:]]), " ".join(reversed(words)), "a b", "a b", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = []
+    grid = jaccard.grid_links
+    monkeypatch.setattr(jaccard, "grid_links", lambda prints, **more: asked.append(more["radius"]) or grid(prints, **more))
+    got = [sorted(map(tuple, jaccard.near_copies(docs, radius=r).collect())) for r in (None, 3)]
+    assert got[0] == got[1] == [(0, 0), (1, 0), (2, 0), (3, 3), (4, 4), (5, 4), (6, 6), (7, 6)] and asked == [3]
+    one = jaccard._fingerprint(jaccard.np.array([1, 3, 1 << 63], jaccard.np.uint64))
+    assert int(one) == 1
