@@ -7,6 +7,7 @@ into the expression. White space means what ECMAScript's \\s matches, which is w
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -64,13 +65,26 @@ def extract(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def any_of(text: Column, ws: list[str]) -> Column:
-    """Whether the text holds one of the words, as one alternation."""
-    return text.rlike("|".join(map(re.escape, ws)))
+    """Whether the text holds one of the words, as one alternation.
+
+    Words are tried only at characters between the first ones of the words, of ASCII and others apart, so a text in
+    another script is gone through once.
+    """
+    parts = [[w for w in ws if w and w.isascii() == ascii] for ascii in (True, False)]
+    if "" in ws or not ws:
+        return text.rlike("|".join(map(re.escape, ws)))
+    bounds = lambda part: f"[{re.escape(min(w[0] for w in part))}-{re.escape(max(w[0] for w in part))}]"
+    return text.rlike("|".join(f"(?={bounds(part)})(?:{'|'.join(map(re.escape, part))})" for part in parts if part))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used, in branches too."""
+    return F.element_at(F.transform(F.array(value), use), F.lit(1))
 
 
 def squeeze(text: Column) -> Column:
-    """White space collapsed to single spaces, none at the ends."""
-    return F.trim(F.regexp_replace(text, f"[{WHITE}]+", " "))
+    """White space collapsed to single spaces, none at the ends. Single spaces, which stay, are no match."""
+    return F.trim(F.regexp_replace(text, f"(?![!-~])(?: [{WHITE}]+|[{WHITE}&&[^ ]][{WHITE}]*)", " "))
 
 
 def utf16_length(text: Column) -> Column:
@@ -80,7 +94,8 @@ def utf16_length(text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """Full-width letters, digits, dashes and spaces narrowed, white space squeezed; null is empty. The long vowel mark stays."""
-    return squeeze(F.translate(F.coalesce(text, F.lit("")), _WIDE, _NARROW))
+    given = F.coalesce(text, F.lit(""))
+    return squeeze(F.when(given.rlike(f"[{_WIDE}]"), F.translate(given, _WIDE, _NARROW)).otherwise(given))
 
 
 def normalize_name(name: Column) -> Column:
@@ -133,12 +148,15 @@ def clean_address(address: Column) -> Column:
 
 def extract_address(text: Column, pref: Column | None = None) -> Column:
     """The first full address; else, within ``pref``, a municipality with numbers; else one with a block number."""
-    plain = F.regexp_replace(normalize_text(text), _LABEL, "")
-    found = [extract(plain, _FULL_ADDRESS)]
-    if pref is not None:
-        found += [F.concat(nonblank(pref), extract(plain, p)) for p in (_CITY_ADDRESS, _CHOME_ADDRESS)]
-    address = F.coalesce(*found)
-    return F.when(address.isNotNull(), clean_address(address))
+
+    def found(plain: Column) -> Column:
+        ways = [extract(plain, _FULL_ADDRESS)]
+        if pref is not None:
+            ways += [F.concat(nonblank(pref), extract(plain, p)) for p in (_CITY_ADDRESS, _CHOME_ADDRESS)]
+        return F.coalesce(*ways)
+
+    address = once(F.regexp_replace(normalize_text(text), _LABEL, ""), found)
+    return once(address, lambda a: F.when(a.isNotNull(), clean_address(a)))
 
 
 def extract_tel(text: Column) -> Column:

@@ -125,3 +125,17 @@ def test_white_space_of_keys(spark):
     got = [tuple(r) for r in rows.select(text.normalize_name(F.col("t")), text.normalize_address(F.col("t")), text.normalize_tel(F.concat(F.col("t"), F.lit(" 03－1234　5678")))).collect()]
     assert got[:-4] == [("ad会社(e", "株式会社A（bc）D会社(e", "0312345678")] * len(white)
     assert [g[0] for g in got[-4:]] == ["abe", "", "会社", ""] and [g[1] for g in got[-4:]] == ["ab(cd)e", "(x)", "会社", ""]
+
+
+def test_any_of_and_white_runs(spark):
+    """Words of ASCII and others, found at any place; runs of white characters of any make become one space."""
+    t = F.col("t")
+    rows = spark.createDataFrame([("xOPEN",), ("x開店y",), ("]a",), ("é open",), (None,), ("a 　b\n c  d\te ",)], "t string")
+    got = [tuple(r) for r in rows.select(text.any_of(t, ["OPEN", "開店", "]a"]), text.any_of(t, ["開店"]), text.squeeze(t)).collect()]
+    assert got == [(True, False, "xOPEN"), (True, True, "x開店y"), (True, False, "]a"), (False, False, "é open"), (None, None, None), (False, False, "a b c d e")]
+
+
+def test_long_parts_are_worked_out_once(spark):
+    """The normalised text stands once in the plan of an address, not once for each way to find one."""
+    plan = spark.range(1).select(text.extract_address(F.col("id").cast("string"), F.lit("東京都")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("場所は") == 1
