@@ -9,6 +9,8 @@ from .durable import durable
 
 #: What the least share in common may be short of the threshold by rounding.
 _SLACK = 1e-9
+#: Rows of rare trigrams in a part of the join, whose pairs are many for the rows' few bytes.
+PART_ROWS = 1 << 14
 
 
 def trigrams(name: Column) -> Column:
@@ -41,6 +43,9 @@ def similar_names(left: DataFrame, right: DataFrame, *, threshold: float, by: tu
         return sorted_.select(*by, "name", "grams", F.explode(F.slice("grams", F.lit(1), F.least(n, first))).alias("gram"))
 
     a, b = (rarest(s).select(*by, "gram", F.col("name").alias(f"{k}_name"), F.col("grams").alias(f"{k}_grams")) for s, k in zip(sides, ("left", "right")))
+    # in so many parts by number: parts made by bytes are few, and each would have many pairs
+    parts = max(1, 8 * (sides[0].count() + sides[1].count()) // PART_ROWS)
+    a, b = (durable(x).repartition(parts, *by, "gram") for x in (a, b))
     met = a.join(b, [*by, "gram"])
     fit = F.least(F.size("left_grams"), F.size("right_grams")) >= F.greatest(F.size("left_grams"), F.size("right_grams")) * F.lit(threshold) - F.lit(_SLACK)
     # a pair that shares several of its rarest is kept where it shares the first of them

@@ -258,3 +258,10 @@ def test_no_local_folder_on_a_cluster(monkeypatch):
     assert durable.shared_folder(Session()).startswith("hdfs://n/warehouse/kawara_shared/")
     Context.master, Session.conf["spark.sql.warehouse.dir"] = "local[4]", "/tmp/w"
     assert durable.shared_folder(Session()).startswith("/tmp/w/kawara_shared/")
+
+
+def test_rare_trigrams_are_dealt_by_number(spark):
+    """The join on rare trigrams has parts by rows, which adaptive execution doesn't make few by their bytes."""
+    rows = spark.range(3000).selectExpr("'p' AS pref", "'c' AS city", "concat('n', id * 7919) AS name")
+    plan = similar.similar_names(rows, rows, threshold=0.9)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("RepartitionByExpression [pref") == 2
