@@ -20,9 +20,14 @@ WHITE = r"\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 _WHITE_CHARACTERS = "\t\n\x0b\x0c\r\u00a0\u1680\u2028\u2029\u202f\u205f\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
 _WIDE = "".join(chr(c + 0xFEE0) for r in (range(0x30, 0x3A), range(0x41, 0x5B), range(0x61, 0x7B)) for c in r) + "\uff0d\u2015\u3000"
 _NARROW = "".join(chr(ord(c) - 0xFEE0) for c in _WIDE[:62]) + "-- "
+#: One of the wide characters. As ranges, after a look at whether the character may be one, most take one comparison.
+_ANY_WIDE = r"(?=[\u2015-\uFF5A])[\uFF10-\uFF19\uFF21-\uFF3A\uFF41-\uFF5A\uFF0D\u2015\u3000]"
 
 #: Fixed patterns of the notation of names, addresses, phone numbers and dates.
 _KANJI, _RUN = "一-龥", "一-龥ぁ-んァ-ヶー々"
+#: Whether a kanji, a kana or one of their marks follows: patterns that begin with one are tried nowhere else.
+_JAPANESE = "(?=[々-龥])"
+_NOT_JAPANESE, _ALL_JAPANESE = "[^々-龥]+", re.compile("[々-龥]+")
 _MUNICIPALITY = "市|区|町|村"
 _PREF = "|".join(words.PREFS)
 _LABEL = r"(?:場所は|所在地は?|住所[:：]?|Address[:：]?\s*|店舗情報[:：]?\s*)"
@@ -67,14 +72,16 @@ def extract(text: Column, pattern: str, group: int = 1) -> Column:
 def any_of(text: Column, ws: list[str]) -> Column:
     """Whether the text holds one of the words, as one alternation.
 
-    Words are tried only at characters between the first ones of the words, of ASCII and others apart, so a text in
-    another script is gone through once.
+    Words are tried only at characters that begin one, or beyond ASCII lie between the first and the last that do, so a
+    text in another script is gone through once.
     """
-    parts = [[w for w in ws if w and w.isascii() == ascii] for ascii in (True, False)]
     if "" in ws or not ws:
         return text.rlike("|".join(map(re.escape, ws)))
-    bounds = lambda part: f"[{re.escape(min(w[0] for w in part))}-{re.escape(max(w[0] for w in part))}]"
-    return text.rlike("|".join(f"(?={bounds(part)})(?:{'|'.join(map(re.escape, part))})" for part in parts if part))
+    plain, other = ([w for w in ws if w[0].isascii() == ascii] for ascii in (True, False))
+    begin = "".join(sorted({re.escape(w[0]) for w in plain}))
+    bounds = f"{min(w[0] for w in other)}-{max(w[0] for w in other)}" if other else ""
+    parts = [f"(?=[{at}])(?:{'|'.join(map(re.escape, part))})" for at, part in ((begin, plain), (bounds, other)) if part]
+    return text.rlike(parts[0] if len(parts) == 1 else f"(?=[{begin}{bounds}])(?:{'|'.join(parts)})")
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -84,7 +91,7 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def squeeze(text: Column) -> Column:
     """White space collapsed to single spaces, none at the ends. Single spaces, which stay, are no match."""
-    return F.trim(F.regexp_replace(text, f"(?![!-~])(?: [{WHITE}]+|[{WHITE}&&[^ ]][{WHITE}]*)", " "))
+    return F.trim(F.regexp_replace(text, f"(?! ?[!-~])(?: [{WHITE}]+|[{WHITE}&&[^ ]][{WHITE}]*)", " "))
 
 
 def utf16_length(text: Column) -> Column:
@@ -95,7 +102,7 @@ def utf16_length(text: Column) -> Column:
 def normalize_text(text: Column) -> Column:
     """Full-width letters, digits, dashes and spaces narrowed, white space squeezed; null is empty. The long vowel mark stays."""
     given = F.coalesce(text, F.lit(""))
-    return squeeze(F.when(given.rlike(f"[{_WIDE}]"), F.translate(given, _WIDE, _NARROW)).otherwise(given))
+    return squeeze(F.when(given.rlike(_ANY_WIDE), F.translate(given, _WIDE, _NARROW)).otherwise(given))
 
 
 def normalize_name(name: Column) -> Column:
@@ -150,12 +157,12 @@ def extract_address(text: Column, pref: Column | None = None) -> Column:
     """The first full address; else, within ``pref``, a municipality with numbers; else one with a block number."""
 
     def found(plain: Column) -> Column:
-        ways = [extract(plain, _FULL_ADDRESS)]
+        ways = [extract(plain, _JAPANESE + _FULL_ADDRESS)]
         if pref is not None:
-            ways += [F.concat(nonblank(pref), extract(plain, p)) for p in (_CITY_ADDRESS, _CHOME_ADDRESS)]
+            ways += [F.concat(nonblank(pref), extract(plain, _JAPANESE + p)) for p in (_CITY_ADDRESS, _CHOME_ADDRESS)]
         return F.coalesce(*ways)
 
-    address = once(F.regexp_replace(normalize_text(text), _LABEL, ""), found)
+    address = once(F.regexp_replace(normalize_text(text), f"(?=[A々-龥]){_LABEL}", ""), found)
     return once(address, lambda a: F.when(a.isNotNull(), clean_address(a)))
 
 
@@ -193,10 +200,22 @@ def count_of(text: Column, ws: list[str]) -> Column:
 
 
 def best_label(text: Column, lists: dict[str, list[str]]) -> Column:
-    """The label whose words occur most often; of equals the earlier one, null if none occurs."""
-    scores = [F.struct(count_of(text, ws).alias("n"), F.lit(-i).alias("order"), F.lit(label).alias("label")) for i, (label, ws) in enumerate(lists.items())]
-    best = F.array_max(F.array(*scores))
-    return F.when(best["n"] > 0, best["label"])
+    """The label whose words occur most often; of equals the earlier one, null if none occurs.
+
+    Japanese words are counted in what the text has of that script, which keeps each of their occurrences.
+    """
+
+    def count(of: Column, ws: list[str]) -> Column:
+        own = [w for w in ws if _ALL_JAPANESE.fullmatch(w)]
+        rest = [w for w in ws if w not in own]
+        return reduce(Column.__add__, [count_of(of[c], part) for c, part in (("japanese", own), ("text", rest)) if part])
+
+    def best(of: Column) -> Column:
+        scores = [F.struct(count(of, ws).alias("n"), F.lit(-i).alias("order"), F.lit(label).alias("label")) for i, (label, ws) in enumerate(lists.items())]
+        return F.array_max(F.array(*scores))
+
+    found = once(F.struct(text.alias("text"), F.regexp_replace(text, _NOT_JAPANESE, " ").alias("japanese")), best)
+    return once(found, lambda best: F.when(best["n"] > 0, best["label"]))
 
 
 def extract_genre(text: Column, title: Column | None = None) -> Column:
@@ -220,9 +239,11 @@ def extract_store_name(title: Column) -> Column:
     quoted = name(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
     reviewed = name(extract(text, _REVIEWED))
     once = lambda t: reduce(lambda t, p: F.trim(F.regexp_replace(t, p, "")), _NEWS, t)
-    # each useful pass takes four characters at least, so this many passes reach the fixpoint
+    # each useful pass takes four characters at least, so this many passes reach the fixpoint; none is made after it
     rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), (F.length(text) / 2).cast("int")))
-    rest = F.aggregate(rounds, text, lambda t, _: F.when(any_of(t, _OPENING_TITLES), once(t)).otherwise(t))
+    one = lambda t: F.struct(t.alias("was"), F.when(any_of(t, _OPENING_TITLES), once(t)).otherwise(t).alias("now"))
+    begun = F.struct(F.lit(None).cast("string").alias("was"), text.alias("now"))
+    rest = F.aggregate(rounds, begun, lambda s, _: F.when(s["was"].eqNullSafe(s["now"]), s).otherwise(one(s["now"])), lambda s: s["now"])
     rest = F.trim(F.regexp_replace(rest, _TALK, ""))
     return F.coalesce(quoted, reviewed, F.when((rest != "") & ~rest.isin(*words.NAME_REJECTS), rest))
 
@@ -233,7 +254,7 @@ def is_opening_article(title: Column, content: Column) -> Column:
 
 def extract_station(text: Column) -> Column:
     """The first station's name of two to six characters that nothing runs into."""
-    found = F.regexp_extract_all(text, F.lit(_STATION), 1)
+    found = F.regexp_extract_all(text, F.lit(_JAPANESE + _STATION), 1)
     return F.try_element_at(F.filter(found, lambda s: ~s.rlike(f"(?:{'|'.join(words.STATION_REJECTS)})\\z")), F.lit(1))
 
 

@@ -31,8 +31,11 @@ class Batch:
 
 def skip_known(items: DataFrame, link: str, articles: DataFrame, url: str) -> DataFrame:
     """``items`` whose link is no article's url. Of the articles only those that the items name leave the scan."""
-    known = articles.select(F.col(url).alias(link)).join(items.select(link).distinct(), link, "left_semi").distinct()
-    return items.join(known, link, "left_anti")
+    return items.join(_known(items, link, articles, url), link, "left_anti")
+
+
+def _known(items: DataFrame, link: str, articles: DataFrame, url: str) -> DataFrame:
+    return articles.select(F.col(url).alias(link)).join(items.select(link).distinct(), link, "left_semi").distinct()
 
 
 def new_items(items: DataFrame, sources: DataFrame, articles: DataFrame) -> DataFrame:
@@ -42,10 +45,11 @@ def new_items(items: DataFrame, sources: DataFrame, articles: DataFrame) -> Data
     and feeds that can't be read give none.
     """
     on = sources.where("enabled").select(F.col("id").alias("source_id"), F.col("pref").alias("src_pref"), F.col("city").alias("src_city"))
-    items = items.where("NOT broken AND link IS NOT NULL AND link != ''").join(on, "source_id")
-    items = skip_known(items, "link", articles, "article_url")
+    items = items.where("NOT broken AND link IS NOT NULL AND link != ''")
     raw = F.coalesce("html", F.lit(""))
-    return items.select("source_id", "ordinal", "link", F.regexp_replace(F.coalesce("title", F.lit("")), rf"^[{text.WHITE}]+|[{text.WHITE}]+\z", "").alias("title"), published_at(F.col("published"), F.col("fetched_at")).alias("published_at"), html.strip_html(raw).alias("rss_text"), html.first_image(raw).alias("thumbnail"), "src_pref", "src_city")
+    # exploded, so that a filter on the text reads it and doesn't make it once more for each of its patterns
+    read = items.select("*", F.explode(F.array(html.strip_html(raw))).alias("rss_text")).join(on, "source_id")
+    return read.join(_known(items, "link", articles, "article_url"), "link", "left_anti").select("source_id", "ordinal", "link", F.regexp_replace(F.coalesce("title", F.lit("")), rf"^[{text.WHITE}]+|[{text.WHITE}]+\z", "").alias("title"), published_at(F.col("published"), F.col("fetched_at")).alias("published_at"), "rss_text", html.first_image(raw).alias("thumbnail"), "src_pref", "src_city")
 
 
 def first_of_link(items: DataFrame) -> DataFrame:
@@ -61,11 +65,12 @@ def with_pages(items: DataFrame, pages: DataFrame) -> DataFrame:
     links to don't leave the scan where the items are few enough to broadcast.
     """
     wanted = pages.select(F.col("url").alias("link"), F.col("html").alias("page")).join(items.select("link"), "link", "left_semi")
-    found = items.join(wanted.groupBy("link").agg(F.max("page").alias("page")), "link", "left").withColumn("main", html.main_content(F.col("page")))
+    mains = wanted.groupBy("link").agg(F.max("page").alias("page")).select("link", html.main_content(F.col("page")).alias("main"))
+    found = items.join(mains, "link", "left")
     full = F.coalesce("main.text", F.lit(""))
     longer = F.when(text.utf16_length(full) > text.utf16_length(F.col("rss_text")), full).otherwise(F.col("rss_text"))
     image = F.coalesce(text.nonblank(F.col("thumbnail")), text.nonblank(F.col("main.thumbnail")), F.col("thumbnail"))
-    return found.withColumn("content", longer).withColumn("thumbnail", image).drop("page", "main", "rss_text")
+    return found.withColumn("content", longer).withColumn("thumbnail", image).drop("main", "rss_text")
 
 
 def extracted(items: DataFrame) -> DataFrame:

@@ -47,25 +47,24 @@ def feed_items(feeds: DataFrame, *, xml_col: str = "xml") -> DataFrame:
     kept = [c for c in feeds.columns if c != xml_col]
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}
     xml = F.regexp_replace(F.col(xml_col), r"^[\s﻿]+", "")
-    once = feeds.withColumn("feed", F.from_xml(xml, _FEED, options))
     bad = F.col("feed").isNull() | F.col("feed.broken").isNotNull()
     again = F.when(bad, F.from_xml(escape_ampersands(xml), _FEED, options)).otherwise(F.col("feed"))
-    parsed = once.withColumn("feed", again).withColumn("broken", bad)
+    # exploded, so that filters don't move below and parse once more
+    parsed = feeds.select("*", F.explode(F.array(F.from_xml(xml, _FEED, options))).alias("feed")).select(*kept, F.explode(F.array(again)).alias("feed")).withColumn("broken", bad)
     items = F.concat(*[F.coalesce(x, F.array().cast(f"array<{_ITEM}>")) for x in (F.col("feed.channel.item"), F.col("feed.item"), F.col("feed.entry"))])
-    whole = parsed.where(~F.col("broken")).select(*kept, F.posexplode(items).alias("ordinal", "item"))
-    lost = parsed.where("broken").select(*kept, F.lit(None).cast("int").alias("ordinal"), *[F.lit(None).cast("string").alias(c) for c in ("title", "link", "published", "html")], F.lit(True).alias("broken"))
+    told = F.when(F.col("broken"), F.array(F.lit(None).cast(_ITEM))).otherwise(items)
+    whole = parsed.select(*kept, "broken", F.posexplode(told).alias("ordinal", "item"))
     link = lambda l: F.coalesce(nonblank(F.trim(l["_VALUE"])), l["_href"])
     alternate = F.filter("item.link", lambda l: F.coalesce(l["_rel"], F.lit("alternate")) == "alternate")
-    out = whole.select(
+    return whole.select(
         *kept,
-        "ordinal",
+        F.when(~F.col("broken"), F.col("ordinal")).alias("ordinal"),
         F.col("item.title").alias("title"),
         F.coalesce(F.try_element_at(F.transform(alternate, link), F.lit(1)), F.try_element_at(F.transform("item.link", link), F.lit(1))).alias("link"),
         F.coalesce("item.pubDate", "item.published", "item.updated").alias("published"),
         F.coalesce(F.col("item.`content:encoded`"), F.col("item.content"), F.col("item.description"), F.col("item.summary")).alias("html"),
-        F.lit(False).alias("broken"),
+        "broken",
     )
-    return out.unionByName(lost)
 
 
 def item_counts(feeds: DataFrame, key: str) -> DataFrame:
