@@ -43,7 +43,8 @@ def reclassified(stores: DataFrame, links: DataFrame, articles: DataFrame) -> Da
     """(id, genre) of stores whose genre, by the article of theirs with the least id, is known and another."""
     one = links.groupBy(F.col("store_id").alias("id")).agg(F.min("article_id").alias("article_id"))
     read = one.join(articles.select(F.col("id").alias("article_id"), "title", "content"), "article_id")
-    read = read.select("id", extract_genre(F.coalesce("content", F.lit("")), F.col("title")).alias("found"))
+    # exploded, so that the filter on it doesn't move below the join, where it would be worked out for every article
+    read = read.select("id", F.explode(F.array(extract_genre(F.coalesce("content", F.lit("")), F.col("title")))).alias("found"))
     both = stores.select("id", "genre").join(read, "id")
     return both.where("found IS NOT NULL AND NOT found <=> genre").select("id", F.col("found").alias("genre"))
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kawara.functions import html, text, words
-from kawara.plans import ingest
+from kawara.plans import ingest, maintain
 from kawara.sources import feeds
 
 
@@ -39,6 +39,15 @@ def test_item_texts_are_stripped_once(spark):
     assert plan.count("!--.*?--") == 1
 
 
+def test_genres_are_read_after_the_join(spark):
+    plan = planned(maintain.reclassified(rows_of(spark, "id long, genre string"), rows_of(spark, "store_id long, article_id long"), rows_of(spark, "id long, title string, content string")))
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    lines = plan.split("\n")
+    read = [i for i, line in enumerate(lines) if "焼鳥" in line]
+    assert len(read) == 1  # once, and above a join of the links with the articles
+    assert any("Join" in line and depth(line) > depth(lines[read[0]]) for line in lines[read[0] + 1 :])
+
+
 @pytest.mark.parametrize("ws", [words.NON_FOOD, words.FOOD, words.TITLE_OPENINGS, words.CHAINS, ["100均", "café", "]a", "^b", "BAR"]])
 def test_words_are_tried_only_where_one_may_begin(spark, ws):
     given = [w for w in ws] + ["x" + w + "。" for w in ws] + [w[:-1] for w in ws] + ["", "zzz ^ ] é 一", "qz~"]
