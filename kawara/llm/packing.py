@@ -16,11 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, durable, fields, free, trimmed
+from .common import batches_of, blocks, durable, fields, free, trimmed
 
 #: Most words that a task keeps the ids of.
 KNOWN_WORDS = 300_000
 
+#: Bytes of text that a task encodes at once, and of rows that Spark hands to Python at once.
+BLOCK_BYTES, BATCH_BYTES = 1 << 20, 2 << 20
+
 #: What tokens end with that end a word.
 MARK = "</w>"
 
@@ -128,7 +131,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
 
     def cut(batches):
         encode, end, step = WordEncoder(tokenizer_path), np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for _, part in blocks(batches, text_col, 4 << 20):
+        for _, part in blocks(batches, text_col, BLOCK_BYTES):
             part = part.combine_chunks()
             rows, piece, start, length, crc, bits = [], [], [], [], [], []
             flat, cuts = encode(part[text_col].combine_chunks())
@@ -209,7 +212,8 @@ def pack(pieces: DataFrame, *, length_col: str = "length", capacity: int = 4096,
     more than a group. Rows are dealt by their place, so equal rows or ids don't meet. A null length counts as 0; one
     over ``capacity`` is an error. Columns of ``pieces`` named sequence_id or offset are replaced.
     """
-    pieces = durable(pieces.drop("sequence_id", "offset"))
+    with batches_of(pieces.sparkSession, BATCH_BYTES):
+        pieces = durable(pieces.drop("sequence_id", "offset"))
     rows, tokens = pieces.agg(F.count("*"), F.sum(F.col(length_col).cast("long"))).first()
     groups = max(1, -(-rows // group_pieces), -(-(tokens or 0) // group_tokens))
     (group,) = free(pieces, "group")

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -107,6 +108,36 @@ def test_packing(spark, docs):
     assert len(by) <= 1.01 * sum(r.length for r in rows) / 4096 + 1
 
 
+def test_packing_hands_python_small_batches(spark):
+    def seen(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b.nbytes])], ["length", "seen"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    texts = spark.range(0, 24, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    rows = packing.pack(texts.mapInArrow(seen, "length long, seen long")).collect()
+    assert sum(r.seen for r in rows) >= 24 << 20 and max(r.seen for r in rows) <= 4 << 20
+    assert spark.conf.get(name) == before
+
+
+def test_packing_encodes_small_blocks(spark, monkeypatch):
+    encoded = []
+
+    class Encoder(packing.WordEncoder):
+        def __call__(self, texts):
+            encoded.append(texts.nbytes)
+            return super().__call__(texts)
+
+    df = spark.createDataFrame([(1, "")], "doc_id long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: run)
+    monkeypatch.setattr(packing, "WordEncoder", Encoder)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(600)), "text": ["a bc, " * 1700] * 600})
+    rows = pa.Table.from_batches(packing.token_pieces(df, WORD_BPE)(iter([batch])))
+    assert max(encoded) <= 1.1 * (1 << 20) and sum(encoded) > 5.5 * (1 << 20)
+    assert sorted(set(rows["doc_id"].to_pylist())) == list(range(600)) and sum(rows["length"].to_pylist()) == 600 * (1700 * 3 + 1)
+
+
 def test_best_two_fit_replaces_the_smallest():
     # greedy takes 6 and 3 of 10; 2 + 2 fit the expanded gap of 4 better than 3
     assert [sorted([6, 3, 2, 2][i] for i in b) for b in packing.best_two_fit([6, 3, 2, 2], 10)] == [[2, 2, 6], [3]]
