@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +28,31 @@ BLOCK_BYTES, BATCH_BYTES = 1 << 20, 2 << 20
 #: What tokens end with that end a word.
 MARK = "</w>"
 
-#: Letters with marks after them, which are pre-tokens of their own: ASCII punctuation without the apostrophe. The last
-#: letter is one that normalising leaves a letter, unlike the dotted capital i.
-_MARKED = r"^(\p{L}*[A-Za-zÀ-ÖØ-öø-įı-ʯΆ-ϿЀ-ҁҊ-ӿぁ-ゖァ-ヺ一-鿿])([!-&(-/:-@\[-`{-~]+)$"
+#: Letters that the normaliser leaves letters, each by itself: neither the dotted capital i nor what NFC changes is among them.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ʯΆΈ-ΊΌΎ-ΡΣ-ϵϷ-ϿЀ-ҁҊ-ӿ\u05d0-\u05ea\u0621-\u063a\u0641-\u064aḀ-ỿぁ-ゖァ-ヺ一-鿿\uac00-\ud7a3"
 
+#: What is a pre-token of its own after letters: ASCII punctuation without the apostrophe.
+_MARKS = "".join(x for x in string.punctuation if x != "'")
 
-def _gather(flat: np.ndarray, cuts: np.ndarray, places: pa.Array, offsets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+
+def _joined(strings: pa.Array) -> str:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(strings)], pa.int32()), strings), " ")[0].as_py()
+
+
+def _parted(words: pa.Array) -> pa.Array:
+    """Two strings for each word: letters and the marks after them, or else the word and nothing."""
+    words = words.cast(pa.string())
+    stems = pc.ascii_rtrim(words, characters=_MARKS)
+    offsets = np.frombuffer(words.buffers()[1], "<i4")[words.offset : words.offset + len(words) + 1]
+    lettered = pc.match_substring_regex(stems, rf"^\p{{L}}*[{_LETTERS}]$")
+    cuts = np.empty(2 * len(words) + 1, "<i4")
+    cuts[::2] = offsets
+    cuts[1::2] = offsets[:-1] + pc.binary_length(pc.if_else(lettered, stems, words)).to_numpy()
+    return pa.StringArray.from_buffers(2 * len(words), pa.py_buffer(cuts), words.buffers()[2] or pa.py_buffer(b""))
+
+
+def _gather(flat: np.ndarray, cuts: np.ndarray, places: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For lists of places in the pieces flat[cuts[i]:cuts[i + 1]]: their pieces in order, and where each list's begin."""
-    places, offsets = places.to_numpy(), offsets.to_numpy()
     lengths = np.diff(cuts)[places]
     ends = np.cumsum(lengths)
     out = flat[np.repeat(cuts[places] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
@@ -50,7 +68,7 @@ def _by_words(spec: dict) -> bool:
     """Whether the ids of a text are those of its words, as WordEncoder takes them."""
     steps = [x.get("pattern") or x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
     cuts = [x for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"]
-    plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) and t["content"].isascii() and " " not in t["content"] for t in spec["added_tokens"])
+    plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) and t["content"].isascii() and " " not in t["content"] and not t["content"][:1].isalpha() for t in spec["added_tokens"])
     return steps == _NORMALISED and [x["pattern"] for x in cuts] == [{"Regex": _CUT}] and spec["model"].get("end_of_word_suffix") == MARK and plain
 
 
@@ -60,16 +78,17 @@ class WordEncoder:
     For vocabularies whose pre-tokens never reach over white space or from letters into other characters, whose
     normaliser looks at no neighbour across white space and whose words end in a marked token, as those with word
     ends. Then the ids of a text are those of its words in order, those of letters with marks after them are the
-    letters' and the marks', and words of letters alone can be encoded many at once, for each ends with its first
-    marked token. Strings of added tokens stand inside words and become their ids there, as in whole texts. A
-    tokenizer of another make encodes whole texts.
+    letters' and the marks', and words of letters that the normaliser leaves letters are pre-tokens as they are: they
+    need no more of it than lower case, and can be encoded many at once, for each ends with its first marked token.
+    Strings of added tokens stand inside words and become their ids there, as in whole texts. A tokenizer of another
+    make encodes whole texts.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given this task its core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -78,26 +97,51 @@ class WordEncoder:
         self.added = "|".join(re.escape(t["content"].lower()) for t in spec["added_tokens"]) or r"[^\s\S]"
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(MARK)]] = True
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _one_by_one(self, words: list[str]) -> None:
-        for i in range(0, len(words), 2048):
-            some = words[i : i + 2048]
-            self.known.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
-
-    def _learn(self, new: list[str]) -> None:
-        known = self.known
-        letters = [w for w in new if w.isalpha() and (w.isascii() or w.lower().isalpha())]
-        self._one_by_one(list(set(new).difference(letters)))
-        for i in range(0, len(letters), 2048):
-            some = letters[i : i + 2048]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            flat = ids.tobytes()
-            if len(cuts) == len(some) and cuts[-1] == len(flat):
-                known.update(zip(some, [flat[a:b] for a, b in zip([0, *cuts], cuts)]))
-            else:  # letters that the normaliser takes apart
-                self._one_by_one(some)
+        # two lighter ways for letters: small ASCII ones are their own bytes, others need lower case and bytes
+        self.small, self.letters = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
+        self.small.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters.normalizer = normalizers.Lowercase()
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # the ids of word i are flat[cuts[i]:cuts[i + 1]]; met: in how many blocks it was
+        self.known: dict[str, int] = {}
+        self.flat, self.cuts, self.met = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Only words that were met again stay, KNOWN_WORDS // 2 of them at most."""
+        kept, words = np.flatnonzero(self.met > 1), list(self.known)
+        kept = kept[: KNOWN_WORDS // 2]
+        self.known = dict(zip(map(words.__getitem__, kept.tolist()), range(len(kept))))
+        self.flat, self.cuts = _gather(self.flat, self.cuts, kept, np.arange(len(kept) + 1))
+        self.met = np.ones(len(kept), np.int64)
+
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in order, and how many each has."""
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(each), "<u4"), np.fromiter(map(len, each), np.int64, len(each))
+
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """The numbers that new words now have."""
+        small = pc.match_substring_regex(new, "^[a-z]+$").to_numpy(zero_copy_only=False)
+        lettered = pc.match_substring_regex(new, f"^[{_LETTERS}]+$").to_numpy(zero_copy_only=False) & ~small
+        flat, lengths, at = [self.flat], [np.diff(self.cuts)], np.empty(len(new), np.int64)
+        for tokenizer, those in ((self.small, small), (self.letters, lettered), (None, ~(small | lettered))):
+            places = np.flatnonzero(those)
+            for i in range(0, len(places), 2048):
+                some = places[i : i + 2048]
+                text = _joined(new.take(pa.array(some)))
+                words = text.split(" ")
+                at[some] = np.arange(len(self.known), len(self.known) + len(words))
+                self.known.update(zip(words, at[some].tolist()))
+                if tokenizer:
+                    ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                    sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+                if not tokenizer or len(sizes) != len(words) or sizes.sum() != len(ids):
+                    ids, sizes = self._one_by_one(words)
+                flat.append(ids)
+                lengths.append(sizes)
+        self.flat, self.cuts = np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+        self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        return at
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in order, and where each text's begin and the last one's end; null is empty."""
@@ -106,18 +150,17 @@ class WordEncoder:
             return np.fromiter(chain.from_iterable(each), "<u4"), np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int64)])
         words = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         coded = words.flatten().dictionary_encode()
-        parts = pc.split_pattern(pc.replace_substring_regex(coded.dictionary, _MARKED, r"\1 \2"), " ")
-        single = parts.flatten()
-        low = pc.ascii_lower(single)  # but for what would become an added token's string
-        single = pc.if_else(pc.and_not(pc.string_is_ascii(single), pc.match_substring_regex(low, self.added)), low, single).dictionary_encode()
-        distinct = single.dictionary.to_pylist()
+        low = pc.ascii_lower(coded.dictionary)  # but for what would become an added token's string
+        parts = _parted(pc.if_else(pc.and_not(pc.string_is_ascii(low), pc.match_substring_regex(low, self.added)), low, coded.dictionary)).dictionary_encode()
+        distinct = _joined(parts.dictionary).split(" ")
         if len(self.known) > KNOWN_WORDS:
-            self.known = {"": b""}
-        self._learn([w for w in distinct if w not in self.known])
-        each = [self.known[w] for w in distinct]
-        cuts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, each), np.int64, len(each)) // 4)])
-        flat, cuts = _gather(np.frombuffer(b"".join(each), "<u4"), cuts, single.indices, parts.offsets)
-        return _gather(flat, cuts, coded.indices, words.offsets)
+            self._forget()
+        at = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(parts.dictionary))
+        new = np.flatnonzero(at < 0)
+        at[new] = self._learn(parts.dictionary.take(pa.array(new)))
+        self.met[at] += 1
+        flat, cuts = _gather(self.flat, self.cuts, at[parts.indices.to_numpy()], 2 * np.arange(len(coded.dictionary) + 1))
+        return _gather(flat, cuts, coded.indices.to_numpy(), words.offsets.to_numpy())
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, keep_ids: bool = True) -> DataFrame:

@@ -1,6 +1,7 @@
 """The text operators against plain versions of themselves, and on nulls, empty texts, ties and clashing names."""
 
 import heapq
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -138,6 +139,48 @@ def test_packing_encodes_small_blocks(spark, monkeypatch):
     assert sorted(set(rows["doc_id"].to_pylist())) == list(range(600)) and sum(rows["length"].to_pylist()) == 600 * (1700 * 3 + 1)
 
 
+def words_as_in_texts(encode, texts):
+    flat, cuts = encode(pa.array(texts))
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    assert [flat[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_of_any_letter():
+    # U+0387, U+03F6 and unassigned code points stand among Greek letters, but are cut as marks are
+    letters = [chr(c) for c in range(0x2000)] + list("ぁゖ゛ァヺ・一鿿가힣")
+    words_as_in_texts(packing.WordEncoder(WORD_BPE), [f"{x} a{x} {x}a a{x}! {x}{x}.. A{x}B," for x in letters])
+
+
+def test_words_met_again_stay_known(monkeypatch):
+    learned = []
+
+    class Encoder(packing.WordEncoder):
+        def _learn(self, new):
+            learned.append(len(new))
+            return super()._learn(new)
+
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 200)
+    encode, words = Encoder(WORD_BPE), ["".join(x) for x in itertools.product("abhé", repeat=5)]
+    for k in range(5):  # 60 words that every block has, 60 that no other has
+        words_as_in_texts(encode, [" ".join(words[:60] + words[60 * k + 60 : 60 * k + 120])])
+    assert learned[1:] == [60] * 4 and len(encode.known) <= 200 + 120
+
+
+def test_words_of_letters_skip_the_normaliser():
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.texts = tokenizer, []
+
+        def encode_batch_fast(self, texts, **how):
+            self.texts += texts
+            return self.tokenizer.encode_batch_fast(texts, **how)
+
+    encode = packing.WordEncoder(WORD_BPE)
+    encode.tokenizer = Counted(encode.tokenizer)
+    words_as_in_texts(encode, ["The the, Straße... ÉTÉ! ΟΔΟΣ", "東京 İstanbul, it's 12"])
+    assert {x for t in encode.tokenizer.texts for x in t.split()} == {",", "...", "!", "İstanbul", "it's", "12"}
+
+
 def test_best_two_fit_replaces_the_smallest():
     # greedy takes 6 and 3 of 10; 2 + 2 fit the expanded gap of 4 better than 3
     assert [sorted([6, 3, 2, 2][i] for i in b) for b in packing.best_two_fit([6, 3, 2, 2], 10)] == [[2, 2, 6], [3]]
